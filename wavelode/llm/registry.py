@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import text_dedup
+from . import language, packing, secret_scan, shards, text_dedup, token_store
 from .shared import table
 
 
@@ -14,8 +15,29 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_digest(shards.shuffle_to_shards(table(spark, sf_dir, "documents")))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_digest(secret_scan.scan_versions(table(spark, sf_dir, "documents")))
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_digest(packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minhash_near_dedup,)}
+    found = (op4_minhash_near_dedup, op6_language_id, op7_two_pass_shuffle, op8_secret_scan, op9_token_store, op10_residual_packing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
