@@ -7,10 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, secret_scan, shards, text_dedup, token_store
+from . import decontaminate, language, packing, quality, secret_scan, shards, text_dedup, token_store, vector_dedup
 from .shared import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,9 +48,9 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_minhash_near_dedup, op6_language_id, op7_two_pass_shuffle, op8_secret_scan, op9_token_store, op10_residual_packing)
+    found = (op1_decontamination, op2_quality_network, op3_vector_near_dedup, op4_minhash_near_dedup, op6_language_id, op7_two_pass_shuffle, op8_secret_scan, op9_token_store, op10_residual_packing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": decontaminate.overlap_sql()}
