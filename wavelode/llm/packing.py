@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stage
@@ -139,28 +139,25 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
     return stage(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, carry: Column | str = "ids") -> DataFrame:
     """Pack whole texts into sequences of at most ``capacity`` tokens.
 
-    Returns one row per piece: doc_id, piece, start, length, ids (little-endian unsigned
-    32-bit), sequence_id and offset. Documents longer than ``capacity`` are cut, the first
+    Returns one row per piece: doc_id, piece, start, length, what ``carry`` makes of its
+    ids (little-endian unsigned 32-bit; themselves by default), sequence_id and offset.
+    ``carry`` is applied where the piece is read, before anything is shuffled. Documents longer than ``capacity`` are cut, the first
     piece taking what full pieces leave over; others stay whole. A null text is an empty
     one, which still has its end id. Other columns of ``docs`` are ignored, and rows
     repeated in full are packed as often as they occur.
     """
     pieces = tokenize(docs, path, capacity, end_id)
-    full = pieces.where(F.col("length") == capacity).select("*", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = pieces.where(F.col("length") < capacity)
-    rest = rest.join(assign(rest.select("uid", "length"), capacity), "uid")
-    out = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
+    carried = pieces.select("uid", "doc_id", "piece", "start", "length", carry)
+    full = carried.where(F.col("length") == capacity).select("*", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    placed = assign(pieces.where(F.col("length") < capacity).select("uid", "length"), capacity)
+    rest = carried.where(F.col("length") < capacity).join(placed, "uid")
+    out = [*carried.columns[1:], "sequence_id", "offset"]
     return full.select(*out).union(rest.select(*out))
 
 
-def pack_digest(packed: DataFrame) -> DataFrame:
-    """The packed pieces with a checksum in the place of their ids."""
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
-
-
 def sequences(packed: DataFrame) -> DataFrame:
     """Whole sequences: sequence_id, length and ids in order."""
     rows = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))

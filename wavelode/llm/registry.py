@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, language, packing, quality, secret_scan, shards, surrogate, text_dedup, token_store, vector_dedup
 from .shared import table
@@ -51,7 +52,8 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_digest(packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json"))))
+    digest = F.crc32("ids").alias("ids_crc32")
+    return packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), carry=digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,8 +7,7 @@ is cut at spaces and every distinct piece is encoded by the library once per wor
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from array import array
 
 #: Pieces whose ids a worker remembers.
 CACHE = 800_000
@@ -24,7 +23,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        value = self[piece] = self.parts(piece)
+        value = self[piece] = self.encode.word(piece) if piece.isalpha() and max(piece) < _LATIN_END else self.parts(piece)
         return value
 
     def parts(self, piece: str) -> bytes:
@@ -42,16 +41,19 @@ class _Call:
 
     def __init__(self, library, before: str, keeps_case: bool):
         self.library, self.model, self.before, self.keeps_case = library, library.model, before, keeps_case
-        self.line = np.array(library.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
+        self.line = array("I", library.encode("\n", add_special_tokens=False).ids).tobytes()
 
     def __call__(self, piece: str) -> bytes:
-        if piece.isalpha() and max(piece) < _LATIN_END:
-            # Letters alone are one word for the vocabulary's model, which needs its bytes as letters.
-            word = self.before + piece if self.keeps_case else piece.lower()
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))]
-        else:
-            ids = self.library.encode(self.before + piece, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", self.library.encode(self.before + piece, add_special_tokens=False).ids).tobytes()
+
+    def word(self, piece: str) -> bytes:
+        """Letters alone are one word for the vocabulary's model, which needs its bytes as letters."""
+        word = self.before + piece if self.keeps_case else piece.lower()
+        if not piece.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        elif self.before:
+            word = _SPACE + piece
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
 
 class Encoder:
@@ -76,7 +78,7 @@ class Encoder:
 #: Byte-level vocabularies write bytes that are no visible Latin-1 character as letters from U+0100 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 _BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
-_LATIN_END = "\u0100"
+_LATIN_END, _SPACE = "\u0100", _BYTE_LETTERS[32]
 #: Marks that the vocabularies' rules always part from the letters before them.
 _MARKS = frozenset(".,;:!?")
 _BLANKS = re.compile(r" \s")
