@@ -612,8 +612,8 @@ def delong(spark, sf):
 
 
 @query(f"""with {_SCORES}, r as (select sum((y = (s1 > 800)::int and y <> (s2 > 100)::int)::int) as b, sum((y <> (s1 > 800)::int and y = (s2 > 100)::int)::int) as c from sc),
-k as (select b, c, unnest(range(0, least(b, c) + 1)) as i from r), l as (select b, c, i, lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2e0) as l from k)
-select b::bigint as b, c::bigint as c, least(b, c)::bigint as statistic, round(least(1, 2 * sum(exp(l))), 5) as p from l group by 1, 2""")
+k as (select b, c, unnest(range(0, least(b, c)::bigint + 1)) as i from r), l as (select b, c, i, lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2e0) as l from k)
+select any_value(l.b)::bigint as b, any_value(l.c)::bigint as c, any_value(least(l.b, l.c))::bigint as statistic, round(least(1, 2 * sum(exp(l.l))), 5) as p from l""")
 def mcnemar(spark, sf):
     df = _scores(spark, sf).select((F.col("y") == (F.col("s1") > 800).cast("int")).alias("right1"), (F.col("y") == (F.col("s2") > 100).cast("int")).alias("right2"))
     return stats.mcnemar(df).select("b", "c", "statistic", *_r("p", n=5))

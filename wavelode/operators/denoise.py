@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from . import series as S
 
 GATE, GATE_GAP = (85.0, 130.0), 30.0
@@ -190,7 +191,7 @@ def artifacts(df: DataFrame, most: int = 4, max_seconds: float = 4.8, flat: int
     """
     pulses = short_pulses(df, most, max_seconds, event).select("subject", "start", "end")
     spans = pulses.union(reverse_edges(df, most)).union(flatlines(df, flat)).distinct()
-    df = mark(curvature_spikes(isolated_spikes(df)), spans, "_span")
+    df = cut(mark(curvature_spikes(isolated_spikes(df)), spans, "_span"))
     df = S.runs(df.withColumn("_any", F.col("spike") | F.col("curved") | F.col("_span")), "_any").join(S.sampling_interval(df), "subject")
     run = Window.partitionBy("subject", "_any", "run")
     lasts = F.max("t").over(run) - F.min("t").over(run) + F.col("dt")
@@ -207,28 +208,26 @@ def smooth(df: DataFrame, width: int = 5, column: str = "p", event: str = "event
     return df.withColumn(out, weight * F.col(column) + (1 - weight) * F.col("_fit")).drop("_fit", "_near")
 
 
-def denoise(df: DataFrame, low: float = GATE[0], high: float = GATE[1], passes: int = 2, baseline: int = 51, noise: int = 17, smooth_width: int = 5, checkpoint: bool = False) -> DataFrame:
+def denoise(df: DataFrame, low: float = GATE[0], high: float = GATE[1], passes: int = 2, baseline: int = 51, noise: int = 17, smooth_width: int = 5) -> DataFrame:
     """The whole chain over prepared series.
 
     Gate, then ``passes`` times: baseline, noise, events, artifacts, and interpolation
     over artifacts widened by a sample outside events. A subject in which a pass finds no
     new artifact keeps what it has. Returns the samples with raw, range_fixed, preclean,
-    clean, baseline, residual, noise, three masks and quality_flag. ``checkpoint`` cuts
-    the lineage between passes with the session's checkpoint folder.
+    clean, baseline, residual, noise, three masks and quality_flag. Steps that look at
+    their input several times have it checkpointed, so plans stay short.
     """
-    df = range_gate(df, low, high).withColumnRenamed("p", "raw").withColumnRenamed("gated", "range_fixed")
-    df = df.withColumn("p", F.col("range_fixed")).withColumn("done", F.lit(False))
+    df = range_gate(cut(df), low, high).withColumnRenamed("p", "raw").withColumnRenamed("gated", "range_fixed")
+    df = cut(df.withColumn("p", F.col("range_fixed")).withColumn("done", F.lit(False)))
     base = ["subject", "seq", "t", "raw", "range_fixed", "out_of_range", "low_confidence", "p", "done"]
     for _ in range(passes):
-        now = _estimates(df.select(*base), baseline, noise)
-        now = artifacts(now)
+        now = artifacts(_estimates(df.select(*base), baseline, noise))
         now = S.expand_mask(now, "artifact", 1, "_wide").withColumn("_wide", F.col("artifact") | (F.col("_wide") & ~F.col("event")))
         by = Window.partitionBy("subject")
         now = now.withColumn("_new", F.max(F.col("_wide") & ~F.col("done")).over(by))
         now = now.withColumn("done", F.when(F.col("_new"), F.col("done") | F.col("_wide")).otherwise(F.col("done")))
         now = S.interpolate(now, ~F.col("done"), y="range_fixed", out="_fixed")
-        df = now.withColumn("p", F.when(F.col("_new"), F.coalesce("_fixed", "p")).otherwise(F.col("p"))).select(*base)
-        df = df.checkpoint() if checkpoint else df
+        df = cut(now.withColumn("p", F.when(F.col("_new"), F.coalesce("_fixed", "p")).otherwise(F.col("p"))).select(*base))
     df = smooth(_estimates(df, baseline, noise), smooth_width)
     flag = quality_flag(F.col("low_confidence"), F.col("out_of_range"), F.col("done"))
     return df.select(
@@ -240,6 +239,6 @@ def denoise(df: DataFrame, low: float = GATE[0], high: float = GATE[1], passes:
 def _estimates(df: DataFrame, baseline: int, noise: int) -> DataFrame:
     """Add baseline, residual, noise, event and score."""
     df = S.rolling_median(df, baseline, "p", "baseline").withColumn("residual", F.col("p") - F.col("baseline"))
-    df = local_noise(df, noise)
-    df = mark(df, events(df), "event")
+    df = cut(local_noise(df, noise))
+    df = cut(mark(df, events(df), "event"))
     return df.withColumn("score", F.when(F.col("event"), F.greatest(F.col("residual") / (EVENT_AMP_K * F.col("s_p") + 1e-9), F.lit(0.0))).otherwise(0.0))

@@ -43,7 +43,7 @@ def autocorrelation(df: DataFrame, most: int = 10) -> DataFrame:
     rows = df.join(stat, "subject").withColumn("_c", F.col("p") - F.col("_m"))
     w = ordered()
     lags = F.array(*[F.struct(F.lit(k).alias("lag"), (F.lead("_c", k).over(w) if k else F.col("_c")).alias("y")) for k in range(most + 1)])
-    rows = rows.select("subject", "_c", "_v", "_n", F.explode(lags).alias("l"))
+    rows = rows.withColumn("_l", lags).select("subject", "_c", "_v", "_n", F.explode("_l").alias("l"))
     return rows.groupBy("subject", F.col("l.lag").alias("lag")).agg(F.try_divide(F.sum(F.col("_c") * F.col("l.y")), (F.first("_n") - F.first("l.lag")) * F.first("_v")).alias("acf"))
 
 
@@ -72,7 +72,7 @@ def mutual_information(df: DataFrame, most: int = 5) -> DataFrame:
     q = q.select("subject", F.least(F.greatest(bins, F.lit(8)), F.lit(64)).cast("int").alias("bins"))
     w = ordered()
     lags = F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("p", k).over(w).alias("y")) for k in range(1, most + 1)])
-    rows = df.select("subject", "p", F.explode(lags).alias("l")).select("subject", F.col("l.lag").alias("lag"), F.col("p").alias("x"), F.col("l.y").alias("y")).where("y is not null")
+    rows = df.withColumn("_l", lags).select("subject", "p", F.explode("_l").alias("l")).select("subject", F.col("l.lag").alias("lag"), F.col("p").alias("x"), F.col("l.y").alias("y")).where("y is not null")
     by = ["subject", "lag"]
     edges = rows.groupBy(*by).agg(*[f(c).alias(f"{c}{n}") for c in ("x", "y") for f, n in ((F.min, "lo"), (F.max, "hi"))], F.count(F.lit(1)).alias("n"))
     rows = rows.join(edges, by).join(q, "subject").withColumn("bx", _bin("x", "xlo", "xhi", F.col("bins"))).withColumn("by", _bin("y", "ylo", "yhi", F.col("bins")))
@@ -163,7 +163,7 @@ def higuchi(df: DataFrame, kmax: int = 10) -> DataFrame:
     w = ordered()
     steps = F.array(*[F.struct(F.lit(k).alias("k"), F.abs(F.col("p") - F.lag("p", k).over(w)).alias("d")) for k in range(1, kmax + 1)])
     n = F.count(F.lit(1)).over(Window.partitionBy("subject"))
-    rows = df.select("subject", "seq", n.alias("n"), F.explode(steps).alias("s")).select("subject", "n", F.col("s.k").alias("k"), (F.col("seq") % F.col("s.k")).alias("m"), F.col("s.d").alias("d"))
+    rows = df.withColumn("n", n).withColumn("_s", steps).select("subject", "seq", "n", F.explode("_s").alias("s")).select("subject", "n", F.col("s.k").alias("k"), (F.col("seq") % F.col("s.k")).alias("m"), F.col("s.d").alias("d"))
     per = rows.groupBy("subject", "n", "k", "m").agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("c")).where("c >= 2")
     per = per.select("subject", "k", (F.col("d") * ((F.col("n") - 1) / (F.col("c") * F.col("k"))) / F.col("k")).alias("l"))
     mean = per.groupBy("subject", "k").agg(F.avg("l").alias("l")).where("l > 0")
