@@ -321,10 +321,10 @@ def denoise_full(spark, sf):
 _FIXED = "c as (select subject, count(*) as n from s group by 1), w as (select subject, unnest(range(0, n - 48 + 1, 32)) as a, n from c where n >= 48), wr as (select w.subject, w.a // 32 as window_id, s.* exclude (subject) from w join s on s.subject = w.subject and s.seq >= a and s.seq < a + 64)"
 
 
-@query(f"with {EV}, {_FIXED} select subject, window_id::bigint as window_id, min(seq)::bigint as start_idx, (max(seq) + 1)::bigint as end_idx, round(min(t), 6) as start_time, round(max(t), 6) as end_time, round((min(t) + max(t)) / 2, 5) as center_time, count(*) as num_points, round(avg((p > 60)::int), 6) as event_coverage from wr group by 1, 2")
+@query(f"with {EV}, {_FIXED} select subject, window_id::bigint as window_id, min(seq)::bigint as start_idx, (max(seq) + 1)::bigint as end_idx, round(min(t), 6) as start_time, round(max(t), 6) as end_time, round((min(t) + max(t)) / 2, 3) as center_time, count(*) as num_points, round(avg((p > 60)::int), 6) as event_coverage from wr group by 1, 2")
 def fixed_windows(spark, sf):
     out = windows.fixed_windows(event_series(spark, sf), 64, 32, 48, F.col("p") > 60)
-    return out.select("subject", "window_id", "start_idx", "end_idx", *_r("start_time", "end_time"), *_r("center_time", n=5), "num_points", *_r("event_coverage"))
+    return out.select("subject", "window_id", "start_idx", "end_idx", *_r("start_time", "end_time"), *_r("center_time", n=3), "num_points", *_r("event_coverage"))
 
 
 _SPANS = f"""{_FLAG}, {_RUNS}, rt as (select subject, min(t) as ta, max(t) as tb, count(*) as n, min(seq) as a from r where flag group by subject, run),
@@ -332,26 +332,26 @@ ei as (select *, row_number() over (partition by subject order by a) as event_id
 
 
 @query(f"""with {EV}, {_SPANS}, w as (select *, (ta + tb) / 2 as mid from ei), j as (select w.subject, event_id, ta, tb, mid, min(f.seq) as a, max(f.seq) + 1 as b, avg(f.flag::int) as cov from w join f on f.subject = w.subject and f.t between mid - 7200 and mid + 7200 group by all)
-select subject, (row_number() over (partition by subject order by event_id) - 1)::bigint as window_id, a::bigint as start_idx, b::bigint as end_idx, round(mid, 5) as center_time, event_id::bigint as event_id, (b - a)::bigint as num_points, round(cov, 6) as event_coverage from j where b - a >= 16""")
+select subject, (row_number() over (partition by subject order by event_id) - 1)::bigint as window_id, a::bigint as start_idx, b::bigint as end_idx, round(mid, 3) as center_time, event_id::bigint as event_id, (b - a)::bigint as num_points, round(cov, 6) as event_coverage from j where b - a >= 16""")
 def event_windows(spark, sf):
     out = windows.event_windows(_flagged(spark, sf), "flag", 7200, 7200, 4, 16)
-    return out.select("subject", "window_id", "start_idx", "end_idx", *_r("center_time", n=5), "event_id", "num_points", *_r("event_coverage"))
+    return out.select("subject", "window_id", "start_idx", "end_idx", *_r("center_time", n=3), "event_id", "num_points", *_r("event_coverage"))
 
 
 @query(f"""with {EV}, {_SPANS}, w as (select *, (ta + tb) / 2 - 7200 as lo, (ta + tb) / 2 + 7200 as hi from ei), x as (select *, case when lo > max(hi) over (partition by subject order by lo, event_id rows between unbounded preceding and 1 preceding) or row_number() over (partition by subject order by lo, event_id) = 1 then 1 else 0 end as new from w),
 y as (select *, sum(new) over (partition by subject order by lo, event_id rows unbounded preceding) as g from x), z as (select subject, min(event_id) as event_id, min(ta) as ta, max(tb) as tb, min(lo) as lo, max(hi) as hi from y group by subject, g),
 j as (select z.subject, event_id, ta, tb, min(f.seq) as a, max(f.seq) + 1 as b, avg(f.flag::int) as cov from z join f on f.subject = z.subject and f.t between lo and hi group by all)
-select subject, (row_number() over (partition by subject order by event_id) - 1)::bigint as window_id, a::bigint as start_idx, b::bigint as end_idx, round((ta + tb) / 2, 5) as center_time, event_id::bigint as event_id, (b - a)::bigint as num_points, round(cov, 6) as event_coverage from j where b - a >= 16""")
+select subject, (row_number() over (partition by subject order by event_id) - 1)::bigint as window_id, a::bigint as start_idx, b::bigint as end_idx, round((ta + tb) / 2, 3) as center_time, event_id::bigint as event_id, (b - a)::bigint as num_points, round(cov, 6) as event_coverage from j where b - a >= 16""")
 def event_windows_merged(spark, sf):
     out = windows.event_windows(_flagged(spark, sf), "flag", 7200, 7200, 4, 16, merge=True)
-    return out.select("subject", "window_id", "start_idx", "end_idx", *_r("center_time", n=5), "event_id", "num_points", *_r("event_coverage"))
+    return out.select("subject", "window_id", "start_idx", "end_idx", *_r("center_time", n=3), "event_id", "num_points", *_r("event_coverage"))
 
 
-@query(f"with {EV}, {_FIXED} select subject, window_id::bigint as window_id, round(avg(p), 6) as mean, count(*) as n from wr group by 1, 2")
+@query(f"with {EV}, {_FIXED} select subject, window_id::bigint as window_id, round(avg(p), 9) as mean, count(*) as n from wr group by 1, 2")
 def window_rows(spark, sf):
     df = event_series(spark, sf)
     rows = windows.window_rows(df, windows.fixed_windows(df, 64, 32, 48))
-    return rows.groupBy("subject", "window_id").agg(F.avg("p").alias("mean"), F.count(F.lit(1)).alias("n")).select("subject", "window_id", *_r("mean"), "n")
+    return rows.groupBy("subject", "window_id").agg(F.avg("p").alias("mean"), F.count(F.lit(1)).alias("n")).select("subject", "window_id", *_r("mean", n=9), "n")
 
 
 # ------------------------------------------------------------------ nonlinear features
