@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, quality, secret_scan, shards, surrogate, text_dedup, token_store, vector_dedup
+from . import decontaminate, language, packing, quality, secret_scan, shards, sql, surrogate, text_dedup, token_store, vector_dedup
 from .shared import table
 
 #: Key of the surrogates in the query; a deployment passes its own secret.
@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.overlap_sql()}
+    return sql.all_sql()
