@@ -31,12 +31,12 @@ BUCKET_KEYS = 4
 PAYLOAD = "part int, block int, ids_before long, doc_ids array<long>, repeats array<int>, lengths array<long>, width int, data binary"
 INDEX = "partition int, n int, pilots binary, fingerprints binary, part binary, block binary, offset binary, length binary, start binary"
 PLACE = ("part", "block", "offset", "length", "start")
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_M1, _M2, _NULL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def key_hash(doc_ids: np.ndarray, null: np.ndarray, repeats: np.ndarray) -> np.ndarray:
     """64-bit hash of document keys: id, whether it is null, and which of the rows with that id."""
-    h = (doc_ids.astype(np.int64).view(np.uint64) + repeats.astype(np.uint64) * _M2 + null.astype(np.uint64)) * _M1
+    h = (doc_ids.astype(np.int64).view(np.uint64) + repeats.astype(np.uint64) * _M2 + null.astype(np.uint64) * _NULL) * _M1
     for shift in (32, 29):
         h = (h ^ (h >> np.uint64(shift))) * _M2
     return h ^ (h >> np.uint64(32))
@@ -50,6 +50,8 @@ def _slot(h: np.ndarray, pilots: np.ndarray, n: int) -> np.ndarray:
 def build_pilots(h: np.ndarray) -> np.ndarray:
     """Pilots that send ``n`` distinct hashes to ``n`` distinct slots, larger buckets first."""
     n = len(h)
+    if len(np.unique(h)) < n:
+        raise ValueError("two keys of an index partition have the same hash")
     n_buckets = -(-n // BUCKET_KEYS)
     bucket = ((h >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -91,7 +93,7 @@ def _blocks(path: str, end_id: int, width: int):
     def run(batches):
         tool = encoder(path, spaced=False)
         part, block, before = TaskContext.get().partitionId(), 0, 0
-        ids, repeats, lengths, data, held, last, seen = [], [], [], [], 0, None, -1
+        ids, repeats, lengths, data, held, last, seen = [], [], [], [], 0, "none yet", 0
 
         def flush():
             row = [[part], [block], [before], [ids], [repeats], [lengths], [width], [b"".join(data)]]
@@ -101,7 +103,7 @@ def _blocks(path: str, end_id: int, width: int):
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = np.frombuffer(tool.encode(text), "<u4").astype(kind).tobytes() + end
-                seen = seen + 1 if lengths and doc_id == last else 0
+                seen = seen + 1 if doc_id == last else 0
                 if held and held + len(own) > BLOCK_IDS * width:
                     yield flush()
                     block, before = block + 1, before + held // width
