@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import new_path, stage
 
 #: Fixed rules of the base set: kind, pattern, group whose length counts, its least length.
 BASE = (
@@ -91,6 +91,8 @@ def scan_versions(versions: DataFrame, ledger: str | None = None) -> DataFrame:
 
     known = spark.read.schema(schema).parquet(ledger).where(holds).where(F.size("findings") > 0)
     known = known.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
+    # Written, so that the join deals both sides itself and Spark can split a blob that very many versions hold.
+    known = stage(known, "findings")
     return rows.join(known, "blob", "left").select(*[c for c in rows.columns if c != "blob"], F.coalesce("findings", F.array().cast(f"array<{SPAN}>")).alias("findings"))
 
 
