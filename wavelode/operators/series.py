@@ -13,6 +13,11 @@ def ordered():
     return Window.partitionBy("subject").orderBy("seq")
 
 
+def backwards():
+    """From a sample on to the subject's last, by order reversed: Spark evaluates such a frame in one pass."""
+    return Window.partitionBy("subject").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def odd(n: int, least: int = 3) -> int:
     """The next odd count from ``n`` on, at least ``least``."""
     n = max(n, least)
@@ -49,7 +54,7 @@ def trapezoid_area(df: DataFrame, *by: str) -> DataFrame:
 def _filled(c: Column) -> Column:
     """Nulls take the next value, and the last one where there is no next."""
     w = ordered()
-    back = F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = F.last(c, ignorenulls=True).over(backwards())
     return F.coalesce(back, F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -147,9 +152,9 @@ def mask_iou(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
 def interpolate(df: DataFrame, known: Column, x: str = "t", y: str = "p", out: str = "filled") -> DataFrame:
     """``y`` where ``known``, else linear in ``x`` between the known neighbours, and level beyond the ends."""
     w = ordered()
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), backwards()
     point = F.when(known, F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
-    df = df.withColumn("_l", F.last(point, ignorenulls=True).over(before)).withColumn("_r", F.first(point, ignorenulls=True).over(after))
+    df = df.withColumn("_l", F.last(point, ignorenulls=True).over(before)).withColumn("_r", F.last(point, ignorenulls=True).over(after))
     l, r = F.col("_l"), F.col("_r")
     share = F.coalesce(F.try_divide(F.col(x) - l["x"], r["x"] - l["x"]), F.lit(0.0))
     return df.withColumn(out, F.when(known, F.col(y)).otherwise(F.coalesce(l["y"] + share * (r["y"] - l["y"]), l["y"], r["y"]))).drop("_l", "_r")
