@@ -91,6 +91,26 @@ def test_one_row_of_a_group_stays(corpus):
     assert text_dedup.near_duplicates(empty(df.sparkSession)).count() == 0
 
 
+def test_pairs_away_from_the_hubs_are_found(spark):
+    """Pairs that are near to each other, though not to the central copies that fill their buckets."""
+    for seed in (0, 7):
+        r, base = random.Random(seed), prose(seed, 100).split(" ")
+        texts = [" ".join(base)]
+        for i in range(30):
+            w = list(base)
+            w[r.randrange(100)] = f"centre{i}"
+            texts.append(" ".join(w))
+        for i in range(20):
+            at, w = r.randrange(94), list(base)
+            w[at : at + 6] = [f"far{i}x{k}" for k in range(6)]
+            texts.append(" ".join(w))
+            w[at] = f"twin{i}"
+            texts.append(" ".join(w))
+        rows = list(enumerate(texts))
+        got = text_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        same([(x.doc_id, x.n_shingles, x.component_id) for x in got.collect()], components(rows))
+
+
 # decontamination
 
 

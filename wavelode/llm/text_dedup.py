@@ -18,8 +18,10 @@ from .shared import stage
 
 #: Half keys in each collection, minhashes in a half key, words in a shingle.
 SIDE, WIDTH, WORDS = 7, 3, 5
-#: Members of a table's bucket that all other members are compared with.
+#: Members of a table's bucket that all other members are compared with first.
 HUBS = 3
+#: 64-bit words of a set's bitmap, and members of a bucket's block when pairs are completed.
+MAP, BLOCK = 16, 512
 #: Words whose hashes a worker remembers.
 CACHE = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -79,19 +81,27 @@ def half_keys(hashes: np.ndarray, side: int = SIDE, width: int = WIDTH, seed: in
     return key
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """MAP words in which every hash of the set sets one bit."""
+    bits = np.zeros(MAP, np.uint64)
+    np.bitwise_or.at(bits, (hashes >> np.uint64(6)) % np.uint64(MAP), np.uint64(1) << (hashes & np.uint64(63)))
+    return bits
+
+
 def _sketch(batches):
     for batch in batches:
-        n, h1, h2, keys = [], [], [], []
+        n, h1, h2, keys, bits = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text)
             n.append(len(s))
             h1.append(int(s.sum(dtype=np.uint64)))
             h2.append(int(_mix(s * _ODD).sum(dtype=np.uint64)))
             keys.append(half_keys(s).astype(np.int64) if len(s) else None)
+            bits.append(bitmap(s).astype(np.int64) if len(s) else None)
         signed = lambda x: pa.array(np.array(x, np.uint64).astype(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), signed(h1), signed(h2), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "text_hash", "n_shingles", "h1", "h2", "keys"],
+            [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), signed(h1), signed(h2), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+            ["doc_id", "text_hash", "n_shingles", "h1", "h2", "keys", "bits"],
         )
 
 
@@ -118,18 +128,22 @@ def _table_keys(keys: Column, side: int) -> Column:
     return F.array(*[F.xxhash64(keys[i], keys[side + j], F.lit(i * side + j)) for i in range(side) for j in range(side)])
 
 
-def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+def _buckets(classes: DataFrame) -> DataFrame:
+    """Members (key, cls, n_shingles, w) of all buckets of two or more classes; w is how central a class is."""
+    entries = classes.select("cls", "n_shingles", F.explode(_table_keys(F.col("keys"), SIDE)).alias("key"))
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stage(entries.join(shared, "key"), "buckets")
+    weight = members.groupBy("cls").agg(F.sum("n").alias("w"))
+    return stage(members.join(weight, "cls").select("key", "cls", "n_shingles", "w"), "buckets")
+
+
+def _candidates(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that share a table key, each with the hubs of its bucket.
 
     A class is the more central the more rows its buckets hold, so a bucket's hubs are
     its classes nearest to what the bucket has in common. Counts and maxima are
     aggregated before the shuffle, and a bucket of g classes gives at most HUBS * g pairs.
     """
-    entries = classes.select("cls", "n_shingles", F.explode(_table_keys(F.col("keys"), SIDE)).alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stage(entries.join(shared, "key"), "buckets")
-    weight = members.groupBy("cls").agg(F.sum("n").alias("w"))
-    members = stage(members.join(weight, "cls").select("key", "cls", "n_shingles", "w"), "buckets")
     order = F.struct("w", "cls", "n_shingles")
     hubs = members.groupBy("key").agg(F.max(order).alias("h"))
     found = hubs
@@ -142,6 +156,40 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * small >= percent * large).select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
 
 
+def _crossing(members: DataFrame, parts: DataFrame, faces: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a table key, are of different components and can be linked.
+
+    In a bucket, every class outside the bucket's largest component meets all classes of
+    other components, so that no such pair is left out. Bits in which two bitmaps differ
+    are at most the shingles that only one set has; too many of them rule a link out, so
+    the join gives few pairs besides links. Large buckets meet block by block.
+    """
+    member = members.select("key", "cls").join(parts.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    member = stage(member, "buckets")
+    size = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = size.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("m")).where("parts > 1")
+    open_ = member.join(main.select("key", F.col("m.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    open_ = stage(open_.join(faces.select("cls", "n_shingles", "bits"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "open")
+    left = open_.where("component <> main").drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("l")
+    right = open_.alias("r")
+    differ = sum((F.bit_count(F.col("l.bits")[i].bitwiseXOR(F.col("r.bits")[i])) for i in range(MAP)), F.lit(0))
+    n, m = F.col("l.n_shingles"), F.col("r.n_shingles")
+    once = (F.col("r.component") == F.col("r.main")) | (F.col("l.cls") < F.col("r.cls"))
+    can = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.component") != F.col("r.component"))
+    return left.join(right, met & once & can).select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b")).distinct()
+
+
+def _links(pairs: DataFrame, faces: DataFrame, source: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are near enough."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = faces.join(wanted, "cls", "left_semi").select("cls", "text_hash", F.col("doc_id").alias("of"))
+    texts = source.join(wanted, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("of")))
+    sets = stage(texts.select("cls", "text").mapInArrow(_sets, "cls long, hashes binary"), "sets")
+    full_pairs = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return stage(full_pairs.mapInArrow(_confirm(percent), "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Label every row with its group of near-duplicate documents.
 
@@ -155,11 +203,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     share its answer when their texts are linked, and are judged apart otherwise.
 
     Documents with equal sets form a class and only one row of a class is compared, so a
-    large group of copies costs no pairs.
+    large group of copies costs no pairs. Classes are linked with the hubs of their buckets
+    first; pairs of a bucket that then are in different components are all examined, so
+    components are those of all links between classes that share a bucket.
     """
     text_hash = F.xxhash64("text")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = source.withColumn("text_hash", text_hash).mapInArrow(_sketch, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, keys array<long>")
+    rows = source.withColumn("text_hash", text_hash).mapInArrow(_sketch, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, keys array<long>, bits array<long>")
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
     full = rows.where("n_shingles > 0")
@@ -169,14 +219,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     # The row that stands for a class brings its keys; row numbers are unique.
     faces = stage(full.join(classes.select(F.col("cls").alias("row")), "row", "left_semi").withColumnRenamed("row", "cls"), "faces")
-    pairs = stage(_candidates(faces, percent), "pairs")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = faces.join(wanted, "cls", "left_semi").select("cls", "text_hash", F.col("doc_id").alias("of"))
-    texts = source.withColumn("text_hash", text_hash).join(wanted, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("of")))
-    sets = stage(texts.select("cls", "text").mapInArrow(_sets, "cls long, hashes binary"), "sets")
-    full_pairs = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    links = full_pairs.mapInArrow(_confirm(percent), "a long, b long")
+    members = _buckets(faces)
+    source = source.withColumn("text_hash", text_hash)
+    links = _links(stage(_candidates(members, percent), "pairs"), faces, source, percent)
+    pairs = stage(_crossing(members, connected_components(links), faces, percent), "pairs")
+    links = links.union(_links(pairs, faces, source, percent))
 
     parts = connected_components(links)
     whole = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("part", F.coalesce("component", "cls"))
