@@ -41,6 +41,26 @@ def test_links_equal_brute_force(spark):
     assert {tuple(x) for x in out.collect()} == plain(rows)
 
 
+def test_dense_groups_are_joined(spark):
+    """Two groups whose lists are filled from inside, with cosines of about 0.95 between them."""
+    r = np.random.default_rng(8)
+    e = np.eye(32)
+    centres = [e[0], 0.95 * e[0] + np.sqrt(1 - 0.95**2) * e[1]]
+    rows = [(40 * g + i, (c + 0.012 * r.standard_normal(32)).tolist(), 1) for g, c in enumerate(centres) for i in range(40)]
+    out = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert {tuple(x) for x in out.collect()} == plain(rows)
+
+
+def test_poor_lists_are_not_relied_on(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "_audit", lambda *a: (1, 2))
+    monkeypatch.setattr(vector_dedup, "_refine", lambda lists, homes, classes: lists.limit(0))
+    r = np.random.default_rng(9)
+    base = r.standard_normal((20, 16))
+    rows = [(i, (base[i % 20] + 0.02 * r.standard_normal(16)).tolist(), i % 2) for i in range(60)]
+    out = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert {tuple(x) for x in out.collect()} == plain(rows)
+
+
 def test_empty_table(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

@@ -3,8 +3,8 @@
 Equal vectors form a class and one of them stands for it. Random hyperplanes give each
 class a first neighbour list; rounds of neighbours-of-neighbours joins refine the lists;
 a sample of vectors is compared with all others to audit the recall. Lists in which even
-the farthest neighbour is close enough are saturated: they are enlarged to all of their
-component, whose links are then counted block by block.
+the farthest neighbour is close enough are saturated: their classes are compared with all
+of the label to join components, whose links are then counted block by block.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .shared import stage
 NEIGHBOURS, TREES, LEAF, ROUNDS, MOST_ROUNDS = 12, 5, 160, 2, 6
 #: New neighbours that one block proposes to a vector in a round.
 PROPOSED = 3
-#: Vectors of the audit, the recall that ends the rounds, and vectors of a counting block.
-AUDITED, ENOUGH, BLOCK = 200, 0.999, 512
+#: Vectors of the audit, the recall that ends the rounds, vectors of a counting block and of a block of the exact search.
+AUDITED, ENOUGH, BLOCK, WIDE = 200, 0.999, 512, 2048
 
 
 def _unit(vectors) -> np.ndarray:
@@ -129,10 +129,15 @@ def _refine(lists: DataFrame, homes: DataFrame, classes: DataFrame) -> DataFrame
     return stage(_nearest(lists.union(new)), "lists")
 
 
+def _saturated(lists: DataFrame, threshold: float) -> DataFrame:
+    """(a): classes whose list is full of links, so that it may lack some."""
+    return lists.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low")).where((F.col("n") >= NEIGHBOURS) & (F.col("low") >= threshold)).select("a")
+
+
 def _audit(lists: DataFrame, classes: DataFrame, threshold: float) -> tuple[int, int]:
     """Of the links of AUDITED classes, found by comparing them with all, how many the lists have; and how many there are.
 
-    Links beyond what a full list can hold are not counted against it.
+    Saturated lists count as complete: their classes are compared with all later.
     """
     n = classes.count()
     chosen = classes.where(F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, AUDITED / max(n, 1)) * (1 << 30))).select("cls", "space", "vec")
@@ -153,13 +158,17 @@ def _audit(lists: DataFrame, classes: DataFrame, threshold: float) -> tuple[int,
 
     true = classes.select("cls", "space", "vec").mapInPandas(links, "a long, b long")
     have = lists.select("a", "b", F.lit(1).alias("hit"))
-    per = true.join(have, ["a", "b"], "left").groupBy("a").agg(F.count("hit").alias("hits"), F.least(F.count(F.lit(1)), F.lit(NEIGHBOURS)).alias("n"))
-    got = per.agg(F.sum(F.least("hits", "n")), F.sum("n")).first()
+    per = true.join(have, ["a", "b"], "left").groupBy("a").agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("n"))
+    per = per.join(_saturated(lists, threshold).withColumn("full", F.lit(True)), "a", "left")
+    got = per.agg(F.sum(F.when(F.col("full"), F.col("n")).otherwise(F.col("hits"))), F.sum("n")).first()
     return int(got[0] or 0), int(got[1] or 0)
 
 
-def neighbour_lists(classes: DataFrame, threshold: float, seed: int = 17) -> DataFrame:
-    """Lists (a, b, sim) of near classes, refined until the audit finds their links complete."""
+def neighbour_lists(classes: DataFrame, threshold: float, seed: int = 17) -> tuple[DataFrame, bool]:
+    """Lists (a, b, sim) of near classes, refined until the audit finds their links complete; and whether it did.
+
+    A sample without links says nothing, so the rounds then go on to the last.
+    """
     placed = stage(_leaves(classes, seed), "leaves")
     groups = ["space", "tree", "leaf", "block"]
     lists = stage(_nearest(placed.groupBy(*groups).applyInPandas(_leaf_lists, "a long, b long, sim double")), "lists")
@@ -168,9 +177,37 @@ def neighbour_lists(classes: DataFrame, threshold: float, seed: int = 17) -> Dat
         lists = _refine(lists, homes, classes)
         if round_ >= ROUNDS:
             hits, n = _audit(lists, classes, threshold)
-            if hits >= ENOUGH * n:
-                break
-    return lists
+            if n and hits >= ENOUGH * n:
+                return lists, True
+    return lists, hits >= ENOUGH * n
+
+
+def _bridge_block(threshold: float):
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []})
+        x, y, own, other = _unit(left["vec"]), _unit(right["vec"]), left["component"].to_numpy(), right["component"].to_numpy()
+        u, w = np.nonzero((x @ y.T >= threshold) & (own[:, None] != other[None, :]))
+        found = pd.DataFrame({"a": left["cls"].to_numpy()[u], "b": right["cls"].to_numpy()[w], "of": own[u], "to": other[w]})
+        return found.drop_duplicates(["of", "to"])[["a", "b"]]
+
+    return run
+
+
+def _bridges(asked: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) from the classes ``asked`` to other components, found by comparing them with all of their space.
+
+    Every block of asked classes meets every block of the space and gives one link for
+    each pair of components.
+    """
+    left = stage(whole.join(asked.select(F.col("a").alias("cls")), "cls", "left_semi").select("cls", "space", "vec", "component"), "asked")
+    n = lambda rows, name: rows.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias(name))
+    sizes = stage(n(left, "lefts").join(n(whole, "rights"), "space"), "sizes")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("cls"), F.col(c)).cast("int")
+    left = left.join(sizes, "space").select("space", "cls", "vec", "component", own("lefts").alias("p"), every("rights").alias("q"))
+    right = whole.join(sizes, "space").select("space", "cls", "vec", "component", own("rights").alias("q"), every("lefts").alias("p"))
+    return left.groupBy("space", "p", "q").cogroup(right.groupBy("space", "p", "q")).applyInPandas(_bridge_block(threshold), "a long, b long")
 
 
 def _count_block(threshold: float):
@@ -215,14 +252,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     classes = rows.where("vec is not null").groupBy(*key).agg(F.min("row").alias("cls"), F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("size"))
     classes = stage(classes.withColumn("space", F.xxhash64("label", F.size("vec"))), "classes")
 
-    lists = neighbour_lists(classes, threshold)
+    lists, complete = neighbour_lists(classes, threshold)
     near = stage(lists.where(F.col("sim") >= threshold).select("a", "b"), "links")
     near = stage(near.union(near.select("b", "a")).distinct(), "links")
-    parts = stage(connected_components(near), "parts")
-
-    whole = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    full = lists.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low")).where((F.col("n") >= NEIGHBOURS) & (F.col("low") >= threshold))
-    dense = full.join(parts, full.a == parts.node).select("component").distinct()
+    grouped = lambda parts: classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    # Lists that stay poor are not relied on: all classes are then compared with all of their space.
+    full = stage(_saturated(lists, threshold) if complete else classes.select(F.col("cls").alias("a")), "full")
+    whole = stage(grouped(connected_components(near)), "whole")
+    bridges = stage(_bridges(full, whole, threshold), "bridges")
+    whole = stage(grouped(connected_components(near.union(bridges))), "whole")
+    dense = whole.join(full.select(F.col("a").alias("cls")), "cls", "left_semi").select("component").distinct()
     counted = stage(_count_links(whole.join(dense, "component", "left_semi").select("cls", "vec", "size", "component"), threshold), "counts")
     sparse = near.join(classes.select(F.col("cls").alias("b"), "size"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("size").alias("listed"))
     least = whole.groupBy("component").agg(F.min("least_id").alias("component_id"))
