@@ -200,15 +200,27 @@ def test_redaction_replaces_spans(spark):
 # tokens, store and packing
 
 
+class Library:
+    """Ids by the tokenizers library alone."""
+
+    def __init__(self, name):
+        from tokenizers import Tokenizer
+
+        self.tool = Tokenizer.from_file(str(public.path(name)))
+
+    def encode(self, text):
+        return np.array(self.tool.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_cut_texts_have_the_library_s_ids():
     from tokenizers import Tokenizer
 
     r = random.Random(5)
-    signs = [" ", " ", "\n", "\t", "a", "B", "é", "1", "'s", "!", "\xa0", ",", "日", "-", "word", "Word."]
-    texts = ["".join(r.choices(signs, k=r.randint(0, 14))) for _ in range(3000)] + ["<|endoftext|> a", prose(3)]
+    signs = [" ", " ", "\n", "\n", "\t", "a", "B", "é", "1", "'s", "!", "\xa0", ",", "日", "-", "word", "Word."]
+    texts = ["".join(r.choices(signs, k=r.randint(0, 14))) for _ in range(3000)] + ["<|endoftext|> a", "x <|endoftext|> y", "a<|startoftext|>b <|EndOfText|>", prose(3)]
+    texts += ["a\n" * 5000, "b " * 9000, "\n".join(["word,"] * 4000), "日" * 3000, "a\n\nb\nc \nd"]
     for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
         library = Tokenizer.from_file(str(public.path(name)))
-        library.encode_special_tokens = True
         tool = tokens.encoder(str(public.path(name)), spaced)
         for t in texts:
             assert np.frombuffer(tool.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
@@ -216,7 +228,9 @@ def test_cut_texts_have_the_library_s_ids():
 
 def test_store_round_trip_and_lookup(spark, corpus, tmp_path):
     df, rows = corpus
-    path, tool = str(tmp_path / "store"), tokens.encoder(str(public.path("word_bpe_49k.json")), False)
+    df = df.union(spark.createDataFrame([(901, "x <|endoftext|> y", None, None, None, None)], DOCS))
+    rows = [*rows, (901, "x <|endoftext|> y")]
+    path, tool = str(tmp_path / "store"), Library("word_bpe_49k.json")
     got = token_store.round_trip(df, str(public.path("word_bpe_49k.json")), path).collect()
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     expected, start = [], 0
@@ -240,7 +254,7 @@ def test_packing_keeps_every_token(spark, corpus):
     df, rows = corpus
     path = str(public.path("byte_bpe_50k.json"))
     got = packing.pack(df, path, capacity=256).toPandas()
-    tool = tokens.encoder(path, True)
+    tool = Library("byte_bpe_50k.json")
     whole = sorted(tool.encode(r[1]) + np.array([0], "<u4").tobytes() for r in rows)
     got["key"] = got["doc_id"].fillna(-1)
     parts = [(g.start.tolist(), b"".join(map(bytes, g.ids))) for _, g in got[~got.key.isin([-1, 4])].sort_values("piece").groupby("key")]
@@ -252,6 +266,8 @@ def test_packing_keeps_every_token(spark, corpus):
     got = got.sort_values(["sequence_id", "offset"])
     assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all()
     assert packing.pack(empty(spark), path).count() == 0
+    sums = packing.pack(df, path, capacity=256, carry=F.crc32("ids").alias("ids_crc32")).toPandas()
+    assert sorted(sums.ids_crc32) == sorted(zlib.crc32(bytes(x)) for x in got.ids)
 
 
 def test_best_fit_takes_the_fullest_bin():

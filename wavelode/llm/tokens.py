@@ -9,8 +9,8 @@ from __future__ import annotations
 import re
 from array import array
 
-#: Pieces whose ids a worker remembers.
-CACHE = 800_000
+#: Pieces whose ids a worker remembers, and the longest piece that it does.
+CACHE, LONGEST = 800_000, 64
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -23,13 +23,15 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        value = self[piece] = self.encode.word(piece) if piece.isalpha() and max(piece) < _LATIN_END else self.parts(piece)
+        value = self.encode.word(piece) if piece.isalpha() and max(piece) < _LATIN_END else self.parts(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = value
         return value
 
     def parts(self, piece: str) -> bytes:
-        first, line, rest = piece.partition("\n")
-        if line and first and rest and not first[-1].isspace() and not rest[0].isspace():
-            return self[first] + self.encode.line + self.inner[rest]
+        first, *lines = _LINE.split(piece)
+        if lines:
+            return self[first] + b"".join(self.encode.line + self.inner[line] for line in lines)
         word = piece[:-1]
         if piece[-1:] in _MARKS and word.isalpha():
             return self[word] + self.inner[piece[-1]]
@@ -62,8 +64,8 @@ class Encoder:
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
+        library = self.library = Tokenizer.from_file(path)
+        self.added = [token.content for token in library.get_added_tokens_decoder().values()]
         self.bare = _Pieces(_Call(library, "", spaced), None)
         self.pieces = _Pieces(_Call(library, " ", True), self.bare) if spaced else self.bare
         self.spaced = spaced
@@ -71,6 +73,9 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(token in text for token in self.added):
+            # A text that spells an added token goes to the library whole.
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         words = _cuts(text) if self.spaced else text.split(" ")
         return self.bare[words[0]] + b"".join(map(self.pieces.__getitem__, words[1:]))
 
@@ -83,6 +88,8 @@ _LATIN_END, _SPACE = "\u0100", _BYTE_LETTERS[32]
 _MARKS = frozenset(".,;:!?")
 _BLANKS = re.compile(r" \s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A line feed between two visible characters.
+_LINE = re.compile(r"(?<=\S)\n(?=\S)")
 
 
 def _cuts(text: str) -> list[str]:
