@@ -232,17 +232,32 @@ def test_store_round_trip_and_lookup(spark, corpus, tmp_path):
     rows = [*rows, (901, "x <|endoftext|> y")]
     path, tool = str(tmp_path / "store"), Library("word_bpe_49k.json")
     got = token_store.round_trip(df, str(public.path("word_bpe_49k.json")), path).collect()
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    expected, start = [], 0
-    for r in ordered:
-        ids = tool.encode(r[1]) + np.array([1], "<u4").tobytes()
-        expected.append((r[0], start, len(ids) // 4, zlib.crc32(ids)))
-        start += len(ids) // 4
-    same(got, expected)
+    end = np.array([1], "<u4").tobytes()
+    own = [(r[0], tool.encode(r[1]) + end) for r in rows]
+    same([(r.doc_id, r.n_tokens, r.ids_crc32) for r in got], [(i, len(x) // 4, zlib.crc32(x)) for i, x in own])
+    got.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]
     keys = spark.createDataFrame([(3, 0), (4, 2), (777777, 0)], "doc_id long, repeat int")
     found = {(r.doc_id, r.repeat): bytes(r.ids) for r in token_store.fetch(spark, path, keys).collect()}
     assert found[3, 0] == tool.encode(rows[3][1]) + np.array([1], "<u4").tobytes() and (4, 2) in found
     assert token_store.round_trip(empty(spark), str(public.path("word_bpe_49k.json"))).count() == 0
+    assert token_store.id_width(str(public.path("word_bpe_49k.json")), 1) == 2 and token_store.id_width(str(public.path("word_bpe_49k.json")), 70000) == 4
+
+
+def test_an_id_of_very_many_rows_is_split(spark, tmp_path):
+    """Ids and null ids that fill several ranges, with rows repeated in full among them."""
+    texts = [f"row {i // 3}" for i in range(600)]
+    rows = [(7 if i % 2 else None, t) for i, t in enumerate(texts)] + [(8, "last"), (1, "first")]
+    path = str(tmp_path / "store")
+    got = sorted(token_store.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), str(public.path("word_bpe_49k.json")), path).collect(), key=lambda r: r.start)
+    tool, end = Library("word_bpe_49k.json"), np.array([1], "<u4").tobytes()
+    same([(r.doc_id, r.ids_crc32) for r in got], [(i, zlib.crc32(tool.encode(t) + end)) for i, t in rows])
+    assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]
+    assert spark.read.parquet(f"{path}/payload").where("array_contains(doc_ids, 7)").select("part").distinct().count() > 1
+    keys = spark.createDataFrame([(7, i) for i in range(301)] + [(None, i) for i in range(300)], "doc_id long, repeat int")
+    found = [(r.doc_id, r.repeat) for r in token_store.fetch(spark, path, keys).collect()]
+    assert sorted(k for i, k in found if i == 7) == list(range(300)) and sorted(k for i, k in found if i is None) == list(range(300))
 
 
 def test_pilots_are_minimal_and_perfect():

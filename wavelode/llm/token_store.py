@@ -132,21 +132,30 @@ def _index_partition(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row])
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, width: int = 2) -> None:
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes of an id on disk: 2 where all of the vocabulary's ids fit, else 4."""
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()
+    return 2 if max(end_id, *ids) < 1 << 16 else 4
+
+
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Write the ids of all documents, each with ``end_id`` after it, under ``path``.
 
-    Rows go in ascending doc_id order, null ids first and rows that repeat an id ordered
-    by text. A null text is the empty one. ``width`` is the bytes of an id on disk, 2 for
-    vocabularies up to 65,536 ids and 4 beyond. Other columns are ignored.
+    Rows go in ascending doc_id order, null ids first and rows that repeat an id in any
+    order; they are numbered from 0 in that order. An id that very many rows repeat is
+    split over several ranges. A null text is the empty one. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     ranges = max(48, -(-int(held) // RANGE_BYTES))
-    ordered = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
-    payload = write_table(ordered.mapInArrow(_blocks(tokenizer, end_id, width), PAYLOAD), f"{path}/payload")
+    salted = rows.withColumn("salt", F.xxhash64("text", F.monotonically_increasing_id()))
+    ordered = salted.repartitionByRange(ranges, "doc_id", "salt").sortWithinPartitions("doc_id", "salt").drop("salt")
+    payload = write_table(ordered.mapInArrow(_blocks(tokenizer, end_id, id_width(tokenizer, end_id)), PAYLOAD), f"{path}/payload")
 
-    places = _places(payload)
+    places = _renumbered(_places(payload), payload)
     n = payload.agg(F.sum(F.size("doc_ids"))).first()[0] or 0
     partitions = max(16, -(-n // INDEX_KEYS))
     dealt = places.withColumn("partition", _partition(partitions))
@@ -157,6 +166,23 @@ def _partition(n: int):
     return F.pmod(F.xxhash64("doc_id", "repeat"), F.lit(n)).cast("int")
 
 
+def _renumbered(rows: DataFrame, payload: DataFrame) -> DataFrame:
+    """Rows (part, doc_id, repeat, ...) with repeats counted on from the parts before.
+
+    Only an id that ends one part and begins another has rows in both, and such an id is
+    the first or the last of every block that it is in.
+    """
+    ends = F.explode(F.array_distinct(F.array(F.col("doc_ids")[0], F.element_at("doc_ids", -1))))
+    held = payload.select("part", "doc_ids", ends.alias("doc_id")).select("part", "doc_id", F.size(F.filter("doc_ids", lambda x: x.eqNullSafe(F.col("doc_id")))).alias("n"))
+    held = held.groupBy("part", "doc_id").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    on = held.select(F.col("part").alias("p"), F.col("doc_id").alias("d"), before.cast("int").alias("more")).where("more > 0")
+    if on.isEmpty():
+        return rows
+    found = rows.join(on, (rows.part == on.p) & rows.doc_id.eqNullSafe(on.d), "left")
+    return found.withColumn("repeat", F.col("repeat") + F.coalesce("more", F.lit(0))).select(*rows.columns)
+
+
 def _places(payload: DataFrame) -> DataFrame:
     """Where each document's ids are: block and offset, and the ids of all documents before it."""
     # One row per range of documents: few enough for one running total.
@@ -225,7 +251,7 @@ def _checksums(batches):
             k = len(sums)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row["doc_ids"], pa.int64()), pa.array(row["repeats"], pa.int32()), pa.array([row["part"]] * k, pa.int64()), pa.array([row["block"]] * k, pa.int64()), pa.array(offsets, pa.int64()), pa.array(sums, pa.int64())],
-                ["doc_id", "repeat", "in_part", "in_block", "at", "ids_crc32"],
+                ["doc_id", "repeat", "part", "in_block", "at", "ids_crc32"],
             )
 
 
@@ -236,8 +262,8 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     comes from the index, and must be where its block has it.
     """
     payload = spark.read.schema(PAYLOAD).parquet(f"{path}/payload")
-    sums = payload.mapInArrow(_checksums, "doc_id long, repeat int, in_part long, in_block long, at long, ids_crc32 long")
-    found = look_up(spark, path, sums)
+    sums = payload.mapInArrow(_checksums, "doc_id long, repeat int, part long, in_block long, at long, ids_crc32 long")
+    found = look_up(spark, path, _renumbered(sums, payload).withColumnRenamed("part", "in_part"))
     agree = (F.col("part") == F.col("in_part")) & (F.col("block") == F.col("in_block")) & (F.col("offset") == F.col("at"))
     held = F.when(agree, F.col("start")).otherwise(F.raise_error(F.lit("index and payload disagree")).cast("long"))
     return found.select("doc_id", held.alias("start"), F.col("length").alias("n_tokens"), "ids_crc32")
