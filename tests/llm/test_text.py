@@ -296,6 +296,29 @@ def test_items_that_never_fit_together_end_the_rounds(spark):
     assert out.count() == 2000 and out.select("sequence_id").distinct().count() == 2000
 
 
+def test_residuals_are_planned_like_single_bins():
+    r = random.Random(4)
+    for _ in range(60):
+        capacity = r.choice([10, 50, 200])
+        fills = [r.randint(1, capacity) for _ in range(r.randint(0, 300))]
+        counts = {f: fills.count(f) for f in fills}
+        plan = packing.plan_residuals(counts, capacity)
+        assert len(packing.best_fit(fills, capacity)) == sum(times for times, _ in plan)
+        assert all(sum(f * n for f, n in held) <= capacity for _, held in plan)
+        assert {f: sum(t * n for t, held in plan for g, n in held if g == f) for f in counts} == counts
+
+
+def test_groups_that_join_hardly_any_bins_are_packed_as_a_whole(spark):
+    """Items in groups of which none holds a fitting pair, though the whole does."""
+    r = random.Random(6)
+    rows = [(i, 1100) for i in range(3000)] + [(5000 + i, r.choice([900, 940])) for i in range(12)]
+    items = spark.createDataFrame(rows, "uid long, length long")
+    out = packing.assign(items, group=20).toPandas().merge(items.toPandas(), on="uid")
+    out = out.sort_values(["sequence_id", "offset"])
+    assert len(out) == len(rows) and out.sequence_id.nunique() == 3000
+    assert (out.groupby("sequence_id").length.cumsum() - out.length == out.offset).all()
+
+
 # shards
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stage
@@ -98,20 +98,86 @@ def _pack(capacity: int):
     return run
 
 
-def assign(items: DataFrame, capacity: int = CAPACITY, near: int = NEAR) -> DataFrame:
+def plan_residuals(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Best fit, largest first, of ``counts`` bins by fill: (bins alike, their fills as (fill, number) in order).
+
+    Bins alike are packed together, so the work grows with the number of fills, not of bins.
+    """
+    open_: dict[int, list[list]] = {}
+    done = []
+
+    def put(times: int, held: list, room: int) -> None:
+        if room:
+            open_.setdefault(room, []).append([times, held])
+        else:
+            done.append((times, held))
+
+    for fill, left in sorted(counts.items(), reverse=True):
+        while left:
+            fitting = [r for r in open_ if r >= fill]
+            if fitting:
+                room = min(fitting)
+                times, held = open_[room].pop()
+                if not open_[room]:
+                    del open_[room]
+            else:
+                room, times, held = capacity, left, []
+            each = min(room // fill, left)
+            used = min(times, left // each)
+            if used < times and held:
+                put(times - used, held, room)
+            put(used, [*held, (fill, each)], room - each * fill)
+            left -= used * each
+    return done + [(times, held) for bins in open_.values() for times, held in bins]
+
+
+def _join_residuals(left: DataFrame, capacity: int) -> DataFrame:
+    """All underfull bins packed at once, by a plan over the number of bins of each fill.
+
+    The plan needs one count per fill, ``capacity`` of them at most, whatever the number of bins. Bins of
+    one fill are interchangeable: they are numbered, and the plan says which numbers make
+    which bin.
+    """
+    spark = left.sparkSession
+    numbered = stage(left.withColumn("part", F.pmod(F.xxhash64(F.col("members")[0]), F.lit(1024)).cast("int")), "residuals")
+    cells = stage(numbered.groupBy("fill", "part").agg(F.count(F.lit(1)).alias("n")), "cells")
+    plan = plan_residuals({r.fill: r.n for r in cells.groupBy("fill").agg(F.sum("n").alias("n")).collect()}, capacity)
+    slots, taken, bins = [], {}, 0
+    for times, held in plan:
+        for at, (fill, each) in enumerate(held):
+            first = taken.get(fill, 0)
+            taken[fill] = first + times * each
+            slots.append((fill, first, taken[fill], each, at, bins))
+        bins += times
+    own = F.row_number().over(Window.partitionBy("fill", "part").orderBy(F.col("members")[0])) - 1
+    before = F.sum("n").over(Window.partitionBy("fill").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = cells.select("fill", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    rows = numbered.withColumn("own", own).join(starts, ["fill", "part"]).withColumn("number", F.col("own") + F.col("before"))
+    table = spark.createDataFrame(slots, "fill long, first long, until long, each long, at long, bin long")
+    rows = rows.join(F.broadcast(table), "fill").where("number >= first and number < until")
+    # ``each`` bins in turn make one new bin.
+    rows = rows.withColumn("bin", F.col("bin") + F.floor((F.col("number") - F.col("first")) / F.col("each")))
+    parts = F.sort_array(F.collect_list(F.struct("at", "number", "fill", "members", "sizes")))
+    packed = rows.groupBy("bin").agg(parts.alias("parts"))
+    flat = lambda c: F.flatten(F.transform("parts", lambda x: x[c]))
+    return packed.select(F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["fill"]).alias("fill"), flat("members").alias("members"), flat("sizes").alias("sizes"))
+
+
+def assign(items: DataFrame, capacity: int = CAPACITY, near: int = NEAR, group: int = GROUP) -> DataFrame:
     """Sequence and offset of every item: rows (uid, sequence_id, offset).
 
     ``items`` has a unique uid and a length from 1 to ``capacity``. A sequence is named by
     the uid of its first item. Groups of the later rounds are sized by the number of bins
-    left, so no task holds more than GROUP of them in expectation; rounds end when one
-    group has packed all that is left, or when a round joins hardly any bins.
+    left, so no task holds more than ``group`` of them in expectation. Rounds end when one
+    group has packed all that is left; where many groups hardly join any more bins, what
+    is left is packed as a whole by the number of bins of each fill.
     """
     bins = stage(items.select(F.col("length").alias("fill"), F.array("uid").alias("members"), F.array("length").alias("sizes")).mapInArrow(_pack(capacity), _BINS), "bins")
     done = [bins.where(F.col("fill") >= capacity - near)]
     left = bins.where(F.col("fill") < capacity - near)
     n = left.count()
     while n:
-        groups = -(-n // GROUP)
+        groups = -(-n // group)
         # Bins that no other bin can join are done as well; the rest meet in new groups.
         least = left.agg(F.min("fill")).first()[0]
         done.append(left.where(F.col("fill") > capacity - least))
@@ -119,9 +185,12 @@ def assign(items: DataFrame, capacity: int = CAPACITY, near: int = NEAR) -> Data
         dealt = left.repartition(groups, F.xxhash64(F.col("members")[0], F.lit(groups))) if groups > 1 else left.coalesce(1)
         bins = stage(dealt.mapInArrow(_pack(capacity), _BINS), "bins")
         after = bins.where(F.col("fill") < capacity - near).count()
-        if groups == 1 or after > 0.99 * n:
+        if groups == 1:
             done.append(bins)
             break
+        if after > 0.99 * n:
+            done += [bins.where(F.col("fill") >= capacity - near), stage(_join_residuals(bins.where(F.col("fill") < capacity - near), capacity), "bins")]
+            break
         done.append(bins.where(F.col("fill") >= capacity - near))
         left, n = bins.where(F.col("fill") < capacity - near), after
     whole = done[0]
