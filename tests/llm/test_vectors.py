@@ -41,19 +41,44 @@ def test_links_equal_brute_force(spark):
     assert {tuple(x) for x in out.collect()} == plain(rows)
 
 
-def test_dense_groups_are_joined(spark):
-    """Two groups whose lists are filled from inside, with cosines of about 0.95 between them."""
-    r = np.random.default_rng(8)
-    e = np.eye(32)
-    centres = [e[0], 0.95 * e[0] + np.sqrt(1 - 0.95**2) * e[1]]
-    rows = [(40 * g + i, (c + 0.012 * r.standard_normal(32)).tolist(), 1) for g, c in enumerate(centres) for i in range(40)]
+def clumps(sizes, cosine, noise=0.012, dim=32, label=1, first=0):
+    """Groups of vectors around centres of which each has the given cosine to the one before."""
+    r, e = np.random.default_rng(8), np.eye(dim)
+    centres = [e[0]]
+    for g in range(1, len(sizes)):
+        centres.append(cosine * centres[-1] + np.sqrt(1 - cosine**2) * e[g])
+    rows = [(c + noise * r.standard_normal(dim)).tolist() for c, n in zip(centres, sizes, strict=True) for _ in range(n)]
+    return [(first + i, x, label) for i, x in enumerate(rows)]
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        clumps([30, 30], 0.95),
+        clumps([40, 40, 40], 0.95),
+        clumps([120, 70, 5], 0.95) + clumps([14, 14], 0.97, label=2, first=500),
+        # A pair of two that both sides' lists hide: a large group at a cosine where only some pairs are linked.
+        clumps([90, 90], 0.933, 0.004),
+    ],
+)
+def test_groups_around_close_centres(spark, rows):
+    """Lists that are filled from inside one group, though there are links to the next."""
     out = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
     assert {tuple(x) for x in out.collect()} == plain(rows)
 
 
+def test_doubles_extra_columns_and_ties(spark):
+    """Vectors of doubles that differ beyond a float's digits, columns of clashing names, repeated rows and null ids."""
+    e = np.eye(4)
+    rows = [(1, (e[0] * 1e300).tolist(), 1), (2, (e[0] * (1 + 1e-12)).tolist(), 1), (2, (e[0] * (1 + 1e-12)).tolist(), 1), (None, (0.93 * e[0] + np.sqrt(1 - 0.9301**2) * e[1]).tolist(), 1), (5, e[2].tolist(), None)]
+    df = spark.createDataFrame([(*r, 0, "x", 1.0) for r in rows], "vec_id long, embedding array<double>, label int, cls int, `a.b` string, SIM double")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in vector_dedup.near_duplicates(df).collect())
+    assert got == [(0, 3, 1), (1, 3, 1), (2, 3, 1), (2, 3, 1), (5, 0, 5)]
+
+
 def test_poor_lists_are_not_relied_on(spark, monkeypatch):
-    monkeypatch.setattr(vector_dedup, "_audit", lambda *a: (1, 2))
-    monkeypatch.setattr(vector_dedup, "_refine", lambda lists, homes, classes: lists.limit(0))
+    monkeypatch.setattr(vector_dedup, "_audit", lambda *a: False)
+    monkeypatch.setattr(vector_dedup, "_refine", lambda lists, homes, classes, threshold: lists.limit(0))
     r = np.random.default_rng(9)
     base = r.standard_normal((20, 16))
     rows = [(i, (base[i % 20] + 0.02 * r.standard_normal(16)).tolist(), i % 2) for i in range(60)]
