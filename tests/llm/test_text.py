@@ -111,6 +111,23 @@ def test_pairs_away_from_the_hubs_are_found(spark):
         same([(x.doc_id, x.n_shingles, x.component_id) for x in got.collect()], components(rows))
 
 
+def test_a_family_of_edits_with_pairs_aside(spark):
+    """Edits of one text of which every second is a one-word edit of its neighbour, and a row that is repeated often."""
+    r = random.Random(3)
+    base, texts = [f"w{r.randrange(10**6)}" for _ in range(150)], []
+    for i in range(60):
+        words = list(base)
+        for k in r.sample(range(150), r.randint(2, 5)):
+            words[k] = f"own{i}x{k}"
+        texts.append(" ".join(words))
+        words[r.randrange(150)] = f"pair{i}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    again = [rows[0]] * 300 + [rows[3]] * 200
+    got = text_dedup.near_duplicates(spark.createDataFrame(rows + again, "doc_id long, text string")).distinct()
+    same([(x.doc_id, x.n_shingles, x.component_id) for x in got.collect()], components(rows))
+
+
 # decontamination
 
 

@@ -17,7 +17,8 @@ def _contract(edges: DataFrame, larger: bool) -> DataFrame:
     both = edges
     if larger:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Written, so that the join deals both sides itself and Spark can split a node of very many edges.
+        least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         moved = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -32,7 +33,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     ``edges`` has two long columns (a, b); direction, repeats and loops are ignored.
     ``component`` is the smallest node reachable. Every round is written to the shared
     folder, so neither the lineage nor the driver grows with the graph; stars meet only as
-    minima and equi-joins, which Spark can pre-aggregate and split.
+    minima, which are aggregated before the shuffle, and equi-joins, of which those over all neighbours can be split.
     """
     a, b = edges.columns[:2]
     now = stage(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct(), "edges")

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import stage
 
-#: Half keys in each collection, minhashes in a half key, words in a shingle.
-SIDE, WIDTH, WORDS = 7, 3, 5
+#: Half keys in each collection, minhashes in a half key, words in a shingle. A pair at 0.85
+#: shares one of the 81 tables with probability 0.9996, a pair at 0.80 with 0.997.
+SIDE, WIDTH, WORDS = 9, 3, 5
 #: Members of a table's bucket that all other members are compared with first.
 HUBS = 3
 #: 64-bit words of a set's bitmap, and members of a bucket's block when pairs are completed.
@@ -185,7 +186,8 @@ def _links(pairs: DataFrame, faces: DataFrame, source: DataFrame, percent: int)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = faces.join(wanted, "cls", "left_semi").select("cls", "text_hash", F.col("doc_id").alias("of"))
     texts = source.join(wanted, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("of")))
-    sets = stage(texts.select("cls", "text").mapInArrow(_sets, "cls long, hashes binary"), "sets")
+    # Rows that repeat the one that stands for a class bring its set once.
+    sets = stage(texts.select("cls", "text").mapInArrow(_sets, "cls long, hashes binary").dropDuplicates(["cls"]), "sets")
     full_pairs = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return stage(full_pairs.mapInArrow(_confirm(percent), "a long, b long"), "links")
 
@@ -234,7 +236,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One document of each group, that with the smallest doc_id, with all columns; rows repeated in full once."""
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One document of each group, that with the smallest doc_id, with all columns.
+
+    Of rows that agree in doc_id and text one stays, whichever of them it is where their other columns differ.
+    """
     kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
