@@ -139,7 +139,7 @@ def plain_overlaps(docs, items):
         n = min(len(b), 20)
         for start in range(-len(b), len(w) + 1):
             eq = [0 <= start + k < len(w) and w[start + k] == b[k] for k in range(len(b))]
-            if len(b) >= 15 and any(sum(eq[s : s + n]) * 5 >= 4 * n for s in range(len(b) - n + 1)):
+            if b and any(sum(eq[s : s + n]) * 5 >= 4 * n for s in range(len(b) - n + 1)):
                 found.add((d, i))
     return found
 
@@ -149,7 +149,7 @@ def test_substitutions_are_tolerated(spark, corpus):
     items = [(k, prose(1000 + k, n)) for k, n in enumerate((15, 20, 40, 60))]
     extra = [(2000 + 10 * k + e, prose(7 * k + e, 30) + " " + edited(t, e, e) + ". " + prose(e, 30)) for k, t in items for e in range(4)]
     docs = df.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
-    bench = spark.createDataFrame([(k, t.upper()) for k, t in items] + [(50, None), (51, "too short")], "item_id long, text string")
+    bench = spark.createDataFrame([(k, t.upper()) for k, t in items] + [(50, None), (51, "..."), (52, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()}
     assert got == plain_overlaps([(r[0], r[1]) for r in rows] + extra, items)
     assert len(got) >= 16
@@ -157,10 +157,31 @@ def test_substitutions_are_tolerated(spark, corpus):
     assert decontaminate.without_overlaps(docs, bench.limit(0)).count() == docs.count()
 
 
+@pytest.mark.parametrize("sent", [decontaminate.SENT_WINDOWS, 0])
+def test_items_of_every_length(spark, monkeypatch, sent):
+    """Items of 1 to 24 tokens, whole and with as many substitutions as are allowed and one more, at ends of texts too."""
+    monkeypatch.setattr(decontaminate, "SENT_WINDOWS", sent)
+    r, items, docs = random.Random(9), [], []
+    for n in range(1, 25):
+        for k in range(3):
+            item = [f"i{n}x{k}x{j}" for j in range(n)]
+            items.append((100 * n + k, " ".join(item)))
+            for extra in (0, 1):
+                words = list(item)
+                for j in r.sample(range(n), min(n, n - -(-4 * n // 5) + extra)):
+                    words[j] = "other"
+                docs.append((len(docs), " ".join([["before it", ""][k % 2], *words, ["", "and after"][k // 2]]).strip()))
+    docs += [(None, docs[5][1]), (3, docs[3][1]), (800, "same same same same"), (801, None)]
+    items += [(9000, "same same same same same")]
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = [(x.doc_id, x.item_id) for x in got.collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_overlaps(docs, items)
+
+
 def test_masks_hit_every_window_with_few_substitutions():
-    masks = [(sum(1 << k for k, c in enumerate(m) if c == "1"), len(m)) for m in decontaminate.MASKS]
-    for n, k in ((15, 3), (20, 4)):
-        shifted = [m << o for m, s in masks for o in range(n - s + 1)]
+    for n in range(5, 21):
+        k, own = n - -(-4 * n // 5), [(sum(1 << i for i, c in enumerate(m) if c == "1"), len(m)) for m in decontaminate.masks_of(n)]
+        shifted = [m << o for m, s in own for o in range(n - s + 1)]
         for c in itertools.combinations(range(n), k):
             hole = sum(1 << i for i in c)
             assert any(not hole & m for m in shifted)
