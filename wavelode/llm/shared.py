@@ -47,5 +47,21 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of ``df`` that do not have one of ``names``, upper and lower case being the same as they are to Spark."""
+    taken = {name.lower() for name in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, also where functions over arrays refer to it many times."""
+    return F.transform(F.array(value), use)[0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
