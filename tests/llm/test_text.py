@@ -395,13 +395,27 @@ def test_shards_follow_the_row_law(spark, corpus):
     assert len(out) == len(rows) and sizes.max() - sizes.min() <= 1
     for _, g in out.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
-    assert sorted(out["size"]) == sorted(len((r[1] or "").encode()) + 1 for r in rows)
+    assert sorted(zip(out["size"], out.text_crc32)) == sorted((len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
     again = shards.shard_digest(shards.shuffle_to_shards(df)).toPandas()
     keys = ["shard", "slot", "size", "text_crc32"]
     assert again[keys].sort_values(keys).values.tolist() == out[keys].sort_values(keys).values.tolist()
     assert shards.shuffle_to_shards(empty(spark)).count() == 0
 
 
+def test_rows_alike_are_dealt_to_all_buckets(spark):
+    """A third of all rows alike, a third of one id, and null ids: every law still holds."""
+    rows = [(7, "copy " * 300)] * 700 + [(8, f"text {i} " * 200) for i in range(700)] + [(None, "void " * 300)] * 400 + [(i, f"own {i}") for i in range(100, 400)]
+    docs = spark.createDataFrame([(*r, 1, "b") for r in rows], "doc_id long, text string, Slot int, bucket string").repartition(7)
+    out = shards.shard_digest(shards.shuffle_to_shards(docs, bucket_bytes=1 << 14)).toPandas()
+    sizes = out.groupby("shard").size()
+    assert len(out) == len(rows) and sizes.max() - sizes.min() <= 1
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+        # Copies are spread as a uniform shuffle spreads them.
+        assert 0.15 < (g.doc_id == 7).mean() < 0.55 and g[g.doc_id == 7].slot.std() > 0.2 * len(g)
+    same(list(zip(out.text_crc32, out["size"], strict=True)), [(zlib.crc32(t.encode()), len(t) + 1) for _, t in rows])
+
+
 # language and quality
 
 

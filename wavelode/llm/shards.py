@@ -17,12 +17,13 @@ from .shared import new_path
 BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 64
 #: Bucket starts (16 bytes each) are sent to all tasks up to this many, and joined by a shuffle beyond it.
 SENT_BUCKETS = 200_000
+#: Rows alike that hold more than this share of a bucket are dealt to all buckets, and so are at most 1 / HOT for each bucket.
+HOT = 0.25
 
 
-def _bucket(seed: int, n: int) -> Column:
-    """Seeded bucket of a row: by its id, or by its text where the id is null."""
-    own = F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    return F.pmod(own, F.lit(n)).cast("int")
+def _own(seed: int) -> Column:
+    """Seeded hash of a row's id and text."""
+    return F.xxhash64(F.lit(seed), "doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)))
 
 
 def shuffle_to_shards(docs: DataFrame, path: str | None = None, shards: int = 8, seed: int = 20240501, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -31,23 +32,39 @@ def shuffle_to_shards(docs: DataFrame, path: str | None = None, shards: int = 8,
     Returns doc_id, text, shard and slot from the files under ``path`` (a new folder of
     the shared directory by default), one folder per shard. Shard row counts differ by
     one at most and slots count from 0 without gaps. Null ids and texts are rows like any
-    other; rows repeated in full keep their number. An empty table gives no rows.
+    other; rows repeated in full keep their number; other columns are ignored. An empty
+    table gives no rows.
 
-    Buckets are sized by measured bytes, so memory holds one bucket whatever the input.
-    Array shuffling uses the Fisher-Yates algorithm; buckets are ordered before it, so
-    that a task run again permutes them alike.
+    Buckets are sized by measured bytes and every bucket is a partition of its own, so
+    a task's memory does not grow with the input. Rows of one id are told apart by
+    their texts; where very many rows agree in both they are alike, and are dealt over all
+    buckets by their place in the input. Array shuffling uses the Fisher-Yates algorithm;
+    buckets are ordered before it, so that a task run again permutes them alike.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 24).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 24
+    held = rows.agg(F.sum(size).alias("b"), F.count(F.lit(1)).alias("n")).first()
     n_buckets = max(LEAST_BUCKETS, -(-int(held.b or 0) // bucket_bytes))
-    bucket = _bucket(seed, n_buckets)
-    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
+    key = _own(seed)
+    # Only where some bucket is far too large are its rows counted one by one.
+    even = rows.groupBy(F.pmod(key, F.lit(n_buckets)).cast("int").alias("bucket")).agg(F.sum(size).alias("b"))
+    limit = max(1.0, HOT * (held.b or 0) / n_buckets)
+    large = [r.bucket for r in even.where(F.col("b") > 3 * limit / HOT).collect()]
+    if large:
+        alike = rows.where(F.pmod(key, F.lit(n_buckets)).cast("int").isin(large)).groupBy(key.alias("own")).agg(F.sum(size).alias("b"), F.count(F.lit(1)).alias("n"))
+        hot = F.broadcast(alike.where((F.col("b") > limit) & (F.col("n") > 1)).select("own", F.lit(True).alias("hot")))
+        salted = rows.withColumn("place", F.monotonically_increasing_id()).withColumn("own", key).join(hot, "own", "left")
+        rows = salted.select("doc_id", "text", F.when(F.col("hot"), F.xxhash64("own", "place")).otherwise(F.col("own")).alias("own"))
+    else:
+        rows = rows.withColumn("own", key)
+    rows = rows.withColumn("bucket", F.pmod("own", F.lit(n_buckets)).cast("int")).drop("own")
+    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
     # One row per bucket: the running total needs no more than that in one task.
     before = F.sum("rows").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("bucket", F.coalesce(before, F.lit(0)).alias("first"))
 
-    gathered = rows.groupBy(bucket.alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("rows"))
+    gathered = rows.repartition(n_buckets, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("rows"))
     placed = gathered.join(F.broadcast(starts) if n_buckets <= SENT_BUCKETS else starts, "bucket").sortWithinPartitions("bucket")
     each = placed.select("first", F.posexplode(F.shuffle("rows", seed)).alias("at", "row"))
     place = F.col("first") + F.col("at")
