@@ -433,6 +433,48 @@ def test_languages_are_told_apart(spark):
     assert language.identify_digest(empty(spark)).count() == 0
 
 
+def plain_languages(rows):
+    """Predictions by sets of n-grams, without filters: (language, share) of each text."""
+    grams = {}
+    for doc_id, text, lang in rows:
+        if text is not None and lang is not None and (doc_id is None or zlib.crc32(str(doc_id).encode()) % 4 != 2):
+            for g in language.gram_codes(text).tolist():
+                own = grams.setdefault(lang, {})
+                own[g] = own.get(g, 0) + 1
+    total = {k: sum(own.values()) for k, own in grams.items()}
+    held = {}
+    for k, own in grams.items():
+        top = lambda g: max(grams[o].get(g, 0) / total[o] for o in grams)
+        held[k] = {g for g, n in own.items() if n >= 3 and n / total[k] >= 0.2 * top(g)}
+    out = []
+    for _, text, _ in rows:
+        if text is None or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        codes = language.gram_codes(text).tolist()
+        share = {k: sum(g in own for g in codes) / len(codes) for k, own in held.items()}
+        best = min(share, key=lambda k: (-share[k], k))
+        out.append((best, share[best]))
+    return out
+
+
+@pytest.mark.parametrize("n", [3, 70])
+def test_filters_agree_with_sets(spark, n):
+    """Up to false positives, also with more languages than a word has bits, ties and columns of clashing names."""
+    r = random.Random(n)
+    parts = [["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(4)] for _ in range(n)]
+    rows = [(i, " ".join("".join(r.choices(parts[i % n], k=2)) for _ in range(30)), f"l{i % n:02d}") for i in range(n * 12)]
+    rows += [(9000, None, "l00"), (9001, "12 -", "l00"), (9002, "zzzzz", None), (None, rows[0][1], "l00"), rows[1], rows[1], (9003, rows[2][1] * 300, None)]
+    docs = spark.createDataFrame([(*row, 1, 2) for row in rows], "doc_id long, text string, lang string, Score int, `a.b` int")
+    got = language.identify_documents(docs).collect()
+    assert list(got[0].asDict()) == ["doc_id", "text", "lang", "a.b", "lang_pred", "score"]
+    expected = {text: e for (_, text, _), e in zip(rows, plain_languages(rows), strict=True)}
+    assert len(got) == len(rows)
+    for row in got:
+        lang, share = expected[row.text]
+        assert row.lang_pred == lang and abs(row.score - share) < 0.01
+
+
 def test_quality_is_learnt_from_the_text(spark):
     rows = [(i, edited(prose(i, 60), i, 3) if i % 2 else prose(i, 60).upper().replace(" ", "!! "), None, None, None, None) for i in range(200)]
     rows += [(300, None, None, None, None, None), (301, "", None, None, None, None), (302, "x " * 5000, None, None, None, None)]

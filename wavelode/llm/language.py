@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .shared import crc_mod
-
-#: Bytes of an n-gram; log2 of the filter's slots; multipliers of its hash functions.
-GRAM, BITS, MULTIPLIERS = 4, 20, (1640531527, 2024237689)
-#: Documents that a model is fitted on at most, in expectation, and languages that it holds at most.
-SAMPLE, LANGUAGES = 8000, 64
+from .shared import crc_mod, named, others
+
+#: Bytes of an n-gram; multipliers of the filter's hash functions.
+GRAM, MULTIPLIERS = 4, (1640531527, 2024237689)
+#: log2 of the filter's slots, at least and at most, and slots for each n-gram of the language with the most.
+BITS, MOST_BITS, ROOM = 20, 26, 16
+#: Documents that a model is fitted on, in expectation, where there are more.
+SAMPLE = 8000
 #: A language holds an n-gram that it has this often, at this share of the rate of the language that has it most.
 LEAST, SHARE = 3, 0.2
 
@@ -41,37 +43,50 @@ def gram_codes(text: str) -> np.ndarray:
 
 
 class LanguageFilters:
-    """The bit-sliced filter of a fitted model."""
+    """The bit-sliced filter of a fitted model: ``slots`` has a row per slot and a word for each 64 languages."""
 
     def __init__(self, languages: list[str], slots: np.ndarray):
-        self.languages, self.slots = languages, slots
+        self.languages = languages
         kinds = [np.uint8, np.uint16, np.uint32, np.uint64]
-        self.slots = slots.astype(next(k for k in kinds if np.iinfo(k).bits >= max(1, len(languages))))
-        fill = np.array([np.count_nonzero(slots >> np.uint64(i) & np.uint64(1)) for i in range(len(languages))]) / len(slots)
+        self.slots = slots.astype(next(k for k in kinds if np.iinfo(k).bits >= min(64, max(1, len(languages)))))
+        self.shift = np.uint32(32 - (len(slots) - 1).bit_length())
+        self.words = [np.arange(lo, min(lo + 64, len(languages))) for lo in range(0, len(languages), 64)]
+        fill = np.array([np.count_nonzero(slots[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(len(languages))]) / len(slots)
         self.false_rate = fill ** len(MULTIPLIERS)
 
     def masks(self, codes: np.ndarray) -> np.ndarray:
         """For each n-gram, a bit for every language that holds it."""
         found = None
         for m in MULTIPLIERS:
-            at = (codes * np.uint32(m)) >> np.uint32(32 - BITS)
+            at = (codes * np.uint32(m)) >> self.shift
             found = self.slots[at] if found is None else found & self.slots[at]
         return found
 
+    def hits(self, codes: np.ndarray) -> np.ndarray:
+        """How many of the n-grams each language holds, by a count of each bit."""
+        found = self.masks(codes)
+        counts = []
+        for word, own in enumerate(self.words):
+            values, n = self._tally(found[:, word]) if len(own) <= 12 else np.unique(found[:, word], return_counts=True)
+            bits = values.astype(np.uint64)[:, None] >> np.arange(len(own), dtype=np.uint64) & np.uint64(1)
+            counts.append(n @ bits.astype(np.int64))
+        return np.concatenate(counts)
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and the share of the text's n-grams that it holds, corrected for false positives."""
+        """Language and the share of the text's n-grams that it holds, corrected for false positives.
+
+        Of languages that hold equally many, the first by name is given, also where none holds any.
+        """
         if text is None or not self.languages or not has_letter(text):
             return "und", 0.0
         codes = gram_codes(text)
-        values, counts = np.unique(self.masks(codes), return_counts=True) if len(self.languages) > 12 else self._tally(self.masks(codes))
-        bits = values.astype(np.uint64)[:, None] >> np.arange(len(self.languages), dtype=np.uint64) & np.uint64(1)
-        hits = counts @ bits.astype(np.int64)
-        held = np.maximum(hits - len(codes) * self.false_rate, 0) / (1 - np.minimum(self.false_rate, 0.999))
+        held = np.maximum(self.hits(codes) - len(codes) * self.false_rate, 0) / (1 - np.minimum(self.false_rate, 0.999))
         best = int(held.argmax())
         return self.languages[best], float(min(1.0, held[best] / len(codes)))
 
-    def _tally(self, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.bincount(masks, minlength=1 << len(self.languages))
+    @staticmethod
+    def _tally(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.bincount(masks, minlength=1)
         values = np.flatnonzero(counts)
         return values, counts[values]
 
@@ -91,7 +106,8 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> LanguageFilters:
 
     When there are more rows than ``sample``, those whose hashed doc_id falls below a
     threshold are used: about ``sample`` rows, chosen alike at every size. The filter is
-    merged slot by slot in Spark; the driver gets its fixed number of slots only.
+    merged slot by slot in Spark; the driver gets 2^MOST_BITS slots at most. Rows that
+    repeat an id are all used or all left out.
     """
     rows = rows.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"), "lang")
     n = rows.count()
@@ -99,42 +115,45 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> LanguageFilters:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int(sample / n * (1 << 24)))
     counts = rows.select("text", "lang").mapInArrow(_count_grams, "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     counts = counts.persist()
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").limit(LANGUAGES + 1).collect()
-    if len(totals) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    # One row per language.
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("grams")).orderBy("lang").collect()
     if not totals:
-        return LanguageFilters([], np.zeros(1 << BITS, np.uint64))
+        return LanguageFilters([], np.zeros((1 << BITS, 1), np.uint64))
+    bits = min(MOST_BITS, max(BITS, (ROOM * max(r.grams for r in totals)).bit_length()))
     names = [r.lang for r in totals]
-    rate = F.element_at(F.create_map(*[x for i, r in enumerate(totals) for x in (F.lit(r.lang), F.array(F.lit(float(i)), F.lit(float(r.total))))]), F.col("lang"))
-    rated = counts.select("gram", "n", rate[0].cast("int").alias("i"), (F.col("n") / rate[1]).alias("rate"))
+    place = counts.sparkSession.createDataFrame([(r.lang, i, float(r.total)) for i, r in enumerate(totals)], "lang string, i int, total double")
+    rated = counts.join(F.broadcast(place), "lang").select("gram", "n", "i", (F.col("n") / F.col("total")).alias("rate"))
     most = F.max("rate").over(Window.partitionBy("gram"))
     held = rated.withColumn("most", most).where((F.col("n") >= LEAST) & (F.col("rate") >= SHARE * F.col("most")))
-    bit = F.expr("shiftleft(1L, i)")
-    slots = F.array(*[F.shiftright((F.col("gram") * m).bitwiseAND(0xFFFFFFFF), 32 - BITS) for m in MULTIPLIERS])
-    merged = held.select(F.explode(slots).alias("slot"), bit.alias("mask")).groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    slots = F.array(*[F.shiftright((F.col("gram") * m).bitwiseAND(0xFFFFFFFF), 32 - bits) for m in MULTIPLIERS])
+    merged = held.select(F.explode(slots).alias("slot"), F.floor(F.col("i") / 64).alias("word"), F.expr("shiftleft(1L, i % 64)").alias("mask"))
+    merged = merged.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
     counts.unpersist()
-    table = np.zeros(1 << BITS, np.uint64)
-    table[merged["slot"].to_numpy(np.int64)] = merged["mask"].to_numpy(np.int64).astype(np.uint64)
+    table = np.zeros((1 << bits, -(-len(names) // 64)), np.uint64)
+    table[merged["slot"].to_numpy(np.int64), merged["word"].to_numpy(np.int64)] = merged["mask"].to_numpy(np.int64).astype(np.uint64)
     return LanguageFilters(names, table)
 
 
 def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
-    """Add lang_pred and score to ``docs``, replacing columns of those names.
+    """Add lang_pred and score to ``docs``, replacing columns of those names in upper or lower case.
 
     A null text, and one without a letter, gives ``und`` and 0. Nothing but the text is
-    looked at.
+    looked at, so rows that repeat a text have the same answer. An empty table gives none.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rest = others(docs, "lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = rest.index("text")
+    at = next(i for i, c in enumerate(rest) if c.lower() == "text")
+    # Columns go through the function by plain names, as theirs may hold dots.
+    plain = [f"c{i}" for i in range(len(rest))]
 
     def run(batches):
         for batch in batches:
             found = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*plain, "lang_pred", "score"])
 
-    out = T.StructType([*docs.select(*rest).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*rest).mapInArrow(run, out)
+    picked = docs.select(*[named(c).alias(p) for c, p in zip(rest, plain, strict=True)])
+    out = T.StructType([*picked.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return picked.mapInArrow(run, out).toDF(*rest, "lang_pred", "score")
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
