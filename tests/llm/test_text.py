@@ -487,6 +487,39 @@ def test_quality_is_learnt_from_the_text(spark):
     assert quality.classify(empty(spark), labels).count() == 0
 
 
+def plain_score(network, text):
+    """The network by loops: filters at every place, maxima of chunks, hidden layer, mean, logistic."""
+    p, data = network.p, list((text or "").encode())
+    steps = max(2, -(-max(len(data) - 5, 1) // 128))
+    data += [0] * (steps * 128 + 5 - len(data))
+    out = np.zeros(16)
+    for c in range(steps - 1):
+        best = np.full(24, -np.inf)
+        for at in range(c * 128, (c + 2) * 128):
+            best = np.maximum(best, sum(p["filters"][k, data[at + k]].astype(float) for k in range(6)))
+        out += np.maximum(best @ p["w1"] + p["b1"], 0)
+    return 1 / (1 + np.exp(-(out / (steps - 1) @ p["w2"] + p["b2"][0])))
+
+
+def test_scores_equal_a_plain_network(spark):
+    network = quality.ByteNetwork(3)
+    texts = [None, "", "abc", prose(1, 20), prose(2, 500), "é" * 700, "x" * 133, "y" * 134]
+    docs = spark.createDataFrame([(i, t, 0.5, "x") for i, t in enumerate([*texts, texts[3]])], "doc_id long, text string, SCORE double, `a.b` string")
+    got = {r.doc_id: r.score for r in quality.score(docs, network).collect()}
+    assert len(got) == len(texts) + 1 and got[3] == got[8]
+    for i, t in enumerate(texts):
+        assert abs(got[i] - plain_score(network, t)) < 1e-4
+
+
+def test_fit_takes_one_bounded_text_of_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.ByteNetwork, "fit", lambda self, texts, y: seen.append((texts, y.tolist())) or self)
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c" * 200_000), (3, None), (4, "no label")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (5, 0), (6, 0), (6, 1)], "doc_id long, quality int")
+    quality.fit(docs, labels)
+    assert seen[0][0][0] == "a" and len(seen[0][0][1]) == quality.FIT_CHARS and seen[0][0][2] is None and seen[0][1] == [1, 0, 1]
+
+
 # personal data
 
 KEY = b"k" * 32

@@ -17,8 +17,9 @@ from .shared import crc_mod
 
 #: Filters, their width in bytes, hidden units, and the step of chunks that are two steps long.
 FILTERS, WIDTH, HIDDEN, STEP = 24, 6, 16, 128
-#: Labelled documents that a model is fitted on at most, in expectation; chunks of one that a training pass looks at.
-SAMPLE, SEEN_CHUNKS = 3000, 8
+#: Labelled documents that a model is fitted on, in expectation, where there are more; chunks of one that a training
+#: pass looks at; characters of one from which it is fitted on SLICES even slices of so many in all. Scores are of whole texts.
+SAMPLE, SEEN_CHUNKS, FIT_CHARS, SLICES = 3000, 8, 65_536, 16
 THRESHOLD = 0.3
 
 
@@ -116,16 +117,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNetwork
     """Fit a network on the documents that ``labels`` (doc_id, quality) marks 0 or 1.
 
     Of more than ``sample`` labelled ids, those whose hash falls below a threshold are
-    used, about ``sample`` of them at every size. An id with two different labels is left
-    out. Without labels of both kinds the network stays as initialised.
+    used, about ``sample`` of them at every size, with one text for each id and FIT_CHARS
+    characters of it, so the driver gets a bounded number of bounded texts. An id with two
+    different labels is left out. Without labels of both kinds the network stays as
+    initialised.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("most")).where("y = most").select("doc_id", "y")
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int(sample / n * (1 << 24)))
     # About ``sample`` ids at most, so sending them to all tasks has a bound.
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"])
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    wide, each = F.char_length("text"), FIT_CHARS // SLICES
+    slices = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring("text", (1 + i * F.floor((wide - each) / (SLICES - 1))).cast("int"), F.lit(each)))
+    # Of rows that repeat an id the smallest text counts, whatever their order.
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.when(wide > FIT_CHARS, F.array_join(slices, "")).otherwise(F.col("text"))).alias("text")).toPandas()
+    rows = rows.sort_values("doc_id")
     y = rows["y"].to_numpy(np.float32)
     network = ByteNetwork()
     return network.fit(rows["text"].tolist(), y) if len(set(y.tolist())) == 2 else network
@@ -147,8 +154,10 @@ def score(docs: DataFrame, network: ByteNetwork) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every document by a network fitted on those whose id leaves a remainder by 5.
 
-    Returns doc_id, held_out, score and predicted, one row per row of ``docs``. Null and
-    empty texts are scored like a text of no bytes.
+    Returns doc_id, held_out, score and predicted, one row per row of ``docs``; other
+    columns are ignored and rows that repeat a text have the same score. Null and empty
+    texts are scored like a text of no bytes. A null id counts as held out. An empty table
+    gives no rows.
     """
     remainder = crc_mod(F.col("doc_id"), 5)
     network = fit(docs.where(remainder != 0), labels.where(remainder != 0))
