@@ -546,6 +546,56 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert out[3].text is None and out[4].text == "" and out[None].text == "nothing" and out[4].n_email == 0
 
 
+def test_further_kinds_and_bare_names(spark):
+    text = "IBAN DE89 3704 0044 0532 0130 00, host 2001:DB8::8a2e:370:7334 at 12:30:45, card 3782 822463 10005. Frau Anna Weber called. Later Weber and Anna left; Weber's car, not Weberei."
+    docs = spark.createDataFrame([(1, text, 0, 1), (1, text, 0, 1), (2, "Weber and Anna, DE89370400440532013000", 0, 1), (3, "", 0, 1), (4, None, 0, 1)], "doc_id long, text string, N_EMAIL int, `a.b` int")
+    rows = surrogate.pseudonymize(docs, KEY).collect()
+    new = rows[0].text
+    assert rows[1] == rows[0] and (rows[0].n_iban, rows[0].n_ipv6, rows[0].n_card, rows[0].n_given, rows[0].n_surname) == (1, 1, 1, 2, 3)
+    m = re.fullmatch(r"IBAN (DE\d\d( \d{4}){4} \d\d), host (2001:[0-9a-f:]+) at 12:30:45, card (37\d\d \d{6} \d{5})\. Frau (\w+) (\w+) called\. Later (\w+) and (\w+) left; (\w+)'s car, not Weberei\.", new)
+    assert surrogate._iban_check(m[1].replace(" ", "")) == 1 and "3704" not in m[1] and m[5] == m[8] and m[6] == m[7] == m[9]
+    assert rows[2].text == f"Weber and Anna, {m[1].replace(' ', '')}"
+    assert [r.text for r in rows[3:]] == ["", None] and surrogate.pseudonymize(docs.limit(0), KEY).count() == 0
+
+
+def test_replacement_equals_a_plain_version(spark):
+    """Texts put together from parts whose entities are known, against entity-by-entity replacement by loops."""
+    r = random.Random(12)
+    names = ["Karl", "Max", "Leo", "Otto", "Ernst"]
+    values = [("email", f"user{i}.x@host{i % 3}.org") for i in range(9)] + [("ip", f"10.0.{i}.7") for i in range(6)] + [("ssn", f"{100 + i}-22-4444") for i in range(5)] + [("surname", f"Herr Muster{c}") for c in "abcde"] + [("given", f"Herr {n} Wolf") for n in names]
+    pieces = [[r.choice(values) if r.random() < 0.4 else (None, r.choice(WORDS)) for _ in range(r.randint(0, 40))] for _ in range(60)]
+    texts = [", ".join(x for _, x in p) for p in pieces] + [", ".join(x for _, x in values * 200)]
+    got = surrogate.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()
+    table = {(x.kind, x.entity): x.surrogate for x in surrogate.surrogate_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()}
+    for row, parts in zip(sorted(got, key=lambda x: x.doc_id), [*pieces, values * 200], strict=True):
+        expected = []
+        for kind, value in parts:
+            if kind in ("email", "ip"):
+                value = table[kind, value]
+            elif kind == "ssn":
+                d = table[kind, value.replace("-", "")]
+                value = f"{d[:3]}-{d[3:5]}-{d[5:]}"
+            elif kind == "surname":
+                value = f"Herr {table[kind, value.split()[1]]}"
+            elif kind == "given":
+                value = f"Herr {table[kind, 'm:' + value.split()[1]][2:]} {table['surname', 'Wolf']}"
+            expected.append(value)
+        assert row.text == ", ".join(expected)
+        assert row.n_email == sum(k == "email" for k, _ in parts) and row.n_given == sum(k == "given" for k, _ in parts)
+
+
+def test_collisions_never_stay(spark, monkeypatch):
+    """Short names beyond the number of short surrogates, and draws that all collide."""
+    rows = [(i, f"Herr {chr(65 + i % 26)}{chr(97 + i // 26 % 26)}") for i in range(676)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setitem(surrogate.SYLLABLES, "latin", ("bcd", "ae"))
+    table = surrogate.surrogate_table(docs, KEY).toPandas()
+    assert len(table) == 676 and not table.surrogate.duplicated().any() and not set(table.surrogate) & set(table.entity)
+    monkeypatch.setattr(surrogate, "MOST_DRAWS", 1)
+    with pytest.raises(ValueError):
+        surrogate.surrogate_table(docs, KEY)
+
+
 def test_no_two_entities_share_a_surrogate(spark):
     names = ["Karl", "Max", "Leo", "Hugo", "Emil", "Felix", "Bruno", "Anton", "Otto", "Ernst", "Fritz", "Hans"]
     rows = [(i, f"Herr {n} Huber{'n' * (i % 2)} von {i}.7.8.9", None, None, None, None) for i, n in enumerate(names, 1)]

@@ -10,6 +10,7 @@ found by a join over the distinct entities and drawn again until none is left.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections import Counter
 from functools import lru_cache
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 
 from .shared import stage
 
-KINDS = ("email", "ip", "card", "ssn", "phone", "given", "surname")
+KINDS = ("email", "ip", "card", "ssn", "phone", "iban", "ipv6", "given", "surname")
 #: Redrawn entities up to which the list is sent to all tasks; beyond it, it is joined to the texts.
-SENT_REDRAWN, MOST_DRAWS = 200_000, 20
+SENT_REDRAWN = 50_000
+#: Draws after which collisions are an error, and draws from which on surrogates of names and mail grow longer.
+MOST_DRAWS, GROWING = 30, 8
 
 #: Titles by gender, and given names by script and gender.
 TITLES = {
@@ -43,26 +46,55 @@ _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ
 _PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w])")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)", re.A)),
-    ("card", re.compile(r"(?<![\w-])[3-6]\d{3}(?:\d{9,12}|(?:[ -]\d{4}){3})(?![\w-])", re.A)),
+    ("card", re.compile(r"(?<![\w-])(?:[3-6]\d{3}(?:\d{9,12}|(?:[ -]\d{4}){3})|3[47]\d\d[ -]\d{6}[ -]\d{5})(?![\w-])", re.A)),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)),
+    ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A)),
+    ("ipv6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{6,39}(?![\w:])", re.A)),
     ("phone", re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{3,4}(?![\w-])", re.A)),
 )
 _PERSON = re.compile(rf"\b({'|'.join(sorted(_TITLE, key=len, reverse=True))})\.?[ ]({_NAME})(?:[ ]({_NAME}))?")
-_HINT = re.compile(r"[0-9@]")
+_BARE = re.compile(rf"(?<![\w-]){_NAME}(?![\w-])")
+_HINT = re.compile(r"[0-9@:]")
+
+
+def _iban_check(iban: str) -> int:
+    """What an account number leaves by 97; a right one leaves 1."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _holds(kind: str, value: str) -> bool:
+    """Whether a match of a kind's pattern is one of its values."""
+    if kind == "iban":
+        return _iban_check(value.replace(" ", "")) == 1
+    if kind == "ipv6":
+        try:
+            address = ipaddress.IPv6Address(value)
+        except ValueError:
+            return False
+        return not (address.is_loopback or address.is_unspecified)
+    return True
 
 
 def find_entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, gender) of the entities of a text, leftmost first, without overlap."""
+    """(start, end, kind, gender) of the entities of a text, leftmost first, without overlap.
+
+    A name that the text gives with a title is found without it as well, as the same entity.
+    """
     found = []
     if _HINT.search(text):
         for rank, (kind, pattern) in enumerate(_PATTERNS):
             if kind == "email" and "@" not in text:
                 continue
-            found += [(m.start(), rank, m.end(), kind, "") for m in pattern.finditer(text)]
+            found += [(m.start(), rank, m.end(), kind, "") for m in pattern.finditer(text) if _holds(kind, m[0])]
+    known: dict[str, tuple[str, str]] = {}
     for m in _PERSON.finditer(text):
         gender = _TITLE[m[1]]
         parts = [(2, "given"), (3, "surname")] if m[3] else [(2, "surname")]
         found += [(m.start(g), len(KINDS), m.end(g), kind, gender) for g, kind in parts]
+        for g, kind in parts:
+            known.setdefault(m[g], (kind, gender))
+    if known:
+        found += [(m.start(), len(KINDS) + 1, m.end(), *known[m[0]]) for m in _BARE.finditer(text) if m[0] in known]
     out, end = [], 0
     for start, _, stop, kind, gender in sorted(found):
         if start >= end:
@@ -78,6 +110,10 @@ def normal(kind: str, value: str, gender: str) -> str:
         return f"{country[0] if country else ''}:{re.sub(r'[^0-9]', '', value[country.end() if country else 0 :])}"
     if kind in ("card", "ssn"):
         return re.sub(r"[^0-9]", "", value)
+    if kind == "iban":
+        return value.replace(" ", "")
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(value).exploded
     return f"{gender}:{value}" if kind == "given" else value if kind == "surname" else value.lower()
 
 
@@ -137,7 +173,8 @@ def surrogate(kind: str, entity: str, draw: int, key: bytes) -> str:
     if kind == "email":
         name, host = entity.rsplit("@", 1)
         *labels, top = host.split(".")
-        return f"{_signs(name, key, kind, draw)}@{'.'.join(_signs(x, key, 'host', draw) for x in labels)}.{top}"
+        more = "".join(str(_draw(key, kind, entity, draw, i) % 10) for i in range(max(0, draw - GROWING)))
+        return f"{_signs(name, key, kind, draw)}{more}@{'.'.join(_signs(x, key, 'host', draw) for x in labels)}.{top}"
     if kind == "ip":
         x = 0
         for o in entity.split("."):
@@ -148,30 +185,38 @@ def surrogate(kind: str, entity: str, draw: int, key: bytes) -> str:
             if _network(found) == _network(entity):
                 return found
     if kind == "card":
-        found = entity
+        # The digits that name the kind of card stay.
+        lead, found = entity[: 2 if len(entity) == 15 else 1], entity
         while True:
-            found = _signs(found, key, kind, draw)
-            if found[0] in "3456" and _luhn(found) == _luhn(entity):
+            found = lead + _signs(found[len(lead) :], key, kind, lead, draw)
+            if _luhn(found) == _luhn(entity):
                 return found
     if kind == "phone":
         country, number = entity.split(":")
         return f"{country}:{_signs(number, key, kind, country, draw)}"
     if kind == "ssn":
         return _signs(entity, key, kind, draw)
+    if kind == "iban":
+        own = _signs(entity[4:], key, kind, entity[:2], draw)
+        return f"{entity[:2]}{98 - _iban_check(f'{entity[:2]}00{own}'):02d}{own}"
+    if kind == "ipv6":
+        # The first 16 bits say what kind of network it is, and stay.
+        low = permute(int(ipaddress.IPv6Address(entity)) & ((1 << 112) - 1), 1 << 112, key, kind, entity[:4], draw)
+        return ipaddress.IPv6Address(int(entity[:4], 16) << 112 | low).exploded
     if kind == "given":
         gender, name = entity.split(":")
         names = GIVEN[_script(name), gender] if gender != "n" else next((v for v in GIVEN.values() if name in v), GIVEN[_script(name), "m"])
-        return f"{gender}:{names[_draw(key, kind, entity, draw) % len(names)]}" if draw < 3 else f"{gender}:{_made_name(name, key, kind, entity, draw)}"
-    return _made_name(entity, key, kind, entity, draw)
+        return f"{gender}:{names[_draw(key, kind, entity, draw) % len(names)]}" if draw < 3 else f"{gender}:{_made_name(name, key, draw, kind, entity)}"
+    return _made_name(entity, key, draw, kind, entity)
 
 
-def _made_name(like: str, key: bytes, *what) -> str:
-    """A name of syllables in the script of ``like``, about as long, capitalised alike."""
+def _made_name(like: str, key: bytes, draw: int, *what) -> str:
+    """A name of syllables in the script of ``like``, capitalised alike and about as long, or longer after many draws."""
     consonants, vowels = SYLLABLES[_script(like)]
     parts = []
     for i, part in enumerate(like.split("-")):
-        n = min(6, max(2, (len(part) + 1) // 2))
-        x = _draw(key, *what, i)
+        n = min(6, max(2, (len(part) + 1) // 2)) + max(0, draw - GROWING) // 2
+        x = _draw(key, *what, draw, i)
         letters = []
         for _ in range(n):
             x, c = divmod(x, len(consonants))
@@ -189,8 +234,17 @@ def _formatted(kind: str, value: str, found: str) -> str:
     if kind in ("card", "ssn"):
         digits = iter(found)
         return "".join(next(digits) if "0" <= c <= "9" else c for c in value)
+    if kind == "iban":
+        signs = iter(found)
+        return "".join(c if c == " " else next(signs) for c in value)
+    if kind == "ipv6":
+        address = found if len(value) == 39 else ipaddress.IPv6Address(found).compressed
+        return address.upper() if value.upper() == value else address
     if kind == "email":
-        return "".join(f.upper() if c.isupper() else f for c, f in zip(value, found, strict=True))
+        # After many draws digits follow the name.
+        name, more = value.rsplit("@", 1)[0], len(found) - len(value)
+        like = f"{name}{'0' * more}{value[len(name) :]}"
+        return "".join(f.upper() if c.isupper() else f for c, f in zip(like, found, strict=True))
     return found.split(":")[-1]
 
 
@@ -216,13 +270,17 @@ def surrogate_table(docs: DataFrame, key: bytes) -> DataFrame:
     """One row per distinct entity of ``docs``: kind, entity, draw and surrogate, both normalised.
 
     No two entities of a kind share a surrogate, and no surrogate is an entity of that
-    kind, unless a kind's values are used up. Given names repeat once a gender's list is
-    exhausted: from the fourth draw on they are made up.
+    kind. Given names are made up from the fourth draw on; after GROWING draws names and mail grow
+    longer, so that there always are more. Where the values of a number's format are
+    used up there is no such table, and an error says so. Without entities there are no rows.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"))
     entities = stage(texts.mapInArrow(_entities, "kind string, entity string, n long").groupBy("kind", "entity").agg(F.sum("n").alias("n")), "entities")
     shape = "kind string, entity string, draw int, surrogate string"
-    now = stage(entities.select("kind", "entity", F.lit(0).alias("draw")).mapInArrow(_drawn(key), shape), "surrogates")
+    # Staged rows come back in few files; draws are dealt to all cores again.
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draw = lambda rows: rows.select("kind", "entity", "draw").repartition(tasks, "kind", "entity").mapInArrow(_drawn(key), shape)
+    now = stage(draw(entities.withColumn("draw", F.lit(0))), "surrogates")
     for _ in range(MOST_DRAWS):
         real = entities.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
         first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "entity")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -232,8 +290,9 @@ def surrogate_table(docs: DataFrame, key: bytes) -> DataFrame:
         marked = stage(marked.select("kind", "entity", (F.col("draw") + again.cast("int")).alias("draw"), "surrogate", again.alias("again")), "surrogates")
         if not marked.where("again").limit(1).count():
             break
-        new = marked.where("again").select("kind", "entity", "draw").mapInArrow(_drawn(key), shape)
-        now = stage(marked.where("not again").select("kind", "entity", "draw", "surrogate").union(new), "surrogates")
+        now = stage(marked.where("not again").select("kind", "entity", "draw", "surrogate").union(draw(marked.where("again"))), "surrogates")
+    else:
+        raise ValueError(f"surrogates still collide after {MOST_DRAWS} draws: a format has too few values")
     return now
 
 
@@ -252,8 +311,8 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """Replace the personal data of every document.
 
     Returns doc_id, one count for each of KINDS, and the text with its surrogates, a row
-    per row of ``docs`` (other columns are ignored). Null texts stay null with counts
-    of 0. One entity has the same surrogate in all documents. Texts are not moved: a
+    per row of ``docs`` (other columns are ignored; rows repeated in full are each
+    replaced alike). Null texts stay null with counts of 0, empty ones stay empty. One entity has the same surrogate in all documents. Texts are not moved: a
     task computes first draws itself and is sent those entities that were drawn again;
     should these be very many, each text is joined with its own instead.
     """
