@@ -621,7 +621,12 @@ def mcnemar(spark, sf):
 
 @query()
 def bootstrap_ci(spark, sf):
-    return stats.bootstrap_interval(_scores(spark, sf).withColumn("s1", F.col("s1") * 1.0), "s1").select(*_r("estimate", "low", "high", n=3))
+    return stats.bootstrap_interval(_scores(spark, sf).withColumn("s1", F.col("s1") * 1.0), "s1", "id").select(*_r("estimate", "low", "high", n=3))
+
+
+@query()
+def bootstrap_auc(spark, sf):
+    return stats.bootstrap_auc(_scores(spark, sf).withColumn("score", F.col("s2")), "id").select(*_r("estimate", "low", "high", n=4))
 
 
 # ------------------------------------------------------------------ aggregation and selection
@@ -771,24 +776,117 @@ def roc_auc(spark, sf):
     return evaluate.roc_auc(_scores(spark, sf).withColumn("score", F.col("s2"))).select(*_r("auc"))
 
 
-@query(f"with {_LONG}, a as (select subject, feature, avg(value) as v from lg where subject < 30 group by 1, 2), f as (select distinct subject as fold from a), m as (select fold, feature, avg(v) as m from f join a on a.subject <> f.fold group by 1, 2), r as (select *, row_number() over (partition by fold order by m desc, feature) as r from m) select feature, count(distinct fold) as selected, round(count(distinct fold) / (select count(*) from f)::double, 6) as frequency, count(distinct fold) / (select count(*) from f)::double >= 0.6 as stable from r where r <= 2 group by 1")
+@query(f"with {_LONG}, a as (select subject, feature, avg(value) as v from lg group by 1, 2), f as (select distinct subject as fold from a), t as (select feature, sum(v) as ts, count(v) as tn from a group by 1), m as (select fold, t.feature, (ts - coalesce(v, 0)) / (tn - (v is not null)::int) as m from f cross join t left join a on a.subject = f.fold and a.feature = t.feature), r as (select *, row_number() over (partition by fold order by round(m, 9) desc, feature) as r from m) select feature, count(distinct fold) as selected, round(count(distinct fold) / (select count(*) from f)::double, 6) as frequency, count(distinct fold) / (select count(*) from f)::double >= 0.6 as stable from r where r <= 2 group by 1")
 def selection_frequency(spark, sf):
-    a = _long(spark, sf).where("subject < 30").groupBy("subject", "feature").agg(F.avg("value").alias("v"))
-    m = ml.training_sets(a).groupBy("fold", "feature").agg(F.avg("v").alias("m"))
-    top = m.withColumn("r", F.row_number().over(Window.partitionBy("fold").orderBy(F.col("m").desc(), "feature"))).where("r <= 2")
+    a = _long(spark, sf).groupBy("subject", "feature").agg(F.avg("value").alias("value"))
+    m = ml.held_out_means(a)
+    top = m.withColumn("r", F.row_number().over(Window.partitionBy("fold").orderBy(F.round("mean", 9).desc(), "feature"))).where("r <= 2")
     return evaluate.selection_frequency(top, a.select("subject").distinct().count()).select("feature", "selected", *_r("frequency"), "stable")
 
 
-@query(f"with {_LONG}, f as (select distinct subject as fold from lg) select fold, count(*) as n, round(avg(value), 6) as mean from f join lg on lg.subject <> f.fold group by 1")
+@query(f"with {_LONG}, f as (select distinct subject as fold from lg), o as (select subject, count(*) as n, count(value) as c, sum(value) as s from lg group by 1) select fold, (select count(*) from lg) - n as n, round(((select sum(value) from lg) - s) / ((select count(value) from lg) - c), 6) as mean from f join o on o.subject = f.fold")
 def loso_folds(spark, sf):
-    return ml.training_sets(_long(spark, sf)).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    out = ml.held_out_means(_long(spark, sf).withColumn("feature", F.lit("value")))
+    return out.select("fold", F.col("rows").alias("n"), F.round("mean", 6).alias("mean"))
 
 
-@query("""with e as (select vec_id as id, label as y, embedding::double[] as x from embeddings), q as (select * from e where id % 10 = 0), d as (select q.id, e.id as other, e.y, list_distance(q.x, e.x) as d from q join e on e.id <> q.id), r as (select *, row_number() over (partition by id order by d, other) as r from d)
+@query("""with e as (select vec_id as id, label as y, embedding::double[] as x from embeddings), d as (select q.id, e.id as other, e.y, list_distance(q.x, e.x) as d from e q join e on e.id <> q.id), r as (select *, row_number() over (partition by id order by d, other) as r from d)
 select id, (avg((y % 2)::double) > 0.5)::int as pred, round(avg((y % 2)::double), 6) as score from r where r <= 3 group by 1""")
 def knn_loso(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("grp"), (F.col("label") % 2).cast("int").alias("y"), F.col("embedding").alias("x"))
-    return ml.knn_vote(ml.nearest_neighbours(rows, rows.where("id % 10 = 0"))).select("id", "pred", *_r("score"))
+    return ml.knn_vote(ml.nearest_neighbours(rows, rows)).select("id", "pred", *_r("score"))
+
+
+#: Measures of a nation's customers in each market segment: of nations as subjects, or of each segment as a window.
+_MEASURES = ("mean", "std", "most", "least", "size", "twice", "one")
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_CELLS = """c0 as (select c_nationkey::bigint as nation, c_mktsegment as segment, round(avg(c_acctbal), 4) as mean, round(stddev_samp(c_acctbal), 4) as std, max(c_acctbal) as most, min(c_acctbal) as least, count(*)::double as size, 2 * round(avg(c_acctbal), 4) as twice, 1e0 as one from customer group by 1, 2),
+c1 as (unpivot c0 on mean, std, most, least, size, twice, one into name k value value),
+cells as (select nation, segment, (nation % 2)::int as label, k, case when (nation + length(segment)) % 7 <> 0 then value end as value from c1)"""
+_BY_NATION = "src as (select nation as id, nation as grp, label, segment || '_' || k as feature, value from cells)"
+_BY_WINDOW = f"src as (select nation * 5 + list_position({list(_SEGMENTS)}, segment) - 1 as id, nation as grp, label, k as feature, value from cells)"
+_NATION_COLUMNS = [f"{s}_{k}" for k in _MEASURES for s in reversed(_SEGMENTS)]
+
+
+def _selection(source: str, columns: list[str], top: int) -> str:
+    """SQL of the selection inside folds: rows z of the chosen features, scaled, and places r."""
+    at = lambda c: f"list_position({columns}, {c})"
+    return f"""{_CELLS}, {source}, f as (select distinct grp as fold from src),
+    r0 as (select fold, id, label, feature, value, grp <> fold as train from src, f),
+    k1 as (select fold, feature, coalesce(avg((value is null)::int) <= 0.3 and var_samp(value) > 1e-10, false) as ok, median(value) as fill from r0 where train group by 1, 2),
+    k2 as (select fold, feature, fill from (select *, max(ok::int) over (partition by fold) as any_ok from k1) where ok or any_ok = 0),
+    x as (select r0.fold, id, label, feature, coalesce(value, fill, 0) as value, train from r0 join k2 using (fold, feature)),
+    rk as (select fold, id, label, feature, rank() over (partition by fold, feature order by value) + (count(*) over (partition by fold, feature, value) - 1) / 2e0 as rk from x where train),
+    bad as (select distinct fold, feature from (select a.fold, b.feature from rk a join rk b on a.fold = b.fold and a.id = b.id and {at('a.feature')} < {at('b.feature')} group by a.fold, a.feature, b.feature having stddev_pop(a.rk) > 0 and stddev_pop(b.rk) > 0 and abs(corr(a.rk, b.rk)) > 0.9e0)),
+    e0 as (select fold, feature, sum(rk) filter (where label = 1) as r1, count(*) filter (where label = 1)::double as n1, count(*) filter (where label = 0)::double as n0 from rk where (fold, feature) not in (select (fold, feature) from bad) group by 1, 2),
+    e1 as (select fold, feature, row_number() over (partition by fold order by abs(2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n0) - 1) desc, {at('feature')}) as r from e0),
+    top as (select * from e1 where r <= {top}),
+    sc as (select fold, feature, avg(value) as m, stddev_pop(value) as s from x where train group by 1, 2),
+    z as (select x.fold, x.id, x.label, x.train, top.r, x.feature, (value - m) / (case when s > 0 then s else 1 end) as v from x join top using (fold, feature) join sc using (fold, feature))"""
+
+
+_NEIGHBOURS = """d as (select q.fold, q.id, q.label as y, e.id as other, e.label as ye, sqrt(sum((q.v - e.v) ** 2)) as d from z q join z e on q.fold = e.fold and q.feature = e.feature where not q.train and e.train group by 1, 2, 3, 4, 5),
+n as (select *, row_number() over (partition by fold, id order by round(d, 9), other) as r from d)
+select fold, id, y, (avg(ye::double) > 0.5)::int as pred, round(avg(ye::double), 6) as score from n where r <= 3 group by fold, id, y"""
+
+
+def _cells(spark, sf):
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    c = c.agg(F.round(F.avg("c_acctbal"), 4).alias("mean"), F.round(F.stddev_samp("c_acctbal"), 4).alias("std"), F.max("c_acctbal").alias("most"), F.min("c_acctbal").alias("least"), F.count(F.lit(1)).cast("double").alias("size"))
+    c = c.withColumn("twice", 2 * F.col("mean")).withColumn("one", F.lit(1.0)).unpivot(["nation", "segment"], list(_MEASURES), "k", "value")
+    value = F.when((F.col("nation") + F.length("segment")) % 7 != 0, F.col("value"))
+    return c.select("nation", "segment", (F.col("nation") % 2).cast("int").alias("label"), "k", value.alias("value")).where("value is not null or k is not null")
+
+
+def _nations(spark, sf):
+    return _cells(spark, sf).select(F.col("nation").alias("subject"), "label", F.concat_ws("_", "segment", "k").alias("feature"), "value")
+
+
+def _nation_windows(spark, sf):
+    at = F.array_position(F.array(*map(F.lit, _SEGMENTS)), F.col("segment"))
+    return _cells(spark, sf).select(F.col("nation").alias("subject"), (F.col("nation") * 5 + at - 1).alias("window_id"), "label", F.col("k").alias("feature"), "value")
+
+
+@query(f"with {_selection(_BY_NATION, _NATION_COLUMNS, 5)}, {_NEIGHBOURS}")
+def subject_loso(spark, sf):
+    return ml.subject_level(_nations(spark, sf), _NATION_COLUMNS, top=5)["predictions"].select("fold", "id", "y", "pred", *_r("score"))
+
+
+@query(f"with {_selection(_BY_WINDOW, list(_MEASURES), 3)}, {_NEIGHBOURS}")
+def window_logo(spark, sf):
+    return ml.window_level(_nation_windows(spark, sf), list(_MEASURES), top=3)["predictions"].select("fold", "id", "y", "pred", *_r("score"))
+
+
+@query(f"with {_selection(_BY_NATION, _NATION_COLUMNS, 5)} select feature, count(distinct fold) as selected, round(count(distinct fold) / (select count(distinct fold) from z)::double, 6) as frequency, count(distinct fold) / (select count(distinct fold) from z)::double >= 0.6 as stable from top group by 1")
+def loso_selected_features(spark, sf):
+    return ml.subject_level(_nations(spark, sf), _NATION_COLUMNS, top=5)["frequency"].select("feature", "selected", *_r("frequency"), "stable")
+
+
+_SUMMARY = """p as ({0}), c as (select sum((y = 1 and pred = 1)::int)::double as tp, sum((y = 0 and pred = 1)::int)::double as fp, sum((y = 1 and pred = 0)::int)::double as fn, sum((y = 0 and pred = 0)::int)::double as tn from p),
+rr as (select y, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2e0 as r from p), au as (select (sum(r) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y)::double * sum(1 - y)) as auc from rr)
+select '{1}' as "group", {2} as n_features, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, tn::bigint as tn, round((tp + tn) / (tp + fp + fn + tn), 6) as acc, round(auc, 6) as auc from c, au"""
+_GROUPED = {k: [f"{s}_{k}" for s in reversed(_SEGMENTS)] for k in ("mean", "most")}
+
+
+def _group_sql(name: str, own: list[str]) -> str:
+    source = f"{_BY_NATION[:-1]} where segment || '_' || k in {tuple(own)})"
+    return f"select * from (with {_SUMMARY.format(f'with {_selection(source, own, 3)}, {_NEIGHBOURS}', name, len(own))})"
+
+
+@query(" union all ".join(_group_sql(k, v) for k, v in _GROUPED.items()))
+def feature_group_ablation(spark, sf):
+    out = ml.group_ablation(_nations(spark, sf), _NATION_COLUMNS, _GROUPED, top=3)
+    return out.select("group", F.col("n_features").cast("int").alias("n_features"), "tp", "fp", "fn", "tn", *_r("acc", "auc"))
+
+
+@query(f"with {_VEC.replace('0.01 *', '0.01::float *')}, g as (select feature, (label < 5)::int as grp, value from vl), {_MOMENTS} select feature, round(score, 6) as score, r::int as r from (select feature, abs(m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) + 1e-12) as score, row_number() over (order by abs(m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) + 1e-12) desc, feature) as r from m) where r <= 5")
+def effect_topk_cohen(spark, sf):
+    return features.effect_top(_vector_features(spark, sf).withColumn("label", (F.col("label") < 5).cast("int")), 5, "cohen_abs").select("feature", *_r("score"), "r")
+
+
+@query()
+def effect_topk_p(spark, sf):
+    return features.effect_top(_vector_features(spark, sf).withColumn("label", (F.col("label") < 5).cast("int")), 5, "mw_neglogp", 0.05).select("feature", *_r("score"), "r")
 
 
 def _labelled_vectors(spark, sf):
@@ -797,7 +895,7 @@ def _labelled_vectors(spark, sf):
 
 def _model_query(name: str):
     def f(spark, sf):
-        return ml.cross_validate(_labelled_vectors(spark, sf), ml.classifiers()[name], 3)
+        return ml.cross_validate(_labelled_vectors(spark, sf), ml.classifiers()[name])
 
     f.__name__ = f"{name}_cv"
     return query()(f)

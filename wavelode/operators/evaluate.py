@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import series as S
-from .stats import average_rank
+from .stats import rank_sums
 
 EPS = 1e-9
 
@@ -80,9 +80,8 @@ def binary_metrics(df: DataFrame, *by: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, *by: str) -> DataFrame:
     """Area under the curve of scores (y, score), from average ranks."""
-    rows = average_rank(df, "score", *by)
-    s = rows.groupBy(*by).agg(F.sum(F.when(F.col("y") == 1, F.col("rank"))).alias("r"), F.count_if(F.col("y") == 1).cast("double").alias("n1"), F.count_if(F.col("y") == 0).cast("double").alias("n0"))
-    return s.select(*by, F.try_divide(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n0") * F.col("n1")).alias("auc"))
+    rows = df.select(*by, F.col("y").cast("int").alias("grp"), F.col("score").alias("value"), F.lit(0).alias("_all"))
+    return rank_sums(rows, by or ("_all",)).select(*by, F.try_divide(F.col("u"), F.col("n0").cast("double") * F.col("n1")).alias("auc"))
 
 
 def selection_frequency(selected: DataFrame, folds: int) -> DataFrame:

@@ -6,10 +6,43 @@ groups carry every column in ``by``, so a fold's statistics never see its test r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import average_rank, rank_sums
+from .stats import average_rank, cohens_d, rank_sum_p, rank_sums
+
+#: Endings of feature names that describe the embedding, not the signal.
+NON_BIOMARKERS = ("Tau", "EmbeddingDim", "EmbeddedVectors", "NumPoints", "RQA_epsilon")
+#: Signals whose features are extracted, in this order.
+SIGNALS = ("Pressure_Clean", "VMD_Reconstructed", "VMD_Mode3", "VMD_Mode4")
+
+
+def available_signals(df: DataFrame, preferred: tuple[str, ...] = SIGNALS) -> list[str]:
+    """Those of ``preferred`` that are columns of ``df``, in their order."""
+    return [c for c in preferred if c in df.columns]
+
+
+def recommended_signals(clean: bool = True, rebuilt: bool = True, modes: tuple[int, ...] = (3, 4)) -> list[str]:
+    """Signals to extract features of: the clean one, the rebuilt one, and single modes."""
+    return [SIGNALS[0]] * clean + [SIGNALS[1]] * rebuilt + [f"VMD_Mode{m}" for m in modes]
+
+
+def drop_non_biomarkers(df: DataFrame, endings: tuple[str, ...] = NON_BIOMARKERS) -> DataFrame:
+    """Rows of a long table without the features (or aggregates of features) that only describe the embedding."""
+    return df.where(~F.col("feature").rlike(rf"_({'|'.join(endings)})(__[A-Za-z0-9]+)?$"))
+
+
+def feature_group(feature: Column) -> Column:
+    """Kind of measure that a feature name tells: phase space, recurrence, entropy, fractal, divergence, or basic."""
+    return (
+        F.when(feature.contains("_PS_"), "phase_space").when(feature.contains("_RQA_"), "recurrence").when(feature.rlike("_(SampEn|PermEn)"), "entropy")
+        .when(feature.rlike("_(HFD|KFD|PFD)"), "fractal").when(feature.contains("_ApproxLLE"), "divergence").otherwise("basic")
+    )
+
+
+def _position(feature: str, columns: list[str] | None) -> Column:
+    """What orders features: their place in ``columns``, or their names without it."""
+    return F.array_position(F.array(*[F.lit(c) for c in columns]), F.col(feature)) if columns else F.col(feature)
 
 
 def to_long(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -73,25 +106,50 @@ def standardize(df: DataFrame, by: tuple[str, ...] = (), train: str | None = Non
     return df.join(s, [*by, "feature"]).withColumn("value", (F.col("value") - F.col("_m")) / scale).drop("_m", "_s")
 
 
-def spearman(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rank correlation (a, b, rho) of features, each pair once, a before b in name order."""
+def spearman(df: DataFrame, by: tuple[str, ...] = (), columns: list[str] | None = None) -> DataFrame:
+    """Rank correlation (a, b, rho) of features, each pair once, a before b in the order of ``columns`` or of names."""
     ranked = average_rank(df, "value", *by, "feature").select(*by, "subject", "feature", "rank")
     left, right = ranked.withColumnRenamed("feature", "a").withColumnRenamed("rank", "x"), ranked.withColumnRenamed("feature", "b").withColumnRenamed("rank", "y")
-    pairs = left.join(right, [*by, "subject"]).where("a < b")
+    pairs = left.join(right, [*by, "subject"]).where(_position("a", columns) < _position("b", columns))
     varied = (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0)
     return pairs.groupBy(*by, "a", "b").agg(F.when(varied, F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).alias("rho"))
 
 
-def correlation_filter(df: DataFrame, by: tuple[str, ...] = (), most: float = 0.9) -> DataFrame:
-    """(by, feature) that no earlier feature, kept or not, correlates with beyond ``most``."""
-    bad = spearman(df, by).where(F.abs("rho") > most).select(*by, F.col("b").alias("feature")).distinct()
+def correlation_filter(df: DataFrame, by: tuple[str, ...] = (), most: float = 0.9, columns: list[str] | None = None) -> DataFrame:
+    """(by, feature) that no earlier feature, kept or not, correlates with beyond ``most``.
+
+    Earlier is by place in ``columns``, or by name without it.
+    """
+    bad = spearman(df, by, columns).where(F.abs("rho") > most).select(*by, F.col("b").alias("feature")).distinct()
     return df.select(*by, "feature").distinct().join(bad, [*by, "feature"], "left_anti")
 
 
-def effect_top(df: DataFrame, k: int = 15) -> DataFrame:
-    """The k features (feature, score, r) with the largest absolute Cliff's delta of label 1 against 0, by name among equals."""
-    s = rank_sums(df.select("feature", F.col("label").alias("grp"), "value")).select("feature", F.abs("delta").alias("score"))
-    return s.withColumn("r", F.row_number().over(Window.orderBy(F.col("score").desc(), "feature"))).where(F.col("r") <= k)
+def effect_scores(df: DataFrame, how: str = "cliff_abs", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, feature, score) of label 1 against 0: absolute Cliff's delta or Cohen's d, or -log10 of the rank test's p.
+
+    A score that cannot be computed is 0.
+    """
+    keys = (*by, "feature")
+    rows = df.select(*keys, F.col("label").alias("grp"), "value")
+    if how == "cliff_abs":
+        found = rank_sums(rows, keys).select(*keys, F.abs("delta").alias("score"))
+    elif how == "cohen_abs":
+        found = cohens_d(rows, True, keys).select(*keys, F.abs("cohens_d").alias("score"))
+    elif how == "mw_neglogp":
+        found = rank_sums(rows, keys).withColumn("p", rank_sum_p("u", "n1", "n0", "z", "has_ties")).select(*keys, (-F.log10(F.col("p") + 1e-12)).alias("score"))
+    else:
+        raise ValueError("how must be cliff_abs, cohen_abs or mw_neglogp")
+    return found.withColumn("score", F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)))
+
+
+def effect_top(df: DataFrame, k: int = 15, how: str = "cliff_abs", least: float | None = None, by: tuple[str, ...] = (), columns: list[str] | None = None) -> DataFrame:
+    """The k features (by, feature, score, r) of the largest effect, by place in ``columns`` or by name among equals.
+
+    With ``least`` features below that score are left out; where that is all of them, the best one stays.
+    """
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), _position("feature", columns)))
+    ranked = effect_scores(df, how, by).withColumn("r", rank).where(F.col("r") <= k)
+    return ranked if least is None else ranked.where((F.col("score") >= least) | (F.col("r") == 1))
 
 
 def anova_f(df: DataFrame) -> DataFrame:

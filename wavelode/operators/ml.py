@@ -10,20 +10,37 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import evaluate
+from ..functions.lineage import cut
+from . import evaluate, features
 
-#: Rows that are asked at once in the nearest-neighbour search, as a bound of what is sent to tasks.
-MOST_QUERIES = 20_000
+#: Rows of a block in the nearest-neighbour search.
+BLOCK = 2048
 
 
-def training_sets(df: DataFrame, subject: str = "subject") -> DataFrame:
-    """All leave-one-subject-out training sets in one table: every row once for each other subject, as fold.
+def held_out_means(df: DataFrame, value: str = "value") -> DataFrame:
+    """(fold, feature, n, mean) of all rows but the fold's own, for every subject as fold.
 
-    Every statistic of a fold is then a group by fold. Subjects are few, so the table is
-    the input times a constant; use ``fold_of`` where they are many.
+    A fold's sums are the total's less the subject's own, so nothing is copied: the
+    result has a row for each subject and feature, and so has the work.
     """
-    folds = df.select(F.col(subject).alias("fold")).distinct()
-    return df.join(folds, F.col(subject) != F.col("fold"))
+    own = df.groupBy("subject", "feature").agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.count(F.lit(1)).alias("rows"))
+    total = own.groupBy("feature").agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("rows").alias("trows"))
+    every = own.select(F.col("subject").alias("fold")).distinct().crossJoin(total)
+    mine = own.withColumnRenamed("subject", "fold")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = every.join(mine, ["fold", "feature"], "left")
+    n = F.col("tn") - zero("n")
+    return out.select("fold", "feature", (F.col("trows") - zero("rows")).alias("rows"), n.alias("n"), F.try_divide(F.col("ts") - zero("s"), n).alias("mean"))
+
+
+def fold_rows(df: DataFrame, group: str = "subject") -> DataFrame:
+    """Rows of all leave-one-group-out folds: every row once for each group, as fold, with whether it trains there.
+
+    For groups that are few, as patients are: the table is the input times their number.
+    Where they are many ``fold_of`` deals them to a fixed number of folds first.
+    """
+    folds = df.select(F.col(group).alias("fold")).distinct()
+    return df.crossJoin(folds).withColumn("train", F.col(group) != F.col("fold"))
 
 
 def fold_of(subject, k: int):
@@ -31,40 +48,128 @@ def fold_of(subject, k: int):
     return F.pmod(F.xxhash64(subject), F.lit(k)).cast("int")
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+def _nearest_block(k: int):
+    def run(key, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"fold": [], "id": [], "other": [], "y_other": [], "distance": []})
+        if asked.empty or rows.empty:
+            return none
+        q, x = np.stack(asked["x"]).astype(float), np.stack(rows["x"]).astype(float)
+        out = []
+        for lo in range(0, len(q), max(1, 20_000_000 // x.size)):
+            part = asked.iloc[lo : lo + max(1, 20_000_000 // x.size)]
+            d = np.sqrt(((q[lo : lo + len(part), None, :] - x[None, :, :]) ** 2).sum(2))
+            d[part["grp"].to_numpy()[:, None] == rows["grp"].to_numpy()[None, :]] = np.inf
+            # Ties go to the smaller id, as they do where blocks are merged.
+            best = np.lexsort((np.broadcast_to(rows["id"].to_numpy(), d.shape), d))[:, :k]
+            at = np.repeat(np.arange(len(part)), best.shape[1])
+            found = pd.DataFrame({"fold": part["fold"].to_numpy()[at], "id": part["id"].to_numpy()[at], "other": rows["id"].to_numpy()[best.ravel()], "y_other": rows["y"].to_numpy()[best.ravel()], "distance": d[at, best.ravel()]})
+            out.append(found[np.isfinite(found["distance"])])
+        return pd.concat(out) if out else none
+
+    return run
+
+
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 3, block: int = BLOCK) -> DataFrame:
     """The k nearest rows (id, grp, y, x) of every query that belong to other groups: (id, other, y_other, distance, r).
 
-    Queries are a stated set of bounded size and go to every task; each task keeps its own
-    k best for every query, and these are merged.
+    Where ``rows`` has a column fold, queries meet the rows of their own fold only, and the
+    result has it too. Every block of queries meets every block of rows of its fold and
+    gives the k best of each query, which are merged: a task holds two blocks.
+    """
+    folded = "fold" in rows.columns
+    own = lambda df: df if folded else df.withColumn("fold", F.lit(0).cast("long"))
+    kind = rows.schema["fold"].dataType.simpleString() if folded else "long"
+    size = lambda df, name: own(df).groupBy("fold").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = cut(size(queries, "lefts").join(size(rows, "rights"), "fold"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    deal = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    asked = own(queries).join(sizes, "fold").select("fold", "id", "grp", "x", deal("lefts").alias("p"), every("rights").alias("q"))
+    # Renamed, as queries may be rows of the same table.
+    renamed = [F.col(c).alias(c) for c in ("fold", "id", "grp", "x")]
+    against = own(rows).join(sizes, "fold").select(*renamed, F.col("y").cast("int").alias("y"), deal("rights").alias("q"), every("lefts").alias("p"))
+    found = asked.groupBy("fold", "p", "q").cogroup(against.groupBy("fold", "p", "q")).applyInPandas(_nearest_block(k), f"fold {kind}, id long, other long, y_other int, distance double")
+    rank = F.row_number().over(Window.partitionBy("fold", "id").orderBy("distance", "other"))
+    found = found.withColumn("r", rank).where(F.col("r") <= k)
+    return found if folded else found.drop("fold")
+
+
+def knn_vote(neighbours: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, id, pred, score): majority label of the neighbours and the share of label 1."""
+    s = neighbours.groupBy(*by, "id").agg(F.avg((F.col("y_other") == 1).cast("double")).alias("score"))
+    return s.select(*by, "id", (F.col("score") > 0.5).cast("int").alias("pred"), "score")
+
+
+def select_in_folds(df: DataFrame, columns: list[str], top: int = 15, most_missing: float = 0.3, least_variance: float = 1e-10, most_corr: float = 0.9, how: str = "cliff_abs", least: float | None = None) -> DataFrame:
+    """Features chosen and scaled inside each fold, from its training rows alone.
+
+    ``df`` is long: (fold, train, subject, label, feature, value), where subject is the
+    row's id and ``columns`` the order of features. In turn: missing values and variance,
+    medians for missing values, rank correlation, effect size, and standard scaling. Folds
+    whose training rows have one label are left out. Returns the chosen features' rows of all
+    rows of a fold, with their place r by effect.
     """
-    asked = queries.select("id", "grp", "x").limit(MOST_QUERIES + 1).toPandas()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
-    shared = rows.sparkSession.sparkContext.broadcast((asked["id"].to_numpy(), asked["grp"].to_numpy(), np.stack(asked["x"]).astype(float) if len(asked) else np.zeros((0, 1))))
-
-    def run(batches):
-        ids, grp, q = shared.value
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.stack(pdf["x"]).astype(float)
-            d = np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(2), 0)) if len(q) * len(x) * x.shape[1] < 5e7 else np.stack([np.sqrt(((a - x) ** 2).sum(1)) for a in q])
-            d[grp[:, None] == pdf["grp"].to_numpy()[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            at = np.repeat(np.arange(len(ids)), best.shape[1])
-            to = best.ravel()
-            out = pd.DataFrame({"id": ids[at], "other": pdf["id"].to_numpy()[to], "y_other": pdf["y"].to_numpy()[to], "distance": d[at, to]})
-            yield out[np.isfinite(out["distance"])]
-
-    found = rows.select("id", "grp", "y", "x").mapInPandas(run, "id long, other long, y_other int, distance double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
-    return found.withColumn("r", rank).where(F.col("r") <= k)
-
-
-def knn_vote(neighbours: DataFrame) -> DataFrame:
-    """(id, pred, score): majority label of the neighbours and the share of label 1."""
-    s = neighbours.groupBy("id").agg(F.avg((F.col("y_other") == 1).cast("double")).alias("score"))
-    return s.select("id", (F.col("score") > 0.5).cast("int").alias("pred"), "score")
+    train = df.where("train")
+    both = train.groupBy("fold").agg(F.count_distinct("label").alias("n")).where("n = 2").select("fold")
+    df = cut(df.join(both, "fold"))
+    kept = features.missing_variance(df.where("train"), ("fold",), most_missing, least_variance)
+    filled = cut(features.impute(df.join(kept, ["fold", "feature"], "left_semi"), ("fold",), "train"))
+    apart = features.correlation_filter(filled.where("train"), ("fold",), most_corr, columns)
+    filled = cut(filled.join(apart, ["fold", "feature"], "left_semi"))
+    chosen = cut(features.effect_top(filled.where("train"), top, how, least, ("fold",), columns).select("fold", "feature", "r"))
+    return features.standardize(filled.join(chosen, ["fold", "feature"]), ("fold",), "train")
+
+
+def _vectors(selected: DataFrame) -> DataFrame:
+    """(fold, id, train, y, x): a row's chosen features in the order of their effect."""
+    x = F.transform(F.sort_array(F.collect_list(F.struct("r", "value"))), lambda v: v["value"])
+    return selected.groupBy("fold", F.col("subject").alias("id"), "train", F.col("label").alias("y")).agg(x.alias("x"))
+
+
+def evaluate_folds(df: DataFrame, columns: list[str], model="knn", k: int = 3, **selection) -> dict[str, DataFrame]:
+    """Selection inside folds and one model: predictions, summary, selected features and how often each was.
+
+    ``df`` is what ``fold_rows`` makes of a long table. ``model`` is "knn", or an MLlib
+    classifier, of which one is fitted per fold.
+    """
+    selected = cut(select_in_folds(df, columns, **selection))
+    vectors = cut(_vectors(selected))
+    if model == "knn":
+        rows = vectors.where("train").withColumn("grp", F.lit(0))
+        asked = vectors.where("not train").withColumn("grp", F.lit(1))
+        pred = knn_vote(nearest_neighbours(rows, asked, k), ("fold",)).join(vectors.where("not train").select("fold", "id", "y"), ["fold", "id"])
+    else:
+        pred = None
+        for r in vectors.select("fold").distinct().orderBy("fold").collect():  # one model per fold
+            part = _fit_and_predict(vectors.where(F.col("fold") == r.fold), F.col("train"), model)
+            pred = part if pred is None else pred.unionByName(part)
+    pred = pred.select("fold", "id", F.col("y").cast("int").alias("y"), "pred", "score")
+    per_fold = selected.select("fold", "feature").distinct()
+    folds = pred.select("fold").distinct().count()
+    return {"predictions": pred, "summary": evaluate.binary_metrics(pred).crossJoin(evaluate.roc_auc(pred)), "selected": per_fold, "frequency": evaluate.selection_frequency(per_fold, folds)}
+
+
+def subject_level(df: DataFrame, columns: list[str], model="knn", **selection) -> dict[str, DataFrame]:
+    """Leave one subject out, over a long table with one value per subject and feature (subject, label, feature, value)."""
+    return evaluate_folds(fold_rows(df.where("label is not null")), columns, model, **selection)
+
+
+def window_level(df: DataFrame, columns: list[str], model="knn", **selection) -> dict[str, DataFrame]:
+    """Leave one subject out, over windows: (subject, window_id, label, feature, value), window_id being unique.
+
+    All windows of a subject are tested together and never train for one another.
+    """
+    rows = fold_rows(df.where("label is not null and subject is not null"))
+    return evaluate_folds(rows.drop("subject").withColumnRenamed("window_id", "subject"), columns, model, **selection)
+
+
+def group_ablation(df: DataFrame, columns: list[str], groups: dict[str, list[str]], model="knn", **selection) -> DataFrame:
+    """Subject-level results with the features of one group at a time: group, n_features and the summary's columns."""
+    out = None
+    for name, members in groups.items():
+        own = [c for c in columns if c in members]
+        part = subject_level(df.where(F.col("feature").isin(own)), own, model, **selection)["summary"].select(F.lit(name).alias("group"), F.lit(len(own)).alias("n_features"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def classifiers() -> dict:
@@ -73,30 +178,41 @@ def classifiers() -> dict:
     return {
         "logistic": LogisticRegression(regParam=0.01, **common),
         "linear_svm": LinearSVC(regParam=0.01, **common),
-        "random_forest": RandomForestClassifier(numTrees=50, minInstancesPerNode=2, seed=42, **common),
+        "random_forest": RandomForestClassifier(numTrees=300, minInstancesPerNode=2, seed=42, **common),
         "gbt": GBTClassifier(maxIter=10, seed=42, **common),
     }
 
 
+def _fit_and_predict(rows: DataFrame, train, model) -> DataFrame:
+    """Fit on the rows where ``train`` holds, labels weighted to balance, and predict the others: (fold, id, y, pred, score)."""
+    counts = {r.y: r.n for r in rows.where(train).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.values())
+    weight = F.when(F.col("y") == 1, float(total / (2 * counts[1]))).otherwise(float(total / (2 * counts[0])))
+    rows = rows.withColumn("features", array_to_vector(F.col("x").cast("array<double>"))).withColumn("weight", weight).withColumn("y", F.col("y").cast("double"))
+    pred = model.fit(rows.where(train)).transform(rows.where(~train))
+    score = vector_to_array("probability")[1] if "probability" in pred.columns else vector_to_array("rawPrediction")[1]
+    return pred.select("fold", "id", F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"), score.alias("score"))
+
+
 def cross_validate(df: DataFrame, model, folds: int = 5) -> DataFrame:
     """Out-of-fold predictions (subject, fold, y, pred, score) of one model over rows (subject, y, x).
 
-    Scaling and class weights are fitted on each fold's training rows. A fold whose training
-    rows have one label is skipped.
+    Components are scaled and labels weighted from each fold's training rows. A fold whose
+    training rows have one label is skipped.
     """
-    df = df.withColumn("fold", fold_of("subject", folds))
+    df = cut(df.withColumn("fold", fold_of("subject", folds)))
     out = None
     counts = df.groupBy("fold", "y").count().toPandas()
     for k in range(folds):
         train = counts[counts["fold"] != k].groupby("y")["count"].sum()
         if len(train) < 2 or not len(counts[counts["fold"] == k]):
             continue
-        weights = F.when(F.col("y") == 1, float(train.sum() / (2 * train[1]))).otherwise(float(train.sum() / (2 * train[0])))
-        rows = df.withColumn("features", array_to_vector(F.col("x").cast("array<double>"))).withColumn("y", F.col("y").cast("double")).withColumn("weight", weights)
-        fitted = model.fit(rows.where(F.col("fold") != k))
-        pred = fitted.transform(rows.where(F.col("fold") == k))
-        score = vector_to_array("probability")[1] if "probability" in pred.columns else vector_to_array("rawPrediction")[1]
-        part = pred.select("subject", "fold", F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"), score.alias("score"))
+        # One row: mean and deviation of every component of the training rows.
+        parts = df.where(F.col("fold") != k).select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+        scale = parts.agg(F.sort_array(F.collect_list(F.struct("at", "m", "s"))).alias("scale"))
+        scaled = F.transform("x", lambda v, i: (v - F.col("scale")[i]["m"]) / F.when(F.col("scale")[i]["s"] > 0, F.col("scale")[i]["s"]).otherwise(1.0))
+        rows = df.crossJoin(F.broadcast(scale)).select(F.col("subject").alias("id"), "fold", "y", scaled.alias("x"))
+        part = _fit_and_predict(rows, F.col("fold") != k, model).withColumnRenamed("id", "subject").withColumn("fold", F.lit(k))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no fold has training rows of both labels")

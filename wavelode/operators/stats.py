@@ -1,53 +1,74 @@
 """Two-sample statistics over long tables (feature, grp, value): grp 1 against grp 0.
 
-Ranks are windows over each feature; nothing compares every value with every other.
+Ranks come from counts of distinct values, dealt over all tasks by ranges of the value:
+nothing compares every value with every other, and no group is ranked in one task.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
+from ..functions.lineage import cut
 
 TINY = 1e-12
 
 
+def counts_before(df: DataFrame, value: str, by: tuple[str, ...], **counted) -> DataFrame:
+    """One row per distinct value of a group: how many rows meet each condition, and how many of the group's smaller values do.
+
+    ``counted`` names conditions; ``x`` gives columns x and before_x. Distinct values are
+    counted before they move, ranges of them are added up side by side, and a table of
+    one row per group and range carries the sums on.
+    """
+    names = list(counted)
+    rows = df.groupBy(*by, value).agg(*[F.count_if(c).cast("double").alias(n) for n, c in counted.items()])
+    rows = cut(rows.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    over = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranges = rows.groupBy(*by, "_part").agg(*[F.sum(n).alias(n) for n in names])
+    earlier = ranges.select(*by, "_part", *[over(Window.partitionBy(*by).orderBy("_part"), n).alias(f"_{n}") for n in names])
+    inside = Window.partitionBy(*by, "_part").orderBy(value)
+    rows = rows.select("*", *[over(inside, n).alias(f"before_{n}") for n in names]).join(earlier, [*by, "_part"])
+    return rows.select(*by, value, *names, *[(F.col(f"before_{n}") + F.col(f"_{n}")).alias(f"before_{n}") for n in names])
+
+
 def average_rank(df: DataFrame, value: str, *by: str, out: str = "rank") -> DataFrame:
-    """Add ranks from 1 in which equal values share their mean rank, and ties, how many share it."""
-    over = Window.partitionBy(*by).orderBy(value)
-    df = df.withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy(*by, value)))
-    return df.withColumn(out, F.rank().over(over) + (F.col("ties") - 1) / F.lit(2.0))
+    """Add ranks from 1 in which equal values share their mean rank, and ties, how many share it; nulls have none."""
+    ranks = counts_before(df.where(F.col(value).isNotNull()), value, by, n=F.lit(True))
+    ranks = ranks.select(*by, value, F.col("n").cast("long").alias("ties"), (F.col("before_n") + (F.col("n") + 1) / 2).alias(out))
+    return df.join(ranks, [*by, value], "left")
 
 
-def _moments(df: DataFrame) -> DataFrame:
+def _moments(df: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
     one = lambda g, c: F.when(F.col("grp") == g, F.col(c))
     parts = [f(one(g, "value")).alias(f"{n}{g}") for g in (1, 0) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp), ("median", F.median))]
-    return df.where("value is not null").groupBy("feature").agg(*parts)
+    return df.where("value is not null").groupBy(*by).agg(*parts)
 
 
-def cohens_d(df: DataFrame, floor: bool = False) -> DataFrame:
+def cohens_d(df: DataFrame, floor: bool = False, by: tuple[str, ...] = ("feature",)) -> DataFrame:
     """Mean difference over the pooled deviation: null without variation, or floored at 1e-12 where asked."""
-    m = _moments(df)
+    m = _moments(df, by)
     pooled = ((F.col("n1") - 1) * F.col("var1") + (F.col("n0") - 1) * F.col("var0")) / (F.col("n1") + F.col("n0") - 2)
     d = (F.col("mean1") - F.col("mean0")) / (F.sqrt(pooled + TINY) if floor else F.sqrt(pooled))
-    return m.select("feature", (d if floor else F.when(pooled > TINY * TINY, d)).alias("cohens_d"))
+    return m.select(*by, (d if floor else F.when(pooled > TINY * TINY, d)).alias("cohens_d"))
 
 
-def rank_sums(df: DataFrame) -> DataFrame:
-    """(feature, n1, n0, u, delta, z): Mann-Whitney U of group 1, Cliff's delta, and z with continuity and tie correction."""
-    rows = average_rank(df.where("value is not null"), "value", "feature")
-    tied = F.sum((F.col("ties") * F.col("ties") - 1).cast("double"))
-    s = rows.groupBy("feature").agg(F.count_if(F.col("grp") == 1).alias("n1"), F.count_if(F.col("grp") == 0).alias("n0"), F.sum(F.when(F.col("grp") == 1, F.col("rank"))).alias("r1"), tied.alias("tied"))
+def rank_sums(df: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
+    """(by, n1, n0, u, delta, z): Mann-Whitney U of group 1, Cliff's delta, and z with continuity and tie correction."""
+    rows = counts_before(df.where("value is not null and grp in (0, 1)"), "value", by, a=F.col("grp") == 1, b=F.col("grp") == 0)
+    size = F.col("a") + F.col("b")
+    rank = F.col("before_a") + F.col("before_b") + (size + 1) / 2
+    s = rows.groupBy(*by).agg(F.sum("a").cast("long").alias("n1"), F.sum("b").cast("long").alias("n0"), F.sum(F.when(F.col("a") > 0, F.col("a") * rank)).alias("r1"), F.sum(size * (size * size - 1)).alias("tied"))
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     n = n1 + n0
     s = s.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
     sigma = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.try_divide(F.col("tied"), n * (n - 1))))
     top = F.greatest(F.col("u"), n1 * n0 - F.col("u"))
     z = F.try_divide(top - n1 * n0 / 2 - 0.5, sigma)
-    return s.select("feature", "n1", "n0", "u", (F.try_divide(2 * F.col("u"), n1 * n0) - 1).alias("delta"), z.alias("z"), (F.col("tied") > 0).alias("has_ties"))
+    return s.select(*by, "n1", "n0", "u", (F.try_divide(2 * F.col("u"), n1 * n0) - 1).alias("delta"), z.alias("z"), (F.col("tied") > 0).alias("has_ties"))
 
 
 def welch(df: DataFrame) -> DataFrame:
@@ -118,15 +139,15 @@ def balanced_sample(event: DataFrame, fixed: DataFrame, key: str, n_event: int |
 def delong(scores: DataFrame) -> DataFrame:
     """Paired comparison of two scores (id, y, s1, s2) by area under the curve: auc1, auc2, diff, z.
 
-    Placements come from ranks: a positive's placement is its rank among all less its rank
-    among positives, over the number of negatives.
+    A positive's placement is the share of negatives below its score, those at it counting
+    half; a negative's is the share of positives above it.
     """
     long = scores.select("id", "y", F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col("s1").alias("s")), F.struct(F.lit(2).alias("k"), F.col("s2").alias("s")))).alias("e")).select("id", "y", "e.k", "e.s")
-    ranked = average_rank(average_rank(long, "s", "k", out="all").drop("ties"), "s", "k", "y", out="own")
+    below = counts_before(long.where("s is not null"), "s", ("k",), a=F.col("y") == 1, b=F.col("y") == 0)
     size = scores.agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
-    other = F.when(F.col("y") == 1, F.col("n0")).otherwise(F.col("n1"))
-    v = (F.col("all") - F.col("own")) / other
-    place = ranked.crossJoin(F.broadcast(size)).withColumn("v", F.when(F.col("y") == 1, v).otherwise(1 - v))
+    place = long.join(below, ["k", "s"]).crossJoin(F.broadcast(size))
+    under = lambda n: F.col(f"before_{n}") + F.col(n) / 2
+    place = place.withColumn("v", F.when(F.col("y") == 1, under("b") / F.col("n0")).otherwise(1 - under("a") / F.col("n1")))
     wide = place.groupBy("id", "y", "n1", "n0").agg(F.max(F.when(F.col("k") == 1, F.col("v"))).alias("v1"), F.max(F.when(F.col("k") == 2, F.col("v"))).alias("v2"))
     pos = lambda c: F.when(F.col("y") == 1, F.col(c))
     neg = lambda c: F.when(F.col("y") == 0, F.col(c))
@@ -147,20 +168,46 @@ def mcnemar(df: DataFrame) -> DataFrame:
     return s.select("b", "c", k.alias("statistic"), F.least(F.lit(1.0), 2 * logs).alias("p"))
 
 
-def bootstrap_interval(df: DataFrame, value: str, draws: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """(estimate, low, high) of a mean by the Poisson bootstrap: each row counts a random number of times in each draw.
-
-    Weights come from a hash of row and draw, so rows never move for a draw and every
-    engine run has the same ones.
-    """
-    rows = df.select(F.col(value).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("k"), F.monotonically_increasing_id().alias("id"))
-    u = F.pmod(F.xxhash64("id", "k", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+def _poisson(*key: Column | str) -> Column:
+    """A count drawn from the Poisson distribution of mean 1 by a hash of ``key``."""
+    u = F.pmod(F.xxhash64(*key), F.lit(1 << 53)) / F.lit(float(1 << 53))
     steps, total, term = F.lit(0), 0.0, 2.718281828459045**-1
     for i in range(1, 12):
         total += term
         steps = steps + (u >= total).cast("int")
         term /= i
-    mean = rows.withColumn("w", steps).groupBy("k").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
+    return steps
+
+
+def bootstrap_interval(df: DataFrame, value: str, key: str, draws: int = 2000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(estimate, low, high) of a mean by the Poisson bootstrap: each row counts a random number of times in each draw.
+
+    Weights come from a hash of ``key``, the row's id, and the draw: they do not depend on
+    how rows are dealt to tasks, and rows are added up draw by draw before anything moves.
+    """
+    rows = df.select(F.col(value).alias("v"), F.col(key).alias("id")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    mean = rows.withColumn("w", _poisson("id", "k", F.lit(seed))).groupBy("k").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
+    return _interval(df.agg(F.avg(value).alias("estimate")), mean, level)
+
+
+def _interval(estimate: DataFrame, drawn: DataFrame, level: float) -> DataFrame:
     tail = (1 - level) / 2
-    est = df.agg(F.avg(value).alias("estimate"))
-    return est.crossJoin(F.broadcast(mean.agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))))
+    return estimate.crossJoin(F.broadcast(drawn.agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))))
+
+
+def bootstrap_auc(df: DataFrame, key: str, draws: int = 2000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(estimate, low, high) of the area under the curve of scores (y, score), over the same kind of draws.
+
+    A draw's area needs its weights of both labels at each distinct score, in order: a
+    table of one row per draw and distinct score.
+    """
+    def area(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        s = rows.groupBy(*by, "score").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("b"))
+        before = F.coalesce(F.sum("b").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        s = s.withColumn("below", before + F.col("b") / 2)
+        return s.groupBy(*by).agg(F.try_divide(F.sum(F.col("a") * F.col("below")), (F.sum("a") * F.sum("b")).cast("double")).alias("m"))
+
+    rows = df.select("y", "score", F.col(key).alias("id"))
+    drawn = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", _poisson("id", "k", F.lit(seed)))
+    whole = area(rows.withColumn("w", F.lit(1)).withColumn("k", F.lit(0)), ("k",))
+    return _interval(whole.select(F.col("m").alias("estimate")), area(drawn.where("w > 0"), ("k",)).where("m is not null"), level)
