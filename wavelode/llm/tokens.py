@@ -29,9 +29,10 @@ class _Pieces(dict):
         return value
 
     def parts(self, piece: str) -> bytes:
-        first, *lines = _LINE.split(piece)
-        if lines:
-            return self[first] + b"".join(self.encode.line + self.inner[line] for line in lines)
+        if "\n" in piece:
+            first, *lines = _LINE.split(piece)
+            if lines:
+                return self[first] + b"".join(self.encode.line + self.inner[line] for line in lines)
         word = piece[:-1]
         if piece[-1:] in _MARKS and word.isalpha():
             return self[word] + self.inner[piece[-1]]
