@@ -197,9 +197,16 @@ def project_mask(spark, sf):
     return series.project_mask(df, "flag", series.resample(df), 1000.0).select("subject", "k", "inside")
 
 
-@query(f"with {EV} select subject, seq::bigint as seq, round(coalesce((-3 * lag(p, 2) over ({W}) + 12 * lag(p) over ({W}) + 17 * p + 12 * lead(p) over ({W}) - 3 * lead(p, 2) over ({W})) / 35, p), 6) as smooth from s")
+def _parabola(first: str, weights: tuple[int, ...]) -> str:
+    """Weighted sum of five samples in a row, of which ``first`` is the place of the first from the current one."""
+    at = lambda k: f"lead(p, {k}) over ({W})" if k > 0 else f"lag(p, {-k}) over ({W})" if k < 0 else "p"
+    return "(" + " + ".join(f"{w}e0 * {at(first + i)}" for i, w in enumerate(weights)) + ") / 35"
+
+
+@query(f"""with {EV}, n as (select *, count(*) over (partition by subject) as n from s) select subject, seq::bigint as seq, round(case when n < 5 then p when seq = 0 then {_parabola(0, (31, 9, -3, -5, 3))} when seq = 1 then {_parabola(-1, (9, 13, 12, 6, -5))}
+when seq = n - 1 then {_parabola(-4, (3, -5, -3, 9, 31))} when seq = n - 2 then {_parabola(-3, (-5, 6, 12, 13, 9))} else {_parabola(-2, (-3, 12, 17, 12, -3))} end, 6) as smooth from n""")
 def savgol(spark, sf):
-    return series.savgol_interior(event_series(spark, sf), 5).select("subject", "seq", *_r("smooth"))
+    return series.savgol(event_series(spark, sf), 5).select("subject", "seq", *_r("smooth"))
 
 
 # ------------------------------------------------------------------ denoising
@@ -232,6 +239,10 @@ def physio_events(spark, sf):
     return _events(spark, sf).select("subject", "start", "end", *_r("t_start", "t_end"), "n", *_r("peak"), *_r("area", n=4))
 
 
+#: Limits for series whose noise is as large as their values.
+_LOW = denoise.Limits(amp=1.0, slope=1.0, curve=1.0)
+
+
 def _estimated(spark, sf):
     df = series.rolling_median(event_series(spark, sf), 25, "p", "baseline").withColumn("residual", F.col("p") - F.col("baseline"))
     return denoise.local_noise(df)
@@ -247,14 +258,12 @@ _BRIDGE = f"lag(p) over ({W}) + (lead(p) over ({W}) - lag(p) over ({W})) * (t -
 @query(f"""with {EV}, {_noise('s')}, x as (select *, p - lag(p) over ({W}) as l, lead(p) over ({W}) - p as r, abs(lag(p) over ({W}) - lead(p) over ({W})) as gap, {_BRIDGE} as br, quantile_cont(s_p, 0.5) over ({W} rows between 2 preceding and 2 following) as near from noise)
 select subject, seq::bigint as seq from x where l * r < 0 and abs(p - br) > greatest(1 * s_p, 3) and abs(l) > greatest(1 * s_dp, 3) and abs(r) > greatest(1 * s_dp, 3) and gap <= 4 * near + 3""")
 def isolated_spikes(spark, sf):
-    with _scaled(1.0):
-        return denoise.isolated_spikes(_estimated(spark, sf)).where("spike").select("subject", "seq")
+    return denoise.isolated_spikes(_estimated(spark, sf), k=_LOW).where("spike").select("subject", "seq")
 
 
 @query(f"""with {EV}, {_noise('s')}, x as (select *, {_BRIDGE} as br from noise) select subject, seq::bigint as seq from x where abs(ddp) > greatest(1 * s_ddp, 3) and abs(p - br) > greatest(1 * s_p, 3)""")
 def curvature_spikes(spark, sf):
-    with _scaled(1.0):
-        return denoise.curvature_spikes(_estimated(spark, sf)).where("curved").select("subject", "seq")
+    return denoise.curvature_spikes(_estimated(spark, sf), k=_LOW).where("curved").select("subject", "seq")
 
 
 @query(f"""with {EV}, {DT}, {_BASE}, x as (select *, greatest(1 * s_p, 3) as amp, abs(residual) > greatest(1 * s_p, 3) as flag, lag(p) over ({W}) as l, lead(p) over ({W}) as r from noise),
@@ -262,8 +271,7 @@ y as (select *, row_number() over ({W}) - row_number() over (partition by subjec
 z as (select subject, min(seq) as a, max(seq) + 1 as b, count(*) as n, arg_min_null(l, seq) as l, arg_max_null(r, seq) as r, max(abs(residual)) as peak, quantile_cont(s_p, 0.5) as noise, quantile_cont(amp, 0.5) as amp, max(t) - min(t) as span from y where flag group by subject, run)
 select z.subject, a::bigint as start, b::bigint as "end", round(peak, 6) as peak from z join dt on z.subject = dt.subject where n <= 4 and span <= 2000 and abs(l - r) <= 4 * noise + 3 and peak > amp""")
 def short_pulses(spark, sf):
-    with _scaled(1.0):
-        return denoise.short_pulses(_estimated(spark, sf), 4, 2000.0).select("subject", "start", "end", *_r("peak"))
+    return denoise.short_pulses(_estimated(spark, sf), 4, 2000.0, k=_LOW).select("subject", "start", "end", *_r("peak"))
 
 
 @query(f"""with {EV}, {_noise('s')}, x as (select *, lead(p) over ({W}) - p as d, lead(p) over ({W}) as p1, lead(t) over ({W}) as t1, greatest(1 * s_p, 3) as amp, greatest(greatest(1 * s_dp, 3), lead(greatest(1 * s_dp, 3)) over ({W})) as lim from noise),
@@ -272,22 +280,7 @@ g as (select f.subject, f.i, f.j, a.p as pa, a.t as ta, b.p1 as pb, b.t1 as tb f
 h as (select g.subject, i, j, max(abs(x.p - (pa + (pb - pa) * (x.t - ta) / nullif(tb - ta, 0)))) as off, quantile_cont(x.amp, 0.5) as lim from g join x on x.subject = g.subject and x.seq > i and x.seq <= j group by 1, 2, 3)
 select subject, (i + 1)::bigint as start, (j + 1)::bigint as "end" from h where off > lim""")
 def reverse_edges(spark, sf):
-    with _scaled(1.0):
-        return denoise.reverse_edges(_estimated(spark, sf)).select("subject", "start", "end")
-
-
-class _scaled:
-    """Thresholds for series whose noise is as large as their values."""
-
-    def __init__(self, k: float):
-        self.k = k
-
-    def __enter__(self):
-        self.kept = denoise.AMP_K, denoise.SLOPE_K, denoise.CURV_K
-        denoise.AMP_K = denoise.SLOPE_K = denoise.CURV_K = self.k
-
-    def __exit__(self, *_):
-        denoise.AMP_K, denoise.SLOPE_K, denoise.CURV_K = self.kept
+    return denoise.reverse_edges(_estimated(spark, sf), k=_LOW).select("subject", "start", "end")
 
 
 _STEPPED = "st as (select subject, seq, t, floor(p / 40) * 40 as p from s)"
@@ -299,8 +292,7 @@ z as (select subject, min(seq) as a, max(seq) + 1 as b, count(*) as n, arg_min_n
 select subject, a::bigint as start, b::bigint as "end" from z where n >= 4 and (coalesce(l, 0) > noise or coalesce(r, 0) > noise)""")
 def flatlines(spark, sf):
     df = event_series(spark, sf).withColumn("p", F.floor(F.col("p") / 40).cast("double") * 40)
-    with _scaled(1.0):
-        return denoise.flatlines(denoise.local_noise(df), 4).select("subject", "start", "end")
+    return denoise.flatlines(denoise.local_noise(df), 4, k=_LOW).select("subject", "start", "end")
 
 
 @query(f"""with {US}, {DT}, {DIFF}, m as (select subject, 1.4826e0 * mad(dp) as a, 1.4826e0 * mad(p) as b, avg((p < 5 or p > 150)::int) as o from d group by 1),

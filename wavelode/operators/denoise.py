@@ -6,6 +6,8 @@ exchange by subject. Thresholds are arguments; the defaults suit a capsule's pre
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,21 @@ from ..functions.lineage import cut
 from . import series as S
 
 GATE, GATE_GAP = (85.0, 130.0), 30.0
-AMP_K, SLOPE_K, CURV_K, LEAST_SPIKE, RETURN_K = 6.0, 6.0, 6.0, 3.0, 4.0
-EVENT_AMP_K, EVENT_AREA_K = 3.0, 1.5
+
+
+class Limits(NamedTuple):
+    """Multiples of the local noise beyond which samples are artifacts or events, and the least spike."""
+
+    amp: float = 6.0
+    slope: float = 6.0
+    curve: float = 6.0
+    spike: float = 3.0
+    back: float = 4.0
+    event_amp: float = 3.0
+    event_area: float = 1.5
+
+
+DEFAULT = Limits()
 
 
 def range_gate(df: DataFrame, low: float = GATE[0], high: float = GATE[1], max_gap: float = GATE_GAP) -> DataFrame:
@@ -48,7 +63,7 @@ def local_noise(df: DataFrame, width: int = 17, column: str = "p") -> DataFrame:
     return df.withColumn("s_p", F.col("s_dp") / F.sqrt(F.lit(2.0)))
 
 
-def events(df: DataFrame, least_samples: int = 2, amp_k: float = EVENT_AMP_K, area_k: float = EVENT_AREA_K, max_gap: int = 1, residual: str = "residual", noise: str = "s_p") -> DataFrame:
+def events(df: DataFrame, least_samples: int = 2, amp_k: float = DEFAULT.event_amp, area_k: float = DEFAULT.event_area, max_gap: int = 1, residual: str = "residual", noise: str = "s_p") -> DataFrame:
     """Physiological events: subject, start, end (exclusive), times, n, peak and area.
 
     Samples rise above amp_k times the noise; short gaps between them are closed; a run
@@ -84,38 +99,38 @@ def _bridge() -> Column:
     return p0 + (p1 - p0) * F.try_divide(F.col("t") - t0, t1 - t0)
 
 
-def isolated_spikes(df: DataFrame, out: str = "spike") -> DataFrame:
+def isolated_spikes(df: DataFrame, out: str = "spike", k: Limits = DEFAULT) -> DataFrame:
     """One sample away from both neighbours, which agree with each other.
 
     Jumps to and from it have opposite signs and exceed the slope threshold, it is off the
     bridge by more than the amplitude threshold, and the neighbours differ by no more
-    than RETURN_K times the median noise of five samples plus LEAST_SPIKE.
+    than ``back`` times the median noise of five samples plus the least spike.
     """
     w = S.ordered()
     left, right = F.col("p") - F.lag("p").over(w), F.lead("p").over(w) - F.col("p")
-    amp, slope = F.greatest(AMP_K * F.col("s_p"), F.lit(LEAST_SPIKE)), F.greatest(SLOPE_K * F.col("s_dp"), F.lit(LEAST_SPIKE))
+    amp, slope = F.greatest(k.amp * F.col("s_p"), F.lit(k.spike)), F.greatest(k.slope * F.col("s_dp"), F.lit(k.spike))
     near = F.percentile("s_p", 0.5).over(w.rowsBetween(-2, 2))
-    back = F.abs(F.lag("p").over(w) - F.lead("p").over(w)) <= RETURN_K * near + LEAST_SPIKE
+    back = F.abs(F.lag("p").over(w) - F.lead("p").over(w)) <= k.back * near + k.spike
     found = (left * right < 0) & (F.abs(F.col("p") - _bridge()) > amp) & (F.abs(left) > slope) & (F.abs(right) > slope) & back
     return df.withColumn(out, F.coalesce(found, F.lit(False)))
 
 
-def curvature_spikes(df: DataFrame, out: str = "curved") -> DataFrame:
+def curvature_spikes(df: DataFrame, out: str = "curved", k: Limits = DEFAULT) -> DataFrame:
     """A large second difference at a sample that is off the bridge of its neighbours."""
-    amp, curve = F.greatest(AMP_K * F.col("s_p"), F.lit(LEAST_SPIKE)), F.greatest(CURV_K * F.col("s_ddp"), F.lit(LEAST_SPIKE))
+    amp, curve = F.greatest(k.amp * F.col("s_p"), F.lit(k.spike)), F.greatest(k.curve * F.col("s_ddp"), F.lit(k.spike))
     return df.withColumn(out, F.coalesce((F.abs("ddp") > curve) & (F.abs(F.col("p") - _bridge()) > amp), F.lit(False)))
 
 
-def short_pulses(df: DataFrame, most: int = 4, max_seconds: float = 4.8, event: str | None = None) -> DataFrame:
+def short_pulses(df: DataFrame, most: int = 4, max_seconds: float = 4.8, event: str | None = None, k: Limits = DEFAULT) -> DataFrame:
     """Runs of large residuals, of either sign, that return to where they began: subject, start, end, peak.
 
-    Runs need both outside neighbours, whose gap is at most RETURN_K times the median
-    noise plus LEAST_SPIKE, and a peak above the median threshold. Longer runs that are
+    Runs need both outside neighbours, whose gap is at most ``back`` times the median
+    noise plus the least spike, and a peak above the median threshold. Longer runs that are
     mostly event are skipped.
     """
     step = S.sampling_interval(df)
     w = S.ordered()
-    df = df.withColumn("_amp", F.greatest(AMP_K * F.col("s_p"), F.lit(LEAST_SPIKE))).withColumn("_large", F.coalesce(F.abs("residual") > F.col("_amp"), F.lit(False)))
+    df = df.withColumn("_amp", F.greatest(k.amp * F.col("s_p"), F.lit(k.spike))).withColumn("_large", F.coalesce(F.abs("residual") > F.col("_amp"), F.lit(False)))
     df = S.runs(df.withColumn("_l", F.lag("p").over(w)).withColumn("_r", F.lead("p").over(w)), "_large").where("_large")
     share = F.avg(F.col(event).cast("int")) if event else F.lit(0.0)
     found = df.groupBy("subject", "run").agg(
@@ -124,11 +139,11 @@ def short_pulses(df: DataFrame, most: int = 4, max_seconds: float = 4.8, event:
     ).join(step, "subject")
     short = (F.col("n") <= most) & (F.col("_span") + F.col("dt") <= max_seconds + F.col("dt"))
     skipped = (F.col("_event") > 0.5) & (F.col("_span") + F.col("dt") > max_seconds)
-    returns = F.abs(F.col("_l") - F.col("_r")) <= RETURN_K * F.col("_noise") + LEAST_SPIKE
+    returns = F.abs(F.col("_l") - F.col("_r")) <= k.back * F.col("_noise") + k.spike
     return found.where(short & ~skipped & returns & (F.col("peak") > F.col("_amp"))).select("subject", "start", "end", "peak")
 
 
-def reverse_edges(df: DataFrame, most: int = 4) -> DataFrame:
+def reverse_edges(df: DataFrame, most: int = 4, k: Limits = DEFAULT) -> DataFrame:
     """Pulses between a large edge and the first large edge back: subject, start, end.
 
     For each edge only the first opposite one within ``most`` + 1 samples counts, whether
@@ -136,7 +151,7 @@ def reverse_edges(df: DataFrame, most: int = 4) -> DataFrame:
     samples ahead are gathered by a bounded window, so no join of samples is needed.
     """
     w = S.ordered()
-    amp, slope = F.greatest(AMP_K * F.col("s_p"), F.lit(LEAST_SPIKE)), F.greatest(SLOPE_K * F.col("s_dp"), F.lit(LEAST_SPIKE))
+    amp, slope = F.greatest(k.amp * F.col("s_p"), F.lit(k.spike)), F.greatest(k.slope * F.col("s_dp"), F.lit(k.spike))
     df = df.withColumn("_slope", slope).withColumn("_amp", amp)
     edge = F.lead("p").over(w) - F.col("p")
     limit = F.greatest(F.col("_slope"), F.lead("_slope").over(w))
@@ -152,15 +167,15 @@ def reverse_edges(df: DataFrame, most: int = 4) -> DataFrame:
     return df.where(off > limit).select("subject", (F.col("seq") + 1).alias("start"), (F.col("_back.seq") + 1).alias("end"))
 
 
-def flatlines(df: DataFrame, least: int = 10, eps: float = 1e-6) -> DataFrame:
-    """Runs without change, entered or left by a jump above AMP_K times the median noise: subject, start, end."""
+def flatlines(df: DataFrame, least: int = 10, eps: float = 1e-6, k: Limits = DEFAULT) -> DataFrame:
+    """Runs without change, entered or left by a jump above ``amp`` times the median noise: subject, start, end."""
     w = S.ordered()
     flat = F.coalesce(F.abs(F.col("p") - F.lag("p").over(w)) <= eps, F.lit(True))
     df = df.withColumn("_flat", flat).withColumn("_l", F.abs(F.col("p") - F.lag("p").over(w))).withColumn("_r", F.abs(F.lead("p").over(w) - F.col("p")))
     df = df.withColumn("_l0", F.lag("_l").over(w))
     df = S.runs(df, "_flat").where("_flat")
     found = df.groupBy("subject", "run").agg(F.min("seq").alias("start"), (F.max("seq") + 1).alias("end"), F.count(F.lit(1)).alias("n"), F.min_by("_l0", "seq").alias("_in"), F.max_by("_r", "seq").alias("_out"), F.percentile("s_p", 0.5).alias("_noise"))
-    jump = AMP_K * F.col("_noise")
+    jump = k.amp * F.col("_noise")
     return found.where((F.col("n") >= least) & ((F.coalesce("_in", F.lit(0.0)) > jump) | (F.coalesce("_out", F.lit(0.0)) > jump))).select("subject", "start", "end")
 
 
@@ -184,14 +199,14 @@ def quality_flag(low: Column, ranged: Column, artifact: Column) -> Column:
     return F.when(low, "low_confidence").when(ranged, "hard_range_reconstructed").when(artifact, "artifact_reconstructed").otherwise("good")
 
 
-def artifacts(df: DataFrame, most: int = 4, max_seconds: float = 4.8, flat: int = 10, event: str = "event") -> DataFrame:
+def artifacts(df: DataFrame, most: int = 4, max_seconds: float = 4.8, flat: int = 10, event: str = "event", k: Limits = DEFAULT) -> DataFrame:
     """Add artifact: samples that any of the five rules marks, in runs that last no longer than artifacts do.
 
     Longer runs stay only where events cover less than a fifth of them.
     """
-    pulses = short_pulses(df, most, max_seconds, event).select("subject", "start", "end")
-    spans = pulses.union(reverse_edges(df, most)).union(flatlines(df, flat)).distinct()
-    df = cut(mark(curvature_spikes(isolated_spikes(df)), spans, "_span"))
+    pulses = short_pulses(df, most, max_seconds, event, k).select("subject", "start", "end")
+    spans = pulses.union(reverse_edges(df, most, k)).union(flatlines(df, flat, k=k)).distinct()
+    df = cut(mark(curvature_spikes(isolated_spikes(df, k=k), k=k), spans, "_span"))
     df = S.runs(df.withColumn("_any", F.col("spike") | F.col("curved") | F.col("_span")), "_any").join(S.sampling_interval(df), "subject")
     run = Window.partitionBy("subject", "_any", "run")
     lasts = F.max("t").over(run) - F.min("t").over(run) + F.col("dt")
@@ -201,14 +216,14 @@ def artifacts(df: DataFrame, most: int = 4, max_seconds: float = 4.8, flat: int
 
 def smooth(df: DataFrame, width: int = 5, column: str = "p", event: str = "event", out: str = "smoothed") -> DataFrame:
     """Blend with a local quadratic fit: events keep 0.85 of their value at least, samples next to them 0.65."""
-    df = S.savgol_interior(df, width, column, "_fit")
+    df = S.savgol(df, width, column, "_fit")
     df = S.expand_mask(df, event, 1, "_near")
     weight = F.when(F.col(event), 0.85).when(F.col("_near"), 0.65).otherwise(0.0)
     weight = F.greatest(weight, F.least(F.greatest(F.coalesce(F.col("score"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
     return df.withColumn(out, weight * F.col(column) + (1 - weight) * F.col("_fit")).drop("_fit", "_near")
 
 
-def denoise(df: DataFrame, low: float = GATE[0], high: float = GATE[1], passes: int = 2, baseline: int = 51, noise: int = 17, smooth_width: int = 5) -> DataFrame:
+def denoise(df: DataFrame, low: float = GATE[0], high: float = GATE[1], passes: int = 2, baseline: int = 51, noise: int = 17, smooth_width: int = 5, k: Limits = DEFAULT) -> DataFrame:
     """The whole chain over prepared series.
 
     Gate, then ``passes`` times: baseline, noise, events, artifacts, and interpolation
@@ -221,14 +236,14 @@ def denoise(df: DataFrame, low: float = GATE[0], high: float = GATE[1], passes:
     df = cut(df.withColumn("p", F.col("range_fixed")).withColumn("done", F.lit(False)))
     base = ["subject", "seq", "t", "raw", "range_fixed", "out_of_range", "low_confidence", "p", "done"]
     for _ in range(passes):
-        now = artifacts(_estimates(df.select(*base), baseline, noise))
+        now = artifacts(_estimates(df.select(*base), baseline, noise, k), k=k)
         now = S.expand_mask(now, "artifact", 1, "_wide").withColumn("_wide", F.col("artifact") | (F.col("_wide") & ~F.col("event")))
         by = Window.partitionBy("subject")
         now = now.withColumn("_new", F.max(F.col("_wide") & ~F.col("done")).over(by))
         now = now.withColumn("done", F.when(F.col("_new"), F.col("done") | F.col("_wide")).otherwise(F.col("done")))
         now = S.interpolate(now, ~F.col("done"), y="range_fixed", out="_fixed")
         df = cut(now.withColumn("p", F.when(F.col("_new"), F.coalesce("_fixed", "p")).otherwise(F.col("p"))).select(*base))
-    df = smooth(_estimates(df, baseline, noise), smooth_width)
+    df = smooth(_estimates(df, baseline, noise, k), smooth_width)
     flag = quality_flag(F.col("low_confidence"), F.col("out_of_range"), F.col("done"))
     return df.select(
         "subject", "seq", "t", "raw", "range_fixed", F.col("p").alias("preclean"), F.col("smoothed").alias("clean"), "baseline", "residual", F.col("s_p").alias("noise"),
@@ -236,9 +251,9 @@ def denoise(df: DataFrame, low: float = GATE[0], high: float = GATE[1], passes:
     )
 
 
-def _estimates(df: DataFrame, baseline: int, noise: int) -> DataFrame:
+def _estimates(df: DataFrame, baseline: int, noise: int, k: Limits) -> DataFrame:
     """Add baseline, residual, noise, event and score."""
     df = S.rolling_median(df, baseline, "p", "baseline").withColumn("residual", F.col("p") - F.col("baseline"))
     df = cut(local_noise(df, noise))
-    df = cut(mark(df, events(df), "event"))
-    return df.withColumn("score", F.when(F.col("event"), F.greatest(F.col("residual") / (EVENT_AMP_K * F.col("s_p") + 1e-9), F.lit(0.0))).otherwise(0.0))
+    df = cut(mark(df, events(df, amp_k=k.event_amp, area_k=k.event_area), "event"))
+    return df.withColumn("score", F.when(F.col("event"), F.greatest(F.col("residual") / (k.event_amp * F.col("s_p") + 1e-9), F.lit(0.0))).otherwise(0.0))

@@ -51,19 +51,53 @@ def trapezoid_area(df: DataFrame, *by: str) -> DataFrame:
     return df.withColumn("part", part).groupBy(*keys).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("area"))
 
 
-def _filled(c: Column) -> Column:
-    """Nulls take the next value, and the last one where there is no next."""
-    w = ordered()
-    back = F.last(c, ignorenulls=True).over(backwards())
-    return F.coalesce(back, F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+#: Samples of a block, in which the wide windows over a subject's samples are evaluated.
+BLOCK = 4096
+
+
+def in_blocks(df: DataFrame, reach: int):
+    """``df`` with _block, and the window over a block's samples in order.
+
+    A sample is copied to every block that has samples within ``reach`` of it, so frames
+    up to that reach are whole for a block's own samples (``own_block``). Blocks of a long
+    series are evaluated side by side. Needs seq without gaps from 0.
+    """
+    first, last = F.greatest(F.floor((F.col("seq") - reach) / BLOCK), F.lit(0)), F.floor((F.col("seq") + reach) / BLOCK)
+    return df.withColumn("_block", F.explode(F.sequence(first, last))), Window.partitionBy("subject", "_block").orderBy("seq")
+
+
+def own_block(df: DataFrame) -> DataFrame:
+    """Each sample once, from the block that it belongs to."""
+    return df.where(F.floor(F.col("seq") / BLOCK) == F.col("_block")).drop("_block")
+
+
+def filled(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Nulls take the next value, and the last one where there is no next.
+
+    Blocks are filled side by side; what is beyond a block comes from a table of the first
+    and last value of every block.
+    """
+    df = df.withColumn("_block", F.floor(F.col("seq") / BLOCK))
+    value = F.struct("seq", F.col(column).alias("v"))
+    held = F.when(F.col(column).isNotNull(), value)
+    ends = df.groupBy("subject", "_block").agg(F.min(held).alias("_a"), F.max(held).alias("_b"))
+    later = Window.partitionBy("subject").orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("subject").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("subject", "_block", F.last("_a", True).over(later)["v"].alias("_next"), F.last("_b", True).over(earlier)["v"].alias("_before"))
+    own = Window.partitionBy("subject", "_block")
+    up, down = own.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0), own.orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_down", F.last(column, True).over(down)).withColumn("_up", F.last(column, True).over(up)).join(ends, ["subject", "_block"])
+    return df.withColumn(out, F.coalesce("_down", "_next", "_up", "_before")).drop("_block", "_down", "_up", "_next", "_before")
 
 
 def rolling_median(df: DataFrame, width: int, column: str = "p", out: str = "median") -> DataFrame:
     """Centred median over an odd number of samples, filled where too few are there."""
-    h, w = width // 2, ordered()
+    h = width // 2
+    df, w = in_blocks(df, h)
     frame = w.rowsBetween(-h, h)
-    raw = F.when(F.count(column).over(frame) >= max(3, width // 3), F.percentile(column, 0.5).over(frame))
-    return df.withColumn(out, raw).withColumn(out, _filled(F.col(out)))
+    df = own_block(df.withColumn("_near", F.collect_list(column).over(frame)))
+    df = df.withColumn("_raw", F.when(F.size("_near") >= max(3, width // 3), array_median(F.col("_near")))).drop("_near")
+    return filled(df, "_raw", out).drop("_raw")
 
 
 def array_median(a: Column) -> Column:
@@ -82,14 +116,14 @@ def robust_mad(df: DataFrame, column: str = "p", eps: float = 1e-9, *by: str) ->
 
 def rolling_mad(df: DataFrame, width: int, column: str = "p", out: str = "mad", eps: float = 1e-9) -> DataFrame:
     """Centred scaled MAD, filled like the rolling median, at least 0.05 of the subject's own MAD."""
-    h, w = width // 2, ordered()
-    frame = w.rowsBetween(-h, h)
-    df = df.withColumn("_near", F.collect_list(column).over(frame))
+    h = width // 2
+    whole = robust_mad(df, column, 0.0).withColumnRenamed("mad", "_whole")
+    df, w = in_blocks(df, h)
+    df = own_block(df.withColumn("_near", F.collect_list(column).over(w.rowsBetween(-h, h))))
     df = df.withColumn("_mid", array_median(F.col("_near")))
     dev = array_median(F.transform("_near", lambda x: F.abs(x - F.col("_mid"))))
-    df = df.withColumn(out, F.when(F.size("_near") >= max(3, width // 3), dev * MAD_SCALE)).drop("_near", "_mid")
-    whole = robust_mad(df, column, 0.0).withColumnRenamed("mad", "_whole")
-    return df.withColumn(out, _filled(F.col(out))).join(whole, "subject").withColumn(out, F.greatest(out, F.lit(eps), 0.05 * F.col("_whole"))).drop("_whole")
+    df = df.withColumn("_raw", F.when(F.size("_near") >= max(3, width // 3), dev * MAD_SCALE)).drop("_near", "_mid")
+    return filled(df, "_raw", out).join(whole, "subject").withColumn(out, F.greatest(out, F.lit(eps), 0.05 * F.col("_whole"))).drop("_whole", "_raw")
 
 
 def scaled(df: DataFrame, column: str = "p", eps: float = 1e-12) -> DataFrame:
@@ -161,7 +195,7 @@ def interpolate(df: DataFrame, known: Column, x: str = "t", y: str = "p", out: s
 
 
 def bfill_ffill(df: DataFrame, column: str, out: str = "filled") -> DataFrame:
-    return df.withColumn(out, _filled(F.col(column)))
+    return filled(df, column, out)
 
 
 def resample(df: DataFrame, dt: DataFrame | None = None) -> DataFrame:
@@ -195,14 +229,30 @@ def project_mask(df: DataFrame, flag: str, grid: DataFrame, pad: float) -> DataF
     return both.where("kind = 1").select("subject", "k", "t", (F.col("_in") > 0).alias("inside"))
 
 
-def savgol_interior(df: DataFrame, width: int, column: str = "p", out: str = "smooth") -> DataFrame:
-    """Local quadratic fit by fixed weights; samples nearer than half a window to an end keep their value."""
+def savgol(df: DataFrame, width: int, column: str = "p", out: str = "smooth") -> DataFrame:
+    """Value of a least-squares parabola over the ``width`` samples around each.
+
+    Samples nearer than half a window to an end take the value of the first or last whole
+    window's parabola at their place. A subject with fewer than ``width`` samples keeps
+    its values, and so does a sample whose window has a missing one.
+    """
     h, w = width // 2, ordered()
-    # Closed form of the least-squares parabola's value at the middle of 2h + 1 samples.
-    norm = (2 * h - 1) * (2 * h + 1) * (2 * h + 3) / 3
-    weight = lambda i: (3 * h * (h + 1) - 1 - 5 * i * i) / norm
+    n, s2 = width, h * (h + 1) * (2 * h + 1) / 3
+    s4 = s2 * (3 * h * h + 3 * h - 1) / 5
+    # Orthogonal polynomials 1, i and i * i - s2 / n over the window's places.
+    weight = lambda i, x: 1 / n + i * x / s2 + (i * i - s2 / n) * (x * x - s2 / n) / (s4 - s2 * s2 / n)
     total = None
     for i in range(-h, h + 1):
-        term = (F.lag(column, -i) if i < 0 else F.lead(column, i)).over(w) * weight(i) if i else F.col(column) * weight(0)
+        term = ((F.lag(column, -i) if i < 0 else F.lead(column, i)).over(w) if i else F.col(column)) * weight(i, 0)
         total = term if total is None else total + term
-    return df.withColumn(out, F.coalesce(total, F.col(column)))
+    count = df.groupBy("subject").agg(F.count(F.lit(1)).alias("_n"))
+    df = df.join(count, "subject")
+    near = (F.col("seq") < width) | (F.col("seq") >= F.col("_n") - width)
+    held = F.sort_array(F.collect_list(F.when(near, F.struct("seq", F.col(column).alias("v")))))
+    ends = df.where(near).groupBy("subject").agg(held.alias("_e")).where(F.size("_e") >= width)
+    df = df.withColumn("_mid", total).join(ends, "subject", "left")
+    place = lambda first, x: sum((F.get("_e", first + i + h)["v"] * weight(i, x) for i in range(-h, h + 1)), F.lit(0.0))
+    left, right = F.col("seq") < h, F.col("seq") >= F.col("_n") - h
+    edge = F.when(left, place(F.lit(0), F.col("seq") - h)).when(right, place(F.size("_e") - width, F.col("seq") - (F.col("_n") - 1 - h)))
+    value = F.when(F.col("_n") < width, F.col(column)).when(left | right, edge).otherwise(F.col("_mid"))
+    return df.withColumn(out, F.coalesce(value, F.col(column))).drop("_mid", "_e", "_n")
