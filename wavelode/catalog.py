@@ -362,7 +362,7 @@ def tau_autocorr(spark, sf):
 
 
 _AMI = f"""q as (select subject, least(greatest(case when 2 * (quantile_cont(p, 0.75) - quantile_cont(p, 0.25)) / (count(*) ** (1e0 / 3) + 1e-12) <= 1e-12 then floor(sqrt(count(*))) else ceil((max(p) - min(p)) / (2 * (quantile_cont(p, 0.75) - quantile_cont(p, 0.25)) / (count(*) ** (1e0 / 3) + 1e-12))) end, 8), 64)::int as bins from s group by 1),
-r as (select a.subject, b.seq - a.seq as lag, a.p as x, b.p as y from s a join s b on a.subject = b.subject and b.seq - a.seq between 1 and 5),
+r as (select a.subject, b.seq - a.seq as lag, a.p as x, b.p as y from s a join s b on a.subject = b.subject and b.seq - a.seq between 1 and {{MOST}}),
 e as (select subject, lag, min(x) as xl, max(x) as xh, min(y) as yl, max(y) as yh, count(*) as n from r group by 1, 2),
 b as (select r.subject, r.lag, n, least(floor((x - xl) / (xh - xl) * bins), bins - 1)::int as bx, least(floor((y - yl) / (yh - yl) * bins), bins - 1)::int as by_ from r join e on r.subject = e.subject and r.lag = e.lag join q on q.subject = r.subject),
 h1 as (select subject, lag, -sum(c / n * ln(c / n + 1e-12)) as h from (select subject, lag, n::double as n, bx, count(*) as c from b group by all) group by 1, 2),
@@ -371,11 +371,44 @@ h12 as (select subject, lag, -sum(c / n * ln(c / n + 1e-12)) as h from (select s
 select h1.subject, h1.lag::bigint as lag, round(h1.h + h2.h - h12.h, 6) as ami from h1 join h2 on h1.subject = h2.subject and h1.lag = h2.lag join h12 on h1.subject = h12.subject and h1.lag = h12.lag"""
 
 
-@query(f"with {EM}, {_AMI}")
+_AMI5, _AMI6 = _AMI.replace("{MOST}", "5"), _AMI.replace("{MOST}", "6")
+
+
+@query(f"with {EM}, {_AMI5}")
 def mutual_information(spark, sf):
     return nonlinear.mutual_information(vector_series(spark, sf)).select("subject", F.col("lag").cast("long").alias("lag"), *_r("ami"))
 
 
+def _tau_sql(ami: str, most: int) -> str:
+    """Delays tau: first local minimum of the mutual information, else by the autocorrelation up to lag ``most``."""
+    low = lambda c: f"{c} < lag({c}) over (partition by subject order by lag) and {c} < lead({c}) over (partition by subject order by lag)"
+    at = ami.rindex("select h1.subject")
+    return f"""{_ACF}, ta as (select subject, coalesce(min(case when acf <= exp(-1) then lag end), min(case when low then lag end), 1) as tau from (select *, {low('acf')} as low from acf where lag <= {most}) where lag >= 1 group by 1),
+    {ami[:at]}, mi as ({ami[at:].replace("round(", "(").replace(", 6) as ami", ") as ami")}), tm as (select subject, min(case when low then lag end) as a, count(*) as n from (select *, {low('ami')} as low from mi) group by 1),
+    tau as (select ta.subject, coalesce(case when tm.n >= 5 then a end, ta.tau)::bigint as tau from ta left join tm on tm.subject = ta.subject)"""
+
+
+@query(f"with {EM}, {_tau_sql(_AMI5, 10)} select subject, tau from tau")
+def tau_ami(spark, sf):
+    s = vector_series(spark, sf)
+    return nonlinear.tau_from_mutual_information(nonlinear.mutual_information(s), nonlinear.tau_from_autocorrelation(nonlinear.autocorrelation(s)))
+
+
+def _fnn_sql(m: int) -> str:
+    d = lambda k: " + ".join(f"(a.x{i} - b.x{i}) ** 2" for i in range(k))
+    return f"""nd{m} as (select a.subject, a.i, b.i as j, a.tau, sqrt({d(m)}) as d from v a join v b on a.subject = b.subject where a.x{m} is not null and b.x{m} is not null),
+    nr{m} as (select *, row_number() over (partition by subject, i order by d, abs(i - j), j) as r from nd{m}), nb{m} as (select * from (select *, row_number() over (partition by subject, i order by r) as q from nr{m} where r <= 20 and abs(i - j) > tau) where q = 1),
+    fn{m} as (select n.subject, {m} as m, avg((abs(a.x{m} - b.x{m}) / greatest(n.d, 1e-12) > 10 or sqrt({d(m + 1)}) / sigma > 2)::int) as fnn from nb{m} n join v a on a.subject = n.subject and a.i = n.i join v b on b.subject = n.subject and b.i = n.j join g on g.subject = n.subject group by 1)"""
+
+
+@query(f"""with {EM}, {_tau_sql(_AMI6, 6)}, g as (select subject, stddev_pop(p) + 1e-12 as sigma from s group by 1),
+v as (select a.subject, a.seq as i, tau.tau, a.p as x0, b.p as x1, c.p as x2, d.p as x3 from s a join tau on tau.subject = a.subject left join s b on b.subject = a.subject and b.seq = a.seq + tau.tau left join s c on c.subject = a.subject and c.seq = a.seq + 2 * tau.tau left join s d on d.subject = a.subject and d.seq = a.seq + 3 * tau.tau),
+{", ".join(map(_fnn_sql, (1, 2, 3)))}, fn as (select * from fn1 union all select * from fn2 union all select * from fn3)
+select tau.subject, tau, (select coalesce(min(case when fnn <= 0.05e0 then m end), arg_min(m, fnn * 10 + m * 1e-9), 3) from fn where fn.subject = tau.subject)::bigint as m from tau""")
+def embedding_parameters(spark, sf):
+    return nonlinear.embedding_parameters(vector_series(spark, sf), most_dim=3, least=32)
+
+
 def _embedded(m: int, tau: int = 1) -> str:
     cols = ", ".join(["p as x0"] + [f"lead(p, {k * tau}) over ({W}) as x{k}" for k in range(1, m)])
     return f"v as (select * from (select subject, seq as i, {cols} from s) where x{m - 1} is not null)"
@@ -443,7 +476,7 @@ def katz_petrosian_fd(spark, sf):
 
 
 @query(f"""with {EM}, d as (select *, p - lag(p) over ({W}) as d from s)
-select subject, round(avg(p), 6) as mean, round(stddev_pop(p), 6) as std, round(median(p), 6) as median, round(quantile_cont(p, 0.75) - quantile_cont(p, 0.25), 6) as iqr, round(min(p), 6) as min, round(max(p), 6) as max, round(max(p) - min(p), 6) as range, round(skewness(p), 6) as skewness, round(kurtosis(p) + 3, 6) as kurtosis, round(1.4826e0 * mad(d), 6) as diff_mad, round(avg(d * d), 6) as diff_energy from d group by 1""")
+select subject, round(avg(p), 6) as mean, round(stddev_pop(p), 6) as std, round(median(p), 6) as median, round(quantile_cont(p, 0.75) - quantile_cont(p, 0.25), 6) as iqr, round(min(p), 6) as min, round(max(p), 6) as max, round(max(p) - min(p), 6) as range, round(skewness(p), 6) as skewness, round(kurtosis(p) + 3, 6) as kurtosis, round(1.4826e0 * mad(d), 6) as diff_mad, round(sum(d * d), 6) as diff_energy from d group by 1""")
 def basic_time_features(spark, sf):
     out = nonlinear.basic(vector_series(spark, sf))
     return out.select("subject", *_r(*[c for c in out.columns if c != "subject"]))
@@ -455,7 +488,7 @@ def _nearest(m: int, theiler: int, cap: int) -> str:
 nb as (select subject, i, j, d from (select *, row_number() over (partition by subject, i order by r) as q from nr where r <= {cap} and abs(i - j) > {theiler}) where q = 1)"""
 
 
-@query(f"""with {EM}, {_embedded(3)}, vm as (select * from (select subject, seq as i, p as x0, lead(p) over ({W}) as x1 from s) where x1 is not null), {_nearest(2, 1, 20)}, g as (select subject, stddev_pop(p) + 1e-12 as sigma from s group by 1)
+@query(f"""with {EM}, {_embedded(3)}, vm as (select * from v), {_nearest(2, 1, 20)}, g as (select subject, stddev_pop(p) + 1e-12 as sigma from s group by 1)
 select nb.subject, 2 as m, round(avg((abs(a.x2 - b.x2) / greatest(nb.d, 1e-12) > 2 or sqrt((a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 + (a.x2 - b.x2) ** 2) / sigma > 1)::int), 6) as fnn
 from nb join v a on a.subject = nb.subject and a.i = nb.i join v b on b.subject = nb.subject and b.i = nb.j join g on g.subject = nb.subject group by 1""")
 def false_neighbours(spark, sf):
@@ -469,10 +502,47 @@ def lyapunov_slope(spark, sf):
     return nonlinear.divergence(vector_series(spark, sf)).select("subject", *_r("lle"))
 
 
+#: Windows of 300 samples every 100 as series of robust z, for the SQL of single measures.
+_WINDOWS = f"""{EV.replace("s as", "es as", 1)}, wc as (select subject, count(*) as n from es group by 1), ws as (select subject, unnest(range(0, n - 256 + 1, 100)) as a from wc where n >= 256),
+wr as (select es.subject || '#' || (a // 100) as subject, seq - a as seq, t, p from es join ws on ws.subject = es.subject and seq >= a and seq < a + 300),
+wm as (select subject, median(p) as md, greatest(1.4826e0 * mad(p), 1e-9) as m from wr group by 1), s as (select wr.subject, seq, t, (p - md) / m as p from wr join wm on wm.subject = wr.subject)"""
+
+
+def _of_windows(query: str, **columns: str) -> str:
+    """Long rows of the columns of a vectors' query, over windows."""
+    sql = _SQL[query].replace(EM, _WINDOWS)
+    return " union all ".join(f"select subject, 'p_{name}' as feature, {c}::double as value from ({sql})" for c, name in columns.items())
+
+
+_WINDOW_SQL = [
+    _of_windows("sample_entropy", sampen="SampEn"), _of_windows("permutation_entropy", permen="PermEn"),
+    _of_windows("recurrence_quantification", rr="RQA_RR", det="RQA_DET", lam="RQA_LAM", l_mean="RQA_L_mean", l_max="RQA_L_max", tt="RQA_TT", epsilon="RQA_epsilon"),
+]
+
+
+def _window_features(spark, sf):
+    df = event_series(spark, sf)
+    return reports.window_features(df, windows.fixed_windows(df, 300, 100, 256))
+
+
 @query()
 def window_feature_table(spark, sf):
-    df = event_series(spark, sf)
-    return reports.window_features(df, windows.fixed_windows(df, 300, 100, 256)).select("subject", "window_id", "feature", *_r("value"))
+    return _window_features(spark, sf).select("subject", "window_id", "feature", *_r("value", n=4))
+
+
+@query(" union all ".join(_WINDOW_SQL))
+def window_nonlinear(spark, sf):
+    shown = ["SampEn", "PermEn", "RQA_RR", "RQA_DET", "RQA_LAM", "RQA_L_mean", "RQA_L_max", "RQA_TT", "RQA_epsilon"]
+    rows = _window_features(spark, sf).where(F.col("feature").isin([f"p_{x}" for x in shown]))
+    return rows.select(F.concat_ws("#", "subject", "window_id").alias("subject"), "feature", *_r("value"))
+
+
+@query()
+def event_vs_fixed_report(spark, sf):
+    df = event_series(spark, sf).withColumn("flag", F.col("p") > 200)
+    event = reports.window_features(df, windows.event_windows(df, "flag", 60000.0, 60000.0, 2, 128))
+    out = reports.event_against_fixed(event, _window_features(spark, sf), balanced=True)["comparison"]
+    return out.select("feature", "n1", "n0", *_r("mean1", "mean0", "cliffs_delta", "cohens_d", "p", "p_t", "fdr_q", n=3))
 
 
 # ------------------------------------------------------------------ modes
@@ -515,18 +585,38 @@ def vmd_select(spark, sf):
     return vmd.select_modes(vmd.keep_score(_mode_table(spark, sf)), most=2).select("subject", F.col("mode").cast("long").alias("mode"), "selected")
 
 
-@query(f"""with {EM}, d as (select subject, seq % 2 + 1 as mode, seq // 2 as seq, p as value from s), x as (select *, value - lag(value) over (partition by subject, mode order by seq) as dd from d), en as (select subject, mode, sum(value * value) + 1e-12 as e, 1 / (1 + sum(dd * dd) / (sum(value * value) + 1e-12)) as continuity, sum(value * value) filter (where seq % 3 = 0) / (sum(value * value) + 1e-12) as event_energy, kurtosis(value) + 3 as kurtosis from x group by 1, 2)
-select subject, mode::int as mode, round(continuity, 6) as continuity, round(event_energy, 6) as event_energy, round(kurtosis, 6) as kurtosis, round(e / sum(e) over (partition by subject), 6) as energy_ratio from en""")
+@query(f"""with {EM}, h as (select *, (p + coalesce(lag(p) over ({W}), p)) / 2 as low from s), d as (select subject, seq, p, 1 as mode, low as value from h union all select subject, seq, p, 2, p - low from h),
+x as (select *, value - lag(value) over (partition by subject, mode order by seq) as dd from d),
+en as (select subject, mode, sum(value * value) + 1e-12 as e, 1 / (1 + sum(dd * dd) / (sum(value * value) + 1e-12)) as continuity, sum(value * value) filter (where seq % 3 = 0) / (sum(value * value) + 1e-12) as event_energy, sum(value * value) filter (where seq % 5 = 0) / (sum(value * value) + 1e-12) as artifact_energy, kurtosis(value) + 3 as kurtosis, corr(value, p) as signal_corr, corr(value, p) filter (where seq % 3 = 0) as event_corr from x group by 1, 2)
+select subject, mode::int as mode, round(continuity, 6) as continuity, round(event_energy, 6) as event_energy, round(artifact_energy, 6) as artifact_energy, round(kurtosis, 6) as kurtosis, round(signal_corr, 6) as signal_corr, round(event_corr, 6) as event_corr, round(e / sum(e) over (partition by subject), 6) as energy_ratio from en""")
 def mode_features(spark, sf):
     s = vector_series(spark, sf)
-    modes = s.select("subject", (F.col("seq") % 2 + 1).cast("int").alias("mode"), F.floor(F.col("seq") / 2).cast("long").alias("seq"), F.col("p").alias("value"))
-    signal = s.where("seq < 32").select("subject", "seq", "p", F.col("p").alias("residual"), (F.col("seq") % 3 == 0).alias("event"), (F.col("seq") % 5 == 0).alias("artifact"))
-    return vmd.mode_features(modes, signal).select("subject", "mode", *_r("continuity", "event_energy", "kurtosis", "energy_ratio"))
+    low = s.withColumn("low", (F.col("p") + F.coalesce(F.lag("p").over(series.ordered()), F.col("p"))) / 2)
+    both = F.array(F.struct(F.lit(1).alias("mode"), F.col("low").alias("value")), F.struct(F.lit(2).alias("mode"), (F.col("p") - F.col("low")).alias("value")))
+    modes = low.select("subject", "seq", F.explode(both).alias("m")).select("subject", "m.mode", "seq", "m.value")
+    signal = s.select("subject", "seq", "p", F.col("p").alias("residual"), (F.col("seq") % 3 == 0).alias("event"), (F.col("seq") % 5 == 0).alias("artifact"))
+    return vmd.mode_features(modes, signal).select("subject", "mode", *_r("continuity", "event_energy", "artifact_energy", "kurtosis", "signal_corr", "event_corr", "energy_ratio"))
+
+
+def _marked_series(spark, sf):
+    """Each user's series with a baseline, events and artifacts marked by plain rules."""
+    df = series.rolling_median(event_series(spark, sf, "user_id"), 25, "p", "baseline").withColumn("residual", F.col("p") - F.col("baseline"))
+    return df.withColumn("event", F.col("residual") > 30).withColumn("artifact", F.col("p") > 200)
+
+
+@query()
+def vmd_reconstruction(spark, sf):
+    """Every mode's features, score and selection, with how much of the series the rebuilt one keeps."""
+    df = _marked_series(spark, sf)
+    found = vmd.reconstruct(df, 5, 2700.0)
+    kept = found["rebuilt"].join(df, ["subject", "seq"]).groupBy("subject").agg(series.safe_corr(F.col("p"), F.col("rebuilt")).alias("kept"))
+    return found["table"].join(kept, "subject").select("subject", "mode", *_r("dominant_freq", "energy_ratio", "signal_corr", "event_corr", "event_energy", "artifact_energy", "spectral_entropy", "kurtosis", "continuity", "keep_score", "kept", n=3), "selected")
 
 
 @query()
 def vmd_search(spark, sf):
-    return vmd.search(vector_series(spark, sf)).select("subject", "k", "alpha", *_r("nrmse", "corr", n=3))
+    out = vmd.search(_marked_series(spark, sf))
+    return out.select("subject", "k", "alpha", *_r("rmse", "nrmse", "corr", "iou", "peak_ratio", "area_ratio", "objective", n=3), "n_events", F.array_join(F.transform("modes", lambda m: m.cast("string")), ",").alias("modes"), "place")
 
 
 # ------------------------------------------------------------------ two-sample statistics
@@ -902,8 +992,46 @@ def pca2(spark, sf):
     return ml.pca(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))).select("id", *_r("pc1", "pc2", n=4))
 
 
+def _semisynthetic(spark, sf):
+    df = event_series(spark, sf).withColumn("event", F.col("p") > 150)
+    return evaluate.semisynthetic(df, event="event")
+
+
 @query()
 def ablation_study(spark, sf):
-    df = evaluate.semisynthetic(event_series(spark, sf))
-    out = reports.ablation(df, {k: reports.VARIANTS[k] for k in ("full", "no_gate")}, low=1.0, high=400.0, passes=1)
-    return out.select("variant", "subject", *_r("rmse", "mae", "corr", "precision", "recall", "f1", n=4))
+    out = reports.ablation(_semisynthetic(spark, sf), low=1.0, high=400.0)
+    return out.select("variant", "subject", *_r("energy_raw", "energy_clean", n=0), *_r("energy_reduction", n=2), *_r("artifact_ratio", "event_ratio", "rmse", "corr", "artifact_f1", "artifact_recall", "mean_event_iou", n=4))
+
+
+@query(f"""with {EV}, s1 as (select *, p * 0.9e0 + 3 as clean, p > 60 as event, seq % 4 = 1 as artifact, p > 100 or seq % 5 = 0 as true_artifact from s), m as (select *, lag(event) over ({W}) or p > 200 as b0 from s1), mm as (select *, coalesce(b0, p > 200, false) as true_event from m),
+c as (select subject, sqrt(avg((clean - p) ** 2)) as rmse, corr(clean, p) as corr, sum((artifact and true_artifact)::int)::double as tp, sum((artifact and not true_artifact)::int)::double as fp, sum((not artifact and true_artifact)::int)::double as fn from mm group by 1),
+k as (select *, tp / (tp + fp + 1e-9) as pr, tp / (tp + fn + 1e-9) as rc from c),
+ta as (select subject, seq, t, row_number() over ({W}) - row_number() over (partition by subject, true_event order by seq) as r, true_event as f from mm), tr as (select subject, min(seq) as s0, max(seq) as s1, min(t) as t0, max(t) as t1 from ta where f group by subject, r),
+tb as (select subject, seq, t, row_number() over ({W}) - row_number() over (partition by subject, event order by seq) as r, event as f from mm), pr as (select subject, min(seq) as s0, max(seq) as s1, min(t) as t0, max(t) as t1 from tb where f group by subject, r),
+j as (select tr.subject, tr.s0 as ts, pr.s0 as ps, coalesce((least(tr.s1, pr.s1) - greatest(tr.s0, pr.s0) + 1) / ((tr.s1 - tr.s0 + 1) + (pr.s1 - pr.s0 + 1) - (least(tr.s1, pr.s1) - greatest(tr.s0, pr.s0) + 1)), 0) as iou, pr.t0 - tr.t0 as oe, pr.t1 - tr.t1 as fe from tr left join pr on tr.subject = pr.subject and pr.s0 <= tr.s1 and pr.s1 >= tr.s0),
+e as (select subject, avg(iou) as iou, avg(abs(oe)) as oe, avg(abs(fe)) as fe from (select *, row_number() over (partition by subject, ts order by iou desc, ps) as r from j) where r = 1 group by 1)
+select k.subject, round(rmse, 6) as rmse, round(corr, 6) as corr, round(2 * pr * rc / (pr + rc + 1e-9), 6) as artifact_f1, round(rc, 6) as artifact_recall, round(iou, 6) as mean_event_iou, round(oe, 3) as mean_abs_onset_error, round(fe, 3) as mean_abs_offset_error from k join e on e.subject = k.subject""")
+def semisynthetic_evaluation(spark, sf):
+    df = event_series(spark, sf).withColumn("clean", F.col("p") * 0.9 + 3).withColumn("true", F.col("p")).withColumn("event", F.col("p") > 60)
+    df = df.withColumn("artifact", F.col("seq") % 4 == 1).withColumn("true_artifact", (F.col("p") > 100) | (F.col("seq") % 5 == 0))
+    df = df.withColumn("true_event", F.coalesce(F.lag("event").over(series.ordered()) | (F.col("p") > 200), F.col("p") > 200))
+    out = evaluate.evaluate_semisynthetic(df)["summary"]
+    return out.select("subject", *_r("rmse", "corr", "artifact_f1", "artifact_recall", "mean_event_iou"), *_r("mean_abs_onset_error", "mean_abs_offset_error", n=3))
+
+
+@query(f"with {EV} select subject, seq::bigint as seq, round(p * 0.5e0, 6) as reference, p > 60 as event from s")
+def clean_reference(spark, sf):
+    df = event_series(spark, sf).withColumn("clean", F.col("p") * 0.5).withColumn("event", F.col("p") > 60)
+    return evaluate.clean_reference(df).select("subject", "seq", *_r("reference"), "event")
+
+
+@query()
+def clean_reference_by_smoothing(spark, sf):
+    return evaluate.clean_reference(event_series(spark, sf)).select("subject", "seq", *_r("reference", n=4), "event")
+
+
+@query("with f as (select unnest(['Pressure_Clean_Tau', 'Pressure_Clean_SampEn__mean', 'VMD_Mode3_RQA_DET', 'VMD_Mode3_RQA_epsilon__iqr', 'VMD_Mode4_PS_Eig1', 'VMD_Mode4_NumPoints', 'Pressure_Clean_HFD', 'Pressure_Clean_Mean']) as feature) select feature, case when feature like '%\\_PS\\_%' escape '\\' then 'phase_space' when feature like '%\\_RQA\\_%' escape '\\' then 'recurrence' when feature like '%SampEn%' then 'entropy' when feature like '%HFD%' then 'fractal' else 'basic' end as kind from f where not regexp_matches(feature, '_(Tau|EmbeddingDim|EmbeddedVectors|NumPoints|RQA_epsilon)(__[a-z]+)?$')")
+def biomarker_features(spark, sf):
+    names = ["Pressure_Clean_Tau", "Pressure_Clean_SampEn__mean", "VMD_Mode3_RQA_DET", "VMD_Mode3_RQA_epsilon__iqr", "VMD_Mode4_PS_Eig1", "VMD_Mode4_NumPoints", "Pressure_Clean_HFD", "Pressure_Clean_Mean"]
+    kept = features.drop_non_biomarkers(spark.createDataFrame([(n,) for n in names], "feature string"))
+    return kept.select("feature", features.feature_group(F.col("feature")).alias("kind"))

@@ -84,28 +84,63 @@ def roc_auc(df: DataFrame, *by: str) -> DataFrame:
     return rank_sums(rows, by or ("_all",)).select(*by, F.try_divide(F.col("u"), F.col("n0").cast("double") * F.col("n1")).alias("auc"))
 
 
+def clean_reference(df: DataFrame, columns: tuple[str, ...] = ("preclean", "clean"), seconds: float = 9.0, baseline: float = 60.0) -> DataFrame:
+    """Samples with reference, a relatively clean signal, and event, where it rises above its noise.
+
+    The first of ``columns`` that is there is the reference; without one it is p smoothed by
+    a parabola over ``seconds``. A column event is taken as it is; without it, events are
+    samples above the median over ``baseline`` seconds by three times the noise.
+    Windows are counted by the smallest sampling interval of all subjects.
+    """
+    held = next((c for c in columns if c in df.columns), None)
+    if not held or "event" not in df.columns:
+        # One row: the interval by which seconds become samples.
+        dt = S.sampling_interval(df).agg(F.min("dt")).first()[0] or 1.0
+    df = df.withColumn("reference", F.col(held)) if held else S.savgol(df, S.odd(round(seconds / dt), 7), "p", "reference")
+    if "event" in df.columns:
+        return df
+    df = S.rolling_median(df, S.odd(round(baseline / dt), 9), "reference", "_base")
+    step = df.select("subject", "seq", F.col("reference").alias("p"))
+    noise = S.robust_mad(S.differences(step), "dp").select("subject", (F.col("mad") / F.sqrt(F.lit(2.0))).alias("_noise"))
+    return df.join(noise, "subject").withColumn("event", F.col("reference") - F.col("_base") > 3 * F.col("_noise")).drop("_base", "_noise")
+
+
+def evaluate_semisynthetic(df: DataFrame, estimate: str = "clean", truth: str = "true", found: str = "artifact", artifact: str = "true_artifact", event: str = "event", true_event: str = "true_event") -> dict[str, DataFrame]:
+    """A denoised series against its known truth, sample by sample.
+
+    Returns clean_signal, artifact_detection, event_timing, and summary: one row for each
+    subject with the main figures of all three.
+    """
+    clean, masks, timing = signal_metrics(df, estimate, truth, true_event), mask_metrics(df, found, artifact), event_timing(df, event, true_event)
+    mean = timing.groupBy("subject").agg(F.avg("iou").alias("mean_event_iou"), F.avg(F.abs("onset_error")).alias("mean_abs_onset_error"), F.avg(F.abs("offset_error")).alias("mean_abs_offset_error"))
+    short = clean.select("subject", "rmse", "corr").join(masks.select("subject", F.col("f1").alias("artifact_f1"), F.col("recall").alias("artifact_recall")), "subject").join(mean, "subject", "left")
+    return {"clean_signal": clean, "artifact_detection": masks, "event_timing": timing, "summary": short}
+
+
 def selection_frequency(selected: DataFrame, folds: int) -> DataFrame:
     """How often each feature was selected, and whether in at least 0.6 of the folds."""
     s = selected.groupBy("feature").agg(F.count_distinct("fold").alias("selected"))
     return s.withColumn("frequency", F.col("selected") / F.lit(float(folds))).withColumn("stable", F.col("frequency") >= 0.6)
 
 
-def semisynthetic(df: DataFrame, seed: int = 42, spikes: float = 0.01, flat: int = 12) -> DataFrame:
+def semisynthetic(df: DataFrame, seed: int = 42, spikes: float = 0.01, flat: int = 12, event: str | None = None) -> DataFrame:
     """Known artifacts in a clean series: adds observed and artifact.
 
     A hash of subject and sample decides where spikes and pulses go and how large they
     are, so the truth is the same wherever and however often it is made. Each block of
-    512 samples has one flat line, and one sample far outside the range.
+    512 samples has one flat line, and one sample far outside the range. Spikes and pulses
+    leave samples alone where the column ``event`` is true.
     """
     u = lambda k: F.pmod(F.xxhash64("subject", "seq", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     block = F.pmod(F.xxhash64("subject", F.floor(F.col("seq") / 512), F.lit(seed)), F.lit(400))
     at = F.col("seq") % 512 - block
     sign = F.when(u(2) < 0.5, -1).otherwise(1)
     held = F.last(F.when(at == 0, F.col("p")), ignorenulls=True).over(S.ordered().rowsBetween(-flat, 0))
-    pulse = F.when(u(4) < spikes / 2, 3 + 6 * u(5))
+    calm = ~F.col(event) if event else F.lit(True)
+    pulse = F.when((u(4) < spikes / 2) & calm, 3 + 6 * u(5))
     w = S.ordered()
     df = df.withColumn("_pulse", pulse).withColumn("_near", F.coalesce(F.max("_pulse").over(w.rowsBetween(-1, 1)), F.lit(0.0)))
-    spike = u(1) < spikes
+    spike = (u(1) < spikes) & calm
     observed = F.when(at == 60, F.when(u(3) < 0.5, 60 + 22 * u(6)).otherwise(132 + 23 * u(6))).when((at >= 0) & (at < flat), F.coalesce(held, "p")).when(spike, F.col("p") + sign * (4 + 8 * u(7))).otherwise(F.col("p") + F.col("_near"))
     mark = (at == 60) | ((at >= 0) & (at < flat)) | spike | (F.col("_near") > 0)
     return df.withColumn("observed", observed).withColumn("artifact", mark).drop("_pulse", "_near")

@@ -8,20 +8,33 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .series import ordered
 
 TINY = 1e-12
 
 
-def embed(df: DataFrame, m: int = 3, tau: int = 1) -> DataFrame:
-    """Delay vectors (subject, i, x): x(i), x(i + tau), ... of m values, numbered from 0."""
-    w = ordered()
-    parts = [F.col("p")] + [F.lead("p", k * tau).over(w) for k in range(1, m)]
-    rows = df.select("subject", F.col("seq").alias("i"), *[c.alias(f"_{k}") for k, c in enumerate(parts)])
-    return rows.where(F.col(f"_{m - 1}").isNotNull()).select("subject", "i", F.array(*[f"_{k}" for k in range(m)]).alias("x"))
+def embed(df: DataFrame, m: int = 3, tau: int | DataFrame = 1) -> DataFrame:
+    """Delay vectors (subject, i, x): x(i), x(i + tau), ... of m values, numbered from 0.
+
+    ``tau`` is one delay, or a table (subject, tau) of each window's own. A window too short
+    for a vector has none.
+    """
+    if isinstance(tau, int):
+        w = ordered()
+        parts = [F.col("p")] + [F.lead("p", k * tau).over(w) for k in range(1, m)]
+        rows = df.select("subject", F.col("seq").alias("i"), *[c.alias(f"_{k}") for k, c in enumerate(parts)])
+        return rows.where(F.col(f"_{m - 1}").isNotNull()).select("subject", "i", F.array(*[f"_{k}" for k in range(m)]).alias("x"))
+    whole = df.groupBy("subject").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "p"))), lambda v: v["p"]).alias("a"))
+    last = F.size("a") - (m - 1) * F.col("tau")
+    vectors = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.array(*[F.get("a", (i + k * F.col("tau")).cast("int")) for k in range(m)]))
+    rows = whole.join(tau.select("subject", F.col("tau").cast("int").alias("tau")), "subject").where(last > 0)
+    return rows.select("subject", F.posexplode(vectors).alias("i", "x")).select("subject", F.col("i").cast("long").alias("i"), "x")
 
 
 def _pairs(vectors: DataFrame, apart: int = 0, both: bool = False) -> DataFrame:
@@ -142,20 +155,41 @@ def rqa(edges: DataFrame, least: int = 2) -> DataFrame:
     )
 
 
-def geometry(df: DataFrame, tau: int = 1) -> DataFrame:
-    """Step lengths, spread and covariance spectrum of the trajectory in two dimensions."""
-    v = embed(df, 2, tau).select("subject", F.col("i").alias("seq"), F.col("x")[0].alias("x"), F.col("x")[1].alias("y"))
+@F.pandas_udf("array<double>")
+def _spectrum(cov: pd.Series) -> pd.Series:
+    """Eigenvalues of flattened symmetric matrices, largest first."""
+    out = []
+    for c in cov:
+        k = math.isqrt(len(c))
+        out.append(np.linalg.eigvalsh(np.asarray(c, float).reshape(k, k))[::-1].tolist() if np.isfinite(np.asarray(c, float)).all() else [None] * k)
+    return pd.Series(out)
+
+
+def geometry(df: DataFrame, m: int = 2, tau: int = 1) -> DataFrame:
+    """Step lengths, spread and covariance spectrum of the trajectory in ``m`` dimensions, 2 or more.
+
+    A window with fewer than two vectors has null for its spectrum.
+    """
     w = ordered()
-    far = lambda a, b: F.sqrt(F.pow(a, F.lit(2.0)) + F.pow(b, F.lit(2.0)))
-    mid = v.groupBy("subject").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    v = v.withColumn("step", far(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))).join(mid, "subject")
+    x = [F.col("x")[k] for k in range(m)]
+    v = embed(df, m, tau).select("subject", F.col("i").alias("seq"), *[c.alias(f"x{k}") for k, c in enumerate(x)])
+    far = lambda parts: F.sqrt(sum((F.pow(c, F.lit(2.0)) for c in parts), F.lit(0.0)))
+    mid = v.groupBy("subject").agg(*[F.avg(f"x{k}").alias(f"m{k}") for k in range(m)])
+    v = v.withColumn("step", far([F.col(f"x{k}") - F.lag(f"x{k}").over(w) for k in range(m)])).join(mid, "subject")
+    cov = F.array(*[F.coalesce(F.covar_samp(f"x{min(i, j)}", f"x{max(i, j)}"), F.lit(float("nan"))) for i in range(m) for j in range(m)])
     rows = v.groupBy("subject").agg(
-        F.sum("step").alias("trajectory_length"), F.avg("step").alias("mean_step"), F.stddev_pop("step").alias("step_std"), F.avg(far(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))).alias("state_spread"),
-        F.var_samp("x").alias("a"), F.var_samp("y").alias("d"), F.covar_samp("x", "y").alias("b"),
+        F.sum("step").alias("trajectory_length"), F.avg("step").alias("mean_step"), F.stddev_pop("step").alias("step_std"), F.avg(far([F.col(f"x{k}") - F.col(f"m{k}") for k in range(m)])).alias("state_spread"), cov.alias("cov"),
     )
-    half, root = (F.col("a") + F.col("d")) / 2, F.sqrt(F.pow((F.col("a") - F.col("d")) / 2, F.lit(2.0)) + F.pow("b", F.lit(2.0)))
-    rows = rows.withColumn("eig1", F.greatest(half + root, F.lit(TINY))).withColumn("eig2", F.greatest(half - root, F.lit(TINY)))
-    return rows.withColumn("eig_ratio", F.col("eig1") / (F.col("eig2") + TINY)).withColumn("log_volume", F.log("eig1") + F.log("eig2")).drop("a", "b", "d")
+    if m == 2:
+        c = lambda k: F.col("cov")[k]
+        half, root = (c(0) + c(3)) / 2, F.sqrt(F.pow((c(0) - c(3)) / 2, F.lit(2.0)) + F.pow(c(1), F.lit(2.0)))
+        spectrum = F.array(half + root, half - root)
+    else:
+        spectrum = _spectrum("cov")
+    value = lambda k: F.when(~F.isnan(F.col("e")[k]), F.greatest(F.col("e")[k], F.lit(TINY)))
+    rows = rows.withColumn("e", spectrum).withColumn("eig1", value(0)).withColumn("eig2", value(1))
+    volume = sum((F.log(value(k)) for k in range(m)), F.lit(0.0))
+    return rows.withColumn("eig_ratio", F.col("eig1") / (F.col("eig2") + TINY)).withColumn("log_volume", volume).drop("cov", "e")
 
 
 def higuchi(df: DataFrame, kmax: int = 10) -> DataFrame:
@@ -191,7 +225,7 @@ def basic(df: DataFrame) -> DataFrame:
     n, g1, g2 = F.col("n").cast("double"), F.col("g1"), F.col("g2")
     rows = d.groupBy("subject").agg(
         F.count("p").alias("n"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.percentile("p", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("p").alias("min"), F.max("p").alias("max"),
-        F.skewness("p").alias("g1"), F.kurtosis("p").alias("g2"), (F.percentile(F.abs(F.col("d") - F.col("md")), 0.5) * 1.4826).alias("diff_mad"), F.avg(F.col("d") * F.col("d")).alias("diff_energy"),
+        F.skewness("p").alias("g1"), F.kurtosis("p").alias("g2"), (F.percentile(F.abs(F.col("d") - F.col("md")), 0.5) * 1.4826).alias("diff_mad"), F.sum(F.col("d") * F.col("d")).alias("diff_energy"),
     )
     skew = g1 * F.sqrt(n * (n - 1)) / (n - 2)
     kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) + 3
@@ -199,33 +233,90 @@ def basic(df: DataFrame) -> DataFrame:
     return rows.where("n > 3").select("subject", "mean", "std", q[1].alias("median"), (q[2] - q[0]).alias("iqr"), "min", "max", (F.col("max") - F.col("min")).alias("range"), skew.alias("skewness"), kurt.alias("kurtosis"), "diff_mad", "diff_energy")
 
 
-def nearest(df: DataFrame, m: int, tau: int, theiler: int, cap: int) -> DataFrame:
-    """(subject, i, j, d): nearest vector outside the Theiler band among the ``cap`` nearest, the vector itself included.
+def nearest(vectors: DataFrame, m: int, theiler: int | DataFrame, cap: int) -> DataFrame:
+    """(subject, i, j, d): nearest vector by the first ``m`` values outside the Theiler band, among the ``cap`` nearest, itself included.
 
-    Distances that tie go to the earlier vector.
+    The band is one number, or a table (subject, tau). Distances that tie go to the earlier vector.
     """
-    pairs = _pairs(embed(df, m, tau), -1, both=True).select("subject", "i", "j", _distance(m).alias("d"))
-    rank = F.row_number().over(Window.partitionBy("subject", "i").orderBy("d", F.abs(F.col("i") - F.col("j")), "j"))
-    near = pairs.withColumn("r", rank).where((F.col("r") <= cap) & (F.abs(F.col("i") - F.col("j")) > theiler))
+    pairs = _pairs(vectors, -1, both=True).select("subject", "i", "j", _distance(m).alias("d"))
+    apart = F.abs(F.col("i") - F.col("j"))
+    rank = F.row_number().over(Window.partitionBy("subject", "i").orderBy("d", apart, "j"))
+    near = pairs.withColumn("r", rank).where(F.col("r") <= cap)
+    near = near.where(apart > theiler) if isinstance(theiler, int) else near.join(theiler, "subject").where(apart > F.col("tau"))
     best = near.groupBy("subject", "i").agg(F.min(F.struct("r", "j", "d")).alias("b"))
     return best.select("subject", "i", F.col("b.j").alias("j"), F.col("b.d").alias("d"))
 
 
-def false_neighbours(df: DataFrame, m: int = 2, tau: int = 1, rtol: float = 10.0, atol: float = 2.0, cap: int = 20) -> DataFrame:
-    """(subject, m, fnn): share of nearest neighbours in m dimensions that part in m + 1."""
+def false_neighbours(df: DataFrame, m: int = 2, tau: int | DataFrame = 1, rtol: float = 10.0, atol: float = 2.0, cap: int = 20, least: int = 10) -> DataFrame:
+    """(subject, m, fnn): share of nearest neighbours in m dimensions that part in m + 1.
+
+    Null where fewer than ``least`` vectors have m + 1 values.
+    """
     longer = embed(df, m + 1, tau)
-    near = nearest(df, m, tau, tau, cap).withColumn("d", F.greatest("d", F.lit(TINY)))
+    near = nearest(longer, m, tau, cap).withColumn("d", F.greatest("d", F.lit(TINY)))
     sigma = df.groupBy("subject").agg((F.stddev_pop("p") + TINY).alias("sigma"))
+    size = longer.groupBy("subject").agg(F.count(F.lit(1)).alias("_n"))
     rows = near.join(longer.select("subject", "i", F.col("x").alias("a")), ["subject", "i"]).join(longer.select("subject", F.col("i").alias("j"), F.col("x").alias("b")), ["subject", "j"]).join(sigma, "subject")
     parts = (F.abs(F.col("a")[m] - F.col("b")[m]) / F.col("d") > rtol) | (_distance(m + 1) / F.col("sigma") > atol)
-    return rows.groupBy("subject").agg(F.avg(parts.cast("double")).alias("fnn")).select("subject", F.lit(m).alias("m"), "fnn")
+    share = rows.groupBy("subject").agg(F.avg(parts.cast("double")).alias("fnn")).join(size, "subject")
+    return share.select("subject", F.lit(m).alias("m"), F.when(F.col("_n") >= least, F.col("fnn")).alias("fnn"))
+
+
+def embedding_dimension(df: DataFrame, tau: int | DataFrame = 1, most: int = 8, threshold: float = 0.05) -> DataFrame:
+    """(subject, m): the first dimension with few enough false neighbours, else the one with the fewest, 3 where none is known."""
+    found = None
+    for m in range(1, most + 1):
+        part = false_neighbours(df, m, tau)
+        found = part if found is None else found.union(part)
+    n = df.groupBy("subject").agg(F.count("p").alias("_n"))
+    step = F.lit(tau) if isinstance(tau, int) else F.col("tau")
+    n = n if isinstance(tau, int) else n.join(tau, "subject")
+    # Short windows have fewer dimensions to choose from.
+    limit = F.when(F.col("_n") < (most + 2) * step + 10, F.greatest(F.lit(2), F.floor((F.col("_n") - 10) / F.greatest(step, F.lit(1))) - 1)).otherwise(most)
+    rows = n.withColumn("_most", limit).join(found, "subject", "left").where("m is null or m <= _most")
+    first, fewest = F.min(F.when(F.col("fnn") <= threshold, F.col("m"))), F.min(F.when(F.col("fnn").isNotNull(), F.struct("fnn", "m")))["m"]
+    return n.select("subject").join(rows.groupBy("subject").agg(F.coalesce(first, fewest, F.lit(3)).alias("m")), "subject", "left").select("subject", F.coalesce("m", F.lit(3)).alias("m"))
+
+
+def tau_from_mutual_information(ami: DataFrame, fallback: DataFrame, least: int = 1) -> DataFrame:
+    """(subject, tau): lag of the first local minimum of the mutual information (subject, lag, ami), else that of ``fallback``.
+
+    The lag before a minimum must be ``least`` at least, and five lags must be known.
+    """
+    w = Window.partitionBy("subject").orderBy("lag")
+    rows = ami.where(F.col("lag") >= least)
+    low = (F.col("ami") < F.lag("ami").over(w)) & (F.col("ami") < F.lead("ami").over(w))
+    first = rows.withColumn("_low", low).groupBy("subject").agg(F.min(F.when(F.col("_low"), F.col("lag"))).alias("_a"), F.count("ami").alias("_n"))
+    return fallback.join(first, "subject", "left").select("subject", F.coalesce(F.when(F.col("_n") >= 5, F.col("_a")), F.col("tau")).cast("long").alias("tau"))
+
+
+def embedding_parameters(df: DataFrame, by: str = "ami", most_tau: int = 120, most_dim: int = 8, least: int = 100, threshold: float = 0.05) -> DataFrame:
+    """(subject, tau, m) of every window: delay by mutual information or autocorrelation, dimension by false neighbours.
+
+    Delays go up to a tenth of the window. A window that is short or constant has 1 and 3.
+    """
+    stat = df.groupBy("subject").agg(F.count("p").alias("_n"), F.stddev_pop("p").alias("_s"))
+    stat = cut(stat.withColumn("_most", F.least(F.lit(most_tau), F.greatest(F.lit(2), F.floor(F.col("_n") / 10)))))
+    longest = stat.agg(F.max("_most")).first()[0] or 2
+    usable = stat.where((F.col("_n") >= least) & (F.col("_s") >= TINY))
+    rows = df.join(usable.select("subject", "_most"), "subject")
+    series = rows.drop("_most")
+    within = lambda table: table.join(usable.select("subject", "_most"), "subject").where(F.col("lag") <= F.col("_most")).drop("_most")
+    tau = tau_from_autocorrelation(within(autocorrelation(series, longest)))
+    if by == "ami":
+        tau = tau_from_mutual_information(within(mutual_information(series, longest)), tau)
+    elif by != "autocorr":
+        raise ValueError("by must be ami or autocorr")
+    tau = cut(tau)
+    found = tau.join(embedding_dimension(series, tau, most_dim, threshold), "subject")
+    return stat.select("subject").join(found, "subject", "left").select("subject", F.coalesce("tau", F.lit(1)).cast("long").alias("tau"), F.coalesce("m", F.lit(3)).cast("long").alias("m"))
 
 
 def divergence(df: DataFrame, m: int = 3, tau: int = 1, theiler: int = 5, horizon: int = 10, cap: int = 30, start: int = 1) -> DataFrame:
     """(subject, lle): slope of the mean log distance of nearest neighbours as both move on."""
     vectors = embed(df, m, tau)
     last = vectors.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
-    pairs = nearest(df, m, tau, theiler, cap).join(last, "subject").where((F.col("i") + horizon < F.col("n")) & (F.col("j") + horizon < F.col("n")))
+    pairs = nearest(vectors, m, theiler, cap).join(last, "subject").where((F.col("i") + horizon < F.col("n")) & (F.col("j") + horizon < F.col("n")))
     moved = pairs.select("subject", "i", "j", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("k")).select("subject", "k", (F.col("i") + F.col("k")).alias("i"), (F.col("j") + F.col("k")).alias("j"))
     moved = moved.join(vectors.select("subject", "i", F.col("x").alias("a")), ["subject", "i"]).join(vectors.select("subject", F.col("i").alias("j"), F.col("x").alias("b")), ["subject", "j"])
     mean = moved.withColumn("d", _distance(m)).where(F.col("d") > TINY).groupBy("subject", "k").agg(F.avg(F.log("d")).alias("y"), F.count(F.lit(1)).alias("c")).where("c >= 5")
