@@ -13,8 +13,9 @@ from pyspark.sql import Window
 
 from .shared import new_path
 
-#: Bytes of text that a bucket holds in expectation; least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 64
+#: Bytes of text that a bucket holds in expectation, at least and at most; least number of buckets, and the number that is
+#: aimed at in between. Above 2 TB buckets stay at their largest and their number grows.
+BUCKET_BYTES, MOST_BYTES, LEAST_BUCKETS, BUCKETS = 8 << 20, 512 << 20, 8, 4096
 #: Bucket starts (16 bytes each) are sent to all tasks up to this many, and joined by a shuffle beyond it.
 SENT_BUCKETS = 200_000
 #: Rows alike that hold more than this share of a bucket are dealt to all buckets, and so are at most 1 / HOT for each bucket.
@@ -26,7 +27,7 @@ def _own(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)))
 
 
-def shuffle_to_shards(docs: DataFrame, path: str | None = None, shards: int = 8, seed: int = 20240501, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shuffle_to_shards(docs: DataFrame, path: str | None = None, shards: int = 8, seed: int = 20240501, bucket_bytes: int | None = None) -> DataFrame:
     """Write doc_id and text of all rows in random order as ``shards`` shards and read them back.
 
     Returns doc_id, text, shard and slot from the files under ``path`` (a new folder of
@@ -35,8 +36,8 @@ def shuffle_to_shards(docs: DataFrame, path: str | None = None, shards: int = 8,
     other; rows repeated in full keep their number; other columns are ignored. An empty
     table gives no rows.
 
-    Buckets are sized by measured bytes and every bucket is a partition of its own, so
-    a task's memory does not grow with the input. Rows of one id are told apart by
+    Buckets are sized by measured bytes, MOST_BYTES at most unless ``bucket_bytes`` is given, and
+    there are as many partitions as buckets, so a task's memory does not grow with the input. Rows of one id are told apart by
     their texts; where very many rows agree in both they are alike, and are dealt over all
     buckets by their place in the input. Array shuffling uses the Fisher-Yates algorithm;
     buckets are ordered before it, so that a task run again permutes them alike.
@@ -45,11 +46,12 @@ def shuffle_to_shards(docs: DataFrame, path: str | None = None, shards: int = 8,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 24
     held = rows.agg(F.sum(size).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    n_buckets = max(LEAST_BUCKETS, -(-int(held.b or 0) // bucket_bytes))
+    total = int(held.b or 0)
+    n_buckets = max(LEAST_BUCKETS, -(-total // (bucket_bytes or min(MOST_BYTES, max(BUCKET_BYTES, total // BUCKETS)))))
     key = _own(seed)
     # Only where some bucket is far too large are its rows counted one by one.
     even = rows.groupBy(F.pmod(key, F.lit(n_buckets)).cast("int").alias("bucket")).agg(F.sum(size).alias("b"))
-    limit = max(1.0, HOT * (held.b or 0) / n_buckets)
+    limit = max(1.0, HOT * total / n_buckets)
     large = [r.bucket for r in even.where(F.col("b") > 3 * limit / HOT).collect()]
     if large:
         alike = rows.where(F.pmod(key, F.lit(n_buckets)).cast("int").isin(large)).groupBy(key.alias("own")).agg(F.sum(size).alias("b"), F.count(F.lit(1)).alias("n"))
