@@ -540,7 +540,7 @@ def window_nonlinear(spark, sf):
 @query()
 def event_vs_fixed_report(spark, sf):
     df = event_series(spark, sf).withColumn("flag", F.col("p") > 200)
-    event = reports.window_features(df, windows.event_windows(df, "flag", 60000.0, 60000.0, 2, 128))
+    event = reports.window_features(df, windows.event_windows(df, "flag", 80000.0, 80000.0, 1, 100))
     out = reports.event_against_fixed(event, _window_features(spark, sf), balanced=True)["comparison"]
     return out.select("feature", "n1", "n0", *_r("mean1", "mean0", "cliffs_delta", "cohens_d", "p", "p_t", "fdr_q", n=3))
 
