@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lineage import cut
 from .series import ordered
@@ -155,7 +156,7 @@ def rqa(edges: DataFrame, least: int = 2) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _spectrum(cov: pd.Series) -> pd.Series:
     """Eigenvalues of flattened symmetric matrices, largest first."""
     out = []
