@@ -126,15 +126,18 @@ def rolling_mad(df: DataFrame, width: int, column: str = "p", out: str = "mad",
     return filled(df, "_raw", out).join(whole, "subject").withColumn(out, F.greatest(out, F.lit(eps), 0.05 * F.col("_whole"))).drop("_whole", "_raw")
 
 
-def scaled(df: DataFrame, column: str = "p", eps: float = 1e-12) -> DataFrame:
-    """Add three scalings by subject: robust z, min-max, and min-max of values clipped to p5..p95."""
+def scaled(df: DataFrame, column: str = "p", eps: float = 1e-12, added: bool = False) -> DataFrame:
+    """Add three scalings by subject: robust z, min-max, and min-max of values clipped to p5..p95.
+
+    The deviation that z is divided by is ``eps`` at least, or has ``eps`` added to it.
+    """
     mad = robust_mad(df, column, 0.0)
     q = df.groupBy("subject").agg(F.percentile(column, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"), F.min(column).alias("lo"), F.max(column).alias("hi"))
     df = df.join(q.join(mad, "subject"), "subject")
     x, low, high = F.col(column), F.col("q")[0], F.col("q")[2]
     clipped = (F.least(F.greatest(x, low), high) - low) / (high - low)
     return (
-        df.withColumn("robust_z", (x - F.col("q")[1]) / F.greatest("mad", F.lit(eps)))
+        df.withColumn("robust_z", (x - F.col("q")[1]) / (F.col("mad") + eps if added else F.greatest("mad", F.lit(eps))))
         .withColumn("minmax", (x - F.col("lo")) / (F.col("hi") - F.col("lo") + eps))
         .withColumn("minmax01", F.when(x.isNull(), 0.0).when(high - low <= eps, 0.5).otherwise(clipped))
         .drop("q", "lo", "hi", "mad")
