@@ -872,7 +872,7 @@ def loso_folds(spark, sf):
     return out.select("fold", F.col("rows").alias("n"), F.round("mean", 6).alias("mean"))
 
 
-@query("""with e as (select vec_id as id, label as y, embedding::double[] as x from embeddings), d as (select q.id, e.id as other, e.y, list_distance(q.x, e.x) as d from e q join e on e.id <> q.id), r as (select *, row_number() over (partition by id order by d, other) as r from d)
+@query("""with e as (select vec_id as id, label as y, embedding::double[] as x from embeddings), d as (select q.id, e.id as other, e.y, list_distance(q.x, e.x) as d from e q join e on e.id <> q.id), r as (select *, row_number() over (partition by id order by round(d, 9), other) as r from d)
 select id, (avg((y % 2)::double) > 0.5)::int as pred, round(avg((y % 2)::double), 6) as score from r where r <= 3 group by 1""")
 def knn_loso(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("grp"), (F.col("label") % 2).cast("int").alias("y"), F.col("embedding").alias("x"))
@@ -883,11 +883,11 @@ def knn_loso(spark, sf):
 _MEASURES = ("mean", "std", "most", "least", "size", "twice", "one")
 _SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 _CELLS = """c0 as (select c_nationkey::bigint as nation, c_mktsegment as segment, round(avg(c_acctbal), 4) as mean, round(stddev_samp(c_acctbal), 4) as std, max(c_acctbal) as most, min(c_acctbal) as least, count(*)::double as size, 2 * round(avg(c_acctbal), 4) as twice, 1e0 as one from customer group by 1, 2),
-c1 as (unpivot c0 on mean, std, most, least, size, twice, one into name k value value),
+c1 as (select nation, segment, unnest(['mean', 'std', 'most', 'least', 'size', 'twice', 'one']) as k, unnest([mean, std, most, least, size, twice, one]) as value from c0),
 cells as (select nation, segment, (nation % 2)::int as label, k, case when (nation + length(segment)) % 7 <> 0 then value end as value from c1)"""
-_BY_NATION = "src as (select nation as id, nation as grp, label, segment || '_' || k as feature, value from cells)"
 _BY_WINDOW = f"src as (select nation * 5 + list_position({list(_SEGMENTS)}, segment) - 1 as id, nation as grp, label, k as feature, value from cells)"
 _NATION_COLUMNS = [f"{s}_{k}" for k in _MEASURES for s in reversed(_SEGMENTS)]
+_BY_NATION = f"src as (select n.nation as id, n.nation as grp, n.label, f.feature, c.value from (select distinct nation, label from cells) n cross join (select unnest({_NATION_COLUMNS}) as feature) f left join cells c on c.nation = n.nation and c.segment || '_' || c.k = f.feature)"
 
 
 def _selection(source: str, columns: list[str], top: int) -> str:
@@ -917,7 +917,7 @@ def _cells(spark, sf):
     c = c.agg(F.round(F.avg("c_acctbal"), 4).alias("mean"), F.round(F.stddev_samp("c_acctbal"), 4).alias("std"), F.max("c_acctbal").alias("most"), F.min("c_acctbal").alias("least"), F.count(F.lit(1)).cast("double").alias("size"))
     c = c.withColumn("twice", 2 * F.col("mean")).withColumn("one", F.lit(1.0)).unpivot(["nation", "segment"], list(_MEASURES), "k", "value")
     value = F.when((F.col("nation") + F.length("segment")) % 7 != 0, F.col("value"))
-    return c.select("nation", "segment", (F.col("nation") % 2).cast("int").alias("label"), "k", value.alias("value")).where("value is not null or k is not null")
+    return c.select("nation", "segment", (F.col("nation") % 2).cast("int").alias("label"), "k", value.alias("value"))
 
 
 def _nations(spark, sf):
@@ -951,7 +951,7 @@ _GROUPED = {k: [f"{s}_{k}" for s in reversed(_SEGMENTS)] for k in ("mean", "most
 
 
 def _group_sql(name: str, own: list[str]) -> str:
-    source = f"{_BY_NATION[:-1]} where segment || '_' || k in {tuple(own)})"
+    source = f"{_BY_NATION[:-1]} where f.feature in {tuple(own)})"
     return f"select * from (with {_SUMMARY.format(f'with {_selection(source, own, 3)}, {_NEIGHBOURS}', name, len(own))})"
 
 

@@ -57,7 +57,7 @@ def _nearest_block(k: int):
         out = []
         for lo in range(0, len(q), max(1, 20_000_000 // x.size)):
             part = asked.iloc[lo : lo + max(1, 20_000_000 // x.size)]
-            d = np.sqrt(((q[lo : lo + len(part), None, :] - x[None, :, :]) ** 2).sum(2))
+            d = np.round(np.sqrt(((q[lo : lo + len(part), None, :] - x[None, :, :]) ** 2).sum(2)), 9)
             d[part["grp"].to_numpy()[:, None] == rows["grp"].to_numpy()[None, :]] = np.inf
             # Ties go to the smaller id, as they do where blocks are merged.
             best = np.lexsort((np.broadcast_to(rows["id"].to_numpy(), d.shape), d))[:, :k]
@@ -72,7 +72,7 @@ def _nearest_block(k: int):
 def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 3, block: int = BLOCK) -> DataFrame:
     """The k nearest rows (id, grp, y, x) of every query that belong to other groups: (id, other, y_other, distance, r).
 
-    Where ``rows`` has a column fold, queries meet the rows of their own fold only, and the
+    Distances that agree to nine digits tie, and the smaller id comes first. Where ``rows`` has a column fold, queries meet the rows of their own fold only, and the
     result has it too. Every block of queries meets every block of rows of its fold and
     gives the k best of each query, which are merged: a task holds two blocks.
     """
@@ -148,9 +148,19 @@ def evaluate_folds(df: DataFrame, columns: list[str], model="knn", k: int = 3, *
     return {"predictions": pred, "summary": evaluate.binary_metrics(pred).crossJoin(evaluate.roc_auc(pred)), "selected": per_fold, "frequency": evaluate.selection_frequency(per_fold, folds)}
 
 
+def _completed(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """A row for every key and each of ``columns``, with null where the long table has none."""
+    every = df.select(*keys).distinct().withColumn("feature", F.explode(F.array(*map(F.lit, columns))))
+    return every.join(df.select(*keys, "feature", "value"), [*keys, "feature"], "left")
+
+
 def subject_level(df: DataFrame, columns: list[str], model="knn", **selection) -> dict[str, DataFrame]:
-    """Leave one subject out, over a long table with one value per subject and feature (subject, label, feature, value)."""
-    return evaluate_folds(fold_rows(df.where("label is not null")), columns, model, **selection)
+    """Leave one subject out, over a long table with one value per subject and feature (subject, label, feature, value).
+
+    Features are those of ``columns``; one that a subject lacks is missing there.
+    """
+    rows = _completed(df.where("label is not null"), ["subject", "label"], columns)
+    return evaluate_folds(fold_rows(rows), columns, model, **selection)
 
 
 def window_level(df: DataFrame, columns: list[str], model="knn", **selection) -> dict[str, DataFrame]:
@@ -158,7 +168,7 @@ def window_level(df: DataFrame, columns: list[str], model="knn", **selection) ->
 
     All windows of a subject are tested together and never train for one another.
     """
-    rows = fold_rows(df.where("label is not null and subject is not null"))
+    rows = fold_rows(_completed(df.where("label is not null and subject is not null"), ["subject", "window_id", "label"], columns))
     return evaluate_folds(rows.drop("subject").withColumnRenamed("window_id", "subject"), columns, model, **selection)
 
 
