@@ -57,7 +57,7 @@ def low_confidence(df: DataFrame, flag: str, max_gap: float, out: str = "low_con
 
 def local_noise(df: DataFrame, width: int = 17, column: str = "p") -> DataFrame:
     """Add dp, ddp and the local noise of values and of both differences: s_p, s_dp, s_ddp."""
-    df = S.differences(df, column)
+    df = cut(S.differences(df, column))
     df = S.rolling_mad(df, width, "dp", "s_dp")
     df = S.rolling_mad(df, width, "ddp", "s_ddp")
     return df.withColumn("s_p", F.col("s_dp") / F.sqrt(F.lit(2.0)))

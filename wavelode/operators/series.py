@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 MAD_SCALE = 1.4826
 
 
@@ -52,7 +54,7 @@ def trapezoid_area(df: DataFrame, *by: str) -> DataFrame:
 
 
 #: Samples of a block, in which the wide windows over a subject's samples are evaluated.
-BLOCK = 4096
+BLOCK = 1024
 
 
 def in_blocks(df: DataFrame, reach: int):
@@ -63,7 +65,9 @@ def in_blocks(df: DataFrame, reach: int):
     series are evaluated side by side. Needs seq without gaps from 0.
     """
     first, last = F.greatest(F.floor((F.col("seq") - reach) / BLOCK), F.lit(0)), F.floor((F.col("seq") + reach) / BLOCK)
-    return df.withColumn("_block", F.explode(F.sequence(first, last))), Window.partitionBy("subject", "_block").orderBy("seq")
+    # Dealt to all tasks: rows are small, but a row's window is much work.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn("_block", F.explode(F.sequence(first, last))).repartition(tasks, "subject", "_block"), Window.partitionBy("subject", "_block").orderBy("seq")
 
 
 def own_block(df: DataFrame) -> DataFrame:
@@ -77,7 +81,8 @@ def filled(df: DataFrame, column: str, out: str) -> DataFrame:
     Blocks are filled side by side; what is beyond a block comes from a table of the first
     and last value of every block.
     """
-    df = df.withColumn("_block", F.floor(F.col("seq") / BLOCK))
+    # Read twice, so what it took is not done twice.
+    df = cut(df.withColumn("_block", F.floor(F.col("seq") / BLOCK)))
     value = F.struct("seq", F.col(column).alias("v"))
     held = F.when(F.col(column).isNotNull(), value)
     ends = df.groupBy("subject", "_block").agg(F.min(held).alias("_a"), F.max(held).alias("_b"))
