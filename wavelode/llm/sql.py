@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, secret_scan
+from . import decontaminate, filter_audit, hard_negatives, secret_scan
 
 _REACH = "reach(a, b) as (select id, id from nodes union select r.a, l.b from reach r join links l on r.b = l.a), part as (select a as id, min(b) as component_id from reach group by a)"
 
@@ -70,4 +70,5 @@ def all_sql() -> dict[str, str]:
         "op4_minhash_near_dedup": near_texts(),
         "op8_secret_scan": secrets(),
         "op12_filter_audit": filter_audit.audit_sql(),
+        "op13_hard_negatives": hard_negatives.mine_sql(),
     }
