@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, hard_negatives, language, packing, quality, secret_scan, shards, sql, surrogate, text_dedup, token_store, vector_dedup
+from . import decontaminate, filter_audit, hard_negatives, language, main_text, packing, quality, secret_scan, shards, sql, surrogate, text_dedup, token_store, vector_dedup
 from .shared import table
 
 #: Key of the surrogates in the query; a deployment passes its own secret.
@@ -56,6 +56,11 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), carry=digest)
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove in every order, by source, over all documents."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -67,7 +72,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_quality_network, op3_vector_near_dedup, op4_minhash_near_dedup, op5_pii_surrogates, op6_language_id, op7_two_pass_shuffle, op8_secret_scan, op9_token_store, op10_residual_packing, op12_filter_audit, op13_hard_negatives)
+    found = (op1_decontamination, op2_quality_network, op3_vector_near_dedup, op4_minhash_near_dedup, op5_pii_surrogates, op6_language_id, op7_two_pass_shuffle, op8_secret_scan, op9_token_store, op10_residual_packing, op11_main_text, op12_filter_audit, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
