@@ -75,7 +75,7 @@ def plain_negatives(rows):
     for i, a, label, v in ok:
         if a is None or a % 100:
             continue
-        near = sorted((sum(p * q for p, q in zip(v, w, strict=True)), b, j, m == label) for j, b, m, w in ok if j != i and len(w) == len(v))
+        near = [(sum(p * q for p, q in zip(v, w, strict=True)), b, j, m == label) for j, b, m, w in ok if j != i and len(w) == len(v)]
         near.sort(key=last)
         for s, b, _, _ in [x for x in near if x[3]][:5]:
             far = [x for x in near if not x[3] and 30 * s <= 100 * x[0] <= 90 * s][:10]
@@ -102,8 +102,8 @@ def test_negatives_equal_brute_force(spark, monkeypatch):
 
 
 def test_scores_beyond_a_floats_digits(spark):
-    rows = [(100 * i, [float((1 << 18) + i), 3.0], i % 2) for i in range(8)]
-    rows += [(i + 1, [float((1 << 17) + i), 5.0 + i], i % 2) for i in range(20)]
+    rows = [(100 * i, [float((1 << 20) + i), 3.0], i % 2) for i in range(8)]
+    rows += [(i + 1, [float((1 << 19) + i), 5.0 + i], i % 2) for i in range(20)]
     assert mined(spark, rows) == plain_negatives(rows)
     with pytest.raises(ValueError, match="scale"):
         mined(spark, [(100, [1e30, 1.0], 1)])

@@ -153,7 +153,8 @@ def _to_visit(keys: Keys, share: float):
                             bits[open_ & (high[i] >= bar)] |= 1 << a
                             bars.append(bar)
                         at = np.nonzero(bits)[0]
-                        yield pd.DataFrame({"anchor": anchor, "cell": cells["cell"].to_numpy()[at], "bits": bits[at], "bars": [bars] * len(at)})
+                        if len(at):
+                            yield pd.DataFrame({"anchor": anchor, "cell": cells["cell"].to_numpy()[at], "bits": bits[at], "bars": [bars] * len(at)})
 
     return plan
 
@@ -162,7 +163,7 @@ def _scan(k: int, same: bool, kind):
     """The first ``k`` rows of a group of an interval for every search of a block of anchors that asks for it."""
 
     def run(key, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"anchor": [], "ask": [], "score": [], "ord": [], "row": []})
+        none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("anchor", "ask", "score", "ord", "row")})
         if asked.empty or rows.empty:
             return none
         rows = rows.sort_values(["ord", "row"])
