@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from unicodedata import normalize
 
 #: Pieces whose ids a worker remembers, and the longest piece that it does.
 CACHE, LONGEST = 800_000, 64
@@ -34,7 +35,7 @@ class _Pieces(dict):
             if lines:
                 return self[first] + b"".join(self.encode.line + self.inner[line] for line in lines)
         word = piece[:-1]
-        if piece[-1:] in _MARKS and word.isalpha():
+        if piece[-1:] in _MARKS and _letters(word):
             return self[word] + self.inner[piece[-1]]
         return self.encode(piece)
 
@@ -93,6 +94,11 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
 
 
+def _letters(word: str) -> bool:
+    """Whether a word is letters, also as the vocabularies normalise it: some letters become a letter and a sign, which joins a mark."""
+    return word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())
+
+
 def _cuts(text: str) -> list[str]:
     """Pieces between the single spaces that stand between two visible characters."""
     if text[0] == " " or text[-1] == " " or _BLANKS.search(text):
