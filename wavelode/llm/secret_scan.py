@@ -20,10 +20,11 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: Further rules: private key headers, web tokens, and tokens known by their prefixes.
+#: Further rules: private key headers, web tokens, and tokens known by their prefixes. No rule reads a stretch of text again
+#: from each of its characters: what cannot begin inside a run of its own characters says so.
 EXTRA = (
     ("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", 0, 1),
-    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 1),
     ("prefixed", r"(?:gh[pousr]_|xox[abprs]-|sk_live_|glpat-)[A-Za-z0-9_-]{16,}", 0, 1),
 )
 RULE_SETS = {"base": BASE, "extra": EXTRA}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import decontaminate, filter_audit, hard_negatives, secret_scan
 
 _REACH = "reach(a, b) as (select id, id from nodes union select r.a, l.b from reach r join links l on r.b = l.a), part as (select a as id, min(b) as component_id from reach group by a)"
@@ -46,11 +48,15 @@ def secrets() -> str:
     """Spans of op8: lengths of the text between a rule's matches give where each match begins."""
     parts = []
     for rank, (kind, pattern, group, least) in enumerate(secret_scan.BASE + secret_scan.EXTRA):
-        quoted = "'" + pattern.replace("'", "''") + "'"
+        # What must not stand before a match is taken as a group of its own there, and possessive repeats as plain ones.
+        behind = re.match(r"\(\?<!\[(.*?)\]\)", pattern)
+        pattern = pattern.replace("}+", "}")
+        quoted = "'" + (f"(^|[^{behind[1]}]){pattern[behind.end():]}" if behind else pattern).replace("'", "''") + "'"
+        before = f"regexp_extract_all(text, {quoted}, 1)" if behind else "null"
         parts.append(f"""
-        select doc_id, {rank} as rank, '{kind}' as kind, list_sum([length(x) for x in b[1:i]]) + coalesce(list_sum([length(x) for x in w[1 : i - 1]]), 0) as start, length(w[i]) as n
-        from (select doc_id, b, w, v, unnest(range(1, len(w) + 1)) as i from (
-          select doc_id, string_split_regex(text, {quoted}) as b, regexp_extract_all(text, {quoted}, 0) as w, regexp_extract_all(text, {quoted}, {group}) as v
+        select doc_id, {rank} as rank, '{kind}' as kind, list_sum([length(x) for x in b[1:i]]) + coalesce(list_sum([length(x) for x in w[1 : i - 1]]), 0) + coalesce(length(u[i]), 0) as start, length(w[i]) - coalesce(length(u[i]), 0) as n
+        from (select doc_id, b, w, u, v, unnest(range(1, len(w) + 1)) as i from (
+          select doc_id, string_split_regex(text, {quoted}) as b, regexp_extract_all(text, {quoted}, 0) as w, {before} as u, regexp_extract_all(text, {quoted}, {group}) as v
           from documents where regexp_matches(text, {quoted})))
         where length(v[i]) >= {least}""")
     span = "kind || ':' || start::bigint || ':' || (start + n)::bigint"
