@@ -44,7 +44,7 @@ SYLLABLES = {"latin": ("bcdfghklmnprstvz", "aeiou"), "cyrillic": ("бвгдзк
 _TITLE = {t: g for g, names in TITLES.items() for t in names}
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
 _PATTERNS = (
-    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w])")),
+    ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w])")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)", re.A)),
     ("card", re.compile(r"(?<![\w-])(?:[3-6]\d{3}(?:\d{9,12}|(?:[ -]\d{4}){3})|3[47]\d\d[ -]\d{6}[ -]\d{5})(?![\w-])", re.A)),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)),
