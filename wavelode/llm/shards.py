@@ -37,7 +37,7 @@ def shuffle_to_shards(docs: DataFrame, path: str | None = None, shards: int = 8,
     table gives no rows.
 
     Buckets are sized by measured bytes, MOST_BYTES at most unless ``bucket_bytes`` is given, and
-    there are as many partitions as buckets, so a task's memory does not grow with the input. Rows of one id are told apart by
+    each is a partition of its own, so a task's memory does not grow with the input. Rows of one id are told apart by
     their texts; where very many rows agree in both they are alike, and are dealt over all
     buckets by their place in the input. Array shuffling uses the Fisher-Yates algorithm;
     buckets are ordered before it, so that a task run again permutes them alike.
@@ -66,7 +66,7 @@ def shuffle_to_shards(docs: DataFrame, path: str | None = None, shards: int = 8,
     before = F.sum("rows").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("bucket", F.coalesce(before, F.lit(0)).alias("first"))
 
-    gathered = rows.repartition(n_buckets, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("rows"))
+    gathered = rows.repartitionById(n_buckets, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("rows"))
     placed = gathered.join(F.broadcast(starts) if n_buckets <= SENT_BUCKETS else starts, "bucket").sortWithinPartitions("bucket")
     each = placed.select("first", F.posexplode(F.shuffle("rows", seed)).alias("at", "row"))
     place = F.col("first") + F.col("at")
