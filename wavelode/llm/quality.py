@@ -17,9 +17,9 @@ from .shared import crc_mod
 
 #: Filters, their width in bytes, hidden units, and the step of chunks that are two steps long.
 FILTERS, WIDTH, HIDDEN, STEP = 24, 6, 16, 128
-#: Labelled documents that a model is fitted on, in expectation, where there are more; chunks of one that a training
-#: pass looks at; characters of one from which it is fitted on SLICES even slices of so many in all. Scores are of whole texts.
-SAMPLE, SEEN_CHUNKS, FIT_CHARS, SLICES = 3000, 8, 65_536, 16
+#: Labelled documents that a model is fitted on, in expectation, where there are more, each by its whole text; chunks of
+#: one that a training pass looks at, or more where the passes would not get to all of them; chunks held at a time.
+SAMPLE, SEEN_CHUNKS, HELD_CHUNKS = 3000, 8, 4096
 THRESHOLD = 0.3
 
 
@@ -58,22 +58,23 @@ class ByteNetwork:
         return float(1 / (1 + np.exp(-np.clip(hidden @ self.p["w2"] + self.p["b2"][0], -30, 30))))
 
     def fit(self, texts: list[str], labels: np.ndarray, steps: int = 1300, batch: int = 32, rate: float = 0.01, seed: int = 5) -> "ByteNetwork":
-        """Fit by Adam on the log loss; each pass looks at some chunks of each document, drawn anew."""
+        """Fit by Adam on the log loss; each pass looks at some chunks of each document, and all passes together at all of them."""
         r = np.random.default_rng(seed)
         data = [_padded(t) for t in texts]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         parts = -(-len(data) // batch)
         step, total = 0, parts * -(-steps // parts)
-        for _ in range(total // parts):
+        passes = total // parts
+        for turn in range(passes):
             for rows in np.array_split(r.permutation(len(data)), parts):
                 chunks, owner = [], []
                 for at, i in enumerate(rows):
                     n = (len(data[i]) - WIDTH + 1) // STEP - 1
-                    for c in range(n) if n <= SEEN_CHUNKS else r.choice(n, SEEN_CHUNKS, replace=False):
+                    for c in range(n) if n <= SEEN_CHUNKS else _turn(n, turn, passes, r):
                         chunks.append(data[i][c * STEP : (c + 2) * STEP + WIDTH - 1])
                         owner.append(at)
-                grads = self._gradients(np.stack(chunks), np.array(owner), labels[rows])
+                grads = self._gradients(chunks, np.array(owner), labels[rows])
                 step += 1
                 now = rate * (1 - 0.9 * step / total)
                 for k, g in grads.items():
@@ -82,28 +83,49 @@ class ByteNetwork:
                     self.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)
         return self
 
-    def _gradients(self, chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-        p, n, wide = self.p, len(chunks), chunks.shape[1] - WIDTH + 1
+    def _forward(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each filter responds most in each chunk, how much, and the hidden layer before its threshold."""
+        p, wide = self.p, chunks.shape[1] - WIDTH + 1
         out = p["filters"][0].take(chunks[:, :wide], 0)
         for k in range(1, WIDTH):
             out += p["filters"][k].take(chunks[:, k : k + wide], 0)
         best = out.argmax(1)
         pooled = np.take_along_axis(out, best[:, None], 1)[:, 0]
-        before = pooled @ p["w1"] + p["b1"]
-        hidden = np.maximum(before, 0)
+        return best, pooled, pooled @ p["w1"] + p["b1"]
+
+    def _gradients(self, chunks: list[np.ndarray], owner: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of a batch, HELD_CHUNKS at a time: a long text needs the sum over its chunks before any of them."""
+        p, held = self.p, [slice(lo, lo + HELD_CHUNKS) for lo in range(0, len(chunks), HELD_CHUNKS)]
         size = np.bincount(owner, minlength=len(labels)).astype(np.float32)
         mean = np.zeros((len(labels), HIDDEN), np.float32)
-        np.add.at(mean, owner, hidden)
+        for some in held:
+            data = np.stack(chunks[some])
+            found = self._forward(data)
+            np.add.at(mean, owner[some], np.maximum(found[2], 0))
         mean /= size[:, None]
         prob = 1 / (1 + np.exp(-np.clip(mean @ p["w2"] + p["b2"], -30, 30)))
         error = ((prob - labels) / len(labels)).astype(np.float32)
-        to_hidden = (error[:, None] * p["w2"] / size[:, None])[owner] * (before > 0)
-        to_pooled = to_hidden @ p["w1"].T
-        filters = np.zeros_like(p["filters"])
+        grads = {"filters": 1e-5 * p["filters"], "w1": np.zeros_like(p["w1"]), "b1": np.zeros_like(p["b1"]), "w2": mean.T @ error, "b2": error.sum(keepdims=True)}
         own = np.arange(FILTERS)
-        for k in range(WIDTH):
-            np.add.at(filters[k], (chunks[np.arange(n)[:, None], best + k], own), to_pooled)
-        return {"filters": filters + 1e-5 * p["filters"], "w1": pooled.T @ to_hidden, "b1": to_hidden.sum(0), "w2": mean.T @ error, "b2": error.sum(keepdims=True)}
+        for some in held:
+            if len(held) > 1:
+                data = np.stack(chunks[some])
+                found = self._forward(data)
+            best, pooled, before = found
+            to_hidden = (error[:, None] * p["w2"] / size[:, None])[owner[some]] * (before > 0)
+            to_pooled = to_hidden @ p["w1"].T
+            rows = np.arange(len(data))[:, None]
+            for k in range(WIDTH):
+                np.add.at(grads["filters"][k], (data[rows, best + k], own), to_pooled)
+            grads["w1"] += pooled.T @ to_hidden
+            grads["b1"] += to_hidden.sum(0)
+        return grads
+
+
+def _turn(n: int, turn: int, passes: int, r) -> np.ndarray:
+    """Chunks of a text of ``n`` chunks for one of the passes: its share, and drawn ones up to SEEN_CHUNKS."""
+    share = np.arange(turn, n, passes)
+    return share if len(share) >= SEEN_CHUNKS else np.union1d(share, r.choice(n, SEEN_CHUNKS - len(share), replace=False))
 
 
 def _padded(text: str | None) -> np.ndarray:
@@ -117,8 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNetwork
     """Fit a network on the documents that ``labels`` (doc_id, quality) marks 0 or 1.
 
     Of more than ``sample`` labelled ids, those whose hash falls below a threshold are
-    used, about ``sample`` of them at every size, with one text for each id and FIT_CHARS
-    characters of it, so the driver gets a bounded number of bounded texts. An id with two
+    used, about ``sample`` of them at every size, with one whole text for each id, so the driver
+    gets a bounded number of texts. An id with two
     different labels is left out. Without labels of both kinds the network stays as
     initialised.
     """
@@ -128,10 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNetwork
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int(sample / n * (1 << 24)))
     # About ``sample`` ids at most, so sending them to all tasks has a bound.
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    wide, each = F.char_length("text"), FIT_CHARS // SLICES
-    slices = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring("text", (1 + i * F.floor((wide - each) / (SLICES - 1))).cast("int"), F.lit(each)))
     # Of rows that repeat an id the smallest text counts, whatever their order.
-    rows = rows.groupBy("doc_id", "y").agg(F.min(F.when(wide > FIT_CHARS, F.array_join(slices, "")).otherwise(F.col("text"))).alias("text")).toPandas()
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).toPandas()
     rows = rows.sort_values("doc_id")
     y = rows["y"].to_numpy(np.float32)
     network = ByteNetwork()
