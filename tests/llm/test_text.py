@@ -511,13 +511,32 @@ def test_scores_equal_a_plain_network(spark):
         assert abs(got[i] - plain_score(network, t)) < 1e-4
 
 
-def test_fit_takes_one_bounded_text_of_an_id(spark, monkeypatch):
+def test_fit_takes_one_whole_text_of_an_id(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(quality.ByteNetwork, "fit", lambda self, texts, y: seen.append((texts, y.tolist())) or self)
     docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c" * 200_000), (3, None), (4, "no label")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (5, 0), (6, 0), (6, 1)], "doc_id long, quality int")
     quality.fit(docs, labels)
-    assert seen[0][0][0] == "a" and len(seen[0][0][1]) == quality.FIT_CHARS and seen[0][0][2] is None and seen[0][1] == [1, 0, 1]
+    assert seen[0][0] == ["a", "c" * 200_000, None] and seen[0][1] == [1, 0, 1]
+
+
+def test_all_chunks_of_a_text_are_fitted_on(monkeypatch):
+    """Also of one that is longer than a pass looks at; and the pieces in which a batch is held change nothing."""
+    seen, plain = set(), quality.ByteNetwork._gradients
+
+    def noted(self, chunks, owner, labels):
+        seen.update(c[:8].tobytes() for c in chunks)
+        got = plain(self, chunks, owner, labels)
+        monkeypatch.setattr(quality, "HELD_CHUNKS", 7)
+        small = plain(self, chunks, owner, labels)
+        monkeypatch.setattr(quality, "HELD_CHUNKS", 4096)
+        assert all(np.allclose(got[k], small[k], atol=1e-5) for k in got)
+        return got
+
+    monkeypatch.setattr(quality.ByteNetwork, "_gradients", noted)
+    text = "".join(f"{i:07d} " for i in range(4000))
+    quality.ByteNetwork().fit([text, "short"], np.array([1, 0], np.float32), steps=5)
+    assert {text[i : i + 8].encode() for i in range(0, len(text) - 2 * quality.STEP, quality.STEP)} <= seen
 
 
 # personal data
