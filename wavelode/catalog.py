@@ -502,6 +502,38 @@ def lyapunov_slope(spark, sf):
     return nonlinear.divergence(vector_series(spark, sf)).select("subject", *_r("lle"))
 
 
+#: Vectors as windows in robust z, each with the delay and dimension that it is estimated to have, and its delay vectors.
+_OWN = f"""{EM.replace("s as", "es as", 1)}, zm as (select subject, median(p) as md, greatest(1.4826e0 * mad(p), 1e-9) as w from es group by 1), s as (select es.subject, seq, (p - md) / w as p from es join zm on zm.subject = es.subject),
+{_tau_sql(_AMI6, 6)}, g as (select subject, stddev_pop(p) + 1e-12 as sigma from s group by 1),
+v as (select a.subject, a.seq as i, tau.tau, a.p as x0, b.p as x1, c.p as x2, d.p as x3 from s a join tau on tau.subject = a.subject left join s b on b.subject = a.subject and b.seq = a.seq + tau.tau left join s c on c.subject = a.subject and c.seq = a.seq + 2 * tau.tau left join s d on d.subject = a.subject and d.seq = a.seq + 3 * tau.tau),
+{", ".join(map(_fnn_sql, (1, 2, 3)))}, fn as (select * from fn1 union all select * from fn2 union all select * from fn3),
+tm2 as (select tau.subject, tau, (select coalesce(min(case when fnn <= 0.05e0 then m end), arg_min(m, fnn * 10 + m * 1e-9), 3) from fn where fn.subject = tau.subject)::bigint as m from tau),
+w as (select subject, list(p order by seq) as p from s group by 1), ev as (select subject, tau, m, i, [p[i + 1 + k * tau] for k in range(m)] as x from (select w.subject, p, tau, m, unnest(range(0, len(p) - (m - 1) * tau)) as i from w join tm2 on tm2.subject = w.subject)),
+tr as (select subject, sum(step) as trajectory_length from (select subject, list_distance(x, lag(x) over (partition by subject order by i)) as step from ev) group by 1),
+pe as (select subject, p[i + 1] as a, p[i + 1 + tau] as b, p[i + 1 + 2 * tau] as c from (select w.subject, p, tau, unnest(range(0, len(p) - 2 * tau)) as i from w join tm2 on tm2.subject = w.subject)),
+pq as (select subject, c / sum(c) over (partition by subject) as q from (select subject, count(*) as c from pe group by subject, a <= b, a <= c, b <= c)), pn as (select subject, -sum(q * ln(q + 1e-12)) / ln(6) as permen from pq group by 1),
+d as (select a.subject, a.i, b.i as j, a.tau, list_distance(a.x, b.x) as d from ev a join ev b on a.subject = b.subject),
+ep as (select subject, quantile_cont(d, 0.05) as epsilon from d where abs(i - j) > tau group by 1), nn as (select subject, count(*) as n from ev group by 1), rc as (select d.subject, i, j, epsilon, n from d join ep on d.subject = ep.subject join nn on d.subject = nn.subject where d <= epsilon and abs(i - j) > tau)"""
+
+_OWN_RQA = _RQA[_RQA.index("tot as (") :].replace("from r ", "from rc ").replace("from r)", "from rc)").replace("\nselect tot.subject", ",\nrq as (select tot.subject")
+
+
+@query(f"""with {_OWN}, {_OWN_RQA}),
+nr as (select *, row_number() over (partition by subject, i order by d, abs(i - j), j) as r from d), nb as (select subject, i, j from (select *, row_number() over (partition by subject, i order by r) as q from nr where r <= 30 and abs(i - j) > tau) where q = 1), k as (select unnest(range(1, 6)) as k),
+f as (select nb.subject, k, ln(list_distance(a.x, b.x)) as y from nb join nn on nn.subject = nb.subject join k on true join ev a on a.subject = nb.subject and a.i = nb.i + k join ev b on b.subject = nb.subject and b.i = nb.j + k where nb.i + 10 < n and nb.j + 10 < n and list_distance(a.x, b.x) > 1e-12),
+fm as (select subject, k, avg(y) as y from f group by 1, 2 having count(*) >= 5), ll as (select subject, round(case when count(*) >= 3 then regr_slope(y, k) end, 6) as lle from fm group by 1)
+select tm2.subject, tau, m as dim, nn.n as vectors, round(permen, 6) as permen, round(trajectory_length, 6) as trajectory_length, rr, det, lam, l_mean, l_max, tt, epsilon, lle
+from tm2 join nn on nn.subject = tm2.subject join pn on pn.subject = tm2.subject join tr on tr.subject = tm2.subject left join rq on rq.subject = tm2.subject left join ll on ll.subject = tm2.subject""")
+def own_embedding_features(spark, sf):
+    """Measures of windows that each have their own delay and dimension; every vector is a window."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("subject"), F.col("embedding").cast("array<double>").alias("x"))
+    rows = reports.measured(vectors, least=32, most_dim=3).withColumn("_m", F.map_from_entries("measures"))
+    of = lambda name: F.col("_m")[reports.NAMES[name]]
+    whole = [of(c).cast("long").alias(c) for c in ("tau", "dim", "vectors", "l_max")]
+    real = [F.round(of(c), 6).alias(c) for c in ("permen", "trajectory_length", "rr", "det", "lam", "l_mean", "tt", "epsilon", "lle")]
+    return rows.select("subject", *whole, *real)
+
+
 #: Windows of 300 samples every 100 as series of robust z, for the SQL of single measures.
 _WINDOWS = f"""{EV.replace("s as", "es as", 1)}, wc as (select subject, count(*) as n from es group by 1), ws as (select subject, unnest(range(0, n - 256 + 1, 100)) as a from wc where n >= 256),
 wr as (select es.subject || '#' || (a // 100) as subject, seq - a as seq, t, p from es join ws on ws.subject = es.subject and seq >= a and seq < a + 300),
