@@ -308,6 +308,50 @@ def denoise_full(spark, sf):
     return denoise.denoise(event_series(spark, sf), 5.0, 300.0).select("subject", "seq", *_r("clean", "preclean", "baseline", "residual", "noise"), "out_of_range", "artifact", "event", "quality_flag")
 
 
+_WIDE = f"{DT}, bw as (select s.*, dt, greatest(round_even(40000e0 / dt, 0)::int, 9) as n0 from s join dt on dt.subject = s.subject), sw as (select * exclude (n0), n0 + (n0 % 2 = 0)::int as width, (n0 + (n0 % 2 = 0)::int) // 2 as h from bw)"
+
+
+@query(f"""with {US}, {_WIDE}, m0 as (select *, case when count(*) over w >= greatest(3, width // 3) then quantile_cont(p, 0.5) over w end as m_ from sw window w as (partition by subject order by seq rows between h preceding and h following))
+select subject, seq::bigint as seq, width, round({_fill('m_')}, 6) as median from m0""")
+def median_by_width(spark, sf):
+    """Rolling median whose width in seconds is each subject's own number of samples."""
+    df = event_series(spark, sf, "user_id")
+    wide = df.join(series.sampling_interval(df), "subject").withColumn("width", series.samples(40000.0, F.col("dt"), 9))
+    return series.rolling_median(wide, "width").select("subject", "seq", "width", *_r("median"))
+
+
+def _channels(spark, sf):
+    """Series of users with a sparse channel, a dense one, and a mask."""
+    e = table(spark, sf, "events")
+    order = Window.partitionBy("subject").orderBy("ts", "event_id")
+    rows = e.select(F.col("user_id").alias("subject"), "event_id", "ts", seconds("ts").alias("t"), finite("value").alias("p"), F.when(F.col("event_type") == "click", finite("value")).alias("ph"), (F.col("event_id") % 97).cast("double").alias("temperature"))
+    return rows.withColumn("seq", (F.row_number().over(order) - 1).cast("long")).drop("event_id", "ts").withColumn("flag", F.col("p") > 60)
+
+
+_CH = f"s as (select user_id as subject, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, epoch(ts) as t, value as p, case when event_type = 'click' then value end as ph, (event_id % 97)::double as temperature, value > 60 as flag from events)"
+_ON_GRID = "{c}0 as (select g.subject, g.k, g.t, a.t as lt, a.{c} as ly from g asof left join (select * from {s} where {c} is not null) a on g.subject = a.subject and g.t >= a.t), {c}g as (select l.subject, l.k, case when lt is null or rt is null or rt = lt then coalesce(ly, ry) else ly + (l.t - lt) / (rt - lt) * (ry - ly) end as {c} from (select l.*, b.t as rt, b.{c} as ry from {c}0 l asof left join (select * from {s} where {c} is not null) b on l.subject = b.subject and l.t <= b.t) l)"
+
+
+@query(f"""with {_CH}, {_GRID}, {_interp('s', 'ph is not null', 'ph_', 'i', 'ph').replace("then t end", "then seq end").replace("(t - lt)", "(seq - lt)")}, f as (select * exclude (ph, ph_), ph_ as ph from i),
+{", ".join(_ON_GRID.format(c=c, s="f") for c in ("p", "ph", "temperature"))}, f2 as (select subject, seq, t, flag from f), {_RUNS.replace("from f)", "from f2)")}, rt as (select r.subject, min(t) - any_value(dt) / 2 as a, max(t) + any_value(dt) / 2 as b from r join dt on dt.subject = r.subject where flag group by r.subject, run)
+select pg.subject, pg.k::bigint as k, round(p, 5) as p, round(ph, 5) as ph, round(temperature, 5) as temperature, exists (select 1 from rt join g on g.subject = rt.subject and g.k = pg.k where rt.subject = pg.subject and g.t between rt.a and rt.b) as flag
+from pg join phg on phg.subject = pg.subject and phg.k = pg.k join temperatureg tg on tg.subject = pg.subject and tg.k = pg.k""")
+def uniform_channels(spark, sf):
+    """Pressure, carried channels and a mask on each subject's uniform grid; gaps in a channel are filled by position."""
+    df = _channels(spark, sf)
+    df = series.interpolate(df, F.col("ph").isNotNull(), x="seq", y="ph", out="ph")
+    return series.uniform(df, ("p", "ph", "temperature"), ("flag",)).select("subject", "k", *_r("p", "ph", "temperature", n=5), "flag")
+
+
+@query()
+def denoise_uniform(spark, sf):
+    """The whole chain on uniform grids, with widths and limits of each subject's own."""
+    df = _channels(spark, sf).drop("flag")
+    found = denoise.denoise_uniform(df, 5.0, 150.0, parameters=denoise.adaptive_parameters(df.select("subject", "seq", "t", "p"), 5.0, 150.0))
+    real = ("ph", "temperature", "raw", "range_fixed", "preclean", "clean", "baseline", "residual", "noise")
+    return found.select("subject", "k", *_r("t", n=3), *_r(*real, n=5), "out_of_range", "artifact", "event", "quality_flag")
+
+
 # ------------------------------------------------------------------ windows
 
 _FIXED = "c as (select subject, count(*) as n from s group by 1), w as (select subject, unnest(range(0, n - 48 + 1, 32)) as a, n from c where n >= 48), wr as (select w.subject, w.a // 32 as window_id, s.* exclude (subject) from w join s on s.subject = w.subject and s.seq >= a and s.seq < a + 64)"

@@ -76,11 +76,16 @@ def events(df: DataFrame, least_samples: int = 2, amp_k: float = DEFAULT.event_a
     df = df.withColumn("_part", (F.col("_up") + F.lag("_up").over(w)) / 2 * (F.col("t") - F.lag("t").over(w)))
     found = df.groupBy("subject", "run").agg(
         F.min("seq").alias("start"), (F.max("seq") + 1).alias("end"), F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count(F.lit(1)).alias("n"),
-        F.max(residual).alias("peak"), F.coalesce(F.sum("_part"), F.lit(0.0)).alias("area"), F.percentile(noise, 0.5).alias("_noise"),
+        F.max(residual).alias("peak"), F.coalesce(F.sum("_part"), F.lit(0.0)).alias("area"), F.percentile(noise, 0.5).alias("_noise"), _own(amp_k).alias("_amp_k"), _own(area_k).alias("_area_k"),
     )
-    strong = (F.col("n") >= least_samples) & (F.col("peak") > amp_k * F.col("_noise"))
-    wide = F.col("area") > area_k * F.col("_noise") * (F.col("t_end") - F.col("t_start"))
-    return found.where(strong & wide).drop("run", "_noise")
+    strong = (F.col("n") >= least_samples) & (F.col("peak") > F.col("_amp_k") * F.col("_noise"))
+    wide = F.col("area") > F.col("_area_k") * F.col("_noise") * (F.col("t_end") - F.col("t_start"))
+    return found.where(strong & wide).drop("run", "_noise", "_amp_k", "_area_k")
+
+
+def _own(limit: float | Column) -> Column:
+    """A limit as an aggregate: a number, or a column that is the same for a subject's samples."""
+    return F.first(limit if isinstance(limit, Column) else F.lit(limit))
 
 
 def mark(df: DataFrame, found: DataFrame, out: str) -> DataFrame:
@@ -174,8 +179,8 @@ def flatlines(df: DataFrame, least: int = 10, eps: float = 1e-6, k: Limits = DEF
     df = df.withColumn("_flat", flat).withColumn("_l", F.abs(F.col("p") - F.lag("p").over(w))).withColumn("_r", F.abs(F.lead("p").over(w) - F.col("p")))
     df = df.withColumn("_l0", F.lag("_l").over(w))
     df = S.runs(df, "_flat").where("_flat")
-    found = df.groupBy("subject", "run").agg(F.min("seq").alias("start"), (F.max("seq") + 1).alias("end"), F.count(F.lit(1)).alias("n"), F.min_by("_l0", "seq").alias("_in"), F.max_by("_r", "seq").alias("_out"), F.percentile("s_p", 0.5).alias("_noise"))
-    jump = k.amp * F.col("_noise")
+    found = df.groupBy("subject", "run").agg(F.min("seq").alias("start"), (F.max("seq") + 1).alias("end"), F.count(F.lit(1)).alias("n"), F.min_by("_l0", "seq").alias("_in"), F.max_by("_r", "seq").alias("_out"), F.percentile("s_p", 0.5).alias("_noise"), _own(k.amp).alias("_amp_k"))
+    jump = F.col("_amp_k") * F.col("_noise")
     return found.where((F.col("n") >= least) & ((F.coalesce("_in", F.lit(0.0)) > jump) | (F.coalesce("_out", F.lit(0.0)) > jump))).select("subject", "start", "end")
 
 
@@ -214,9 +219,12 @@ def artifacts(df: DataFrame, most: int = 4, max_seconds: float = 4.8, flat: int
     return df.withColumn("artifact", F.col("_any") & ((lasts <= max_seconds + F.col("dt")) | calm)).drop("spike", "curved", "_span", "_any", "run", "dt")
 
 
-def smooth(df: DataFrame, width: int = 5, column: str = "p", event: str = "event", out: str = "smoothed") -> DataFrame:
-    """Blend with a local quadratic fit: events keep 0.85 of their value at least, samples next to them 0.65."""
-    df = S.savgol(df, width, column, "_fit")
+def smooth(df: DataFrame, width: int | str = 5, column: str = "p", event: str = "event", out: str = "smoothed") -> DataFrame:
+    """Blend with a local quadratic fit: events keep 0.85 of their value at least, samples next to them 0.65.
+
+    ``width`` is one number of samples, or the name of a column with each subject's own.
+    """
+    df = S.savgol_by_width(df, width, column, "_fit") if isinstance(width, str) else S.savgol(df, width, column, "_fit")
     df = S.expand_mask(df, event, 1, "_near")
     weight = F.when(F.col(event), 0.85).when(F.col("_near"), 0.65).otherwise(0.0)
     weight = F.greatest(weight, F.least(F.greatest(F.coalesce(F.col("score"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
@@ -224,7 +232,7 @@ def smooth(df: DataFrame, width: int = 5, column: str = "p", event: str = "event
 
 
 def denoise(df: DataFrame, low: float = GATE[0], high: float = GATE[1], passes: int = 2, baseline: int = 51, noise: int = 17, smooth_width: int = 5, k: Limits = DEFAULT) -> DataFrame:
-    """The whole chain over prepared series.
+    """The whole chain over prepared series, sample by sample; ``denoise_uniform`` has it on a uniform grid.
 
     Gate, then ``passes`` times: baseline, noise, events, artifacts, and interpolation
     over artifacts widened by a sample outside events. A subject in which a pass finds no
@@ -232,9 +240,22 @@ def denoise(df: DataFrame, low: float = GATE[0], high: float = GATE[1], passes:
     clean, baseline, residual, noise, three masks and quality_flag. Steps that look at
     their input several times have it checkpointed, so plans stay short.
     """
+    df = smooth(_reconstructed(df, low, high, passes, baseline, noise, k), smooth_width)
+    flag = quality_flag(F.col("low_confidence"), F.col("out_of_range"), F.col("done"))
+    return df.select(
+        "subject", "seq", "t", "raw", "range_fixed", F.col("p").alias("preclean"), F.col("smoothed").alias("clean"), "baseline", "residual", F.col("s_p").alias("noise"),
+        "out_of_range", F.col("done").alias("artifact"), "event", flag.alias("quality_flag"),
+    )
+
+
+def _reconstructed(df: DataFrame, low: float, high: float, passes: int, baseline: int | str, noise: int | str, k: Limits, kept: tuple[str, ...] = (), gap: float | None = None) -> DataFrame:
+    """Gated samples with artifacts rebuilt, estimates of the result, and the columns ``kept`` of ``df``.
+
+    Widths may name columns of these. With ``gap``, artifacts that last longer, in seconds, are rebuilt with low confidence.
+    """
     df = range_gate(cut(df), low, high).withColumnRenamed("p", "raw").withColumnRenamed("gated", "range_fixed")
     df = cut(df.withColumn("p", F.col("range_fixed")).withColumn("done", F.lit(False)))
-    base = ["subject", "seq", "t", "raw", "range_fixed", "out_of_range", "low_confidence", "p", "done"]
+    base = ["subject", "seq", "t", "raw", "range_fixed", "out_of_range", "low_confidence", "p", "done", *kept]
     for _ in range(passes):
         now = artifacts(_estimates(df.select(*base), baseline, noise, k), k=k)
         now = S.expand_mask(now, "artifact", 1, "_wide").withColumn("_wide", F.col("artifact") | (F.col("_wide") & ~F.col("event")))
@@ -243,15 +264,57 @@ def denoise(df: DataFrame, low: float = GATE[0], high: float = GATE[1], passes:
         now = now.withColumn("done", F.when(F.col("_new"), F.col("done") | F.col("_wide")).otherwise(F.col("done")))
         now = S.interpolate(now, ~F.col("done"), y="range_fixed", out="_fixed")
         df = cut(now.withColumn("p", F.when(F.col("_new"), F.coalesce("_fixed", "p")).otherwise(F.col("p"))).select(*base))
-    df = smooth(_estimates(df, baseline, noise, k), smooth_width)
-    flag = quality_flag(F.col("low_confidence"), F.col("out_of_range"), F.col("done"))
-    return df.select(
-        "subject", "seq", "t", "raw", "range_fixed", F.col("p").alias("preclean"), F.col("smoothed").alias("clean"), "baseline", "residual", F.col("s_p").alias("noise"),
-        "out_of_range", F.col("done").alias("artifact"), "event", flag.alias("quality_flag"),
+    if gap is not None:
+        df = low_confidence(df, "done", gap, "_poor")
+        df = df.withColumn("low_confidence", F.col("low_confidence") | F.col("_poor")).select(*base)
+    return _estimates(df, baseline, noise, k)
+
+
+#: Spans of the chain in seconds, for the baseline, the noise, smoothing, and artifacts that are rebuilt with confidence.
+BASELINE_S, NOISE_S, SMOOTH_S, REBUILT_S = 60.0, 20.0, 4.8, 8.0
+
+
+def denoise_uniform(df: DataFrame, low: float = GATE[0], high: float = GATE[1], channels: tuple[str, ...] = ("ph", "temperature"), passes: int = 2, parameters: DataFrame | None = None, dt: DataFrame | None = None, seconds: tuple[float, float, float] = (BASELINE_S, NOISE_S, SMOOTH_S), k: Limits = DEFAULT) -> DataFrame:
+    """The whole chain with its result on a uniform grid, a row per grid point.
+
+    ``df`` has (subject, seq, t, p) and may have the channels, which are carried along: gaps in
+    them are filled by position, then they are put on the grid. Widths of the baseline, the
+    noise and smoothing are in ``seconds`` and become each subject's own number of samples by its
+    sampling interval. ``parameters`` (as ``adaptive_parameters`` gives them) replaces limits and
+    widths subject by subject. ``dt`` (subject, dt) sets the grid, the sampling interval by default.
+
+    Returns subject, k, t, the channels, raw, range_fixed, preclean, clean, baseline, residual
+    (of clean), noise, out_of_range, artifact (samples out of range among them), event and
+    quality_flag. A channel that ``df`` lacks, or that a subject never has, is null. An empty table gives no rows.
+    """
+    step = S.sampling_interval(df)
+    carried = tuple(c for c in channels if c in df.columns)
+    for c in carried:
+        df = S.interpolate(df, F.col(c).isNotNull(), x="seq", y=c, out=c)
+    limits = step
+    if parameters is not None:
+        limits = limits.join(parameters, "subject")
+        k = k._replace(amp=F.col("amp_k"), slope=F.col("slope_k"), curve=F.col("curv_k"), event_amp=F.col("event_amp_k"), event_area=F.col("event_area_k"))
+        seconds = (seconds[0], F.col("noise_s"), F.col("smooth_s"))
+    own = [c for c in limits.columns if c.endswith("_k")]
+    widths = {"baseline_n": (seconds[0], 9), "noise_n": (seconds[1], 7), "smooth_n": (seconds[2], 5)}
+    limits = cut(limits.select("subject", *own, *[S.samples(s, F.col("dt"), least).alias(name) for name, (s, least) in widths.items()]))
+    rows = df.select("subject", "seq", "t", "p", *carried).join(limits, "subject")
+    rows = _reconstructed(rows, low, high, passes, "baseline_n", "noise_n", k, (*carried, *own, *widths), REBUILT_S)
+    rows = cut(rows.withColumn("artifact", F.col("done") | F.col("out_of_range")).withColumnRenamed("s_p", "noise").withColumnRenamed("p", "preclean"))
+    values = ("raw", "range_fixed", "preclean", "baseline", "noise", "score", *carried)
+    grid = S.uniform(rows, values, ("out_of_range", "artifact", "low_confidence", "event"), dt if dt is not None else step)
+    grid = grid.withColumnRenamed("k", "seq").join(limits.select("subject", "smooth_n"), "subject")
+    grid = smooth(cut(grid), "smooth_n", "preclean", out="clean")
+    flag = quality_flag(F.col("low_confidence"), F.col("out_of_range"), F.col("artifact"))
+    channel = lambda c: F.col(c) if c in carried else F.lit(None).cast("double").alias(c)
+    return grid.select(
+        "subject", F.col("seq").alias("k"), "t", *map(channel, channels), "raw", "range_fixed", "preclean", "clean", "baseline", (F.col("clean") - F.col("baseline")).alias("residual"), "noise",
+        "out_of_range", "artifact", "event", flag.alias("quality_flag"),
     )
 
 
-def _estimates(df: DataFrame, baseline: int, noise: int, k: Limits) -> DataFrame:
+def _estimates(df: DataFrame, baseline: int | str, noise: int | str, k: Limits) -> DataFrame:
     """Add baseline, residual, noise, event and score."""
     df = S.rolling_median(df, baseline, "p", "baseline").withColumn("residual", F.col("p") - F.col("baseline"))
     df = cut(local_noise(df, noise))

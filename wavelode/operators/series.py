@@ -26,9 +26,10 @@ def odd(n: int, least: int = 3) -> int:
     return n + 1 - n % 2
 
 
-def samples(seconds: float, dt: Column, least: int = 3, make_odd: bool = True) -> Column:
+def samples(seconds: float | Column, dt: Column, least: int = 3, make_odd: bool = True) -> Column:
     """Samples in a span of time: rounded half to even, clamped, and made odd where asked."""
-    n = F.greatest(F.bround(F.lit(float(seconds)) / dt).cast("int"), F.lit(least))
+    seconds = seconds if isinstance(seconds, Column) else F.lit(float(seconds))
+    n = F.greatest(F.bround(seconds / dt).cast("int"), F.lit(least))
     return n + F.when(n % 2 == 0, 1).otherwise(0) if make_odd else n
 
 
@@ -95,13 +96,41 @@ def filled(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce("_down", "_next", "_up", "_before")).drop("_block", "_down", "_up", "_next", "_before")
 
 
-def rolling_median(df: DataFrame, width: int, column: str = "p", out: str = "median") -> DataFrame:
-    """Centred median over an odd number of samples, filled where too few are there."""
+def neighbourhoods(df: DataFrame, width: str, column: str, out: str = "_near", reach: int = 1) -> DataFrame:
+    """Add the samples around each, structs of seq and v in order, as many as the subject's own ``width`` says.
+
+    ``width`` is a column that is the same for a subject's samples, so frames of a window,
+    which have one size, cannot express it: blocks of samples are gathered as arrays, from which
+    every sample's part is cut, ``reach`` half widths to both sides.
+    """
+    h = F.floor(F.col(width) / 2)
+    first, last = F.greatest(F.floor((F.col("seq") - reach * h) / BLOCK), F.lit(0)), F.floor((F.col("seq") + reach * h) / BLOCK)
+    rows = df.select(F.explode(F.sequence(first, last)).alias("_block"), h.cast("int").alias("_h"), F.struct("seq", *[c for c in df.columns if c != "seq"]).alias("_row"))
+    blocks = rows.groupBy(F.col("_row.subject").alias("_subject"), "_block").agg(F.first("_h").alias("_h"), F.sort_array(F.collect_list(F.struct(F.col("_row.seq").alias("seq"), F.col(f"_row.{column}").alias("v"))), True).alias("_a"), F.collect_list(F.when(F.floor(F.col("_row.seq") / BLOCK) == F.col("_block"), F.col("_row"))).alias("_own"))
+    place = lambda x: (x["seq"] - F.col("_a")[0]["seq"]).cast("int")
+    side = reach * F.col("_h")
+    near = lambda x: F.slice("_a", F.greatest(place(x) - side, F.lit(0)) + 1, F.least(place(x), side) + side + 1)
+    cut_out = blocks.select(F.explode(F.transform("_own", lambda x: F.struct(x.alias("row"), near(x).alias("near")))).alias("_x"))
+    return cut_out.select("_x.row.*", F.col("_x.near").alias(out)).select(*df.columns, out)
+
+
+def _gathered(df: DataFrame, width: int | str, column: str) -> tuple[DataFrame, Column]:
+    """``df`` with _near, known values around each sample, and how many of them a result takes."""
+    if isinstance(width, str):
+        df = neighbourhoods(df, width, column).withColumn("_near", F.transform(F.filter("_near", lambda x: x["v"].isNotNull()), lambda x: x["v"]))
+        return df, F.greatest(F.lit(3), F.floor(F.col(width) / 3))
     h = width // 2
     df, w = in_blocks(df, h)
-    frame = w.rowsBetween(-h, h)
-    df = own_block(df.withColumn("_near", F.collect_list(column).over(frame)))
-    df = df.withColumn("_raw", F.when(F.size("_near") >= max(3, width // 3), array_median(F.col("_near")))).drop("_near")
+    return own_block(df.withColumn("_near", F.collect_list(column).over(w.rowsBetween(-h, h)))), F.lit(max(3, width // 3))
+
+
+def rolling_median(df: DataFrame, width: int | str, column: str = "p", out: str = "median") -> DataFrame:
+    """Centred median over an odd number of samples, filled where too few are there.
+
+    ``width`` is one number, or the name of a column with each subject's own.
+    """
+    df, least = _gathered(df, width, column)
+    df = df.withColumn("_raw", F.when(F.size("_near") >= least, array_median(F.col("_near")))).drop("_near")
     return filled(df, "_raw", out).drop("_raw")
 
 
@@ -119,15 +148,13 @@ def robust_mad(df: DataFrame, column: str = "p", eps: float = 1e-9, *by: str) ->
     return dev.select(*keys, F.greatest(F.col("d") * MAD_SCALE, F.lit(eps)).alias("mad"))
 
 
-def rolling_mad(df: DataFrame, width: int, column: str = "p", out: str = "mad", eps: float = 1e-9) -> DataFrame:
-    """Centred scaled MAD, filled like the rolling median, at least 0.05 of the subject's own MAD."""
-    h = width // 2
+def rolling_mad(df: DataFrame, width: int | str, column: str = "p", out: str = "mad", eps: float = 1e-9) -> DataFrame:
+    """Centred scaled MAD, filled like the rolling median, at least 0.05 of the subject's own MAD; widths as there."""
     whole = robust_mad(df, column, 0.0).withColumnRenamed("mad", "_whole")
-    df, w = in_blocks(df, h)
-    df = own_block(df.withColumn("_near", F.collect_list(column).over(w.rowsBetween(-h, h))))
+    df, least = _gathered(df, width, column)
     df = df.withColumn("_mid", array_median(F.col("_near")))
     dev = array_median(F.transform("_near", lambda x: F.abs(x - F.col("_mid"))))
-    df = df.withColumn("_raw", F.when(F.size("_near") >= max(3, width // 3), dev * MAD_SCALE)).drop("_near", "_mid")
+    df = df.withColumn("_raw", F.when(F.size("_near") >= least, dev * MAD_SCALE)).drop("_near", "_mid")
     return filled(df, "_raw", out).join(whole, "subject").withColumn(out, F.greatest(out, F.lit(eps), 0.05 * F.col("_whole"))).drop("_whole", "_raw")
 
 
@@ -222,6 +249,43 @@ def resample(df: DataFrame, dt: DataFrame | None = None) -> DataFrame:
     return interpolate(both, F.col("p").isNotNull()).where("k is not null").select("subject", "k", "t", F.col("filled").alias("p"))
 
 
+def uniform(df: DataFrame, values: tuple[str, ...], masks: tuple[str, ...] = (), dt: DataFrame | None = None) -> DataFrame:
+    """Many columns on a uniform grid in one ordered pass: subject, k, t, ``values`` and ``masks``.
+
+    Grid points lie every ``dt`` (subject, dt; the sampling interval by default) from the first
+    time to the last at most. Values are linear between the known neighbours of their own
+    column. A mask holds at a point between two neighbouring samples that have it, and within
+    half an interval of a sample that has it.
+    """
+    dt = dt if dt is not None else sampling_interval(df)
+    span = df.groupBy("subject").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1")).join(dt.select("subject", F.col("dt").alias("_dt")), "subject")
+    k = F.explode(F.sequence(F.lit(0), F.floor((F.col("_t1") - F.col("_t0")) / F.col("_dt") + 1e-9).cast("int")))
+    grid = span.select("subject", "_t0", "_dt", k.alias("k")).select("subject", F.col("k").cast("long").alias("k"), (F.col("_t0") + F.col("k") * F.col("_dt")).alias("t"), "_dt")
+    point = {c: F.when(F.col(c).isNotNull(), F.struct("t", F.col(c).cast("double").alias("v"))) for c in values}
+    held = {c: F.when(F.col(c), F.col("t")) for c in masks}
+    rows = df.select("subject", "t", *[e.alias(f"_{c}") for c, e in (point | held).items()], *[F.coalesce(F.col(c), F.lit(False)).alias(f"_in_{c}") for c in masks])
+    both = rows.unionByName(grid, allowMissingColumns=True)
+    # Samples come before a grid point at their time, from either side.
+    order = [F.col("t"), F.col("k").asc_nulls_first()]
+    before = Window.partitionBy("subject").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("subject").orderBy(F.col("t").desc(), F.col("k").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    sides = [*(f"_{c}" for c in values), *(f"_{c}" for c in masks), *(f"_in_{c}" for c in masks)]
+    both = both.select("*", *[F.last(c, True).over(before).alias(f"l{c}") for c in sides])
+    both = both.select("*", *[F.last(c, True).over(after).alias(f"r{c}") for c in sides]).where("k is not null")
+
+    def linear(c: str) -> Column:
+        l, r = F.col(f"l_{c}"), F.col(f"r_{c}")
+        share = F.coalesce(F.try_divide(F.col("t") - l["t"], r["t"] - l["t"]), F.lit(0.0))
+        return F.coalesce(l["v"] + share * (r["v"] - l["v"]), l["v"], r["v"]).alias(c)
+
+    def covered(c: str) -> Column:
+        half, no = F.col("_dt") / 2, F.lit(False)
+        close = F.coalesce(F.col("t") - F.col(f"l_{c}") <= half, no) | F.coalesce(F.col(f"r_{c}") - F.col("t") <= half, no)
+        return (close | F.coalesce(F.col(f"l_in_{c}") & F.col(f"r_in_{c}"), no)).alias(c)
+
+    return both.select("subject", "k", "t", *map(linear, values), *map(covered, masks))
+
+
 def project_mask(df: DataFrame, flag: str, grid: DataFrame, pad: float) -> DataFrame:
     """Grid points (subject, k, t) with whether they lie in a run of ``flag``, padded on both sides.
 
@@ -237,6 +301,25 @@ def project_mask(df: DataFrame, flag: str, grid: DataFrame, pad: float) -> DataF
     return both.where("kind = 1").select("subject", "k", "t", (F.col("_in") > 0).alias("inside"))
 
 
+def savgol_by_width(df: DataFrame, width: str, column: str = "p", out: str = "smooth") -> DataFrame:
+    """As ``savgol``, with each subject's own odd number of samples in the column ``width``; below 5 values stay."""
+    n = df.groupBy("subject").agg(F.count(F.lit(1)).alias("_n"))
+    df = neighbourhoods(df.join(n, "subject"), width, column, "_near", reach=2)
+    wide = F.col(width).cast("int")
+    h = F.floor(wide / 2).cast("int")
+    size = wide.cast("double")
+    s2 = h * (h + 1) * (2 * h + 1) / 3
+    s4 = s2 * (3 * h * h + 3 * h - 1) / 5
+    # Near an end the whole window nearest to it is fitted, and read at the sample's place in it.
+    middle = F.least(F.greatest(F.col("seq"), h.cast("long")), F.col("_n") - 1 - h)
+    x = (F.col("seq") - middle).cast("double")
+    weight = lambda i: 1 / size + i * x / s2 + (i * i - s2 / size) * (x * x - s2 / size) / (s4 - s2 * s2 / size)
+    inside = F.filter("_near", lambda y: F.abs(y["seq"] - middle) <= h)
+    fitted = F.aggregate(inside, F.lit(0.0), lambda a, y: a + y["v"] * weight((y["seq"] - middle).cast("double")))
+    value = F.when((wide < 5) | (F.col("_n") < wide), F.col(column)).otherwise(fitted)
+    return df.withColumn(out, F.coalesce(value, F.col(column))).drop("_near", "_n")
+
+
 def savgol(df: DataFrame, width: int, column: str = "p", out: str = "smooth") -> DataFrame:
     """Value of a least-squares parabola over the ``width`` samples around each.
 
