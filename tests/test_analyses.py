@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavelode.operators import denoise, evaluate, features, ml, nonlinear, series, stats, vmd, windows
+from wavelode.operators import denoise, evaluate, features, kernel_models, ml, nonlinear, series, stats, vmd, windows
 from wavelode.plans import reports
 from wavelode.sources import sinks
 from wavelode.sources.series import read_recordings
@@ -261,3 +261,83 @@ def test_streams_agree_with_batches(spark, tmp_path):
         query = step(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
         query.awaitTermination(120)
         assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, step(df).collect()))
+
+
+# models of all folds at once
+
+
+def plain_kernel_machine(x, y, tx, steps=60):
+    """Squared-hinge machine with a radial kernel and an unpenalised intercept, by Newton's method on the dual weights."""
+    n = len(x)
+    gamma = 1 / (x.shape[1] * x.var())
+    kern = lambda a, b: np.exp(-gamma * ((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
+    k = kern(x, x)
+    weight = np.where(y > 0, n / (2 * (y > 0).sum()), n / (2 * (y < 0).sum()))
+    beta, b = np.zeros(n), 0.0
+    for _ in range(steps):
+        short = y * (k @ beta + b) < 1
+        w = 2 * weight * short
+        # Stationarity of the penalised loss: beta + w * (k beta + b - y) = 0 and its sum over rows is 0.
+        a = np.block([[np.eye(n) + w[:, None] * k, w[:, None]], [(w @ k)[None, :], np.array([[w.sum()]])]])
+        new = np.linalg.solve(a + 1e-12 * np.eye(n + 1), np.r_[w * y, w @ y])
+        if np.allclose(new, np.r_[beta, b], atol=1e-10):
+            break
+        beta, b = new[:n], new[n]
+    return kern(tx, x) @ beta + b
+
+
+def fold_table(spark, n=40, d=3, folds=4):
+    r = np.random.default_rng(12)
+    x = r.standard_normal((n, d))
+    y = ((x**2).sum(1) + 0.3 * r.standard_normal(n) > d * 0.8).astype(int)
+    rows = [(f, i, i % folds != f, int(y[i]), x[i].tolist()) for f in range(folds) for i in range(n)]
+    return x, y, spark.createDataFrame(rows, "fold long, id long, train boolean, y int, x array<double>")
+
+
+def test_radial_machine_is_within_a_millionth_of_a_plain_one(spark):
+    """Landmarks that are all training rows: margins of held-out rows agree to 1e-6, and the labels are told apart."""
+    x, y, rows = fold_table(spark)
+    got = {(r.fold, r.id): r.score for r in kernel_models.fit_and_predict(rows.repartition(5), kernel_models.Margin(kernel="rbf")).collect()}
+    right = 0
+    for f in range(4):
+        train, test = np.arange(40) % 4 != f, np.arange(40) % 4 == f
+        want = plain_kernel_machine(x[train], np.where(y[train] == 1, 1.0, -1.0), x[test])
+        mine = np.array([got[f, i] for i in np.nonzero(test)[0]])
+        assert np.abs(mine - want).max() < 1e-6
+        right += ((mine > 0) == y[test]).sum()
+    assert len(got) == 40 and right >= 30
+
+
+def test_few_landmarks_still_tell_labels_apart(spark):
+    _, y, rows = fold_table(spark, 200)
+    got = kernel_models.fit_and_predict(rows, kernel_models.Margin(kernel="rbf", landmarks=40)).collect()
+    assert np.mean([r.pred == y[r.id] for r in got]) > 0.8
+
+
+def test_logistic_margins_solve_their_equations(spark):
+    """The gradient of the penalised loss over a fold's training rows is nothing at the weights found."""
+    x, y, rows = fold_table(spark)
+    weights, _ = kernel_models.fit_weights(rows, kernel_models.Margin(loss="logistic"))
+    for f, w in weights.items():
+        t = np.arange(40) % 4 != f
+        z, s = np.hstack([x[t], np.ones((t.sum(), 1))]), np.where(y[t] == 1, 1.0, -1.0)
+        c = np.where(s > 0, t.sum() / (2 * (s > 0).sum()), t.sum() / (2 * (s < 0).sum()))
+        g = z.T @ (-c * s / (1 + np.exp(s * (z @ w)))) + np.r_[w[:-1], 0]
+        assert np.abs(g).max() < 1e-6
+
+
+def test_folds_are_equal_in_size(spark):
+    df = spark.range(103).select(F.col("id").alias("subject"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("w"))
+    sizes = ml.equal_folds(df, 5).groupBy("own_fold").agg(F.count_distinct("subject").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert sorted(r.n for r in sizes) == [20, 20, 21, 21, 21] and all(r.rows == 3 * r.n for r in sizes)
+
+
+def test_every_model_selects_inside_folds(spark):
+    rows = [(s, s % 2, f, v) for s in range(20) for f, v in (("good", s % 2 * 3 + 0.1 * (s % 7)), ("leak", 50.0 * (s == 0)), ("noise", float((s * 7) % 5)))]
+    df = spark.createDataFrame(rows, "subject long, label int, feature string, value double")
+    assert ml.classifiers()["gbt"].getMaxIter() == 100
+    for name in ("rbf_svm", "logistic_l1"):
+        out = ml.k_fold_level(df, ["leak", "good", "noise"], ml.classifiers()[name], top=1)
+        pred = out["predictions"].collect()
+        assert len(pred) == 20 and np.mean([r.pred == r.y for r in pred]) == 1.0
+        assert {r.feature for r in out["selected"].collect()} == {"good"}

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from . import evaluate, features
+from . import evaluate, features, kernel_models
 
-#: Rows of a block in the nearest-neighbour search.
-BLOCK = 2048
+#: Rows of a block in the nearest-neighbour search, folds whose models are fitted at a time, and buckets in which subjects are ranked.
+BLOCK, AT_ONCE, RANKED = 2048, 8, 4096
 
 
 def held_out_means(df: DataFrame, value: str = "value") -> DataFrame:
@@ -48,6 +52,29 @@ def fold_of(subject, k: int):
     return F.pmod(F.xxhash64(subject), F.lit(k)).cast("int")
 
 
+def equal_folds(df: DataFrame, k: int = 5, subject: str = "subject") -> DataFrame:
+    """Add own_fold from 0 to k - 1: subjects in hash order are dealt in turn, so folds differ by one subject at most.
+
+    Places come from counts of buckets of the hash and the order inside each bucket, so no task orders all subjects.
+    """
+    h = F.pmod(F.xxhash64(subject), F.lit(1 << 40))
+    bucket = F.floor(h / ((1 << 40) // RANKED)).cast("int")
+    subjects = cut(df.select(subject).distinct().select(subject, h.alias("_h"), bucket.alias("_b")))
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    # At most RANKED rows.
+    offsets = subjects.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", subject)) - 1
+    placed = subjects.withColumn("_place", place).join(F.broadcast(offsets), "_b").select(subject, ((F.col("_place") + F.col("_before")) % k).cast("long").alias("own_fold"))
+    return df.join(placed, subject)
+
+
+def k_fold_rows(df: DataFrame, k: int = 5) -> DataFrame:
+    """Rows of k folds of subjects, equal in size: every row once for each fold, with whether it trains there."""
+    folds = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    rows = equal_folds(df, k).withColumn("fold", folds)
+    return rows.withColumn("train", F.col("own_fold") != F.col("fold")).drop("own_fold")
+
+
 def _nearest_block(k: int):
     def run(key, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"fold": [], "id": [], "other": [], "y_other": [], "distance": []})
@@ -128,8 +155,9 @@ def _vectors(selected: DataFrame) -> DataFrame:
 def evaluate_folds(df: DataFrame, columns: list[str], model="knn", k: int = 3, **selection) -> dict[str, DataFrame]:
     """Selection inside folds and one model: predictions, summary, selected features and how often each was.
 
-    ``df`` is what ``fold_rows`` makes of a long table. ``model`` is "knn", or an MLlib
-    classifier, of which one is fitted per fold.
+    ``df`` is what ``fold_rows`` or ``k_fold_rows`` makes of a long table. ``model`` is "knn"; a
+    ``kernel_models.Margin``, which is fitted for all folds at once; or an MLlib classifier,
+    of which one is fitted per fold, AT_ONCE of them side by side.
     """
     selected = cut(select_in_folds(df, columns, **selection))
     vectors = cut(_vectors(selected))
@@ -137,17 +165,28 @@ def evaluate_folds(df: DataFrame, columns: list[str], model="knn", k: int = 3, *
         rows = vectors.where("train").withColumn("grp", F.lit(0))
         asked = vectors.where("not train").withColumn("grp", F.lit(1))
         pred = knn_vote(nearest_neighbours(rows, asked, k), ("fold",)).join(vectors.where("not train").select("fold", "id", "y"), ["fold", "id"])
+    elif isinstance(model, kernel_models.Margin):
+        pred = kernel_models.fit_and_predict(vectors, model)
     else:
-        pred = None
-        for r in vectors.select("fold").distinct().orderBy("fold").collect():  # one model per fold
-            part = _fit_and_predict(vectors.where(F.col("fold") == r.fold), F.col("train"), model)
-            pred = part if pred is None else pred.unionByName(part)
+        pred = _in_parallel(lambda fold: _fit_and_predict(vectors.where(F.col("fold") == fold), F.col("train"), model), [r.fold for r in vectors.select("fold").distinct().orderBy("fold").collect()])
     pred = pred.select("fold", "id", F.col("y").cast("int").alias("y"), "pred", "score")
     per_fold = selected.select("fold", "feature").distinct()
     folds = pred.select("fold").distinct().count()
     return {"predictions": pred, "summary": evaluate.binary_metrics(pred).crossJoin(evaluate.roc_auc(pred)), "selected": per_fold, "frequency": evaluate.selection_frequency(per_fold, folds)}
 
 
+def _in_parallel(run: Callable, folds: list) -> DataFrame:
+    """The union of what ``run`` gives for each fold; folds submit their jobs side by side, each with its plan cut."""
+    if not folds:
+        raise ValueError("no fold has training rows of both labels")
+    with ThreadPool(min(AT_ONCE, len(folds))) as pool:
+        parts = pool.map(inheritable_thread_target(lambda fold: cut(run(fold))), folds)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _completed(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """A row for every key and each of ``columns``, with null where the long table has none."""
     every = df.select(*keys).distinct().withColumn("feature", F.explode(F.array(*map(F.lit, columns))))
@@ -172,6 +211,12 @@ def window_level(df: DataFrame, columns: list[str], model="knn", **selection) ->
     return evaluate_folds(rows.drop("subject").withColumnRenamed("window_id", "subject"), columns, model, **selection)
 
 
+def k_fold_level(df: DataFrame, columns: list[str], model="knn", folds: int = 5, **selection) -> dict[str, DataFrame]:
+    """Folds of subjects, equal in size, over a long table with one value per subject and feature, as ``subject_level``."""
+    rows = _completed(df.where("label is not null"), ["subject", "label"], columns)
+    return evaluate_folds(k_fold_rows(rows, folds), columns, model, **selection)
+
+
 def group_ablation(df: DataFrame, columns: list[str], groups: dict[str, list[str]], model="knn", **selection) -> DataFrame:
     """Subject-level results with the features of one group at a time: group, n_features and the summary's columns."""
     out = None
@@ -183,13 +228,15 @@ def group_ablation(df: DataFrame, columns: list[str], groups: dict[str, list[str
 
 
 def classifiers() -> dict:
-    """MLlib counterparts of the usual models; a radial-basis support vector machine has none."""
+    """The usual models by name: margins fitted for all folds at once, MLlib's trees, and nearest neighbours."""
     common = {"featuresCol": "features", "labelCol": "y", "weightCol": "weight"}
     return {
         "logistic": LogisticRegression(regParam=0.01, **common),
+        "logistic_l1": LogisticRegression(regParam=0.05, elasticNetParam=1.0, **common),
         "linear_svm": LinearSVC(regParam=0.01, **common),
+        "rbf_svm": kernel_models.Margin(loss="hinge", kernel="rbf"),
         "random_forest": RandomForestClassifier(numTrees=300, minInstancesPerNode=2, seed=42, **common),
-        "gbt": GBTClassifier(maxIter=10, seed=42, **common),
+        "gbt": GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=42, **common),
     }
 
 
@@ -211,22 +258,22 @@ def cross_validate(df: DataFrame, model, folds: int = 5) -> DataFrame:
     training rows have one label is skipped.
     """
     df = cut(df.withColumn("fold", fold_of("subject", folds)))
-    out = None
+    if isinstance(model, kernel_models.Margin):
+        each = df.withColumnRenamed("fold", "_own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+        rows = each.select("fold", F.col("subject").alias("id"), (F.col("_own") != F.col("fold")).alias("train"), "y", "x")
+        return kernel_models.fit_and_predict(kernel_models.standardized(rows), model).withColumnRenamed("id", "subject")
     counts = df.groupBy("fold", "y").count().toPandas()
-    for k in range(folds):
-        train = counts[counts["fold"] != k].groupby("y")["count"].sum()
-        if len(train) < 2 or not len(counts[counts["fold"] == k]):
-            continue
+
+    def one(k: int) -> DataFrame:
         # One row: mean and deviation of every component of the training rows.
         parts = df.where(F.col("fold") != k).select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
         scale = parts.agg(F.sort_array(F.collect_list(F.struct("at", "m", "s"))).alias("scale"))
         scaled = F.transform("x", lambda v, i: (v - F.col("scale")[i]["m"]) / F.when(F.col("scale")[i]["s"] > 0, F.col("scale")[i]["s"]).otherwise(1.0))
-        rows = df.crossJoin(F.broadcast(scale)).select(F.col("subject").alias("id"), "fold", "y", scaled.alias("x"))
-        part = _fit_and_predict(rows, F.col("fold") != k, model).withColumnRenamed("id", "subject").withColumn("fold", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no fold has training rows of both labels")
-    return out
+        rows = cut(df.crossJoin(F.broadcast(scale)).select(F.col("subject").alias("id"), "fold", "y", scaled.alias("x")))
+        return _fit_and_predict(rows, F.col("fold") != k, model).withColumnRenamed("id", "subject").withColumn("fold", F.lit(k))
+
+    usable = [k for k in range(folds) if len(counts[counts["fold"] != k].groupby("y")["count"].sum()) == 2 and len(counts[counts["fold"] == k])]
+    return _in_parallel(one, usable)
 
 
 def workflow(df: DataFrame, models: dict | None = None, folds: int = 5) -> dict[str, DataFrame]:
