@@ -760,13 +760,31 @@ def _scores(spark, sf):
     return d.select(F.col("doc_id").alias("id"), F.col("quality").alias("y"), F.col("n_chars").cast("double").alias("s1"), (F.size(F.split("text", " ")).cast("double") / (1 + F.col("doc_id") % 7)).alias("s2"))
 
 
+#: Two-sided probability of a standard normal z, by the series of the error function.
+_TAIL = "case when z = 0 then 1 when z is not null then greatest(1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum([exp((2 * n + 1) * ln(abs(z) / sqrt(2e0)) + n * ln(4e0) + lgamma(n + 1) - lgamma(2 * n + 2)) for n in range(200)]), 0) end"
+
+
 @query(f"""with {_SCORES}, e as (select id, y, 1 as k, s1 as s from sc union all select id, y, 2, s2 from sc),
 r as (select *, rank() over (partition by k order by s) + (count(*) over (partition by k, s) - 1) / 2e0 as ra, rank() over (partition by k, y order by s) + (count(*) over (partition by k, y, s) - 1) / 2e0 as ro, count(*) filter (where y = 1) over (partition by k) as n1, count(*) filter (where y = 0) over (partition by k) as n0 from e),
 v as (select id, y, k, n1, n0, case when y = 1 then (ra - ro) / n0 else 1 - (ra - ro) / n1 end as v from r), w as (select id, y, n1, n0, max(v) filter (where k = 1) as v1, max(v) filter (where k = 2) as v2 from v group by 1, 2, 3, 4),
 q as (select n1, n0, avg(v1) filter (where y = 1) as a1, avg(v2) filter (where y = 1) as a2, var_samp(v1) filter (where y = 1) as s11, var_samp(v2) filter (where y = 1) as s12, covar_samp(v1, v2) filter (where y = 1) as c1, var_samp(v1) filter (where y = 0) as t11, var_samp(v2) filter (where y = 0) as t12, covar_samp(v1, v2) filter (where y = 0) as c0 from w group by 1, 2)
-select round(a1, 6) as auc1, round(a2, 6) as auc2, round(a1 - a2, 6) as diff, round((a1 - a2) / sqrt((s11 + s12 - 2 * c1) / n1 + (t11 + t12 - 2 * c0) / n0), 5) as z from q""")
+select round(a1, 6) as auc1, round(a2, 6) as auc2, round(a1 - a2, 6) as diff, round(z, 5) as z, round({_TAIL}, 6) as p from (select *, (a1 - a2) / sqrt((s11 + s12 - 2 * c1) / n1 + (t11 + t12 - 2 * c0) / n0) as z from q)""")
 def delong(spark, sf):
-    return stats.delong(_scores(spark, sf)).select(*_r("auc1", "auc2", "diff"), *_r("z", n=5))
+    return stats.delong(_scores(spark, sf)).select(*_r("auc1", "auc2", "diff"), *_r("z", n=5), *_r("p"))
+
+
+@query(f"""with {_SCORES}, e as (select id, y, 'chars' as model, s1 as s from sc union all select id, y, 'words', s2 from sc union all select id, y, 'mixed', s1 + 7 * s2 from sc),
+v as (select a.id, a.y, a.model, avg(case when a.y = 1 then (b.s < a.s)::int + (b.s = a.s)::int / 2e0 else (b.s > a.s)::int + (b.s = a.s)::int / 2e0 end) as v from e a join e b on a.model = b.model and a.y <> b.y group by 1, 2, 3),
+w as (select x.model as a, z.model as b, avg(x.v) filter (where x.y = 1) as ma, avg(z.v) filter (where x.y = 1) as mb, covar_samp(x.v, z.v) filter (where x.y = 1) / count(*) filter (where x.y = 1) + covar_samp(x.v, z.v) filter (where x.y = 0) / count(*) filter (where x.y = 0) as cov,
+var_samp(x.v - z.v) filter (where x.y = 1) / count(*) filter (where x.y = 1) + var_samp(x.v - z.v) filter (where x.y = 0) / count(*) filter (where x.y = 0) as var from v x join v z on x.id = z.id and x.y = z.y and x.model <= z.model group by 1, 2),
+q as (select *, case when a <> b then (ma - mb) / sqrt(var) end as z from w)
+select a, b, round(ma, 6) as auc_a, round(mb, 6) as auc_b, round(cov, 9) as cov, round(ma - mb, 6) as diff, round(z, 5) as z, round({_TAIL}, 6) as p from q""")
+def auc_covariance(spark, sf):
+    """Areas under the curve of three scores and their covariance."""
+    rows = _scores(spark, sf)
+    model = lambda name, s: F.struct(F.lit(name).alias("model"), s.alias("s"))
+    long = rows.select("id", "y", F.inline(F.array(model("chars", F.col("s1")), model("words", F.col("s2")), model("mixed", F.col("s1") + 7 * F.col("s2")))))
+    return stats.auc_covariance(long).select("a", "b", *_r("auc_a", "auc_b", "diff", "p"), *_r("cov", n=9), *_r("z", n=5))
 
 
 @query(f"""with {_SCORES}, r as (select sum((y = (s1 > 800)::int and y <> (s2 > 100)::int)::int) as b, sum((y <> (s1 > 800)::int and y = (s2 > 100)::int)::int) as c from sc),
@@ -1059,10 +1077,31 @@ def _model_query(name: str):
     return query()(f)
 
 
-for _name in ("logistic", "linear_svm", "random_forest", "gbt"):
+for _name in ("logistic", "linear_svm", "rbf_svm", "random_forest", "gbt"):
     _model_query(_name)
 
 
+def _fold_query(name: str, level: str):
+    """Predictions of one model with selection inside folds: each nation left out in turn, or five folds of nations."""
+
+    def f(spark, sf):
+        run = ml.subject_level if level == "loso" else ml.k_fold_level
+        return run(_nations(spark, sf), _NATION_COLUMNS, ml.classifiers()[name], top=5)["predictions"].select("fold", "id", "y", "pred", *_r("score"))
+
+    f.__name__ = f"{name}_{level}"
+    return query()(f)
+
+
+for _name in ml.classifiers():
+    _fold_query(_name, "loso")
+    _fold_query(_name, "5fold")
+
+
+@query()
+def knn_5fold(spark, sf):
+    return ml.k_fold_level(_nations(spark, sf), _NATION_COLUMNS, top=5)["predictions"].select("fold", "id", "y", "pred", *_r("score"))
+
+
 @query()
 def pca2(spark, sf):
     return ml.pca(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))).select("id", *_r("pc1", "pc2", n=4))

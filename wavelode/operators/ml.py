@@ -168,19 +168,19 @@ def evaluate_folds(df: DataFrame, columns: list[str], model="knn", k: int = 3, *
     elif isinstance(model, kernel_models.Margin):
         pred = kernel_models.fit_and_predict(vectors, model)
     else:
-        pred = _in_parallel(lambda fold: _fit_and_predict(vectors.where(F.col("fold") == fold), F.col("train"), model), [r.fold for r in vectors.select("fold").distinct().orderBy("fold").collect()])
+        pred = _in_parallel(df.sparkSession, lambda fold: _fit_and_predict(vectors.where(F.col("fold") == fold), F.col("train"), model), [r.fold for r in vectors.select("fold").distinct().orderBy("fold").collect()])
     pred = pred.select("fold", "id", F.col("y").cast("int").alias("y"), "pred", "score")
     per_fold = selected.select("fold", "feature").distinct()
     folds = pred.select("fold").distinct().count()
     return {"predictions": pred, "summary": evaluate.binary_metrics(pred).crossJoin(evaluate.roc_auc(pred)), "selected": per_fold, "frequency": evaluate.selection_frequency(per_fold, folds)}
 
 
-def _in_parallel(run: Callable, folds: list) -> DataFrame:
+def _in_parallel(spark, run: Callable, folds: list) -> DataFrame:
     """The union of what ``run`` gives for each fold; folds submit their jobs side by side, each with its plan cut."""
     if not folds:
         raise ValueError("no fold has training rows of both labels")
     with ThreadPool(min(AT_ONCE, len(folds))) as pool:
-        parts = pool.map(inheritable_thread_target(lambda fold: cut(run(fold))), folds)
+        parts = pool.map(inheritable_thread_target(spark)(lambda fold: cut(run(fold))), folds)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -273,7 +273,7 @@ def cross_validate(df: DataFrame, model, folds: int = 5) -> DataFrame:
         return _fit_and_predict(rows, F.col("fold") != k, model).withColumnRenamed("id", "subject").withColumn("fold", F.lit(k))
 
     usable = [k for k in range(folds) if len(counts[counts["fold"] != k].groupby("y")["count"].sum()) == 2 and len(counts[counts["fold"] == k])]
-    return _in_parallel(one, usable)
+    return _in_parallel(df.sparkSession, one, usable)
 
 
 def workflow(df: DataFrame, models: dict | None = None, folds: int = 5) -> dict[str, DataFrame]:

@@ -6,6 +6,8 @@ nothing compares every value with every other, and no group is ranked in one tas
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,8 +138,53 @@ def balanced_sample(event: DataFrame, fixed: DataFrame, key: str, n_event: int |
     return event.unionByName(chosen, allowMissingColumns=True)
 
 
+def two_sided_normal(z: Column) -> Column:
+    """Probability that a standard normal value is as far from 0 as ``z``.
+
+    The error function by its series of positive terms up to 2 root 2, its complement by the continued fraction
+    beyond, so small probabilities keep their digits.
+    """
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    root_pi = math.sqrt(math.pi)
+    start = F.struct(x.alias("term"), x.alias("sum"))
+    step = lambda a, n: F.struct((a["term"] * 2 * x * x / (2 * n + 1)).alias("term"), (a["sum"] + a["term"] * 2 * x * x / (2 * n + 1)).alias("sum"))
+    near = 1 - 2 / root_pi * F.exp(-x * x) * F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step)["sum"]
+    far = F.exp(-x * x) / (root_pi * F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), x, lambda a, n: x + n / 2 / a))
+    return F.when(x < 2, near).when(x >= 2, far)
+
+
+def _placements(scores: DataFrame) -> DataFrame:
+    """(id, y, model, v) of scores (id, y, model, s): the share of the other label's scores on the wrong side, those that tie counting half."""
+    known = scores.where("s is not null and y in (0, 1)")
+    below = counts_before(known, "s", ("model",), a=F.col("y") == 1, b=F.col("y") == 0)
+    size = known.groupBy("model").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
+    # One row a model.
+    place = known.join(below, ["model", "s"]).join(F.broadcast(size), "model")
+    under = lambda n: F.col(f"before_{n}") + F.col(n) / 2
+    return place.select("id", "y", "model", F.when(F.col("y") == 1, F.try_divide(under("b"), F.col("n0"))).otherwise(1 - F.try_divide(under("a"), F.col("n1"))).alias("v"))
+
+
+def auc_covariance(scores: DataFrame) -> DataFrame:
+    """Areas under the curve of several models over the same rows, and their covariance: a row for each two models.
+
+    ``scores`` is (id, y, model, s), a row for each id and model. Returns a and b (models, a <= b),
+    auc_a, auc_b, cov, diff, z and p; a model with itself has its variance in cov and no z.
+    Placements of the models meet by id, and the sums of products are added up before they move.
+    """
+    rows = _placements(scores).groupBy("id", "y").agg(F.sort_array(F.collect_list(F.struct("model", "v"))).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["model"] >= a["model"]), lambda b: F.struct(a["model"].alias("a"), b["model"].alias("b"), a["v"].alias("va"), b["v"].alias("vb")))))
+    pairs = rows.select("y", F.inline(pairs))
+    of = lambda label, c: F.when(F.col("y") == label, F.col(c))
+    size = lambda label: F.count(of(label, "va"))
+    cov = lambda x, y: F.try_divide(F.covar_samp(of(1, x), of(1, y)), size(1)) + F.try_divide(F.covar_samp(of(0, x), of(0, y)), size(0))
+    out = pairs.groupBy("a", "b").agg(F.avg(of(1, "va")).alias("auc_a"), F.avg(of(1, "vb")).alias("auc_b"), cov("va", "vb").alias("cov"), (cov("va", "va") + cov("vb", "vb") - 2 * cov("va", "vb")).alias("_var"))
+    diff = F.col("auc_a") - F.col("auc_b")
+    out = out.withColumn("diff", diff).withColumn("z", F.when(F.col("a") != F.col("b"), F.try_divide(diff, F.sqrt(F.greatest("_var", F.lit(0.0))))))
+    return out.drop("_var").withColumn("p", two_sided_normal(F.col("z")))
+
+
 def delong(scores: DataFrame) -> DataFrame:
-    """Paired comparison of two scores (id, y, s1, s2) by area under the curve: auc1, auc2, diff, z.
+    """Paired comparison of two scores (id, y, s1, s2) by area under the curve: auc1, auc2, diff, z and the two-sided p.
 
     A positive's placement is the share of negatives below its score, those at it counting
     half; a negative's is the share of positives above it.
@@ -153,7 +200,8 @@ def delong(scores: DataFrame) -> DataFrame:
     neg = lambda c: F.when(F.col("y") == 0, F.col(c))
     s = wide.groupBy("n1", "n0").agg(F.avg(pos("v1")).alias("auc1"), F.avg(pos("v2")).alias("auc2"), F.var_samp(pos("v1") - pos("v2")).alias("a"), F.var_samp(neg("v1") - neg("v2")).alias("b"))
     # Variance of the difference: both groups' variances of the paired difference of placements.
-    return s.select("auc1", "auc2", (F.col("auc1") - F.col("auc2")).alias("diff"), F.try_divide(F.col("auc1") - F.col("auc2"), F.sqrt(F.col("a") / F.col("n1") + F.col("b") / F.col("n0"))).alias("z"))
+    out = s.select("auc1", "auc2", (F.col("auc1") - F.col("auc2")).alias("diff"), F.try_divide(F.col("auc1") - F.col("auc2"), F.sqrt(F.col("a") / F.col("n1") + F.col("b") / F.col("n0"))).alias("z"))
+    return out.withColumn("p", two_sided_normal(F.col("z")))
 
 
 def mcnemar(df: DataFrame) -> DataFrame:
