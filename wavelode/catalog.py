@@ -636,7 +636,8 @@ def vmd_modes(spark, sf):
     return vmd.decompose(vector_series(spark, sf), 4).groupBy("subject", "mode").agg(F.avg("omega").alias("omega"), F.sum(F.col("value") * F.col("value")).alias("energy")).select("subject", "mode", *_r("omega", "energy", n=4))
 
 
-_MODES = """m as (select label as subject, vec_id % 6 + 1 as mode, avg(embedding[1])::double as a, avg(embedding[2])::double as b, avg(embedding[3])::double as c, avg(embedding[4])::double as d, avg(embedding[5])::double as e, avg(embedding[6])::double as f, avg(embedding[7])::double as g from embeddings group by 1, 2),
+_MODES = """m0 as (select label as subject, vec_id % 6 + 1 as mode, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings),
+m as (select subject, mode, avg(x) filter (where i % 7 = 1) as a, avg(x) filter (where i % 7 = 2) as b, avg(x) filter (where i % 7 = 3) as c, avg(x) filter (where i % 7 = 4) as d, avg(x) filter (where i % 7 = 5) as e, avg(x) filter (where i % 7 = 6) as f, avg(x) filter (where i % 7 = 0) as g from m0 group by 1, 2),
 t as (select subject, mode, a as signal_corr, b as event_corr, abs(c) as event_energy, abs(d) as artifact_energy, abs(e) as spectral_entropy, 3 + f as kurtosis, 1 / (1 + abs(g)) as continuity from m),
 q as (select subject, quantile_cont(kurtosis, 0.05) as lo, quantile_cont(kurtosis, 0.95) as hi from t group by 1),
 k as (select t.*, case when hi - lo <= 1e-12 then 0.5e0 else (least(greatest(kurtosis, lo), hi) - lo) / (hi - lo) end as k01 from t join q on q.subject = t.subject),
@@ -644,8 +645,9 @@ z as (select *, 0.22e0 * greatest(signal_corr, 0) + 0.26e0 * greatest(event_corr
 
 
 def _mode_table(spark, sf):
-    e = F.col("embedding")
-    m = table(spark, sf, "embeddings").groupBy(F.col("label").alias("subject"), (F.col("vec_id") % 6 + 1).alias("mode")).agg(*[F.avg(e[i].cast("double")).alias(f"x{i}") for i in range(7)])
+    # Seven stand-in features, each the mean of every seventh component.
+    e = table(spark, sf, "embeddings").select(F.col("label").alias("subject"), (F.col("vec_id") % 6 + 1).alias("mode"), F.posexplode("embedding").alias("i", "x"))
+    m = e.groupBy("subject", "mode").agg(*[F.avg(F.when(F.col("i") % 7 == k, F.col("x").cast("double"))).alias(f"x{k}") for k in range(7)])
     return m.select("subject", "mode", F.col("x0").alias("signal_corr"), F.col("x1").alias("event_corr"), F.abs("x2").alias("event_energy"), F.abs("x3").alias("artifact_energy"), F.abs("x4").alias("spectral_entropy"), (3 + F.col("x5")).alias("kurtosis"), (1 / (1 + F.abs("x6"))).alias("continuity"))
 
 
@@ -732,12 +734,12 @@ def welch_t(spark, sf):
     return stats.welch(_groups(spark, sf)).select("feature", *_r("t"), *_r("df", n=5))
 
 
-_P = "t as (select vec_id, label, abs(embedding[1]::double) / (1 + abs(embedding[1]::double)) as p from embeddings)"
+_P = "t as (select vec_id, label, abs(list_sum(embedding::double[])) / (1 + abs(list_sum(embedding::double[]))) as p from embeddings)"
 
 
 @query(f"with {_P}, r as (select *, rank() over (partition by label order by p) + count(*) over (partition by label, p) - 1 as r, count(*) over (partition by label) as m from t) select vec_id, round(least(min(p * m / r) over (partition by label order by r desc range unbounded preceding), 1), 6) as fdr_q from r")
 def bh_fdr(spark, sf):
-    x = F.abs(F.col("embedding")[0].cast("double"))
+    x = F.abs(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double")))
     df = table(spark, sf, "embeddings").select("vec_id", "label", (x / (1 + x)).alias("p"))
     return stats.benjamini_hochberg(df, "p", "label").select("vec_id", *_r("fdr_q"))
 
@@ -854,14 +856,15 @@ def standardize(spark, sf):
     return out.groupBy("subject", "feature").agg(F.round(F.sum("value"), 5).alias("z"))
 
 
-_VEC = "vl as (select vec_id as subject, label, 'x' || lpad(i::varchar, 2, '0') as feature, (case when i = 5 then embedding[1] * 2 + 0.01 * embedding[2] else embedding[i] end)::double as value from (select *, unnest(range(1, 13)) as i from embeddings))"
+_VEC = "vl as (select vec_id as subject, label, 'x' || lpad(i::varchar, 2, '0') as feature, (case when i = 5 then embedding[1] * 2 + 0.01 * embedding[2] else embedding[i] end)::double as value from (select *, generate_subscripts(embedding, 1) as i from embeddings))"
 
 
 def _vector_features(spark, sf):
     e = table(spark, sf, "embeddings")
     x = F.col("embedding")
     mixed = x[0] * F.lit(2) + F.lit(0.01).cast("float") * x[1]
-    pairs = F.array(*[F.struct(F.lit(f"x{i:02d}").alias("feature"), (mixed if i == 5 else x[i - 1]).cast("double").alias("value")) for i in range(1, 13)])
+    name = lambda i: F.concat(F.lit("x"), F.lpad((i + 1).cast("string"), 2, "0"))
+    pairs = F.transform(x, lambda v, i: F.struct(name(i).alias("feature"), F.when(i == 4, mixed).otherwise(v).cast("double").alias("value")))
     return e.select(F.col("vec_id").alias("subject"), "label", F.explode(pairs).alias("f")).select("subject", "label", "f.feature", "f.value")
 
 
@@ -1041,7 +1044,7 @@ def loso_selected_features(spark, sf):
 _SUMMARY = """p as ({0}), c as (select sum((y = 1 and pred = 1)::int)::double as tp, sum((y = 0 and pred = 1)::int)::double as fp, sum((y = 1 and pred = 0)::int)::double as fn, sum((y = 0 and pred = 0)::int)::double as tn from p),
 rr as (select y, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2e0 as r from p), au as (select (sum(r) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y)::double * sum(1 - y)) as auc from rr)
 select '{1}' as "group", {2} as n_features, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, tn::bigint as tn, round((tp + tn) / (tp + fp + fn + tn), 6) as acc, round(auc, 6) as auc from c, au"""
-_GROUPED = {k: [f"{s}_{k}" for s in reversed(_SEGMENTS)] for k in ("mean", "most")}
+_GROUPED = {name: [f"{s}_{k}" for k in members for s in reversed(_SEGMENTS)] for name, members in {"centre": ("mean", "twice"), "spread": ("std",), "ends": ("most", "least"), "counts": ("size", "one")}.items()}
 
 
 def _group_sql(name: str, own: list[str]) -> str:
@@ -1145,8 +1148,14 @@ def clean_reference_by_smoothing(spark, sf):
     return evaluate.clean_reference(event_series(spark, sf)).select("subject", "seq", *_r("reference", n=4), "event")
 
 
-@query("with f as (select unnest(['Pressure_Clean_Tau', 'Pressure_Clean_SampEn__mean', 'VMD_Mode3_RQA_DET', 'VMD_Mode3_RQA_epsilon__iqr', 'VMD_Mode4_PS_Eig1', 'VMD_Mode4_NumPoints', 'Pressure_Clean_HFD', 'Pressure_Clean_Mean']) as feature) select feature, case when feature like '%\\_PS\\_%' escape '\\' then 'phase_space' when feature like '%\\_RQA\\_%' escape '\\' then 'recurrence' when feature like '%SampEn%' then 'entropy' when feature like '%HFD%' then 'fractal' else 'basic' end as kind from f where not regexp_matches(feature, '_(Tau|EmbeddingDim|EmbeddedVectors|NumPoints|RQA_epsilon)(__[a-z]+)?$')")
+_NAMES = {"click": "p_Tau", "view": "p_SampEn__mean", "purchase": "p_RQA_epsilon__iqr", "error": "p_PS_Eig1", "signup": "p_NumPoints__std", "scroll": "p_HFD"}
+_NAMED = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in _NAMES.items()) + " else 'p_RQA_DET' end"
+
+
+@query(f"""with l as (select user_id as subject, {_NAMED} as feature, avg(value) as value from events group by 1, 2)
+select subject, feature, round(value, 6) as value, case when contains(feature, '_PS_') then 'phase_space' when contains(feature, '_RQA_') then 'recurrence' when regexp_matches(feature, '_(SampEn|PermEn)') then 'entropy' when regexp_matches(feature, '_(HFD|KFD|PFD)') then 'fractal' when contains(feature, '_ApproxLLE') then 'divergence' else 'basic' end as kind
+from l where not regexp_matches(feature, '_(Tau|EmbeddingDim|EmbeddedVectors|NumPoints|RQA_epsilon)(__[A-Za-z0-9]+)?$')""")
 def biomarker_features(spark, sf):
-    names = ["Pressure_Clean_Tau", "Pressure_Clean_SampEn__mean", "VMD_Mode3_RQA_DET", "VMD_Mode3_RQA_epsilon__iqr", "VMD_Mode4_PS_Eig1", "VMD_Mode4_NumPoints", "Pressure_Clean_HFD", "Pressure_Clean_Mean"]
-    kept = features.drop_non_biomarkers(spark.createDataFrame([(n,) for n in names], "feature string"))
-    return kept.select("feature", features.feature_group(F.col("feature")).alias("kind"))
+    """Features of users, named by kind of event, without those that only describe an embedding."""
+    rows = table(spark, sf, "events").groupBy(F.col("user_id").alias("subject"), F.expr(_NAMED).alias("feature")).agg(F.avg("value").alias("value"))
+    return features.drop_non_biomarkers(rows).select("subject", "feature", *_r("value"), features.feature_group(F.col("feature")).alias("kind"))
