@@ -1110,6 +1110,35 @@ def pca2(spark, sf):
     return ml.pca(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))).select("id", *_r("pc1", "pc2", n=4))
 
 
+def _drawn_sql(use: str, i: int) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', subject, seq, 42, '{use}')), {1 + 8 * i}, 8))::bigint / 4294967296e0)"
+
+
+_COUNTED = f"""{DT}, n as (select subject, count(*) as n from s group by 1), fr as (select s.*, n, row_number() over (partition by s.subject order by md5(concat_ws(':', s.subject, seq, 42, 'place')), seq) as rank from s join n on n.subject = s.subject where seq > 5 and seq < n - 6 and not p > 150),
+ch as (select fr.*, dt, case when rank <= 40 then 'isolated_spike' when rank <= 60 then 'short_pulse' when rank <= 66 then 'flatline_dropout' else 'hard_range_outlier' end as kind, {_drawn_sql("shape", 0)} as u0, {_drawn_sql("shape", 1)} as u1, {_drawn_sql("shape", 2)} as u2, {_drawn_sql("shape", 3)} as u3 from (select fr.*, dt from fr join dt on dt.subject = fr.subject) fr where rank <= 78),
+ln as (select *, greatest(2, round_even(4.8e0 / dt, 0)::int) as pl, greatest(2, round_even(8e0 / dt, 0)::int) as f0, greatest(3, round_even(18e0 / dt, 0)::int) as f1 from ch),
+tb as (select subject, kind, rank, t, seq as a, least(seq + case kind when 'short_pulse' then 2 + floor(u0 * (pl - 2 + 1))::int when 'flatline_dropout' then f0 + floor(u0 * (greatest(f0, f1) - f0 + 1))::int else 1 end, n) as b,
+case kind when 'isolated_spike' then (case when u1 < 0.5 then -1 else 1 end) * (4 + u2 * 8) when 'short_pulse' then (case when u1 < 0.5 then -1 else 1 end) * (3 + u2 * 6) when 'hard_range_outlier' then case when u3 < 0.5 then 60 + u2 * 22 else 132 + u2 * 23 end else 0 end as amp from ln)"""
+
+
+@query(f"""with {US}, {_COUNTED} select subject, kind, a::bigint as start, b::bigint as "end", round(t, 3) as t_start, (b - a)::bigint as n, round(amp, 6) as amplitude from tb""")
+def artifact_table(spark, sf):
+    """Intervals of injected artifacts, exact in number."""
+    df = event_series(spark, sf, "user_id").withColumn("event", F.col("p") > 150)
+    return evaluate.semisynthetic_counted(df, event="event")["table"].select("subject", "kind", "start", "end", *_r("t_start", n=3), "n", *_r("amplitude"))
+
+
+@query(f"""with {US}, {_COUNTED}, {DIFF}, sd as (select subject, 1.4826e0 * mad(dp) as sd from d group by 1),
+nz as (select s.*, p + 0.35e0 * sd * sqrt(-2 * ln(1 - {_drawn_sql("noise", 0)})) * cos(2 * pi() * {_drawn_sql("noise", 1)}) as v0 from (select s.*, sd from s join sd on sd.subject = s.subject) s),
+iv as (select *, unnest(range(a, b)) as seq from tb), mk as (select subject, seq, sum(case kind when 'isolated_spike' then amp when 'short_pulse' then amp * sin(pi() * (seq - a) / greatest(b - a - 1, 1)) end) as add, max(case when kind = 'flatline_dropout' then (rank, a, amp) end) as fl, max(case when kind = 'hard_range_outlier' then (rank, a, amp) end) as ou from iv group by 1, 2),
+v as (select nz.*, nz.v0 + coalesce(add, 0) as v, fl, ou, add is not null or fl is not null or ou is not null as artifact from nz left join mk on mk.subject = nz.subject and mk.seq = nz.seq)
+select v.subject, v.seq::bigint as seq, round(coalesce(v.ou[3], h.v, v.v), 5) as observed, v.artifact from v left join v h on h.subject = v.subject and h.seq = v.fl[2]""")
+def semisynthetic_counted(spark, sf):
+    """Samples with noise and artifacts of exact number, and their mask."""
+    df = event_series(spark, sf, "user_id").withColumn("event", F.col("p") > 150)
+    return evaluate.semisynthetic_counted(df, event="event")["samples"].select("subject", "seq", *_r("observed", n=5), "artifact")
+
+
 def _semisynthetic(spark, sf):
     df = event_series(spark, sf).withColumn("event", F.col("p") > 150)
     return evaluate.semisynthetic(df, event="event")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from . import series as S
 from .stats import rank_sums
 
@@ -123,6 +126,80 @@ def selection_frequency(selected: DataFrame, folds: int) -> DataFrame:
     return s.withColumn("frequency", F.col("selected") / F.lit(float(folds))).withColumn("stable", F.col("frequency") >= 0.6)
 
 
+#: Artifacts of each kind that a recording gets, spans of pulses and flat lines in seconds, ranges of their sizes.
+COUNTS = {"isolated_spike": 40, "short_pulse": 20, "flatline_dropout": 6, "hard_range_outlier": 12}
+PULSE_S, FLAT_S, SPIKE_SIZE, PULSE_SIZE, BELOW, ABOVE = 4.8, (8.0, 18.0), (4.0, 12.0), (3.0, 9.0), (60.0, 82.0), (132.0, 155.0)
+
+
+def _drawn(use: str, seed: int) -> list[Column]:
+    """Four numbers from 0 to 1 for a sample and a use of them, from an MD5 sum, so that they are the same in any engine."""
+    digest = F.md5(F.concat_ws(":", F.col("subject").cast("string"), F.col("seq").cast("string"), F.lit(str(seed)), F.lit(use)).cast("binary"))
+    return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") / F.lit(float(1 << 32)) for i in range(4)]
+
+
+def counted_artifacts(df: DataFrame, counts: dict[str, int] | None = None, seed: int = 42, event: str | None = None) -> DataFrame:
+    """The interval table of artifacts to inject: subject, kind, start, end (exclusive), t_start, n, amplitude and rank.
+
+    Samples outside events, and not next to an end, are ordered by a hash; the first of them begin
+    as many artifacts of each kind as ``counts`` says, so no sample begins two. A recording of
+    too few such samples has as many as there are, those of later kinds missing. The amplitude of a
+    spike or pulse is added, of an outlier it is the value itself, of a flat line 0.
+    """
+    counts = counts or COUNTS
+    step = S.sampling_interval(df)
+    n = df.groupBy("subject").agg(F.count(F.lit(1)).alias("_n"))
+    digest = F.md5(F.concat_ws(":", F.col("subject").cast("string"), F.col("seq").cast("string"), F.lit(str(seed)), F.lit("place")).cast("binary"))
+    free = df.join(n, "subject").where((F.col("seq") > 5) & (F.col("seq") < F.col("_n") - 6))
+    free = free.where(~F.coalesce(F.col(event), F.lit(False))) if event else free
+    # The limit on ranks reaches the tasks' own samples before they move.
+    rank = F.row_number().over(Window.partitionBy("subject").orderBy(digest, "seq"))
+    chosen = free.select("subject", "seq", "t", "_n").withColumn("rank", rank).where(F.col("rank") <= sum(counts.values())).join(step, "subject")
+    kind, upto = None, 0
+    for name, many in counts.items():
+        upto += many
+        kind = F.when(F.col("rank") <= upto, name) if kind is None else kind.when(F.col("rank") <= upto, name)
+    length, sign, size, side = _drawn("shape", seed)
+    between = lambda u, low, high: F.lit(low) + u * (F.lit(high) - F.lit(low))
+    whole = lambda low, high: (low + F.floor(length * (high - low + 1))).cast("int")
+    in_samples = lambda s, least: F.greatest(F.lit(least), F.bround(F.lit(s) / F.col("dt")).cast("int"))
+    is_ = lambda name: F.col("kind") == name
+    shortest, longest = in_samples(FLAT_S[0], 2), in_samples(FLAT_S[1], 3)
+    many = F.when(is_("short_pulse"), whole(F.lit(2), in_samples(PULSE_S, 2))).when(is_("flatline_dropout"), whole(shortest, F.greatest(shortest, longest))).otherwise(1)
+    signed = lambda span: F.when(sign < 0.5, -1.0).otherwise(1.0) * between(size, *span)
+    amplitude = F.when(is_("isolated_spike"), signed(SPIKE_SIZE)).when(is_("short_pulse"), signed(PULSE_SIZE)).when(is_("hard_range_outlier"), F.when(side < 0.5, between(size, *BELOW)).otherwise(between(size, *ABOVE))).otherwise(0.0)
+    rows = chosen.withColumn("kind", kind).withColumn("end", F.least(F.col("seq") + many, F.col("_n"))).withColumn("amplitude", amplitude)
+    return rows.select("subject", "kind", F.col("seq").alias("start"), F.col("end").cast("long").alias("end"), F.col("t").alias("t_start"), (F.col("end") - F.col("seq")).cast("long").alias("n"), "amplitude", "rank")
+
+
+def semisynthetic_counted(df: DataFrame, counts: dict[str, int] | None = None, seed: int = 42, event: str | None = None, noise: float | None = None) -> dict[str, DataFrame]:
+    """A clean series (subject, seq, t, p) with artifacts of exact number: the samples, and the table of intervals.
+
+    Samples get observed and artifact: Gaussian noise (0.35 of the scaled median deviation of the
+    differences unless given), spikes and half-sine pulses added, flat lines that hold the value of their
+    first sample, and values far out of range, in this order; of intervals of a kind that
+    overlap, pulses add up and the last by rank holds. The table has one row for each artifact, and the mask is
+    their union. An empty table gives no rows.
+    """
+    table = cut(counted_artifacts(df, counts, seed, event))
+    d = S.robust_mad(S.differences(df), "dp", 0.0).withColumnRenamed("mad", "_sd")
+    u = _drawn("noise", seed)
+    normal = F.sqrt(-2 * F.log(1 - u[0])) * F.cos(2 * math.pi * u[1])
+    sd = F.lit(float(noise)) if noise is not None else 0.35 * F.col("_sd")
+    rows = df.join(d, "subject").withColumn("_v", F.col("p") + sd * normal).drop("_sd")
+    # Intervals as their samples: a few for each artifact.
+    held = table.select("*", F.explode(F.sequence("start", F.col("end") - 1)).alias("seq"))
+    part = F.when(F.col("kind") == "isolated_spike", F.col("amplitude")).when(F.col("kind") == "short_pulse", F.col("amplitude") * F.sin(math.pi * (F.col("seq") - F.col("start")) / F.greatest(F.col("n") - 1, F.lit(1))))
+    last = lambda name: F.max(F.when(F.col("kind") == name, F.struct("rank", "start", "amplitude")))
+    marks = held.groupBy("subject", "seq").agg(F.sum(part).alias("_add"), last("flatline_dropout").alias("_flat"), last("hard_range_outlier").alias("_out"))
+    rows = cut(rows.join(marks, ["subject", "seq"], "left").withColumn("_v", F.col("_v") + F.coalesce("_add", F.lit(0.0))))
+    first = table.where(F.col("kind") == "flatline_dropout").select("subject", F.col("start").alias("seq")).distinct()
+    first = rows.join(first, ["subject", "seq"], "left_semi").select("subject", F.col("seq").alias("_start"), F.col("_v").alias("_held"))
+    rows = rows.withColumn("_start", F.col("_flat.start")).join(first, ["subject", "_start"], "left")
+    artifact = F.col("_add").isNotNull() | F.col("_flat").isNotNull() | F.col("_out").isNotNull()
+    rows = rows.withColumn("observed", F.coalesce(F.col("_out.amplitude"), F.col("_held"), F.col("_v"))).withColumn("artifact", artifact)
+    return {"samples": rows.select(*df.columns, "observed", "artifact"), "table": table.drop("rank")}
+
+
 def semisynthetic(df: DataFrame, seed: int = 42, spikes: float = 0.01, flat: int = 12, event: str | None = None) -> DataFrame:
     """Known artifacts in a clean series: adds observed and artifact.
 
