@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavelode.operators import denoise, evaluate, features, kernel_models, ml, nonlinear, series, stats, vmd, windows
+from wavelode import catalog
+from wavelode.functions import window_kernel
 from wavelode.plans import reports
 from wavelode.sources import sinks
 from wavelode.sources.series import read_recordings
@@ -235,12 +237,15 @@ def test_files_begin_with_the_describing_columns(spark, tmp_path):
     out = sinks.master_features(df.where("WindowMethod = 'event_guided'"), df.where("WindowMethod = 'fixed300'").withColumn("y", F.lit(1)))
     assert out.columns == ["SubjectID", "WindowMethod", "WindowID", "StartTime", "x", "y"]
     assert list(sinks.META)[:4] == ["SubjectID", "Label", "WindowMethod", "WindowID"] and len(sinks.META) == 14
-    sinks.write_master_features(out, str(tmp_path / "m"))
-    files = list((tmp_path / "m" / "subject=s1").glob("*.csv"))
-    text = files[0].read_text("utf-8")
-    assert len(files) == 1 and text.startswith("﻿SubjectID,WindowMethod,WindowID") and len(text.splitlines()) == 7
-    sinks.write_results({"summary": sinks.method_counts(out)}, str(tmp_path / "r"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "r_summary")).columns == ["WindowMethod", "count"]
+    for _ in range(2):  # written again over the first files
+        sinks.write_master_features(out, str(tmp_path / "m"))
+        sinks.write_results({"summary": sinks.method_counts(out)}, str(tmp_path / "r"))
+    subjects = {r.SubjectID for r in out.select("SubjectID").distinct().collect()}
+    shown = lambda folder: {f.name for f in folder.iterdir() if not f.name.startswith(".")}
+    assert shown(tmp_path / "m") == {f"{s}_master_features.csv" for s in subjects} and shown(tmp_path) == {"m", "r_summary.csv"}
+    text = (tmp_path / "m" / "s1_master_features.csv").read_text("utf-8")
+    assert text.startswith("\ufeffSubjectID,WindowMethod,WindowID") and len(text.splitlines()) == 7
+    assert (tmp_path / "r_summary.csv").read_text("utf-8").splitlines()[0] == "\ufeffWindowMethod,count"
 
 
 def test_recordings_are_read_by_schema(spark, tmp_path):
@@ -341,3 +346,112 @@ def test_every_model_selects_inside_folds(spark):
         pred = out["predictions"].collect()
         assert len(pred) == 20 and np.mean([r.pred == r.y for r in pred]) == 1.0
         assert {r.feature for r in out["selected"].collect()} == {"good"}
+
+
+# one window, one recording
+
+
+def plain_rqa(v, rate, theiler):
+    """Recurrence measures from the whole distance matrix, line by line."""
+    n = len(v)
+    d = np.sqrt(((v[:, None, :] - v[None, :, :]) ** 2).sum(2))
+    far = np.abs(np.subtract.outer(np.arange(n), np.arange(n))) > theiler
+    eps = np.quantile(d[far], rate)
+    r = (d <= eps) & far
+    lengths = lambda flags: [len(x) for x in "".join("x" if f else " " for f in flags).split() if len(x) >= 2]
+    diagonal = [x for k in range(-n + 1, n) for x in lengths(np.diag(r, k))]
+    vertical = [x for j in range(n) for x in lengths(r[:, j])]
+    mean = lambda x: float(np.mean(x)) if x else None
+    return {"rr": r.sum() / (n * n - n), "det": sum(diagonal) / r.sum(), "lam": sum(vertical) / r.sum(), "l_mean": mean(diagonal), "l_max": max(diagonal, default=None), "tt": mean(vertical), "v_mean": mean(vertical), "epsilon": eps}
+
+
+@pytest.mark.parametrize(("n", "m", "tau", "held"), [(120, 3, 1, 1 << 20), (150, 2, 4, 500), (90, 5, 3, 1000)])
+def test_a_window_s_recurrence_equals_the_whole_matrix(monkeypatch, n, m, tau, held):
+    monkeypatch.setattr(window_kernel, "HELD", held)
+    x = np.round(np.sin(np.arange(n) / 5) + np.random.default_rng(n).standard_normal(n) / 4, 2)
+    v = window_kernel.embed(x, m, tau)
+    got, want = window_kernel.rqa(v, 0.05, tau), plain_rqa(v, 0.05, tau)
+    assert {k: pytest.approx(w, rel=1e-9) if w is not None else None for k, w in want.items()} == got
+    d = np.sqrt(((v[:, None, :] - v[None, :, :]) ** 2).sum(2))
+    i, j, near = window_kernel.nearest(v, tau, 20)
+    for a, b, s in zip(i, j, near, strict=True):
+        order = sorted(range(len(v)), key=lambda c: (d[a, c], abs(a - c), c))[:20]
+        assert b == next(c for c in order if abs(a - c) > tau) and s == pytest.approx(d[a, b])
+
+
+def test_windows_without_content_have_few_measures():
+    assert window_kernel.measures(np.ones(300)) == {"num_points": 300} and window_kernel.measures(np.array([np.nan, 1.0])) == {"num_points": 1}
+    found = window_kernel.measures(np.random.default_rng(1).standard_normal(104), tau=20, m=5)
+    assert found["vectors"] == 24 and "rr" not in found and found["sampen"] is not None
+
+
+def test_windows_have_their_own_embedding(spark):
+    """A slow and a fast wave in one table: each window's delay follows its wave."""
+    x = [math.sin(i / (2 if i < 400 else 9)) + 0.05 * math.sin(i * i) for i in range(800)]
+    spans = spark.createDataFrame([("a", 0, 0, 400), ("a", 1, 400, 800)], "subject string, window_id long, start_idx long, end_idx long")
+    out = reports.window_features(table(spark, x), spans, tau=None, m=None).where("feature in ('p_Tau', 'p_EmbeddingDim')").collect()
+    tau = {r.window_id: r.value for r in out if r.feature == "p_Tau"}
+    assert tau[0] < tau[1] and len(out) == 4
+    want = [window_kernel.embedding_parameters(window_kernel.robust_z(np.array(x[lo : lo + 400]))) for lo in (0, 400)]
+    assert [tau[0], tau[1]] == [w[0] for w in want]
+
+
+def test_event_report_runs_on_given_tables(spark):
+    out = catalog.queries()["event_vs_fixed_report"](spark, "/root/testdata/sf0.01").collect()
+    assert len({r.feature for r in out}) == len(out) and "p_NumPoints" in {r.feature for r in out}
+
+
+def test_grid_carries_channels_and_masks(spark):
+    """Irregular samples on a grid of 1 s: values by time, a channel's gaps by position, masks between and beside samples."""
+    rows = [("a", 0, 0.0, 10.0, None, False), ("a", 1, 1.5, 13.0, 7.0, True), ("a", 2, 2.5, 11.0, None, True), ("a", 3, 6.0, 18.0, 8.0, False), ("a", 4, 7.2, None, None, False)]
+    df = spark.createDataFrame(rows, "subject string, seq long, t double, p double, ph double, bad boolean")
+    df = series.interpolate(df, F.col("ph").isNotNull(), x="seq", y="ph", out="ph")
+    dt = spark.createDataFrame([("a", 1.0)], "subject string, dt double")
+    out = series.uniform(df, ("p", "ph"), ("bad",), dt).orderBy("k").collect()
+    assert [r.t for r in out] == [float(i) for i in range(8)]
+    assert [r.p for r in out] == pytest.approx([10.0, 12.0, 12.0, 12.0, 14.0, 16.0, 18.0, 18.0])
+    ph = [7.0, 7.0, 7.5, 8.0, 8.0]
+    assert [r.ph for r in out] == pytest.approx(np.interp(np.arange(8.0), [0.0, 1.5, 2.5, 6.0, 7.2], ph).tolist())
+    assert [r.bad for r in out] == [False, True, True, True, False, False, False, False]
+
+
+def test_uniform_denoising_agrees_with_the_chain_on_an_even_recording(spark):
+    """Where samples are the grid, widths in seconds are the same numbers, and both give one result."""
+    x = walk(300, 5)
+    x[[50, 120, 121, 200]] += [9, 7, 7, -11]
+    df = table(spark, x).withColumn("ph", F.when(F.col("seq") % 3 == 0, F.col("seq").cast("double")))
+    whole = {r.seq: r for r in denoise.denoise(df.drop("ph"), 60.0, 140.0, passes=1, baseline=61, noise=21, smooth_width=5).collect()}
+    out = denoise.denoise_uniform(df, 60.0, 140.0, passes=1).orderBy("k").collect()
+    assert len(out) == 300 and out[0].asDict().keys() == {"subject", "k", "t", "ph", "temperature", "raw", "range_fixed", "preclean", "clean", "baseline", "residual", "noise", "out_of_range", "artifact", "event", "quality_flag"}
+    for r in out:
+        w = whole[r.k]
+        assert (r.raw, r.preclean, r.clean, r.baseline, r.noise) == pytest.approx((w.raw, w.preclean, w.clean, w.baseline, w.noise))
+        assert r.artifact == (w.artifact or w.out_of_range) and r.event == w.event and r.temperature is None and r.residual == pytest.approx(r.clean - r.baseline)
+    assert [r.ph for r in out][:7] == pytest.approx([0, 1, 2, 3, 4, 5, 6])
+
+
+def test_widths_by_column_equal_one_width(spark):
+    df = table(spark, walk(60)).union(table(spark, walk(1500, 2), "b")).withColumn("width", F.when(F.col("subject") == "a", 7).otherwise(11))
+    for f, g in ((series.rolling_median, series.rolling_median), (series.rolling_mad, series.rolling_mad), (series.savgol, series.savgol_by_width)):
+        got = {(r.subject, r.seq): r.x for r in g(df, "width", "p", "x").collect()}
+        for subject, width in (("a", 7), ("b", 11)):
+            for r in f(df.where(F.col("subject") == subject), width, "p", "x").collect():
+                assert got[subject, r.seq] == pytest.approx(r.x)
+
+
+def test_artifacts_are_as_many_as_asked(spark):
+    df = table(spark, walk(3000), dt=1.2).union(table(spark, walk(30), "short", 1.2)).withColumn("event", (F.col("seq") % 500 < 40) & (F.col("subject") == "a"))
+    out = evaluate.semisynthetic_counted(df, event="event")
+    found = out["table"].where("subject = 'a'").toPandas()
+    assert found["kind"].value_counts().to_dict() == evaluate.COUNTS and found["start"].is_unique and not (found["start"] % 500 < 40).any()
+    flat, pulse = found[found["kind"] == "flatline_dropout"], found[found["kind"] == "short_pulse"]
+    assert flat["n"].between(7, 15).all() and flat["n"].nunique() > 1 and pulse["n"].between(2, 4).all() and (pulse["amplitude"] < 0).any() and (pulse["amplitude"] > 0).any()
+    rows = out["samples"].where("subject = 'a'").orderBy("seq").toPandas()
+    covered = {s for lo, hi in zip(found["start"], found["end"], strict=True) for s in range(lo, hi)}
+    assert set(rows.index[rows["artifact"]]) == covered
+    rest = ~rows["artifact"]
+    noise = (rows["observed"] - rows["p"])[rest]
+    assert abs(noise.mean()) < 0.05 and noise.std() == pytest.approx(0.35 * 1.4826 * np.median(np.abs(np.diff(rows["p"]) - np.median(np.diff(rows["p"])))), rel=0.1)
+    outlier = found[found["kind"] == "hard_range_outlier"]
+    assert (rows["observed"].to_numpy()[outlier["start"]] == pytest.approx(outlier["amplitude"].to_numpy()))
+    assert out["table"].where("subject = 'short'").count() == 18 and evaluate.semisynthetic_counted(df.limit(0))["samples"].count() == 0

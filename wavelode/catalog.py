@@ -1095,7 +1095,7 @@ def _fold_query(name: str, level: str):
     return query()(f)
 
 
-for _name in ml.classifiers():
+for _name in ml.MODELS:
     _fold_query(_name, "loso")
     _fold_query(_name, "5fold")
 

@@ -227,6 +227,10 @@ def group_ablation(df: DataFrame, columns: list[str], groups: dict[str, list[str
     return out
 
 
+#: Names of the models, which need a session to be made.
+MODELS = ("logistic", "logistic_l1", "linear_svm", "rbf_svm", "random_forest", "gbt")
+
+
 def classifiers() -> dict:
     """The usual models by name: margins fitted for all folds at once, MLlib's trees, and nearest neighbours."""
     common = {"featuresCol": "features", "labelCol": "y", "weightCol": "weight"}

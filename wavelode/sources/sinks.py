@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns that describe a window, in the order in which they lead every feature file.
@@ -19,15 +23,39 @@ def _marked(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed(df.columns[0], MARK + df.columns[0])
 
 
-def write_csv(df: DataFrame, path: str, marked: bool = False) -> None:
-    """A report as one CSV file with a header, after MARK where asked; reports are a few rows for each model and subject."""
-    (_marked(df) if marked else df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-
+def _publish(spark: SparkSession, parts: str, names: Callable[[str], str | None]) -> list[str]:
+    """Move the files of a written folder to the paths that ``names`` gives for theirs, and drop the folder.
 
-def write_results(results: dict[str, DataFrame], prefix: str) -> None:
-    """One CSV folder per result, named ``{prefix}_{name}``."""
-    for name, df in results.items():
-        write_csv(df, f"{prefix}_{name}", marked=True)
+    A file is renamed inside the store, over an older one of its name, so a reader sees the
+    old or the new file and never a part of one. Only names pass the driver.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(parts)
+    files = folder.getFileSystem(conf)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf)
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    found, out = files.listFiles(folder, True), []
+    while found.hasNext():
+        path = found.next().getPath()
+        target = names(path.toString())
+        if target:
+            context.rename(path, context.makeQualified(jvm.org.apache.hadoop.fs.Path(target)), over)
+            out.append(target)
+    files.delete(folder, True)
+    return sorted(out)
+
+
+def write_csv(df: DataFrame, path: str, marked: bool = False) -> str:
+    """A report as one CSV file named ``path``, with a header, after MARK where asked; reports are a few rows for each model and subject."""
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    (_marked(df) if marked else df).coalesce(1).write.option("header", True).csv(parts)
+    return _publish(df.sparkSession, parts, lambda name: path if name.endswith(".csv") else None)[0]
+
+
+def write_results(results: dict[str, DataFrame], prefix: str) -> list[str]:
+    """One CSV file per result, named ``{prefix}_{name}.csv``."""
+    return [write_csv(df, f"{prefix}_{name}.csv", marked=True) for name, df in results.items()]
 
 
 def master_features(event: DataFrame, fixed: DataFrame) -> DataFrame:
@@ -37,15 +65,19 @@ def master_features(event: DataFrame, fixed: DataFrame) -> DataFrame:
     return both.select(*lead, *[c for c in both.columns if c not in lead])
 
 
-def write_master_features(features: DataFrame, path: str) -> None:
-    """A folder per subject with one CSV file, of all columns in their order, after MARK.
+def write_master_features(features: DataFrame, path: str) -> list[str]:
+    """A file ``{subject}_master_features.csv`` for each subject in the folder ``path``, of all columns in their order, after MARK.
 
     A subject's windows are few, so they are one task's rows; subjects are dealt over tasks.
+    Signs that a file's name cannot have are escaped as Spark escapes them.
     """
     marked = _marked(features)
     by = [c for c in ("WindowMethod", "WindowID") if c in marked.columns]
     rows = marked.withColumn("subject", F.col(marked.columns[0])).repartition("subject").sortWithinPartitions("subject", *by)
-    rows.write.mode("overwrite").option("header", True).partitionBy("subject").csv(path)
+    parts = f"{path}/parts-{uuid.uuid4().hex}"
+    rows.write.option("header", True).partitionBy("subject").csv(parts)
+    named = lambda name: re.search(r"/subject=([^/]*)/[^/]*\.csv$", name)
+    return _publish(features.sparkSession, parts, lambda name: f"{path}/{named(name)[1]}_master_features.csv" if named(name) else None)
 
 
 def method_counts(features: DataFrame) -> DataFrame:
