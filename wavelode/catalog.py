@@ -244,8 +244,7 @@ _LOW = denoise.Limits(amp=1.0, slope=1.0, curve=1.0)
 
 
 def _estimated(spark, sf):
-    df = series.rolling_median(event_series(spark, sf), 25, "p", "baseline").withColumn("residual", F.col("p") - F.col("baseline"))
-    return denoise.local_noise(df)
+    return denoise.baseline_and_noise(event_series(spark, sf), 25, 17)
 
 
 def _events(spark, sf):

@@ -58,11 +58,17 @@ def low_confidence(df: DataFrame, flag: str, max_gap: float, out: str = "low_con
 def local_noise(df: DataFrame, width: int = 17, column: str = "p") -> DataFrame:
     """Add dp, ddp and the local noise of values and of both differences: s_p, s_dp, s_ddp."""
     df = cut(S.differences(df, column))
-    df = S.rolling_mad(df, width, "dp", "s_dp")
-    df = S.rolling_mad(df, width, "ddp", "s_ddp")
+    df = S.rolling(df, ("mad", width, "dp", "s_dp"), ("mad", width, "ddp", "s_ddp"))
     return df.withColumn("s_p", F.col("s_dp") / F.sqrt(F.lit(2.0)))
 
 
+def baseline_and_noise(df: DataFrame, baseline: int | str, noise: int | str) -> DataFrame:
+    """Add baseline, residual and the local noise of p, all by one pass over blocks of samples."""
+    df = cut(S.differences(df))
+    df = S.rolling(df, ("median", baseline, "p", "baseline"), ("mad", noise, "dp", "s_dp"), ("mad", noise, "ddp", "s_ddp"))
+    return df.withColumn("residual", F.col("p") - F.col("baseline")).withColumn("s_p", F.col("s_dp") / F.sqrt(F.lit(2.0)))
+
+
 def events(df: DataFrame, least_samples: int = 2, amp_k: float = DEFAULT.event_amp, area_k: float = DEFAULT.event_area, max_gap: int = 1, residual: str = "residual", noise: str = "s_p") -> DataFrame:
     """Physiological events: subject, start, end (exclusive), times, n, peak and area.
 
@@ -316,7 +322,6 @@ def denoise_uniform(df: DataFrame, low: float = GATE[0], high: float = GATE[1],
 
 def _estimates(df: DataFrame, baseline: int | str, noise: int | str, k: Limits) -> DataFrame:
     """Add baseline, residual, noise, event and score."""
-    df = S.rolling_median(df, baseline, "p", "baseline").withColumn("residual", F.col("p") - F.col("baseline"))
-    df = cut(local_noise(df, noise))
+    df = cut(baseline_and_noise(df, baseline, noise))
     df = cut(mark(df, events(df, amp_k=k.event_amp, area_k=k.event_area), "event"))
     return df.withColumn("score", F.when(F.col("event"), F.greatest(F.col("residual") / (k.event_amp * F.col("s_p") + 1e-9), F.lit(0.0))).otherwise(0.0))

@@ -19,6 +19,8 @@ from . import evaluate, features, kernel_models
 
 #: Rows of a block in the nearest-neighbour search, folds whose models are fitted at a time, and buckets in which subjects are ranked.
 BLOCK, AT_ONCE, RANKED = 2048, 8, 4096
+#: Rows of a partition that a fold's model is fitted from, so that a small fold is no more tasks than it needs.
+PART_ROWS = 20_000
 
 
 def held_out_means(df: DataFrame, value: str = "value") -> DataFrame:
@@ -248,6 +250,7 @@ def _fit_and_predict(rows: DataFrame, train, model) -> DataFrame:
     """Fit on the rows where ``train`` holds, labels weighted to balance, and predict the others: (fold, id, y, pred, score)."""
     counts = {r.y: r.n for r in rows.where(train).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
+    rows = rows.coalesce(max(1, -(-total // PART_ROWS)))
     weight = F.when(F.col("y") == 1, float(total / (2 * counts[1]))).otherwise(float(total / (2 * counts[0])))
     rows = rows.withColumn("features", array_to_vector(F.col("x").cast("array<double>"))).withColumn("weight", weight).withColumn("y", F.col("y").cast("double"))
     pred = model.fit(rows.where(train)).transform(rows.where(~train))

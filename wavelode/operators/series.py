@@ -77,23 +77,28 @@ def own_block(df: DataFrame) -> DataFrame:
 
 
 def filled(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Nulls take the next value, and the last one where there is no next.
+    """Nulls take the next value, and the last one where there is no next."""
+    return filled_all(df, {column: out})
+
+
+def filled_all(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``filled`` for several columns, given with the names of the results, in one pass.
 
     Blocks are filled side by side; what is beyond a block comes from a table of the first
     and last value of every block.
     """
     # Read twice, so what it took is not done twice.
     df = cut(df.withColumn("_block", F.floor(F.col("seq") / BLOCK)))
-    value = F.struct("seq", F.col(column).alias("v"))
-    held = F.when(F.col(column).isNotNull(), value)
-    ends = df.groupBy("subject", "_block").agg(F.min(held).alias("_a"), F.max(held).alias("_b"))
+    held = {c: F.when(F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("v"))) for c in columns}
+    ends = df.groupBy("subject", "_block").agg(*[f(h).alias(f"{n}{c}") for c, h in held.items() for n, f in (("_a", F.min), ("_b", F.max))])
     later = Window.partitionBy("subject").orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("subject").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("subject", "_block", F.last("_a", True).over(later)["v"].alias("_next"), F.last("_b", True).over(earlier)["v"].alias("_before"))
+    ends = ends.select("subject", "_block", *[F.last(f"_a{c}", True).over(later)["v"].alias(f"_next{c}") for c in columns], *[F.last(f"_b{c}", True).over(earlier)["v"].alias(f"_before{c}") for c in columns])
     own = Window.partitionBy("subject", "_block")
     up, down = own.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0), own.orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_down", F.last(column, True).over(down)).withColumn("_up", F.last(column, True).over(up)).join(ends, ["subject", "_block"])
-    return df.withColumn(out, F.coalesce("_down", "_next", "_up", "_before")).drop("_block", "_down", "_up", "_next", "_before")
+    df = df.select("*", *[F.last(c, True).over(down).alias(f"_down{c}") for c in columns]).select("*", *[F.last(c, True).over(up).alias(f"_up{c}") for c in columns]).join(ends, ["subject", "_block"])
+    sides = ("_down", "_next", "_up", "_before")
+    return df.withColumns({out: F.coalesce(*[f"{side}{c}" for side in sides]) for c, out in columns.items()}).drop("_block", *[f"{side}{c}" for side in sides for c in columns])
 
 
 def neighbourhoods(df: DataFrame, width: str, column: str, out: str = "_near", reach: int = 1) -> DataFrame:
@@ -114,24 +119,42 @@ def neighbourhoods(df: DataFrame, width: str, column: str, out: str = "_near", r
     return cut_out.select("_x.row.*", F.col("_x.near").alias(out)).select(*df.columns, out)
 
 
-def _gathered(df: DataFrame, width: int | str, column: str) -> tuple[DataFrame, Column]:
-    """``df`` with _near, known values around each sample, and how many of them a result takes."""
-    if isinstance(width, str):
-        df = neighbourhoods(df, width, column).withColumn("_near", F.transform(F.filter("_near", lambda x: x["v"].isNotNull()), lambda x: x["v"]))
-        return df, F.greatest(F.lit(3), F.floor(F.col(width) / 3))
-    h = width // 2
-    df, w = in_blocks(df, h)
-    return own_block(df.withColumn("_near", F.collect_list(column).over(w.rowsBetween(-h, h)))), F.lit(max(3, width // 3))
-
-
 def rolling_median(df: DataFrame, width: int | str, column: str = "p", out: str = "median") -> DataFrame:
     """Centred median over an odd number of samples, filled where too few are there.
 
     ``width`` is one number, or the name of a column with each subject's own.
     """
-    df, least = _gathered(df, width, column)
-    df = df.withColumn("_raw", F.when(F.size("_near") >= least, array_median(F.col("_near")))).drop("_near")
-    return filled(df, "_raw", out).drop("_raw")
+    return rolling(df, ("median", width, column, out))
+
+
+def rolling(df: DataFrame, *wanted: tuple[str, int | str, str, str], eps: float = 1e-9) -> DataFrame:
+    """Several rolling medians and MADs, each (median or mad, width, column, out), in one pass over blocks of samples."""
+    wholes = None
+    for what, _, column, out in wanted:
+        if what == "mad":
+            whole = robust_mad(df, column, 0.0).withColumnRenamed("mad", f"_whole{out}")
+            wholes = whole if wholes is None else wholes.join(whole, "subject")
+    fixed = [w for _, w, _, _ in wanted if not isinstance(w, str)]
+    if fixed:
+        df, order = in_blocks(df, max(fixed) // 2)
+        df = own_block(df.select("*", *[F.collect_list(c).over(order.rowsBetween(-(w // 2), w // 2)).alias(f"_near{out}") for _, w, c, out in wanted if not isinstance(w, str)]))
+    for _, width, column, out in wanted:
+        if isinstance(width, str):
+            values = F.transform(F.filter(f"_near{out}", lambda x: x["v"].isNotNull()), lambda x: x["v"])
+            df = neighbourhoods(df, width, column, f"_near{out}").withColumn(f"_near{out}", values)
+    df = df.withColumns({f"_mid{out}": array_median(F.col(f"_near{out}")) for *_, out in wanted})
+    away = lambda out: F.transform(f"_near{out}", lambda x: F.abs(x - F.col(f"_mid{out}")))
+    raw = {}
+    for what, width, _, out in wanted:
+        least = F.greatest(F.lit(3), F.floor(F.col(width) / 3)) if isinstance(width, str) else F.lit(max(3, width // 3))
+        value = F.col(f"_mid{out}") if what == "median" else MAD_SCALE * array_median(away(out))
+        raw[f"_raw{out}"] = F.when(F.size(f"_near{out}") >= least, value)
+    df = df.withColumns(raw).drop(*[f"{n}{out}" for *_, out in wanted for n in ("_near", "_mid")])
+    df = filled_all(df, {f"_raw{out}": out for *_, out in wanted}).drop(*raw)
+    if wholes is None:
+        return df
+    mads = [out for what, *_, out in wanted if what == "mad"]
+    return df.join(wholes, "subject").withColumns({out: F.greatest(out, F.lit(eps), 0.05 * F.col(f"_whole{out}")) for out in mads}).drop(*[f"_whole{out}" for out in mads])
 
 
 def array_median(a: Column) -> Column:
@@ -150,12 +173,7 @@ def robust_mad(df: DataFrame, column: str = "p", eps: float = 1e-9, *by: str) ->
 
 def rolling_mad(df: DataFrame, width: int | str, column: str = "p", out: str = "mad", eps: float = 1e-9) -> DataFrame:
     """Centred scaled MAD, filled like the rolling median, at least 0.05 of the subject's own MAD; widths as there."""
-    whole = robust_mad(df, column, 0.0).withColumnRenamed("mad", "_whole")
-    df, least = _gathered(df, width, column)
-    df = df.withColumn("_mid", array_median(F.col("_near")))
-    dev = array_median(F.transform("_near", lambda x: F.abs(x - F.col("_mid"))))
-    df = df.withColumn("_raw", F.when(F.size("_near") >= least, dev * MAD_SCALE)).drop("_near", "_mid")
-    return filled(df, "_raw", out).join(whole, "subject").withColumn(out, F.greatest(out, F.lit(eps), 0.05 * F.col("_whole"))).drop("_whole", "_raw")
+    return rolling(df, ("mad", width, column, out), eps=eps)
 
 
 def scaled(df: DataFrame, column: str = "p", eps: float = 1e-12, added: bool = False) -> DataFrame:
