@@ -80,3 +80,18 @@ def test_a_bucket_is_a_partition(spark):
     rows = spark.range(400).select((F.col("id") % 40).cast("int").alias("bucket"))
     parts = rows.repartitionById(40, "bucket").select(F.spark_partition_id().alias("p"), "bucket").distinct().collect()
     assert sorted((r.p, r.bucket) for r in parts) == [(i, i) for i in range(40)]
+
+
+def test_a_name_is_one_entity_under_all_titles():
+    """Also where a title tells no gender: the text's other mentions do, else the lists of names."""
+    key = b"k" * 32
+    both, alone, unknown = (surrogate._replace(t, key, {})[0].split() for t in ("Mrs Quinta Keller met Dr Quinta Keller", "Dr Anna Keller", "Dr Quinta Keller"))
+    assert both[1] == both[5] and both[2] == both[6] and both[1] in surrogate.GIVEN["latin", "f"]
+    assert alone[1] == surrogate._replace("Frau Anna Keller", key, {})[0].split()[1] and unknown[1] not in ("Quinta",)
+
+
+def test_numbers_without_gaps_after_a_plus(spark):
+    found = surrogate.find_entities("call +493012345678 or 1+493012345678 or x+493012345678.")
+    assert [(a, b, k) for a, b, k, _ in found] == [(5, 18, "phone")]
+    new = surrogate._replace("call +493012345678 now", b"k" * 32, {})[0]
+    assert new.startswith("call +") and len(new) == 22 and "493012345678" not in new

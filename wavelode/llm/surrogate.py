@@ -42,6 +42,8 @@ GIVEN = {
 SYLLABLES = {"latin": ("bcdfghklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу")}
 
 _TITLE = {t: g for g, names in TITLES.items() for t in names}
+#: Genders of the listed given names.
+_LISTED = {name: {g for (_, g), own in GIVEN.items() if name in own} for names in GIVEN.values() for name in names}
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
 _PATTERNS = (
     ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w])")),
@@ -50,7 +52,7 @@ _PATTERNS = (
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A)),
     ("ipv6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{6,39}(?![\w:])", re.A)),
-    ("phone", re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{3,4}(?![\w-])", re.A)),
+    ("phone", re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{3,4}(?![\w-])|(?<![\w.+])\+[1-9]\d{7,14}(?![\w-])", re.A)),
 )
 _PERSON = re.compile(rf"\b({'|'.join(sorted(_TITLE, key=len, reverse=True))})\.?[ ]({_NAME})(?:[ ]({_NAME}))?")
 _BARE = re.compile(rf"(?<![\w-]){_NAME}(?![\w-])")
@@ -87,8 +89,17 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             found += [(m.start(), rank, m.end(), kind, "") for m in pattern.finditer(text) if _holds(kind, m[0])]
     known: dict[str, tuple[str, str]] = {}
-    for m in _PERSON.finditer(text):
+    persons = list(_PERSON.finditer(text))
+    # A title that tells no gender leaves it to the text's other mentions of the name, and then to the lists of names.
+    told: dict[str, set[str]] = {}
+    for m in persons:
+        if m[3] and _TITLE[m[1]] != "n":
+            told.setdefault(m[2], set()).add(_TITLE[m[1]])
+    for m in persons:
         gender = _TITLE[m[1]]
+        if gender == "n" and m[3]:
+            here = told.get(m[2]) or _LISTED.get(m[2], ())
+            gender = next(iter(here)) if len(here) == 1 else gender
         parts = [(2, "given"), (3, "surname")] if m[3] else [(2, "surname")]
         found += [(m.start(g), len(KINDS), m.end(g), kind, gender) for g, kind in parts]
         for g, kind in parts:
