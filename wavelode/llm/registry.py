@@ -16,42 +16,52 @@ SURROGATE_KEY = b"a key that only the data owner has"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of all documents with all benchmark items."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learnt from the labels."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of near vectors of a label."""
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share 85 per cent of their shingles."""
     return text_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for the personal data in them."""
     return surrogate.pseudonymize(table(spark, sf_dir, "documents"), SURROGATE_KEY)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out."""
     return language.identify_digest(table(spark, sf_dir, "documents"))
 
 
 def op7_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in random order in eight shards."""
     return shards.shard_digest(shards.shuffle_to_shards(table(spark, sf_dir, "documents")))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by a ledger of distinct texts."""
     return secret_scan.scan_digest(secret_scan.scan_versions(table(spark, sf_dir, "documents")))
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written with a keyed index and read back."""
     return token_store.round_trip(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as tokens in sequences of at most 2048, with digests of the pieces."""
     digest = F.crc32("ids").alias("ids_crc32")
     return packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), carry=digest)
 
