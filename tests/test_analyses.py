@@ -351,6 +351,10 @@ def test_every_model_selects_inside_folds(spark):
 # one window, one recording
 
 
+def plain_blocks(v):
+    yield np.sqrt(((v[:, None, :] - v[None, :, :]) ** 2).sum(2))
+
+
 def plain_rqa(v, rate, theiler):
     """Recurrence measures from the whole distance matrix, line by line."""
     n = len(v)
@@ -370,8 +374,8 @@ def test_a_window_s_recurrence_equals_the_whole_matrix(monkeypatch, n, m, tau, h
     monkeypatch.setattr(window_kernel, "HELD", held)
     x = np.round(np.sin(np.arange(n) / 5) + np.random.default_rng(n).standard_normal(n) / 4, 2)
     v = window_kernel.embed(x, m, tau)
-    got, want = window_kernel.rqa(v, 0.05, tau), plain_rqa(v, 0.05, tau)
-    assert {k: pytest.approx(w, rel=1e-9) if w is not None else None for k, w in want.items()} == got
+    want = {k: pytest.approx(w, rel=1e-9) if w is not None else None for k, w in plain_rqa(v, 0.05, tau).items()}
+    assert want == window_kernel.rqa(v, 0.05, tau) and want == window_kernel.rqa(v, 0.05, tau, held=[(0, next(iter(plain_blocks(v))))])
     d = np.sqrt(((v[:, None, :] - v[None, :, :]) ** 2).sum(2))
     i, j, near = window_kernel.nearest(v, tau, 20)
     for a, b, s in zip(i, j, near, strict=True):
