@@ -1083,12 +1083,20 @@ for _name in ("logistic", "linear_svm", "rbf_svm", "random_forest", "gbt"):
     _model_query(_name)
 
 
+def _regions(spark, sf):
+    """Nations as windows of their regions, with the features of all segments."""
+    region = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("window_id"), F.col("n_regionkey").cast("long").alias("region"))
+    rows = _nations(spark, sf).withColumnRenamed("subject", "window_id").drop("label").join(region, "window_id")
+    return rows.select(F.col("region").alias("subject"), "window_id", (F.col("region") % 2).cast("int").alias("label"), "feature", "value")
+
+
 def _fold_query(name: str, level: str):
-    """Predictions of one model with selection inside folds: each nation left out in turn, or five folds of nations."""
+    """Predictions of one model with selection inside folds: each region left out in turn, or five folds of nations."""
 
     def f(spark, sf):
-        run = ml.subject_level if level == "loso" else ml.k_fold_level
-        return run(_nations(spark, sf), _NATION_COLUMNS, ml.classifiers()[name], top=5)["predictions"].select("fold", "id", "y", "pred", *_r("score"))
+        model = ml.classifiers()[name]
+        out = ml.window_level(_regions(spark, sf), _NATION_COLUMNS, model, top=5) if level == "loso" else ml.k_fold_level(_nations(spark, sf), _NATION_COLUMNS, model, top=5)
+        return out["predictions"].select("fold", "id", "y", "pred", *_r("score"))
 
     f.__name__ = f"{name}_{level}"
     return query()(f)
