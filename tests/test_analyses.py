@@ -459,3 +459,25 @@ def test_artifacts_are_as_many_as_asked(spark):
     outlier = found[found["kind"] == "hard_range_outlier"]
     assert (rows["observed"].to_numpy()[outlier["start"]] == pytest.approx(outlier["amplitude"].to_numpy()))
     assert out["table"].where("subject = 'short'").count() == 18 and evaluate.semisynthetic_counted(df.limit(0))["samples"].count() == 0
+
+
+def test_windows_are_measured_once_and_after_they_are_dealt(spark):
+    spans = spark.createDataFrame([("a", 0, 0, 120)], "subject string, window_id long, start_idx long, end_idx long")
+    plan = reports.window_features(table(spark, walk(120)), spans)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Repartition")
+
+
+@pytest.mark.parametrize("n", [700, 900])
+def test_a_wide_window_s_distances_are_not_kept(n):
+    """Windows beyond the distances that are kept, with ties: one pass and bounds give what the whole matrix gives."""
+    x = np.repeat(np.round(np.random.default_rng(n).standard_normal(n), 1), 3)[:n]
+    v = window_kernel.embed(x, 3, 1)
+    assert window_kernel.held_distances(v) is None
+    want = {k: pytest.approx(w, rel=1e-9) if w is not None else None for k, w in plain_rqa(v, 0.05, 1).items()}
+    assert want == window_kernel.rqa(v, 0.05, 1)
+    d = next(plain_blocks(v))
+    i, j, _ = window_kernel.nearest(v, 1, 30)
+    for a, b in list(zip(i, j, strict=True))[::37]:
+        order = sorted(range(len(v)), key=lambda c: (d[a, c], abs(a - c), c))[:30]
+        assert b == next(c for c in order if abs(a - c) > 1)
+    assert 2 * len(window_kernel.recurrent_pairs(v, 0.5, 1)[0]) == ((d <= 0.5) & (np.abs(np.subtract.outer(np.arange(len(v)), np.arange(len(v)))) > 1)).sum()
