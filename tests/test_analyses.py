@@ -1,5 +1,6 @@
 """Whole analyses, files, folds and streams on small tables whose answers are known."""
 
+import hashlib
 import math
 import random
 
@@ -481,3 +482,32 @@ def test_a_wide_window_s_distances_are_not_kept(n):
         order = sorted(range(len(v)), key=lambda c: (d[a, c], abs(a - c), c))[:30]
         assert b == next(c for c in order if abs(a - c) > 1)
     assert 2 * len(window_kernel.recurrent_pairs(v, 0.5, 1)[0]) == ((d <= 0.5) & (np.abs(np.subtract.outer(np.arange(len(v)), np.arange(len(v)))) > 1)).sum()
+
+
+def test_neighbours_among_copies_and_far_away_equal_brute_force(spark):
+    """Distances by products of matrices lose digits: near copies far from the origin still keep their order."""
+    r = np.random.default_rng(5)
+    x = [[1e6 + float(v) / 1024 for v in r.integers(0, 3, 3)] for _ in range(50)]
+    df = spark.createDataFrame([(i, i, i % 2, v) for i, v in enumerate(x)], "id long, grp long, y int, x array<double>")
+    got = {(g.id, g.r): g.other for g in ml.nearest_neighbours(df, df, 3).collect()}
+    for i, a in enumerate(x):
+        order = sorted((round(math.dist(a, b), 9), j) for j, b in enumerate(x) if i != j)[:3]
+        assert [got[i, k] for k in (1, 2, 3)] == [j for _, j in order]
+
+
+def test_a_block_of_neighbours_is_large():
+    """Rows are sent once for each block, so that few blocks keep what is shuffled small."""
+    assert ml.BLOCK >= 16_384
+
+
+def test_balanced_sample_orders_one_range_of_the_hash(spark):
+    fixed = spark.range(3000).select(F.col("id").cast("string").alias("id"))
+    event = spark.range(5000, 5700).select(F.col("id").cast("string").alias("id"))
+    out = stats.balanced_sample(event, fixed, "id")
+    want = sorted((hashlib.md5(str(i).encode()).hexdigest(), str(i)) for i in range(3000))[:700]
+    assert sorted(r.id for r in out.collect()) == sorted([v for _, v in want] + [str(i) for i in range(5000, 5700)])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+    assert stats.balanced_sample(event, fixed.limit(5), "id").count() == 705 and stats.balanced_sample(event.limit(0), fixed, "id").count() == 0
+    with_null = fixed.limit(2).union(spark.createDataFrame([(None,)], "id string"))
+    assert stats.balanced_sample(event.limit(1), with_null, "id").where("id is null").count() == 1
