@@ -511,3 +511,18 @@ def test_balanced_sample_orders_one_range_of_the_hash(spark):
     assert stats.balanced_sample(event, fixed.limit(5), "id").count() == 705 and stats.balanced_sample(event.limit(0), fixed, "id").count() == 0
     with_null = fixed.limit(2).union(spark.createDataFrame([(None,)], "id string"))
     assert stats.balanced_sample(event.limit(1), with_null, "id").where("id is null").count() == 1
+
+
+def test_pairs_of_a_whole_window_are_not_joined(spark):
+    """Recurrent pairs and neighbours come from the row of a window; a window with a missing value keeps its pairs beside it."""
+    x = walk(40)
+    df = table(spark, x).union(table(spark, [None if i == 7 else v for i, v in enumerate(x)], "holes"))
+    v = np.stack([np.array(x)[i : 38 + i] for i in range(3)], 1)
+    d = next(plain_blocks(v))
+    far = np.abs(np.subtract.outer(np.arange(38), np.arange(38))) > 1
+    eps = np.quantile(d[far], 0.05)
+    out = nonlinear.recurrence(df).collect()
+    assert {(r.i, r.j) for r in out if r.subject == "a"} == {(i, j) for i, j in zip(*np.nonzero((d <= eps) & far), strict=True)}
+    assert all(r.n == 38 and r.epsilon == pytest.approx(eps) for r in out if r.subject == "a") and any(r.subject == "holes" for r in out)
+    whole, others = nonlinear._by_window(nonlinear.embed(df))
+    assert [r.subject for r in whole.collect()] == ["a"] and {r.subject for r in others.collect()} == {"holes"}

@@ -1,7 +1,9 @@
 """Entropy, recurrence, phase-space and fractal features of short series, as Spark plans.
 
 Input is (subject, seq, p), a subject being one window of bounded length with seq from 0
-without gaps. Pairs of samples only ever meet inside their window, by an equi-join.
+without gaps. Pairs of samples only ever meet inside their window: neighbours and recurrent
+pairs in the task that holds the window's vectors as one row, so that no pairs are shuffled;
+windows with missing values by an equi-join.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import window_kernel
 from ..functions.lineage import cut
 from .series import ordered
 
@@ -51,6 +54,14 @@ def _distance(m: int):
     return F.sqrt(sum((F.pow(F.col("a")[k] - F.col("b")[k], F.lit(2.0)) for k in range(m)), F.lit(0.0)))
 
 
+def _by_window(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(subject, v), all vectors of a window in one row, and the vectors of windows where one has a missing value or is missing itself."""
+    rows = vectors.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"), F.max("i").alias("_last"), F.bool_or(F.exists("x", lambda c: c.isNull())).alias("_holes"))
+    whole = (F.col("_last") + 1 == F.size("v")) & ~F.col("_holes")
+    others = rows.where(~whole).select("subject", F.inline("v"))
+    return rows.where(whole).select("subject", F.transform("v", lambda r: r["x"]).alias("v")), others
+
+
 def autocorrelation(df: DataFrame, most: int = 10) -> DataFrame:
     """(subject, lag, acf): mean product of centred values over the population variance."""
     stat = df.groupBy("subject").agg(F.avg("p").alias("_m"), F.var_pop("p").alias("_v"), F.count("p").alias("_n"))
@@ -129,11 +140,25 @@ def permutation_entropy(df: DataFrame, delay: int = 1) -> DataFrame:
 
 def recurrence(df: DataFrame, m: int = 3, tau: int = 1, rate: float = 0.05, theiler: int = 1) -> DataFrame:
     """Recurrent pairs (subject, i, j, epsilon, n): nearer than the ``rate`` quantile of all pairs outside the Theiler band."""
-    vectors = embed(df, m, tau)
+
+    @F.pandas_udf("array<struct<i: long, j: long, epsilon: double, n: long>>")
+    def near(v: pd.Series) -> pd.Series:
+        def of(rows):
+            x = np.stack(rows).astype(float)
+            held = window_kernel.held_distances(x)
+            epsilon = window_kernel.distance_quantile(x, rate, theiler, held)
+            i, j = window_kernel.recurrent_pairs(x, epsilon, theiler, held)
+            return [{"i": a, "j": b, "epsilon": epsilon, "n": len(x)} for a, b in zip(np.r_[i, j].tolist(), np.r_[j, i].tolist(), strict=True)]
+
+        return v.map(of)
+
+    whole, vectors = _by_window(embed(df, m, tau))
+    # The outer form, as the plain one would have every window measured twice.
+    found = whole.select("subject", F.inline_outer(near("v"))).where("i is not null")
     pairs = _pairs(vectors, theiler, both=True).select("subject", "i", "j", _distance(m).alias("d"))
     eps = pairs.groupBy("subject").agg(F.percentile("d", rate).alias("epsilon"))
     n = vectors.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.join(eps.join(n, "subject"), "subject").where("d <= epsilon").select("subject", "i", "j", "epsilon", "n")
+    return found.unionByName(pairs.join(eps.join(n, "subject"), "subject").where("d <= epsilon").select("subject", "i", "j", "epsilon", "n"))
 
 
 def line_lengths(edges: DataFrame, direction: str = "diagonal", least: int = 2) -> DataFrame:
@@ -239,13 +264,26 @@ def nearest(vectors: DataFrame, m: int, theiler: int | DataFrame, cap: int) -> D
 
     The band is one number, or a table (subject, tau). Distances that tie go to the earlier vector.
     """
+
+    @F.pandas_udf("array<struct<i: long, j: long, d: double>>")
+    def near(v: pd.Series, band: pd.Series) -> pd.Series:
+        def of(rows, theiler):
+            x = np.stack(rows).astype(float)[:, :m]
+            found = window_kernel.nearest(x, int(theiler), cap, window_kernel.held_distances(x))
+            return [{"i": a, "j": b, "d": d} for a, b, d in zip(*(c.tolist() for c in found), strict=True)]
+
+        return pd.Series([of(a, b) for a, b in zip(v, band, strict=True)])
+
+    whole, vectors = _by_window(vectors)
+    whole = whole.withColumn("tau", F.lit(theiler)) if isinstance(theiler, int) else whole.join(theiler, "subject")
+    found = whole.select("subject", F.inline_outer(near("v", "tau"))).where("i is not null")
     pairs = _pairs(vectors, -1, both=True).select("subject", "i", "j", _distance(m).alias("d"))
     apart = F.abs(F.col("i") - F.col("j"))
     rank = F.row_number().over(Window.partitionBy("subject", "i").orderBy("d", apart, "j"))
-    near = pairs.withColumn("r", rank).where(F.col("r") <= cap)
-    near = near.where(apart > theiler) if isinstance(theiler, int) else near.join(theiler, "subject").where(apart > F.col("tau"))
-    best = near.groupBy("subject", "i").agg(F.min(F.struct("r", "j", "d")).alias("b"))
-    return best.select("subject", "i", F.col("b.j").alias("j"), F.col("b.d").alias("d"))
+    near_ = pairs.withColumn("r", rank).where(F.col("r") <= cap)
+    near_ = near_.where(apart > theiler) if isinstance(theiler, int) else near_.join(theiler, "subject").where(apart > F.col("tau"))
+    best = near_.groupBy("subject", "i").agg(F.min(F.struct("r", "j", "d")).alias("b"))
+    return found.unionByName(best.select("subject", "i", F.col("b.j").alias("j"), F.col("b.d").alias("d")))
 
 
 def false_neighbours(df: DataFrame, m: int = 2, tau: int | DataFrame = 1, rtol: float = 10.0, atol: float = 2.0, cap: int = 20, least: int = 10) -> DataFrame:
