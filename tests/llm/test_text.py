@@ -621,3 +621,15 @@ def test_no_two_entities_share_a_surrogate(spark):
     table = surrogate.surrogate_table(spark.createDataFrame(rows, DOCS), KEY).toPandas()
     assert not table.duplicated(["kind", "surrogate"]).any()
     assert not set(zip(table.kind, table.surrogate)) & set(zip(table.kind, table.entity))
+
+
+def test_bitmaps_of_large_sets_tell_them_apart():
+    """Differing bits never exceed differing shingles, and large sets do not fill the bitmap."""
+    import numpy as np
+
+    from wavelode.llm import text_dedup
+
+    r = np.random.default_rng(1)
+    both, one, two = (np.unique(r.integers(0, 2**63, n, dtype=np.uint64)) for n in (4000, 1500, 1500))
+    differ = sum(int(w).bit_count() for w in text_dedup.bitmap(np.r_[both, one]) ^ text_dedup.bitmap(np.r_[both, two]))
+    assert 185 * differ > 15 * 11000 and differ <= 3000

@@ -22,7 +22,7 @@ SIDE, WIDTH, WORDS = 9, 3, 5
 #: Members of a table's bucket that all other members are compared with first.
 HUBS = 3
 #: 64-bit words of a set's bitmap, and members of a bucket's block when pairs are completed.
-MAP, BLOCK = 16, 512
+MAP, BLOCK = 32, 512
 #: Words whose hashes a worker remembers.
 CACHE = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -83,9 +83,9 @@ def half_keys(hashes: np.ndarray, side: int = SIDE, width: int = WIDTH, seed: in
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """MAP words in which every hash of the set sets one bit."""
+    """MAP words in which every hash of the set turns one bit over, so that bits of large sets tell as much as those of small ones."""
     bits = np.zeros(MAP, np.uint64)
-    np.bitwise_or.at(bits, (hashes >> np.uint64(6)) % np.uint64(MAP), np.uint64(1) << (hashes & np.uint64(63)))
+    np.bitwise_xor.at(bits, (hashes >> np.uint64(6)) % np.uint64(MAP), np.uint64(1) << (hashes & np.uint64(63)))
     return bits
 
 
@@ -163,22 +163,27 @@ def _crossing(members: DataFrame, parts: DataFrame, faces: DataFrame, percent: i
     In a bucket, every class outside the bucket's largest component meets all classes of
     other components, so that no such pair is left out. Bits in which two bitmaps differ
     are at most the shingles that only one set has; too many of them rule a link out, so
-    the join gives few pairs besides links. Large buckets meet block by block.
+    the join gives few pairs besides links. Classes that share several tables meet in the first
+    of them alone. Large buckets meet block by block.
     """
     member = members.select("key", "cls").join(parts.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     member = stage(member, "buckets")
     size = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     main = size.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("m")).where("parts > 1")
     open_ = member.join(main.select("key", F.col("m.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
-    open_ = stage(open_.join(faces.select("cls", "n_shingles", "bits"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "open")
+    open_ = stage(open_.join(faces.select("cls", "n_shingles", "bits", "keys"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "open")
     left = open_.where("component <> main").drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("l")
     right = open_.alias("r")
     differ = sum((F.bit_count(F.col("l.bits")[i].bitwiseXOR(F.col("r.bits")[i])) for i in range(MAP)), F.lit(0))
     n, m = F.col("l.n_shingles"), F.col("r.n_shingles")
     once = (F.col("r.component") == F.col("r.main")) | (F.col("l.cls") < F.col("r.cls"))
     can = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+    # Half keys that both have: the first of either side name the first table that they share.
+    shared = lambda lo: F.coalesce(*[F.when(F.col("l.keys")[lo + i] == F.col("r.keys")[lo + i], F.lit(i)) for i in range(SIDE)])
+    i, j = shared(0), shared(SIDE)
+    first = F.col("l.key") == F.xxhash64(F.get("l.keys", i), F.get("l.keys", SIDE + j), i * SIDE + j)
     met = (F.col("l.key") == F.col("r.key")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.component") != F.col("r.component"))
-    return left.join(right, met & once & can).select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b")).distinct()
+    return left.join(right, met & once & can & first).select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b")).distinct()
 
 
 def _links(pairs: DataFrame, faces: DataFrame, source: DataFrame, percent: int) -> DataFrame:
