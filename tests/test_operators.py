@@ -102,3 +102,18 @@ def test_correlated_features_are_dropped(spark):
     rows = [(i, f, float(v)) for i in range(20) for f, v in (("a", i), ("b", 2 * i + 1), ("c", (i * 7) % 20))]
     out = features.correlation_filter(spark.createDataFrame(rows, "subject int, feature string, value double"))
     assert sorted(r.feature for r in out.collect()) == ["a", "c"]
+
+
+def test_a_chain_of_steps_deletes_the_tables_that_it_has_passed(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from wavelode.functions.lineage import cut
+
+    df = cut(_series(spark, [100 + i % 3 + 20 * (i == 30) for i in range(64)]))
+    folder = Path(urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path)
+    before = set(folder.glob("rdd-*"))
+    out = denoise.denoise(df, passes=1)
+    # What is left is the last estimates and the samples that they were made from.
+    assert len(set(folder.glob("rdd-*")) - before) <= 2
+    assert out.count() == 64 and out.where("artifact").select("seq").first().seq in (29, 30, 31)
