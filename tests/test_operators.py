@@ -117,3 +117,19 @@ def test_a_chain_of_steps_deletes_the_tables_that_it_has_passed(spark):
     # What is left is the last estimates and the samples that they were made from.
     assert len(set(folder.glob("rdd-*")) - before) <= 2
     assert out.count() == 64 and out.where("artifact").select("seq").first().seq in (29, 30, 31)
+
+
+def test_lags_of_a_window_are_counted_without_joins_of_samples(spark):
+    df = _series(spark, [1, 5, 2, 8, None, 3, 9, 4, 7, 6, 2, 5])
+    acf, ami = nonlinear.autocorrelation(df, 3), nonlinear.mutual_information(df, 3)
+    for out in (acf, ami):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
+    known = [1, 5, 2, 8, None, 3, 9, 4, 7, 6, 2, 5]
+    mean = sum(x for x in known if x is not None) / 11
+    c = [None if x is None else x - mean for x in known]
+    var = sum(x * x for x in c if x is not None) / 11
+    want = [sum(a * b for a, b in zip(c, c[k:]) if a is not None and b is not None) / ((11 - k) * var) for k in range(4)]
+    assert [r.acf for r in acf.orderBy("lag").collect()] == pytest.approx(want)
+    assert [r.lag for r in ami.orderBy("lag").collect()] == [1, 2, 3]
+    assert nonlinear.autocorrelation(_series(spark, [2, 2, 2]), 4).where("acf is not null").count() == 0

@@ -62,14 +62,29 @@ def _by_window(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(whole).select("subject", F.transform("v", lambda r: r["x"]).alias("v")), others
 
 
+def _gathered(df: DataFrame, *stats) -> DataFrame:
+    """Each window as one row: its values in order as the array ``v``, with aggregates of it."""
+    held = F.transform(F.sort_array(F.collect_list(F.struct("seq", "p"))), lambda r: r["p"])
+    return df.groupBy("subject").agg(held.alias("v"), *stats)
+
+
 def autocorrelation(df: DataFrame, most: int = 10) -> DataFrame:
     """(subject, lag, acf): mean product of centred values over the population variance."""
-    stat = df.groupBy("subject").agg(F.avg("p").alias("_m"), F.var_pop("p").alias("_v"), F.count("p").alias("_n"))
-    rows = df.join(stat, "subject").withColumn("_c", F.col("p") - F.col("_m"))
-    w = ordered()
-    lags = F.array(*[F.struct(F.lit(k).alias("lag"), (F.lead("_c", k).over(w) if k else F.col("_c")).alias("y")) for k in range(most + 1)])
-    rows = rows.withColumn("_l", lags).select("subject", "_c", "_v", "_n", F.explode("_l").alias("l"))
-    return rows.groupBy("subject", F.col("l.lag").alias("lag")).agg(F.try_divide(F.sum(F.col("_c") * F.col("l.y")), (F.first("_n") - F.first("l.lag")) * F.first("_v")).alias("acf"))
+
+    @F.pandas_udf("array<struct<lag: int, acf: double>>")
+    def by_lag(v: pd.Series, m: pd.Series, var: pd.Series, n: pd.Series) -> pd.Series:
+        def of(values, mean, variance, count):
+            c, out = np.asarray(values, float) - mean, []
+            for k in range(most + 1):
+                products = c[: len(c) - k] * c[k:] if k < len(c) else c[:0]
+                products, over = products[~np.isnan(products)], (count - k) * variance
+                out.append({"lag": k, "acf": float(products.sum() / over) if len(products) and over else None})
+            return out
+
+        return pd.Series([of(*row) for row in zip(v, m.astype(float), var.astype(float), n, strict=True)])
+
+    rows = _gathered(df, F.avg("p").alias("_m"), F.var_pop("p").alias("_v"), F.count("p").alias("_n"))
+    return rows.select("subject", F.inline_outer(by_lag("v", "_m", "_v", "_n")))
 
 
 def tau_from_autocorrelation(acf: DataFrame, threshold: float = math.exp(-1), least: int = 1) -> DataFrame:
@@ -81,32 +96,49 @@ def tau_from_autocorrelation(acf: DataFrame, threshold: float = math.exp(-1), le
     return first.select("subject", F.greatest(F.coalesce("a", "b", F.lit(least)), F.lit(least)).cast("long").alias("tau"))
 
 
-def _bin(x: str, lo: str, hi: str, bins):
-    """Equal-width bin, the last one closed."""
-    return F.coalesce(F.least(F.floor(F.try_divide(F.col(x) - F.col(lo), F.col(hi) - F.col(lo)) * bins), bins - 1), F.lit(0)).cast("int")
+def _bin(y: np.ndarray, bins: int) -> np.ndarray:
+    """Equal-width bins over the values' own range, the last one closed; missing values are in the first."""
+    known = y[~np.isnan(y)]
+    span = known.max() - known.min() if len(known) else 0.0
+    if not span > 0:
+        return np.zeros(len(y), np.int64)
+    at = np.minimum(np.floor((y - known.min()) / span * bins), bins - 1)
+    return np.where(np.isnan(at), 0, at).astype(np.int64)
+
+
+def _entropy(bins: np.ndarray) -> float:
+    # Sorted, so that equal counts give equal sums.
+    counts = np.sort(np.bincount(bins))
+    p = counts[counts > 0] / len(bins)
+    return float(-(p * np.log(p + TINY)).sum())
 
 
 def mutual_information(df: DataFrame, most: int = 5) -> DataFrame:
     """(subject, lag, ami): entropies of both sub-series less their joint entropy, each binned over its own range.
 
-    Bins follow the Freedman-Diaconis width, 8 to 64 of them.
+    Bins follow the Freedman-Diaconis width, 8 to 64 of them. All lags of a window are counted
+    in the task that has its values as one row.
     """
-    q = df.groupBy("subject").agg(F.percentile("p", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("p").alias("n"))
-    width = 2 * (F.col("q")[1] - F.col("q")[0]) / (F.pow(F.col("n").cast("double"), F.lit(1 / 3)) + TINY)
-    bins = F.when(width <= TINY, F.floor(F.sqrt("n"))).otherwise(F.ceil((F.col("hi") - F.col("lo")) / width))
-    q = q.select("subject", F.least(F.greatest(bins, F.lit(8)), F.lit(64)).cast("int").alias("bins"))
-    w = ordered()
-    lags = F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("p", k).over(w).alias("y")) for k in range(1, most + 1)])
-    rows = df.withColumn("_l", lags).select("subject", "p", F.explode("_l").alias("l")).select("subject", F.col("l.lag").alias("lag"), F.col("p").alias("x"), F.col("l.y").alias("y")).where("y is not null")
-    by = ["subject", "lag"]
-    edges = rows.groupBy(*by).agg(*[f(c).alias(f"{c}{n}") for c in ("x", "y") for f, n in ((F.min, "lo"), (F.max, "hi"))], F.count(F.lit(1)).alias("n"))
-    rows = rows.join(edges, by).join(q, "subject").withColumn("bx", _bin("x", "xlo", "xhi", F.col("bins"))).withColumn("by", _bin("y", "ylo", "yhi", F.col("bins")))
 
-    def entropy(*cells: str) -> DataFrame:
-        p = F.col("c") / F.col("n")
-        return rows.groupBy(*by, "n", *cells).agg(F.count(F.lit(1)).alias("c")).groupBy(*by).agg((-F.sum(p * F.log(p + TINY))).alias("h" + "".join(cells)))
+    @F.pandas_udf("array<struct<lag: int, ami: double>>")
+    def by_lag(v: pd.Series, bins: pd.Series) -> pd.Series:
+        def of(values, many):
+            x, out = np.asarray(values, float), []
+            for k in range(1, min(most, len(x) - 1) + 1):
+                both = ~np.isnan(x[k:])
+                if both.any():
+                    a, b = _bin(x[:-k][both], many), _bin(x[k:][both], many)
+                    out.append({"lag": k, "ami": _entropy(a) + _entropy(b) - _entropy(a * many + b)})
+            return out
 
-    return entropy("bx").join(entropy("by"), by).join(entropy("bx", "by"), by).select(*by, (F.col("hbx") + F.col("hby") - F.col("hbxby")).alias("ami"))
+        return pd.Series([of(*row) for row in zip(v, bins, strict=True)])
+
+    rows = _gathered(df, F.percentile("p", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("p").alias("n"))
+    width = 2 * (F.col("q")[1] - F.col("q")[0]) / (F.pow(F.col("n").cast("double"), F.lit(1 / 3)) + TINY)
+    bins = F.when(width <= TINY, F.floor(F.sqrt("n"))).otherwise(F.ceil((F.col("hi") - F.col("lo")) / width))
+    rows = rows.select("subject", "v", F.least(F.greatest(F.coalesce(bins, F.lit(8)), F.lit(8)), F.lit(64)).cast("int").alias("bins"))
+    # The outer form, as the plain one would have every window counted twice.
+    return rows.select("subject", F.inline_outer(by_lag("v", "bins"))).where("lag is not null")
 
 
 def sample_entropy(df: DataFrame, m: int = 2, r: float = 0.2) -> DataFrame:
