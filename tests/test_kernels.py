@@ -39,3 +39,12 @@ def test_exact_rank_sum_counts_all_orders():
             top = max(u, n1 * n2 - u)
             expected = min(1.0, 2 * sum(v >= top for v in all_u) / len(all_u))
             assert kernels.exact_rank_sum(u, n1, n2) == pytest.approx(expected)
+
+
+def test_series_decomposed_side_by_side_are_as_alone():
+    rng = np.random.default_rng(3)
+    x, alpha = rng.normal(size=(5, 41)), np.array([1500.0, 2000.0, 2500.0, 3000.0, 3500.0])
+    modes, omega = kernels.vmd_many(x, alpha, 4)
+    for i in range(5):
+        alone, centre = kernels.vmd(x[i], alpha[i], 4)
+        assert np.allclose(modes[i], alone, atol=1e-9) and np.allclose(omega[i], centre, atol=1e-9)
