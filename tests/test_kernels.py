@@ -48,3 +48,14 @@ def test_series_decomposed_side_by_side_are_as_alone():
     for i in range(5):
         alone, centre = kernels.vmd(x[i], alpha[i], 4)
         assert np.allclose(modes[i], alone, atol=1e-9) and np.allclose(omega[i], centre, atol=1e-9)
+
+
+def test_recurrent_pairs_of_one_pass_are_those_of_two():
+    from wavelode.functions import window_kernel
+
+    rng = np.random.default_rng(5)
+    for n, rate, theiler in ((700, 0.05, 1), (700, 0.0, 3), (600, 1.0, 2), (9, 0.3, 2), (3, 0.5, 1)):
+        v = np.round(rng.exponential(size=(n, 3)), 2)
+        epsilon, i, j = window_kernel.recurrence(v, rate, theiler)
+        assert epsilon == window_kernel.distance_quantile(v, rate, theiler)
+        assert np.array_equal((i, j), window_kernel.recurrent_pairs(v, epsilon, theiler))
