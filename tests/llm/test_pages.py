@@ -131,6 +131,40 @@ def test_copies_near_copies_and_marked_articles_lose_nothing(spark):
     assert got == {**dict.fromkeys(range(5), body), **{10 + i: f"{body} v{i}" for i in range(4)}, **dict.fromkeys(range(20, 24), body)}
 
 
+@pytest.mark.parametrize("group_words", [main_text.GROUP_WORDS, 300])
+def test_suffix_arrays_find_the_template_inside_marked_articles(spark, monkeypatch, group_words):
+    """A notice that most articles of a host have goes, in one block or two; a line of half of them stays, and so do copies, near copies and small hosts."""
+    monkeypatch.setattr(main_text, "GROUP_WORDS", group_words)
+    r = np.random.default_rng(5)
+    word = lambda n: " ".join(f"w{x}" for x in r.integers(0, 5000, n))
+    page = lambda *blocks: "<nav>menu</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+    rows, want = [], {}
+
+    def add(host, blocks, kept=None):
+        rows.append((len(rows), f"http://{host}/{len(rows)}", page(*blocks)))
+        want[len(rows) - 1] = ("\n\n".join(blocks if kept is None else kept), sum(len(b.split()) for b in blocks) - sum(len(b.split()) for b in (blocks if kept is None else kept)))
+
+    notice, short, half, quote = word(11), word(5), word(12), word(10)
+    for i in range(16):
+        own = [word(30), f"{word(9)} {quote} {word(3)}", *([half] if i < 8 else [])]
+        # Half of the host's articles is not more than half; a quote inside a block is the article's.
+        add("a.org", [own[0], notice, short, *own[1:]], own)
+    for _ in range(5):
+        add("a.org", [rows_text(rows[0][2])[0], notice, short, *rows_text(rows[0][2])[3:]], [w for w in want[0][0].split("\n\n")])
+    for _ in range(main_text.TEMPLATE - 1):
+        add("b.org", [word(30), notice])
+    body = word(60)
+    for i in range(12):
+        add("c.org", [body, f"{word(3)} {i}"])
+    got = {x.page_id: (x.text, x.n_repeated) for x in main_text.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+    assert all(want[i][1] == 16 for i in range(21)) and not any(want[i][1] for i in range(21, len(want)))
+
+
+def rows_text(page):
+    return [t for t, region, _ in page_blocks(page) if region == ARTICLE]
+
+
 def test_nulls_repeated_rows_and_extra_columns(spark):
     long = "<p>" + "word " * 100_000 + "</p>"
     rows = [(1, None, None), (None, "no url", ""), (3, "http://a.org", "<nav>x</nav>"), (3, "http://a.org", "<nav>x</nav>"), (4, None, long), (2**62 + 1, None, "<p>\tä  b</p>")]

@@ -1,10 +1,11 @@
 """Main text of web pages, by the markup of a page and by suffix arrays over hosts.
 
-The text outside a page's article is one token stream of its host; a page that marks no
-article is a stream as a whole. Substrings of LEAST words or more that distinct pages of a
-host repeat are boilerplate: they are covered, and of a page without a marked article the
-unique runs are kept. Inside a marked article, repetition is no evidence, as articles
-quote each other and are copied; there the markup decides alone.
+All text of a host's pages is its token stream: of a page that marks its article, the article
+and what is around it; a page that marks none is a stream as a whole. Substrings of LEAST words
+or more that distinct pages of a host repeat are boilerplate: they are covered, and of a page
+without a marked article the unique runs are kept. Marked articles quote each other and are
+copied, so in them only what more than half of the host's distinct articles repeat is
+boilerplate, such as a notice; blocks that such repeats cover are left out.
 
 Streams are concatenated in groups of bounded size, each of which sorts its suffixes by
 prefix doubling. Only words up to LEAST decide whether a repeated substring of that length
@@ -14,6 +15,7 @@ agrees so far is one row in what the groups of a host exchange.
 
 from __future__ import annotations
 
+import zlib
 from itertools import groupby
 
 import numpy as np
@@ -28,6 +30,8 @@ from .shared import stage
 #: Doublings of the sorted depth, which give the words of the shortest repeat, and pages that have it at least (two where a host has two).
 DOUBLINGS, PAGES = 3, 3
 LEAST = 1 << DOUBLINGS
+#: Distinct articles of a host that have a line of its template at least; they must be more than half of all as well.
+TEMPLATE = 8
 #: Words of a group's streams, about, and salts under which a large host is joined.
 GROUP_WORDS, SALTS = 200_000, 64
 #: Keys of the two word hashes that name a substring, and their odd multipliers.
@@ -44,7 +48,7 @@ def host_of(url: Column) -> Column:
 
 
 def parse_page(html: str) -> tuple[str | None, list[str], list[dict] | None]:
-    """A page with a marked article: its text, and streams of what is around it. Another: the page as a stream, and its blocks."""
+    """A page with a marked article: its text, which is a stream, and streams of what is around it. Another: the page as a stream, and its blocks."""
     blocks = page_blocks(html)
     if any(region == ARTICLE for _, region, _ in blocks):
         around = [" ".join(text for text, _, _ in run) for article, run in groupby(blocks, lambda b: b[1] == ARTICLE) if not article]
@@ -86,26 +90,32 @@ def _window_hashes(words: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _intervals(texts) -> tuple[np.ndarray, ...]:
+    """The suffix array of streams: their words, where each stream begins, a word's stream, suffixes with LEAST words in order, and an interval number that equal beginnings share."""
+    streams = [np.array(text.split(" "), object) for text in texts]
+    words, sizes = np.concatenate(streams), np.array([len(s) for s in streams])
+    ends, of = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    order, rank = sort_suffixes(words)
+    order = order[order + LEAST <= ends[of[order]]]
+    interval = np.cumsum(np.r_[0, rank[order][1:] != rank[order][:-1]]) if len(order) else order
+    return words, ends - sizes, of, order, interval
+
+
 def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     """The intervals of a group's suffix array: pages that begin so, and where, in streams of pages without an article.
 
     A host that is one group needs the intervals of repeats alone.
     """
     empty = pd.DataFrame({c: pd.Series(dtype=object) for c in ("host", "h1", "h2", "pages", "need", "at")})
-    streams = [np.array(text.split(" "), object) for text in pdf["text"]]
-    words, sizes = np.concatenate(streams), np.array([len(s) for s in streams])
-    ends, of = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
-    order, rank = sort_suffixes(words)
-    order = order[order + LEAST <= ends[of[order]]]
+    words, begins, of, order, interval = _intervals(pdf["text"])
     if not len(order):
         return empty
     # An interval counts the pages of each of its streams once.
-    interval = np.cumsum(np.r_[0, rank[order][1:] != rank[order][:-1]])
     own = pd.DataFrame({"interval": interval, "stream": of[order]}).drop_duplicates()
     pages = own.assign(pages=pdf["pages"].to_numpy()[own["stream"]]).groupby("interval")["pages"].sum().to_numpy()
     need, first = int(pdf["need"].iloc[0]), np.r_[0, np.nonzero(np.diff(interval))[0] + 1]
     h1, h2 = (h[order[first]] for h in _window_hashes(words))
-    is_open, begins = pdf["whole"].to_numpy(), ends - sizes
+    is_open = pdf["whole"].to_numpy()
     s1, s2 = pdf["s1"].to_numpy(), pdf["s2"].to_numpy()
     rows = []
     for i in np.nonzero((pages >= need) | (pdf["groups"].iloc[0] > 1))[0]:
@@ -145,6 +155,76 @@ def repeated_runs(parsed: DataFrame) -> DataFrame:
     return at.groupBy("s1", "s2").agg(F.collect_list("pos").alias("starts"))
 
 
+def _majorities(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Beginnings that more than half of a group's distinct articles have, with the number that has each; and, without a beginning, the number of its articles."""
+    host, texts = pdf["host"].iloc[0], [zlib.decompress(p).decode() for p in pdf["packed"].drop_duplicates()]
+    rows = [(host, None, None, len(texts))]
+    words, _, of, order, interval = _intervals(texts)
+    if len(order) and (pdf["groups"].iloc[0] > 1 or len(texts) >= TEMPLATE):
+        # An interval counts each article once.
+        own = np.unique(interval * len(texts) + of[order]) // len(texts)
+        first = np.r_[0, np.nonzero(np.diff(interval))[0] + 1]
+        count = np.bincount(own)
+        many = np.flatnonzero(2 * count > len(texts))
+        if len(many):
+            h1, h2 = (h[order[first[many]]] for h in _window_hashes(words))
+            rows += zip([host] * len(many), h1.tolist(), h2.tolist(), count[many].tolist(), strict=True)
+    # Kept from floating point, which a null among large numbers would make of them.
+    return pd.DataFrame({c: pd.array(v, "Int64") if c != "host" else list(v) for c, v in zip(("host", "h1", "h2", "n"), zip(*rows, strict=True), strict=True)})
+
+
+def _packed(batches):
+    """Articles as streams, compressed for their way to a group; those whose (s1, s2) the task has met, as copies have, do not travel."""
+    met = set()
+    for batch in batches:
+        keys = list(zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True))
+        batch = batch.filter(pa.array([k not in met and not met.add(k) for k in keys], pa.bool_()))
+        packed = [zlib.compress(text.replace("\n\n", " ").encode()) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("s2"), pa.array(packed, pa.binary())], names=["host", "s2", "packed"])
+
+
+def _found_lines(text: str, lines) -> tuple[np.ndarray, np.ndarray]:
+    """Where lines (h1, h2) begin in an article, and which of them each place has."""
+    words = np.array(text.replace("\n\n", " ").split(" "), object)
+    number = {(line["h1"], line["h2"]): i for i, line in enumerate(lines)}
+    h1, h2 = _window_hashes(words)
+    at = np.flatnonzero(np.isin(h1, np.array([k[0] for k in number], np.int64)))
+    hit = [(i, number[k]) for i, k in ((i, (int(h1[i]), int(h2[i]))) for i in at) if k in number]
+    return np.array([i for i, _ in hit], np.int64), np.array([n for _, n in hit], np.int64)
+
+
+def _hits(batches):
+    for batch in batches:
+        found = [sorted(set(_found_lines(text, lines)[1].tolist())) for text, lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "s1", "s2")), pa.array(found, pa.list_(pa.int32()))], names=["host", "s1", "s2", "has"])
+
+
+def template_lines(articles: DataFrame) -> DataFrame:
+    """(host, lines): beginnings (h1, h2) of LEAST words that at least TEMPLATE and more than half of a host's distinct articles have.
+
+    ``articles`` has host and text, blocks being parted by two line feeds. Articles of a host are
+    dealt by hash to groups of about GROUP_WORDS words, each of which sorts its suffixes. What more than half of
+    all articles have, more than half of some group has: only these beginnings leave
+    their groups, and are then counted in all articles of their hosts.
+    """
+    words = 1 + F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    large = articles.groupBy("host").agg(F.ceil(F.sum(words) / GROUP_WORDS).cast("int").alias("groups")).where("groups > 1")
+    named = (F.xxhash64(F.lit(i), "host", "text").alias(f"s{i}") for i in (1, 2))
+    articles = articles.select("host", *named, "text")
+    sent = articles.mapInArrow(_packed, "host string, s2 long, packed binary")
+    # One short row for each host of more than one group, so at most one for GROUP_WORDS words of the input.
+    dealt = sent.join(F.broadcast(large), "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    dealt = dealt.select("host", "packed", "groups", F.pmod("s2", "groups").cast("int").alias("group"))
+    found = stage(dealt.groupBy("host", "group").applyInPandas(_majorities, "host string, h1 long, h2 long, n long"), "majorities")
+    sizes = found.where("h1 is null").groupBy("host").agg(F.sum("n").alias("articles")).where(F.col("articles") >= TEMPLATE)
+    asked = found.where("h1 is not null").groupBy("host").agg(F.sort_array(F.collect_set(F.struct("h1", "h2"))).alias("lines")).join(sizes, "host")
+    asked = stage(asked, "asked")
+    has = articles.join(asked.select("host", "lines"), "host").mapInArrow(_hits, "host string, s1 long, s2 long, has array<int>")
+    has = has.where(F.size("has") > 0).dropDuplicates(["host", "s1", "s2"]).select("host", F.explode("has").alias("i"))
+    kept = has.groupBy("host", "i").agg(F.count(F.lit(1)).alias("n")).join(asked, "host").where((F.col("n") >= TEMPLATE) & (2 * F.col("n") > F.col("articles")))
+    return stage(kept.groupBy("host").agg(F.collect_list(F.get("lines", F.col("i"))).alias("lines")), "lines")
+
+
 def covered_words(starts, n: int) -> np.ndarray:
     """Which of ``n`` words are in a run of LEAST words that begins at one of ``starts``."""
     steps = np.zeros(n + 1, np.int64)
@@ -174,6 +254,31 @@ def _unique_text(stream: str, blocks, starts) -> tuple[str, int]:
     return "\n\n".join(t for t in texts if t), int((own & cover).sum())
 
 
+def _without_lines(article: str, lines) -> tuple[str, int]:
+    """A marked article without blocks that lines of its host's template cover, and how many words that takes.
+
+    Where these are more than half of its words, the host's articles are copies of one, and all stays.
+    """
+    if not lines:
+        return article, 0
+    blocks = article.split("\n\n")
+    sizes = [b.count(" ") + 1 for b in blocks]
+    cover = covered_words(_found_lines(article, lines)[0], sum(sizes))
+    ends = np.cumsum(sizes)
+    whole = [bool(cover[end - n : end].all()) for n, end in zip(sizes, ends, strict=True)]
+    gone = sum(n for n, w in zip(sizes, whole, strict=True) if w)
+    if 2 * gone > sum(sizes):
+        return article, 0
+    return "\n\n".join(b for b, w in zip(blocks, whole, strict=True) if not w), gone
+
+
+def _cut_articles(batches):
+    for batch in batches:
+        made = [_without_lines(text, lines) for text, lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True)]
+        columns = [batch.column("page_id"), batch.column("url"), pa.array([t for t, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_repeated"])
+
+
 def _cut(batches):
     for batch in batches:
         made = [_unique_text(s, b, st) if s else ("", 0) for s, b, st in zip(*(batch.column(c).to_pylist() for c in ("stream", "blocks", "starts")), strict=True)]
@@ -187,9 +292,9 @@ def extract(pages: DataFrame) -> DataFrame:
     Takes page_id, url and html; other columns are ignored, and every row gives one. The
     whole page is read. What is in menus, headers, footers, sidebars, notices, adverts, forms,
     comments, scripts and styles, by element, role or class, is left out. The text is
-    the article's where a page marks one; else that of <main>, or of the body, without the
-    words that pages of its host repeat (n_repeated of them). Blocks are joined by two line
-    feeds; inside a block every run of white space is one space.
+    the article's where a page marks one, without blocks of the host's template; else that of <main>,
+    or of the body, without the words that pages of its host repeat (n_repeated of them). Blocks are
+    joined by two line feeds; inside a block every run of white space is one space.
 
     A null or empty page, and one without such text, has an empty text. Pages with a null
     URL, or one without a host, count as one host. Copies of a page, repeated rows
@@ -200,9 +305,10 @@ def extract(pages: DataFrame) -> DataFrame:
     kept = rows.drop("html")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", " + ", ".join(f"{name} {kind}" for name, kind in PARSED)
     parsed = stage(rows.mapInArrow(_parse, schema), "parsed").withColumn("whole", F.col("article").isNull())
-    marked = parsed.where(~F.col("whole")).select("page_id", "url", F.col("article").alias("text"), F.lit(0).cast("long").alias("n_repeated"))
+    marked = parsed.where(~F.col("whole")).select("page_id", "url", "host", F.col("article").alias("text"))
+    marked = marked.join(template_lines(marked.select("host", "text")), "host", "left").drop("host")
     named = (F.xxhash64(F.lit(i), "host", F.get("streams", F.lit(0))).alias(f"s{i}") for i in (1, 2))
     others = parsed.where("whole").select("page_id", "url", *named, F.get("streams", F.lit(0)).alias("stream"), "blocks")
     others = others.join(repeated_runs(parsed), ["s1", "s2"], "left").drop("s1", "s2")
-    cut = others.mapInArrow(_cut, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others.select("page_id", "url").schema) + ", text string, n_repeated long")
-    return marked.unionByName(cut).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")
+    made = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others.select("page_id", "url").schema) + ", text string, n_repeated long"
+    return marked.mapInArrow(_cut_articles, made).unionByName(others.mapInArrow(_cut, made)).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")
