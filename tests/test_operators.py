@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavelode.operators import denoise, evaluate, features, nonlinear, series, stats, vmd, windows
-from wavelode.sources.series import finite, prepare
+from wavelode.sources.series import dealt, finite, prepare
 
 
 def _series(spark, values, subject="a", dt=1.0):
@@ -133,3 +133,42 @@ def test_lags_of_a_window_are_counted_without_joins_of_samples(spark):
     assert [r.acf for r in acf.orderBy("lag").collect()] == pytest.approx(want)
     assert [r.lag for r in ami.orderBy("lag").collect()] == [1, 2, 3]
     assert nonlinear.autocorrelation(_series(spark, [2, 2, 2]), 4).where("acf is not null").count() == 0
+
+
+def test_partitions_of_series_grow_with_the_table_and_stay_by_subject(spark):
+    rows = spark.range(2000).select((F.col("id") % 50).alias("who"), "id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = dealt(rows, "who", 100)
+    assert many.rdd.getNumPartitions() == 20 > parts
+    placed = many.withColumn("part", F.spark_partition_id())
+    assert placed.groupBy("who").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0 and many.count() == 2000
+    # No more partitions than subjects, and the session's own where these are enough.
+    assert dealt(rows.where("who < 7"), "who", 10).rdd.getNumPartitions() == 7
+    assert dealt(rows, "who", 2000 // parts) is rows
+
+
+def test_rolling_medians_equal_plain_ones():
+    import numpy as np
+
+    from wavelode.functions.kernels import rolling_medians
+
+    r = np.random.default_rng(2)
+    x, held = r.normal(size=200).round(1), r.random(200) < 0.7
+    held[60:80] = False
+    at = np.arange(20, 190)
+    for half in (1, 4, 150):
+        near = [x[max(0, i - half) : i + half + 1][held[max(0, i - half) : i + half + 1]] for i in at]
+        median = lambda v: np.median(v) if len(v) else np.nan
+        for cells in (1, 1 << 20):
+            value, n = rolling_medians(x, held, half, at, False, cells)
+            assert n.tolist() == [len(v) for v in near] and np.array_equal(value, [median(v) for v in near], equal_nan=True)
+            assert np.array_equal(rolling_medians(x, held, half, at, True, cells)[0], [median(np.abs(v - median(v))) for v in near], equal_nan=True)
+
+
+def test_rolling_holds_no_arrays_of_neighbours(spark):
+    """Windows of fixed and of each subject's own width, evaluated by one grouped step, without an array for each sample."""
+    df = _series(spark, [1, None, 5, 2, 9, 4, 4, None, 7]).withColumn("w", F.lit(5))
+    out = series.rolling(df, ("median", 3, "p", "a"), ("mad", "w", "p", "b"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "collect_list" not in plan and out.columns == ["subject", "seq", "t", "p", "w", "a", "b"]
+    assert [r.a for r in out.orderBy("seq").collect()] == [4, 4, 4, 5, 4, 4, 4, 4, 4]
