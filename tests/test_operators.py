@@ -171,4 +171,4 @@ def test_rolling_holds_no_arrays_of_neighbours(spark):
     out = series.rolling(df, ("median", 3, "p", "a"), ("mad", "w", "p", "b"))
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "collect_list" not in plan and out.columns == ["subject", "seq", "t", "p", "w", "a", "b"]
-    assert [r.a for r in out.orderBy("seq").collect()] == [4, 4, 4, 5, 4, 4, 4, 4, 4]
+    assert [r.a for r in out.orderBy("seq").collect()] == [5, 5, 5, 5, 4, 4, 4, 4, 4]
