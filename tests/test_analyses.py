@@ -208,6 +208,38 @@ def test_denoising_and_its_ablation(spark):
     assert whole.where("quality_flag <> 'good'").count() > 0 and whole.where("quality_flag = 'hard_range_reconstructed' and range_fixed not between 85 and 130").count() == 0
 
 
+def test_ablation_without_final_smoothing_and_variant_by_variant(spark):
+    clean = 100 + 4 * np.sin(np.arange(300) / 40)
+    df = evaluate.semisynthetic(table(spark, clean, dt=1.2).withColumn("event", F.lit(False)), event="event")
+    # The default width is the least one, which is no reason not to leave smoothing out.
+    out = {r.variant: r for r in reports.ablation(df, passes=1, together=0).collect()}
+    assert set(out) == set(reports.VARIANTS)
+    plain = denoise.denoise(df.select("subject", "seq", "t", F.col("observed").alias("p")), passes=1).orderBy("seq").collect()
+    energy = lambda c: sum((b[c] - a[c]) ** 2 for a, b in zip(plain, plain[1:]))
+    assert out["full_model"].energy_clean == pytest.approx(energy("clean")) and out["no_final_smoothing"].energy_clean == pytest.approx(energy("preclean"))
+    assert out["no_final_smoothing"].energy_clean > out["full_model"].energy_clean
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from wavelode.functions import lineage
+
+    def files():
+        places = [str(p) for p in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+        return {f for p in places for f in glob.glob(f"{p}/**/shuffle_*", recursive=True)}
+
+    before = files()
+    made = lineage.cut(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n")).repartition(3, "n"))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and made.count() == 10
+    assert spark.conf.get(lineage.CLEANUP, "false") == "false"
+
+
 def test_reference_and_report(spark):
     df = table(spark, walk(200)).withColumn("clean", F.col("p") * 2).withColumn("event", F.col("p") > 100)
     assert all(r.reference == 2 * r.p for r in evaluate.clean_reference(df).collect())
