@@ -48,6 +48,29 @@ def test_entities_take_time_in_proportion(piece):
     assert time.perf_counter() - began < 30
 
 
+def test_copies_of_an_item_are_searched_once_and_many_windows_are_not_sent(spark, monkeypatch):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    docs = spark.createDataFrame([(1, f"so {words} then"), (2, "none of these"), (3, words.upper())], "doc_id long, text string")
+    bench = spark.range(200).select(F.col("id").alias("item_id"), F.lit(words).alias("text"))
+    expected = {(d, i, at, 12) for d, at in ((1, 1), (3, 0)) for i in range(200)}
+    plans, stage = [], decontaminate.stage
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, name)
+
+    monkeypatch.setattr(decontaminate, "stage", noted)
+    # The windows of one copy are sent, though those of all are too many.
+    monkeypatch.setattr(decontaminate, "SENT_WINDOWS", 12 * len(decontaminate.MASKS))
+    assert {tuple(r) for r in decontaminate.overlaps(docs, bench).collect()} == expected and not plans
+    monkeypatch.setattr(decontaminate, "SENT_WINDOWS", 0)
+    assert {tuple(r) for r in decontaminate.overlaps(docs, bench).collect()} == expected
+    assert [r.doc_id for r in decontaminate.without_overlaps(docs, bench).collect()] == [2]
+    hits = [plan for name, plan in plans if name == "hits"]
+    # Of the two joins only the one with the filter may send a table.
+    assert len(hits) == 2 and all("SortMergeJoin" in p and p.count("BroadcastHashJoin") == 1 for p in hits)
+
+
 @pytest.mark.parametrize("sent", [decontaminate.SENT_WINDOWS, 0])
 def test_items_without_id_and_ids_of_two_items(spark, monkeypatch, sent):
     monkeypatch.setattr(decontaminate, "SENT_WINDOWS", sent)
