@@ -240,6 +240,22 @@ def test_a_cut_leaves_no_shuffle_files(spark):
     assert spark.conf.get(lineage.CLEANUP, "false") == "false"
 
 
+def test_recurrence_is_measured_in_tasks_and_its_rows_go_on_in_parts(spark, monkeypatch):
+    from wavelode.operators import nonlinear
+
+    monkeypatch.setattr(nonlinear, "ROWS", 50)
+    rng = np.random.default_rng(8)
+    rows = [(s, i, None if s == 2 and i == 7 else float(v)) for s in range(6) for i, v in enumerate(np.round(rng.normal(size=40), 1))] + [(9, 0, 1.0)]
+    df = spark.createDataFrame(rows, "subject long, seq long, p double")
+    key = lambda r: {c: round(v, 9) if isinstance(v, float) else v for c, v in r.asDict().items()}
+    want = {r.subject: key(r) for r in nonlinear.rqa(nonlinear.recurrence(df)).collect()}
+    got = {r.subject: key(r) for r in nonlinear.recurrence_measures(df).collect()}
+    assert got == want and set(got) == set(range(6))
+    # Pairs of whole windows meet in no join, and no rows of pairs are shuffled.
+    plan = nonlinear.recurrence_measures(df.where("p is not null and subject <> 2"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "CheckpointFile" not in plan and plan.index("MapInArrow") < plan.index("Join")
+
+
 def test_reference_and_report(spark):
     df = table(spark, walk(200)).withColumn("clean", F.col("p") * 2).withColumn("event", F.col("p") > 100)
     assert all(r.reference == 2 * r.p for r in evaluate.clean_reference(df).collect())

@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from ..functions.lineage import cut
 from .series import ordered
 
 TINY = 1e-12
+#: Rows that a task's windows give before they go on.
+ROWS = 1 << 16
 
 
 def embed(df: DataFrame, m: int = 3, tau: int | DataFrame = 1) -> DataFrame:
@@ -58,6 +61,8 @@ def _by_window(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(subject, v), all vectors of a window in one row, and the vectors of windows where one has a missing value or is missing itself."""
     rows = vectors.groupBy("subject").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"), F.max("i").alias("_last"), F.bool_or(F.exists("x", lambda c: c.isNull())).alias("_holes"))
     whole = (F.col("_last") + 1 == F.size("v")) & ~F.col("_holes")
+    # Written, as it is read for both and for both sides of a join, whose tasks would gather it side by side.
+    rows = cut(rows)
     others = rows.where(~whole).select("subject", F.inline("v"))
     return rows.where(whole).select("subject", F.transform("v", lambda r: r["x"]).alias("v")), others
 
@@ -170,27 +175,78 @@ def permutation_entropy(df: DataFrame, delay: int = 1) -> DataFrame:
     return counts.withColumn("q", p).groupBy("subject").agg((-F.sum(F.col("q") * F.log(F.col("q") + TINY)) / math.log(6)).alias("permen"))
 
 
+def _by_task(whole: DataFrame, fields: dict[str, str], of, *own: str) -> DataFrame:
+    """Rows (subject, fields) of windows given as (subject, v); ``of`` a window's vectors, and its value in a column ``own``, gives their columns.
+
+    Windows are measured one by one, and rows go on before they are more than ``ROWS`` and one window's.
+    """
+    types = T.StructType([whole.schema["subject"], *[T.StructField(c, T.LongType() if kind == "long" else T.DoubleType()) for c, kind in fields.items()]])
+    names = list(fields)
+
+    def run(batches):
+        for batch in batches:
+            subjects, v, rest = batch.column(0), batch.column(1), [batch.column(k).to_pylist() for k in range(2, batch.num_columns)]
+            ends = np.cumsum(np.r_[0, v.value_lengths().to_numpy(zero_copy_only=False)])
+            values = np.asarray(v.flatten().flatten().to_numpy(zero_copy_only=False), float)
+            values = values.reshape(ends[-1], -1) if ends[-1] else values.reshape(0, 1)
+            rows, many = [], 0
+
+            def made(held):
+                at = np.concatenate([np.full(len(c[0]), i) for i, c in held])
+                columns = [pa.concat_arrays([c[k] for _, c in held]) for k in range(len(names))]
+                return pa.RecordBatch.from_arrays([subjects.take(pa.array(at)), *columns], ["subject", *names])
+
+            for i in range(len(v)):
+                columns = of(values[ends[i] : ends[i + 1]], *[c[i] for c in rest])
+                if columns and len(columns[0]):
+                    rows.append((i, columns))
+                    many += len(columns[0])
+                if many >= ROWS:
+                    yield made(rows)
+                    rows, many = [], 0
+            if rows:
+                yield made(rows)
+
+    return whole.select("subject", "v", *own).mapInArrow(run, types)
+
+
+def _near_pairs(vectors: DataFrame, m: int, rate: float, theiler: int) -> DataFrame:
+    """``recurrence`` of windows with missing values, by a join."""
+    pairs = _pairs(vectors, theiler, both=True).select("subject", "i", "j", _distance(m).alias("d"))
+    eps = pairs.groupBy("subject").agg(F.percentile("d", rate).alias("epsilon"))
+    n = vectors.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(eps.join(n, "subject"), "subject").where("d <= epsilon").select("subject", "i", "j", "epsilon", "n")
+
+
 def recurrence(df: DataFrame, m: int = 3, tau: int = 1, rate: float = 0.05, theiler: int = 1) -> DataFrame:
     """Recurrent pairs (subject, i, j, epsilon, n): nearer than the ``rate`` quantile of all pairs outside the Theiler band."""
 
-    @F.pandas_udf("array<struct<i: long, j: long, epsilon: double, n: long>>")
-    def near(v: pd.Series) -> pd.Series:
-        def of(rows):
-            x = np.stack(rows).astype(float)
-            held = window_kernel.held_distances(x)
-            epsilon = window_kernel.distance_quantile(x, rate, theiler, held)
-            i, j = window_kernel.recurrent_pairs(x, epsilon, theiler, held)
-            return [{"i": a, "j": b, "epsilon": epsilon, "n": len(x)} for a, b in zip(np.r_[i, j].tolist(), np.r_[j, i].tolist(), strict=True)]
+    def near(x: np.ndarray) -> list[pa.Array]:
+        held = window_kernel.held_distances(x)
+        epsilon = window_kernel.distance_quantile(x, rate, theiler, held)
+        i, j = window_kernel.recurrent_pairs(x, epsilon, theiler, held)
+        many = 2 * len(i)
+        return [pa.array(np.r_[i, j], pa.int64()), pa.array(np.r_[j, i], pa.int64()), pa.array(np.full(many, epsilon)), pa.array(np.full(many, len(x)), pa.int64())]
+
+    whole, vectors = _by_window(embed(df, m, tau))
+    return _by_task(whole, {"i": "long", "j": "long", "epsilon": "double", "n": "long"}, near).unionByName(_near_pairs(vectors, m, rate, theiler))
 
-        return v.map(of)
+
+#: Columns of ``rqa``.
+RQA = {"rr": "double", "det": "double", "lam": "double", "l_mean": "double", "l_max": "long", "tt": "double", "epsilon": "double"}
+
+
+def recurrence_measures(df: DataFrame, m: int = 3, tau: int = 1, rate: float = 0.05, theiler: int = 1, least: int = 2) -> DataFrame:
+    """``rqa`` of the ``recurrence`` of every window, measured in the task that has its vectors, so that no pairs leave it."""
+
+    def of(x: np.ndarray) -> list[pa.Array] | None:
+        found = window_kernel.rqa(x, rate, theiler, least, window_kernel.held_distances(x))
+        if not found:
+            return None
+        return [pa.array([None if found[c] is None else int(found[c]) if kind == "long" else float(found[c])], pa.int64() if kind == "long" else pa.float64()) for c, kind in RQA.items()]
 
     whole, vectors = _by_window(embed(df, m, tau))
-    # The outer form, as the plain one would have every window measured twice.
-    found = whole.select("subject", F.inline_outer(near("v"))).where("i is not null")
-    pairs = _pairs(vectors, theiler, both=True).select("subject", "i", "j", _distance(m).alias("d"))
-    eps = pairs.groupBy("subject").agg(F.percentile("d", rate).alias("epsilon"))
-    n = vectors.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
-    return found.unionByName(pairs.join(eps.join(n, "subject"), "subject").where("d <= epsilon").select("subject", "i", "j", "epsilon", "n"))
+    return _by_task(whole, RQA, of).unionByName(rqa(_near_pairs(vectors, m, rate, theiler), least))
 
 
 def line_lengths(edges: DataFrame, direction: str = "diagonal", least: int = 2) -> DataFrame:
@@ -297,18 +353,14 @@ def nearest(vectors: DataFrame, m: int, theiler: int | DataFrame, cap: int) -> D
     The band is one number, or a table (subject, tau). Distances that tie go to the earlier vector.
     """
 
-    @F.pandas_udf("array<struct<i: long, j: long, d: double>>")
-    def near(v: pd.Series, band: pd.Series) -> pd.Series:
-        def of(rows, theiler):
-            x = np.stack(rows).astype(float)[:, :m]
-            found = window_kernel.nearest(x, int(theiler), cap, window_kernel.held_distances(x))
-            return [{"i": a, "j": b, "d": d} for a, b, d in zip(*(c.tolist() for c in found), strict=True)]
-
-        return pd.Series([of(a, b) for a, b in zip(v, band, strict=True)])
+    def near(x: np.ndarray, theiler: int) -> list[pa.Array]:
+        x = x[:, :m]
+        i, j, d = window_kernel.nearest(x, int(theiler), cap, window_kernel.held_distances(x))
+        return [pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(d, pa.float64())]
 
     whole, vectors = _by_window(vectors)
     whole = whole.withColumn("tau", F.lit(theiler)) if isinstance(theiler, int) else whole.join(theiler, "subject")
-    found = whole.select("subject", F.inline_outer(near("v", "tau"))).where("i is not null")
+    found = _by_task(whole, {"i": "long", "j": "long", "d": "double"}, near, "tau")
     pairs = _pairs(vectors, -1, both=True).select("subject", "i", "j", _distance(m).alias("d"))
     apart = F.abs(F.col("i") - F.col("j"))
     rank = F.row_number().over(Window.partitionBy("subject", "i").orderBy("d", apart, "j"))
