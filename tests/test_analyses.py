@@ -256,6 +256,16 @@ def test_recurrence_is_measured_in_tasks_and_its_rows_go_on_in_parts(spark, monk
     assert "MapInArrow" in plan and "CheckpointFile" not in plan and plan.index("MapInArrow") < plan.index("Join")
 
 
+def test_tables_of_modes_are_sent_to_no_task(spark):
+    modes = spark.range(40).select(F.when(F.col("id") >= 0, "a").otherwise("b").alias("subject"), (F.col("id") % 2 + 1).cast("int").alias("mode"), F.floor(F.col("id") / 2).alias("seq"), F.rand(1).alias("value"))
+    signal = spark.range(20).select(F.when(F.col("id") >= 0, "a").otherwise("b").alias("subject"), F.col("id").alias("seq"), F.col("id").cast("double").alias("t"), F.rand(2).alias("p"), F.rand(3).alias("residual"), (F.col("id") > 5).alias("event"), (F.col("id") < 3).alias("artifact"))
+    found = vmd.mode_features(modes, signal)
+    chosen = found.select("subject", "mode", (F.col("mode") == 1).alias("selected"))
+    for df in (found, vmd.rebuild(modes, chosen, signal)):
+        rows = df.collect()
+        assert len(rows) in (2, 20) and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_reference_and_report(spark):
     df = table(spark, walk(200)).withColumn("clean", F.col("p") * 2).withColumn("event", F.col("p") > 100)
     assert all(r.reference == 2 * r.p for r in evaluate.clean_reference(df).collect())
