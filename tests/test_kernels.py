@@ -59,3 +59,20 @@ def test_recurrent_pairs_of_one_pass_are_those_of_two():
         epsilon, i, j = window_kernel.recurrence(v, rate, theiler)
         assert epsilon == window_kernel.distance_quantile(v, rate, theiler)
         assert np.array_equal((i, j), window_kernel.recurrent_pairs(v, epsilon, theiler))
+
+
+def test_most_distances_of_a_long_window_are_not_computed(monkeypatch):
+    from wavelode.functions import window_kernel
+
+    computed, block = [], window_kernel._block
+    monkeypatch.setattr(window_kernel, "_block", lambda rows, v: computed.append(len(rows) * len(v)) or block(rows, v))
+    rng = np.random.default_rng(6)
+    for digits, m, theiler, cap in ((6, 3, 1, 30), (1, 3, 1, 30), (0, 2, 3, 4)):
+        v = window_kernel.embed(np.round(np.repeat(rng.exponential(size=500), 3), digits), m, 1)
+        want, whole = window_kernel.nearest(v, theiler, cap, [(0, block(v, v))]), len(v) ** 2
+        computed.clear()
+        assert all(map(np.array_equal, window_kernel.nearest(v, theiler, cap), want)) and sum(computed) < whole / 2
+        computed.clear()
+        epsilon, i, j = window_kernel.recurrence(v, 0.02, theiler)
+        assert sum(computed) < whole / 2
+        assert epsilon == window_kernel.distance_quantile(v, 0.02, theiler) and np.array_equal((i, j), window_kernel.recurrent_pairs(v, epsilon, theiler))
